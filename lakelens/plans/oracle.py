@@ -98,3 +98,18 @@ def _order(cols: list[str]) -> list[str]:
 
 def table_profile_sql(table: str, distinct: bool = True) -> str:
     return profile_select(table, table, TABLE_SCHEMAS[table], distinct)
+
+
+def hash_pred_sql(seed: int, percent: float, *keys: str) -> str:
+    """SQL form of lakelens.functions.hashing.keep_fraction."""
+    text = " || '|' || ".join([lit(str(seed))] + [f"CAST({k} AS VARCHAR)" for k in keys])
+    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT % 10000 < {float(percent) * 100.0}"
+
+
+def rule_case_sql(raw: str, rules) -> str:
+    """SQL CASE chain of one dialect's ordered substring rules."""
+    whens = []
+    for needles, cls in rules:
+        cond = " OR ".join(f"lower({raw}) LIKE '%{n}%'" for n in needles)
+        whens.append(f"WHEN {cond} THEN '{cls}'")
+    return "CASE " + " ".join(whens) + " ELSE 'unknown' END"

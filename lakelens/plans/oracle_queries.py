@@ -46,3 +46,90 @@ ORACLE = {
         TRUE AS within_5pct, TRUE AS sketch_within_5pct FROM orders""",
     "string_length_stats": _string_lengths(),
 }
+
+
+# --- sampling -----------------------------------------------------------------
+from lakelens.functions.types import DIALECT_RULES  # noqa: E402
+from lakelens.plans.oracle import hash_pred_sql, lit, rule_case_sql  # noqa: E402
+
+ORACLE.update({
+    "sample_bernoulli_hash": f"SELECT * FROM orders WHERE {hash_pred_sql(42, 10, 'o_orderkey')}",
+    "sample_bernoulli_hash_limit": f"SELECT * FROM orders WHERE {hash_pred_sql(42, 10, 'o_orderkey')} "
+                                   "ORDER BY o_orderkey LIMIT 50",
+    "sample_system_blocks": f"SELECT * FROM events WHERE "
+                            f"{hash_pred_sql(7, 20, 'CAST(floor(event_id / 500) AS BIGINT)')}",
+    "sample_records": "SELECT o_orderkey, CAST(to_json(struct_pack(o_orderkey := o_orderkey, "
+                      "o_custkey := o_custkey, o_orderstatus := o_orderstatus, "
+                      "o_orderpriority := o_orderpriority)) AS VARCHAR) AS record FROM orders "
+                      f"WHERE {hash_pred_sql(11, 5, 'o_orderkey')}",
+})
+
+# --- schema -------------------------------------------------------------------
+# How the driver tables' types read in DuckDB, Spark and Arrow.
+_SPARK_OF = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
+             "TIMESTAMP": "timestamp_ntz", "FLOAT[]": "array<float>"}
+_ARROW_OF = {"BIGINT": "int64", "INTEGER": "int32", "VARCHAR": "string", "DOUBLE": "double",
+             "TIMESTAMP": "timestamp[us]", "FLOAT[]": "list<element: float>"}
+_CLASS_OF = {"BIGINT": "integer", "INTEGER": "integer", "VARCHAR": "string", "DOUBLE": "float",
+             "TIMESTAMP": "timestamp", "FLOAT[]": "array"}
+
+
+def _case(mapping: dict[str, str], expr: str = "column_type") -> str:
+    return "CASE " + " ".join(f"WHEN {expr} = {lit(k)} THEN {lit(v)}" for k, v in mapping.items()) + " END"
+
+
+_COLS_CTE = "\nUNION ALL\n".join(
+    f"SELECT {lit(t)} AS table_name, CAST(row_number() OVER () AS INTEGER) AS ordinal, "
+    f"column_name, column_type FROM (DESCRIBE {t})" for t in TABLE_SCHEMAS)
+
+ORACLE["schema_inventory"] = f"""WITH cols AS ({_COLS_CTE})
+SELECT table_name, ordinal, column_name, {_case(_CLASS_OF)} AS data_type,
+       {_case(_SPARK_OF)} AS original_type, TRUE AS nullable FROM cols"""
+
+_DIALECT_CASE = "CASE " + " ".join(
+    f"WHEN dialect = {lit(d)} THEN {rule_case_sql('raw_type', rules)}" for d, rules in DIALECT_RULES.items()
+) + " ELSE 'unknown' END"
+
+ORACLE["normalize_types_all_dialects"] = f"""WITH cols AS ({_COLS_CTE}),
+spelt AS (
+  SELECT table_name, column_name, 'spark' AS spelling, {_case(_SPARK_OF)} AS raw_type FROM cols
+  UNION ALL SELECT table_name, column_name, 'embedded', column_type FROM cols
+  UNION ALL SELECT table_name, column_name, 'arrow', {_case(_ARROW_OF)} FROM cols),
+dialects AS (SELECT unnest([{', '.join(lit(d) for d in DIALECT_RULES)}]) AS dialect)
+SELECT table_name, column_name, spelling, raw_type, dialect, {_DIALECT_CASE} AS normalized
+FROM spelt, dialects"""
+
+
+def _key_sql(t: str, cols: list[str]) -> str:
+    tup = cols[0] if len(cols) == 1 else "(" + ", ".join(cols) + ")"
+    nulls = " OR ".join(f"{c} IS NULL" for c in cols)
+    return (f"SELECT {lit(t)} AS table_name, {lit(','.join(cols))} AS key_columns, "
+            f"CAST(count(*) AS BIGINT) AS row_count, "
+            f"CAST(count(DISTINCT {tup}) FILTER (WHERE NOT ({nulls})) AS BIGINT) AS distinct_count, "
+            f"CAST(count(*) FILTER (WHERE {nulls}) AS BIGINT) AS null_rows, "
+            f"(count(*) FILTER (WHERE {nulls}) = 0 AND count(DISTINCT {tup}) = count(*)) AS is_key FROM {t}")
+
+
+ORACLE["candidate_keys"] = "\nUNION ALL\n".join([
+    _key_sql("customer", ["c_custkey"]), _key_sql("orders", ["o_orderkey"]),
+    _key_sql("orders", ["o_custkey"]), _key_sql("part", ["p_partkey"]),
+    _key_sql("lineitem", ["l_orderkey", "l_linenumber"]), _key_sql("lineitem", ["l_orderkey"])])
+
+
+def _describe_sql(t: str) -> str:
+    parts = []
+    for i, (c, typ) in enumerate(TABLE_SCHEMAS[t], start=1):
+        cls = {"int": "integer", "bigint": "integer", "string": "string", "double": "float",
+               "timestamp_ntz": "timestamp"}[typ]
+        parts.append(
+            f"SELECT {lit(t)} AS table_name, CAST({i} AS INTEGER) AS ordinal, {lit(c)} AS column_name, "
+            f"{lit(cls)} AS type, {lit(typ)} AS original_type, "
+            f"coalesce(CAST(min({c}) AS VARCHAR), '') AS min_value, "
+            f"coalesce(CAST(max({c}) AS VARCHAR), '') AS max_value, "
+            f"CAST(count(*) - count({c}) AS VARCHAR) AS null_count, "
+            f"CAST(count(DISTINCT {c}) AS VARCHAR) AS distinct_count, "
+            f"CAST(count(*) AS VARCHAR) AS row_count FROM {t}")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["describe_report"] = _describe_sql("supplier")

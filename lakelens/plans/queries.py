@@ -88,3 +88,98 @@ QUERIES = {
     "approx_distinct_check": approx_distinct_check,
     "string_length_stats": string_length_stats,
 }
+
+
+# --- sampling (M1-M7) --------------------------------------------------------
+from lakelens.operators import sampling as S  # noqa: E402
+
+
+def sample_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sample(read_table(spark, sf_dir, "orders"), "limit", limit=100)
+
+
+def sample_bernoulli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sample(read_table(spark, sf_dir, "lineitem"), "bernoulli", percent=10, seed=42)
+
+
+def sample_bernoulli_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sample(read_table(spark, sf_dir, "orders"), "hash", percent=10, seed=42, key="o_orderkey")
+
+
+def sample_bernoulli_hash_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sample(read_table(spark, sf_dir, "orders"), "hash", percent=10, seed=42,
+                    key="o_orderkey", order_by=["o_orderkey"], limit=50)
+
+
+def sample_system_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sample(read_table(spark, sf_dir, "events"), "system", percent=20, seed=7,
+                    block=[F.floor(F.col("event_id") / 500)])
+
+
+def sample_system_file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 with the default block id (file path, row_index // 2048)."""
+    return S.sample(read_table(spark, sf_dir, "events"), "system", percent=30, seed=3)
+
+
+def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    s = S.sample(o, "hash", percent=5, seed=11, key="o_orderkey")
+    return S.to_records(s.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
+                        keep=["o_orderkey"])
+
+
+# --- schema, keys, describe (S1, S3, S5, T1-T8, X3) ---------------------------
+from lakelens.functions import types as TY  # noqa: E402
+from lakelens.operators import schema as SC  # noqa: E402
+from lakelens.operators.metadata import describe_report as _describe  # noqa: E402
+from lakelens.plans.oracle import TABLE_SCHEMAS  # noqa: E402
+
+
+def schema_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = SC.schema_inventory(spark, read_tables(spark, sf_dir, TABLE_SCHEMAS))
+    return inv.select("table_name", "ordinal", "column_name", "data_type", "original_type", "nullable")
+
+
+def normalize_types_all_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1-T7 over the schema corpus of every table: each column's type spelt
+    the Spark way, the embedded-database way and the Arrow way, normalized
+    under every dialect."""
+    rows = []
+    for name, df in read_tables(spark, sf_dir, TABLE_SCHEMAS).items():
+        for f in df.schema.fields:
+            for spelling, raw in (("spark", f.dataType.simpleString()),
+                                  ("embedded", TY.embedded_type_name(f.dataType)),
+                                  ("arrow", TY.arrow_type_name(f.dataType))):
+                rows.append((name, f.name, spelling, raw))
+    corpus = spark.createDataFrame(rows, "table_name string, column_name string, spelling string, raw_type string")
+    corpus = corpus.withColumn("dialect", F.explode(F.array(*[F.lit(d) for d in TY.DIALECTS])))
+    return TY.normalize_types(corpus)
+
+
+def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = {"customer": [["c_custkey"]], "orders": [["o_orderkey"], ["o_custkey"]],
+            "part": [["p_partkey"]], "lineitem": [["l_orderkey", "l_linenumber"], ["l_orderkey"]]}
+    out = None
+    for t, cs in sets.items():
+        r = SC.candidate_keys(read_table(spark, sf_dir, t), cs, t)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def describe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _describe(spark, read_table(spark, sf_dir, "supplier"), "supplier")
+
+
+QUERIES.update({
+    "sample_limit": sample_limit,
+    "sample_bernoulli": sample_bernoulli,
+    "sample_bernoulli_hash": sample_bernoulli_hash,
+    "sample_bernoulli_hash_limit": sample_bernoulli_hash_limit,
+    "sample_system_blocks": sample_system_blocks,
+    "sample_system_file_blocks": sample_system_file_blocks,
+    "sample_records": sample_records,
+    "schema_inventory": schema_inventory,
+    "normalize_types_all_dialects": normalize_types_all_dialects,
+    "candidate_keys": candidate_keys,
+    "describe_report": describe_report,
+})
