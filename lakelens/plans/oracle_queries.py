@@ -133,3 +133,64 @@ def _describe_sql(t: str) -> str:
 
 
 ORACLE["describe_report"] = _describe_sql("supplier")
+
+
+# --- footers, drift, inventory, partitions, Delta ----------------------------------
+def _bounds_sql(t: str, where: str = "", extra_rows: str = "CAST(count(*) AS BIGINT)") -> str:
+    parts = []
+    lane_sql = {"int": "BIGINT", "num": "DOUBLE", "str": "VARCHAR", "ts": "TIMESTAMP"}
+    lane_of = {"int": "int", "bigint": "int", "double": "num", "string": "str", "timestamp_ntz": "ts"}
+    for c, typ in TABLE_SCHEMAS[t]:
+        lane = lane_of[typ]
+        cols = [f"{lit(c)} AS column_name", f"{extra_rows} AS row_count",
+                f"CAST(count(*) - count({c}) AS BIGINT) AS null_count"]
+        for b in ("min", "max"):
+            for ln, sqlt in lane_sql.items():
+                v = f"CAST({b}({c}) AS {sqlt})" if ln == lane else f"CAST(NULL AS {sqlt})"
+                cols.append(f"{v} AS {b}_{ln}")
+        parts.append("SELECT " + ", ".join(cols) + f" FROM {t} {where}")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["footer_profile_orders"] = _bounds_sql("orders")
+
+ORACLE["footer_pushdown_agg"] = "\nUNION ALL\n".join(
+    f"SELECT {lit(c)} AS column_name, CAST(count(*) AS BIGINT) AS row_count, "
+    + (f"CAST(min({c}) AS BIGINT) AS min_int, CAST(max({c}) AS BIGINT) AS max_int, "
+       "CAST(NULL AS DOUBLE) AS min_num, CAST(NULL AS DOUBLE) AS max_num"
+       if typ in ("int", "bigint") else
+       "CAST(NULL AS BIGINT) AS min_int, CAST(NULL AS BIGINT) AS max_int, "
+       f"min({c}) AS min_num, max({c}) AS max_num")
+    + " FROM lineitem"
+    for c, typ in TABLE_SCHEMAS["lineitem"] if typ in ("int", "bigint", "double"))
+
+# The Arrow type names of the drift fixture's columns.
+_ARROW_ORDERS = {"o_orderkey": "int64", "o_custkey": "int64", "o_orderstatus": "string",
+                 "o_totalprice": "double", "o_orderdate": "timestamp[us]", "o_orderpriority": "string"}
+ORACLE["schema_drift"] = "\nUNION ALL\n".join(
+    [f"SELECT {lit(c)} AS column_name, {lit(a)} AS arrow_type, CAST(count(*) AS BIGINT) AS row_count, "
+     f"FALSE AS conflict, TRUE AS in_all_files FROM orders" for c, a in _ARROW_ORDERS.items()
+     if c != "o_custkey"]
+    + ["SELECT 'o_custkey' AS column_name, 'int32' AS arrow_type, CAST(count(*) AS BIGINT) AS row_count, "
+       "TRUE AS conflict, TRUE AS in_all_files FROM orders WHERE o_orderstatus = 'F'",
+       "SELECT 'o_custkey', 'int64', CAST(count(*) AS BIGINT), TRUE, TRUE FROM orders "
+       "WHERE o_orderstatus <> 'F'",
+       "SELECT 'o_extra', 'double', CAST(count(*) AS BIGINT), FALSE, FALSE FROM orders "
+       "WHERE o_orderstatus = 'P'"])
+
+ORACLE["table_formats"] = """SELECT * FROM (VALUES
+  ('tpch', 'orders', 'parquet'), ('tpch', 'lineitem', 'parquet'),
+  ('tpch', 'orders_delta', 'delta'), ('raw', 'events_json', 'unknown'))
+  AS t(database, table_name, format)
+  WHERE (SELECT count(*) FROM orders) > 0"""
+
+ORACLE["partition_inventory"] = """
+SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value, CAST(1 AS INTEGER) AS depth,
+       CAST(count(*) AS BIGINT) AS row_count FROM orders GROUP BY o_orderstatus
+UNION ALL
+SELECT 'o_orderpriority', nullif(o_orderpriority, '5-LOW'), CAST(2 AS INTEGER), CAST(count(*) AS BIGINT)
+FROM orders GROUP BY o_orderstatus, nullif(o_orderpriority, '5-LOW')"""
+
+ORACLE["delta_log_stats"] = _bounds_sql("orders", "WHERE o_orderstatus IN ('F', 'O')")
+ORACLE["delta_snapshot"] = ("SELECT CAST(2 AS BIGINT) AS max_add_version, CAST(count(*) AS BIGINT) AS row_count "
+                            "FROM orders WHERE o_orderstatus IN ('F', 'O')")

@@ -183,3 +183,67 @@ QUERIES.update({
     "candidate_keys": candidate_keys,
     "describe_report": describe_report,
 })
+
+
+# --- footers, drift, inventory, partitions, Delta (F1-F6, S4, B3-B6, P1-P3) -----
+from lakelens.operators import footer_stats as FS  # noqa: E402
+from lakelens.operators import inventory as INV  # noqa: E402
+from lakelens.plans import fixtures as FX  # noqa: E402
+from lakelens.sources import deltalog as DL  # noqa: E402
+
+_FOOTER_COLS = ["column_name", "row_count", "null_count", "min_int", "max_int", "min_num", "max_num",
+                "min_str", "max_str", "min_ts", "max_ts"]
+
+
+def footer_profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FS.footer_table_stats(spark, FX.multi_file_orders(spark, sf_dir)).select(*_FOOTER_COLS)
+
+
+def footer_pushdown_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "l_extendedprice", "l_discount", "l_tax"]
+    return FS.pushdown_aggregate(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", cols)
+
+
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = FS.schema_drift(spark, FX.drift_orders(spark, sf_dir))
+    return d.select("column_name", "arrow_type", "row_count", "conflict", "in_all_files")
+
+
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return INV.lake_inventory(spark, FX.lake(spark, sf_dir))
+
+
+def table_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return INV.table_formats(spark, FX.lake(spark, sf_dir))
+
+
+def partition_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return INV.partition_row_counts(spark, FX.hive_orders(spark, sf_dir)).select(
+        "column_name", "value", "depth", "row_count")
+
+
+def partition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return INV.partition_inventory(spark, FX.hive_orders(spark, sf_dir))
+
+
+def delta_log_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DL.delta_column_stats(spark, FX.delta_orders(spark, sf_dir))
+
+
+def delta_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = DL.delta_table_stats(spark, FX.delta_orders(spark, sf_dir))
+    return t.select("max_add_version", "row_count")
+
+
+QUERIES.update({
+    "footer_profile_orders": footer_profile_orders,
+    "footer_pushdown_agg": footer_pushdown_agg,
+    "schema_drift": schema_drift,
+    "file_inventory": file_inventory,
+    "table_formats": table_formats,
+    "partition_inventory": partition_inventory,
+    "partition_files": partition_files,
+    "delta_log_stats": delta_log_stats,
+    "delta_snapshot": delta_snapshot,
+})
