@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakelens.functions.types import canonical_class
 from lakelens.operators.profile import profile
 from lakelens.operators.schema import table_schema
 
@@ -48,3 +49,112 @@ def describe_report(spark: SparkSession, df: DataFrame, table_name: str,
         F.coalesce(F.col("distinct_count").cast("string"), blank).alias("distinct_count"),
         F.coalesce(F.col("row_count").cast("string"), blank).alias("row_count"),
     )
+
+
+# --- X1/X2/X4: nested whole-table record and its JSON form ---------------------------
+
+COLUMN_STAT = T.StructType([
+    T.StructField("column_name", T.StringType()),
+    T.StructField("min_value", T.StringType()),
+    T.StructField("max_value", T.StringType()),
+    T.StructField("null_count", T.LongType()),
+    T.StructField("distinct_count", T.LongType()),
+    T.StructField("avg_len", T.DoubleType()),
+    T.StructField("max_len", T.LongType()),
+])
+METADATA_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("database", T.StringType()),
+    T.StructField("schema_info", T.StructType([
+        T.StructField("columns", T.ArrayType(T.StructType([
+            T.StructField("name", T.StringType()),
+            T.StructField("data_type", T.StringType()),
+            T.StructField("nullable", T.BooleanType()),
+            T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+        ]))),
+        T.StructField("primary_keys", T.ArrayType(T.StringType())),
+    ])),
+    T.StructField("stats", T.StructType([
+        T.StructField("row_count", T.LongType()),
+        T.StructField("total_size_bytes", T.LongType()),
+        T.StructField("last_modified", T.TimestampType()),
+        T.StructField("column_stats", T.MapType(T.StringType(), COLUMN_STAT)),
+    ])),
+    T.StructField("partitions", T.ArrayType(T.StructType([
+        T.StructField("column_name", T.StringType()),
+        T.StructField("value", T.StringType()),
+        T.StructField("location", T.StringType()),
+        T.StructField("file_count", T.LongType()),
+        T.StructField("size_bytes", T.LongType()),
+    ]))),
+])
+
+
+def split_id(table_id: str) -> tuple[str, str]:
+    """Database and name of a dotted id: first part / rest, else 'default'."""
+    if "." in table_id:
+        db, name = table_id.split(".", 1)
+        return db, name
+    return "default", table_id
+
+
+def full_metadata(spark: SparkSession, df: DataFrame, table_id: str, path: str | None = None,
+                  column_stats: bool = True, distinct: str = "exact") -> DataFrame:
+    """X1 (+X2 with ``column_stats``): one nested row of METADATA_SCHEMA.
+
+    The parts are keyed by ``id`` and left-joined on it: the schema (from the
+    driver's schema object), the profile folded into a map (one entry per
+    column), file size / freshness and partitions from the listing of
+    ``path`` when given.
+    """
+    from lakelens.operators.inventory import partition_inventory, table_size
+
+    db, name = split_id(table_id)
+    cols = F.array(*[F.struct(
+        F.lit(f.name).alias("name"),
+        F.lit(canonical_class(f.dataType)).alias("data_type"),
+        F.lit(bool(f.nullable)).alias("nullable"),
+        F.create_map(F.lit("original_type"), F.lit(f.dataType.simpleString())).alias("metadata"))
+        for f in df.schema.fields])
+    pid = F.lit(table_id).alias("id")
+    base = spark.range(1).select(pid, F.lit(name).alias("name"), F.lit(db).alias("database"),
+                                 F.struct(cols.alias("columns"),
+                                          F.array().cast("array<string>").alias("primary_keys")).alias("schema_info"))
+    dist = distinct if column_stats else "none"
+    p = profile(df, table_id, distinct=dist)
+    entry = F.struct(
+        F.col("column_name"),
+        min_value_text("min").alias("min_value"), min_value_text("max").alias("max_value"),
+        "null_count", "distinct_count", "avg_len", "max_len")
+    stats = p.groupBy(F.col("table_name").alias("id")).agg(
+        F.max("row_count").alias("row_count"),
+        F.map_from_entries(F.collect_list(F.struct("column_name", entry))).alias("column_stats"))
+    if not column_stats:
+        stats = stats.withColumn("column_stats", F.create_map().cast(T.MapType(T.StringType(), COLUMN_STAT)))
+    out = base.join(stats, "id", "left")
+    if path is not None:
+        size = table_size(spark, path).select(pid, "total_size_bytes",
+                                              F.col("last_modified").cast("timestamp").alias("last_modified"))
+        parts = partition_inventory(spark, path).groupBy(pid).agg(
+            F.collect_list(F.struct("column_name", "value", "location", "file_count", "size_bytes")).alias("partitions"))
+        out = out.join(size, "id", "left").join(parts, "id", "left")
+    else:
+        out = out.select("*", F.lit(None).cast("long").alias("total_size_bytes"),
+                         F.lit(None).cast("timestamp").alias("last_modified"),
+                         F.lit(None).alias("partitions"))
+    return out.select(
+        "id", "name", "database", "schema_info",
+        F.struct("row_count", "total_size_bytes", "last_modified", "column_stats").alias("stats"),
+        F.coalesce(F.col("partitions"), F.array()).cast(METADATA_SCHEMA["partitions"].dataType).alias("partitions"),
+    )
+
+
+def to_json_record(meta: DataFrame, name: str = "content") -> DataFrame:
+    """The record as JSON text, keyed by id."""
+    return meta.select("id", F.to_json(F.struct(*[F.col(c) for c in meta.columns])).alias(name))
+
+
+def from_json_record(js: DataFrame, col_name: str = "content") -> DataFrame:
+    """JSON text back to the nested record."""
+    return js.select(F.from_json(col_name, METADATA_SCHEMA).alias("m")).select("m.*")

@@ -236,3 +236,84 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 def column_stats(df: DataFrame, column: str, distinct: str = "exact", rsd: float = DEFAULT_RSD) -> DataFrame:
     """G2/G3 for one column: min, max, null count, distinct count."""
     return profile(df, columns=[column], distinct=distinct, rsd=rsd)
+
+
+# --- F5: partial profiles per group, merged ------------------------------------------
+
+DEFAULT_LG_K = 12
+
+
+def profile_partials(df: DataFrame, group_cols: Iterable[str] = (), table_name: str = "table",
+                     lg_k: int = DEFAULT_LG_K, columns: Iterable[str] | None = None) -> DataFrame:
+    """Partial profile per group (a file, a partition, a stream batch): one
+    row per (group, column) with mergeable accumulators - counts, typed
+    min/max, length sums and an HLL sketch (binary).
+
+    Grouping aggregates combine map-side, so a group holding a third of the
+    rows still ships one partial row per task.
+    """
+    group_cols = list(group_cols)
+    fields = [(i, f) for i, f in _fields(df, list(columns) if columns is not None else None)
+              if f.name not in group_cols]
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, f in fields:
+        c, dt, lane = col(f.name), f.dataType, lane_of(f.dataType)
+        aggs.append(F.count(c).alias(f"nn{i}"))
+        if lane is not None:
+            aggs += [F.min(c).alias(f"mn{i}"), F.max(c).alias(f"mx{i}")]
+        if has_length(dt):
+            aggs += [F.sum(F.length(c)).cast("long").alias(f"sl{i}"),
+                     F.max(F.length(c)).cast("long").alias(f"ml{i}")]
+        aggs.append(F.hll_sketch_agg(sketch_input(c, dt), lg_k).alias(f"hll{i}"))
+    g = df.groupBy(*[col(c) for c in group_cols]).agg(*aggs) if group_cols else df.agg(*aggs)
+    structs = []
+    for i, f in fields:
+        lanes = _lane_values(f, i)
+        has_len = has_length(f.dataType)
+        structs.append(F.struct(
+            F.lit(table_name).cast("string").alias("table_name"),
+            F.lit(f.name).alias("column_name"),
+            F.lit(i).cast("int").alias("ordinal"),
+            F.lit(canonical_class(f.dataType)).alias("data_type"),
+            F.lit(f.dataType.simpleString()).alias("original_type"),
+            F.col("__rows").cast("long").alias("row_count"),
+            F.col(f"nn{i}").cast("long").alias("non_null"),
+            *[lanes[k].alias(k) for k in
+              ("min_int", "max_int", "min_num", "max_num", "min_str", "max_str", "min_ts", "max_ts")],
+            (F.col(f"sl{i}") if has_len else F.lit(None).cast("long")).alias("sum_len"),
+            (F.col(f"ml{i}") if has_len else F.lit(None).cast("long")).alias("max_len"),
+            F.col(f"hll{i}").alias("sketch"),
+        ))
+    keep = [col(c) for c in group_cols]
+    return g.select(*keep, F.inline(F.array(*structs)))
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Final merge of ``profile_partials`` rows into the profile schema; the
+    distinct count is the union sketch's estimate (approximate)."""
+    key = ["table_name", "column_name", "ordinal", "data_type", "original_type"]
+    m = partials.groupBy(*key).agg(
+        F.sum("row_count").cast("long").alias("row_count"),
+        F.sum("non_null").cast("long").alias("non_null"),
+        *[F.min(f"min_{ln}").alias(f"min_{ln}") for ln in ("int", "num", "str", "ts")],
+        *[F.max(f"max_{ln}").alias(f"max_{ln}") for ln in ("int", "num", "str", "ts")],
+        F.sum("sum_len").cast("long").alias("sum_len"),
+        F.max("max_len").cast("long").alias("max_len"),
+        F.hll_union_agg("sketch", True).alias("sketch"),
+    )
+    return m.select(
+        *key, "row_count",
+        (F.col("row_count") - F.col("non_null")).cast("long").alias("null_count"),
+        F.hll_sketch_estimate("sketch").cast("long").alias("distinct_count"),
+        F.lit(True).alias("distinct_is_approx"),
+        "min_int", "max_int", "min_num", "max_num", "min_str", "max_str", "min_ts", "max_ts",
+        F.round(F.col("sum_len") / F.col("non_null"), 6).alias("avg_len"),
+        "max_len",
+    ).select(*PROFILE_COLUMNS)
+
+
+def profile_by_file(df: DataFrame, table_name: str = "table", lg_k: int = DEFAULT_LG_K) -> DataFrame:
+    """F5 over files: partial per ``_metadata.file_path``, then merged."""
+    with_file = df.select("*", F.col("_metadata.file_path").alias("__file"))
+    return merge_partials(profile_partials(with_file, ["__file"], table_name, lg_k,
+                                           columns=list(df.columns)))

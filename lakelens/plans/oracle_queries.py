@@ -194,3 +194,59 @@ FROM orders GROUP BY o_orderstatus, nullif(o_orderpriority, '5-LOW')"""
 ORACLE["delta_log_stats"] = _bounds_sql("orders", "WHERE o_orderstatus IN ('F', 'O')")
 ORACLE["delta_snapshot"] = ("SELECT CAST(2 AS BIGINT) AS max_add_version, CAST(count(*) AS BIGINT) AS row_count "
                             "FROM orders WHERE o_orderstatus IN ('F', 'O')")
+
+
+# --- history, drift, metadata, partial merges ----------------------------------------
+_HIST = """h AS (SELECT event_type AS source, 'table_' || CAST(user_id AS VARCHAR) AS id,
+           CASE WHEN event_type = 'view' THEN 'discovery' ELSE 'metadata' END AS kind,
+           props AS content, ts AS last_updated, value < 2.0 AS deleted FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, kind, id
+                                  ORDER BY last_updated DESC, deleted DESC, content DESC) AS rn FROM h),
+cur AS (SELECT source, kind, id, content, last_updated FROM r WHERE rn = 1 AND NOT deleted),
+fresh AS (SELECT * FROM cur WHERE last_updated >= TIMESTAMP '2024-01-31 00:00:00' -
+          CASE WHEN kind = 'discovery' THEN INTERVAL 3600 SECOND ELSE INTERVAL 86400 SECOND END)"""
+
+ORACLE["history_latest"] = f"WITH {_HIST} SELECT * FROM cur"
+ORACLE["history_fresh"] = f"WITH {_HIST} SELECT * FROM fresh"
+ORACLE["history_stale"] = f"""WITH {_HIST}
+SELECT DISTINCT event_type AS source, 'table_' || CAST(user_id AS VARCHAR) AS id FROM events e
+WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.kind = 'metadata' AND f.source = e.event_type
+                  AND f.id = 'table_' || CAST(e.user_id AS VARCHAR))"""
+
+_P1 = profile_select("orders", "(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01 00:00:00') AS o",
+                     TABLE_SCHEMAS["orders"])
+_P2 = table_profile_sql("orders")
+
+
+def _chg(b: str) -> str:
+    e = " OR ".join(f"{b}_{ln} IS DISTINCT FROM lag({b}_{ln}) OVER w" for ln in ("int", "num", "str", "ts"))
+    return f"CASE WHEN lag(run_id) OVER w IS NULL THEN NULL ELSE ({e}) END AS {b}_changed"
+
+
+ORACLE["profile_drift"] = f"""WITH runs AS (
+  SELECT 1 AS run_id, * FROM ({_P1}) UNION ALL SELECT 2 AS run_id, * FROM ({_P2}))
+SELECT table_name, column_name, run_id, row_count, lag(row_count) OVER w AS prev_row_count,
+       null_count, lag(null_count) OVER w AS prev_null_count,
+       distinct_count, lag(distinct_count) OVER w AS prev_distinct_count,
+       {_chg('min')}, {_chg('max')}
+FROM runs WINDOW w AS (PARTITION BY table_name, column_name ORDER BY run_id)"""
+
+
+def _meta_sql() -> str:
+    parts = []
+    cls = {"int": "integer", "bigint": "integer", "string": "string", "double": "float",
+           "timestamp_ntz": "timestamp"}
+    for c, typ in TABLE_SCHEMAS["orders"]:
+        parts.append(
+            f"SELECT 'tpch.orders' AS id, 'orders' AS name, 'tpch' AS database, "
+            f"CAST(count(*) AS BIGINT) AS row_count, {lit(c)} AS column_name, {lit(cls[typ])} AS data_type, "
+            f"CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
+            f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count, "
+            f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["full_metadata_json"] = _meta_sql()
+ORACLE["profile_merge_partials"] = profile_select("orders", "orders", TABLE_SCHEMAS["orders"],
+                                                  with_distinct_cols=False)
+ORACLE["profile_by_file"] = ORACLE["profile_merge_partials"]

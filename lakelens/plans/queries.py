@@ -247,3 +247,97 @@ QUERIES.update({
     "delta_log_stats": delta_log_stats,
     "delta_snapshot": delta_snapshot,
 })
+
+
+# --- history, drift, metadata, partial merges (C1-C8, X1-X4, F5, A8/A9) -------------
+import datetime as _dt  # noqa: E402
+
+from lakelens.operators import history as H  # noqa: E402
+from lakelens.operators import metadata as MD  # noqa: E402
+
+HISTORY_AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)
+
+
+def events_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History rows derived from events: one saved entry per event.
+    source = event_type, id = 'table_<user_id>', kind = discovery for
+    'view' events else metadata, content = props, tombstone when value < 2."""
+    e = read_table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_type").alias("source"),
+        F.concat(F.lit("table_"), F.col("user_id").cast("string")).alias("id"),
+        F.when(F.col("event_type") == "view", "discovery").otherwise("metadata").alias("kind"),
+        F.col("props").alias("content"),
+        F.col("ts").alias("last_updated"),
+        (F.col("value") < 2.0).alias("deleted"),
+        F.lit(True).alias("has_column_stats"))
+
+
+def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.current(events_history(spark, sf_dir)).select("source", "kind", "id", "content", "last_updated")
+
+
+def history_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cur = H.current(events_history(spark, sf_dir))
+    return H.fresh(cur, HISTORY_AS_OF).select("source", "kind", "id", "content", "last_updated")
+
+
+def history_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """catalog = every (event_type, user) pair seen in events."""
+    catalog = read_table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("source"),
+        F.concat(F.lit("table_"), F.col("user_id").cast("string")).alias("id"))
+    cur = H.current(events_history(spark, sf_dir))
+    return H.stale(catalog, cur, HISTORY_AS_OF, kind="metadata")
+
+
+def profile_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    r1 = P.profile(o.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")), "orders")
+    r2 = P.profile(o, "orders")
+    runs = r1.withColumn("run_id", F.lit(1)).unionByName(r2.withColumn("run_id", F.lit(2)))
+    return H.profile_drift(runs)
+
+
+def full_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1+X2 for orders, to JSON (X4) and back; fields read from the parsed record."""
+    meta = MD.full_metadata(spark, read_table(spark, sf_dir, "orders"), "tpch.orders")
+    back = MD.from_json_record(MD.to_json_record(meta))
+    cols = back.select("id", "name", "database", F.col("stats.row_count").alias("row_count"),
+                       F.explode("schema_info.columns").alias("c"), "stats.column_stats")
+    return cols.select(
+        "id", "name", "database", "row_count",
+        F.col("c.name").alias("column_name"), F.col("c.data_type").alias("data_type"),
+        F.col("column_stats")[F.col("c.name")].getField("null_count").alias("null_count"),
+        F.col("column_stats")[F.col("c.name")].getField("distinct_count").alias("distinct_count"),
+        F.col("column_stats")[F.col("c.name")].getField("min_value").alias("min_value"),
+        F.col("column_stats")[F.col("c.name")].getField("max_value").alias("max_value"))
+
+
+_NO_DISTINCT = [c for c in P.PROFILE_COLUMNS if c not in ("distinct_count", "distinct_is_approx")]
+
+
+def profile_merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """partials per o_orderstatus merged equal the whole-table profile
+    (distinct is a sketch estimate and left out of the comparison)."""
+    o = read_table(spark, sf_dir, "orders")
+    parts = P.profile_partials(o.withColumn("__grp", F.col("o_orderstatus")), ["__grp"], "orders",
+                               columns=o.columns)
+    return P.merge_partials(parts).select(*_NO_DISTINCT)
+
+
+def profile_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 over the files of the six-file copy of orders."""
+    df = spark.read.parquet(FX.multi_file_orders(spark, sf_dir))
+    return P.profile_by_file(df, "orders").select(*_NO_DISTINCT)
+
+
+QUERIES.update({
+    "history_latest": history_latest,
+    "history_fresh": history_fresh,
+    "history_stale": history_stale,
+    "profile_drift": profile_drift,
+    "full_metadata_json": full_metadata_json,
+    "profile_merge_partials": profile_merge_partials,
+    "profile_by_file": profile_by_file,
+})
