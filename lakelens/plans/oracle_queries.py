@@ -250,3 +250,14 @@ ORACLE["full_metadata_json"] = _meta_sql()
 ORACLE["profile_merge_partials"] = profile_select("orders", "orders", TABLE_SCHEMAS["orders"],
                                                   with_distinct_cols=False)
 ORACLE["profile_by_file"] = ORACLE["profile_merge_partials"]
+
+
+# --- sinks, streams, ladders ---------------------------------------------------------
+ORACLE["export_register_roundtrip"] = "\nUNION ALL\n".join(
+    f"SELECT {lit(t)} AS table_name, CAST(count(*) AS BIGINT) AS row_count, CAST(sum({k}) AS BIGINT) AS key_sum FROM {t}"
+    for t, k in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("orders", "o_orderkey"),
+                 ("lineitem", "l_orderkey")))
+ORACLE["stream_profile"] = profile_select("events", "events", TABLE_SCHEMAS["events"], with_distinct_cols=False)
+ORACLE["row_count_ladder_footers"] = "SELECT CAST(count(*) AS BIGINT) AS row_count, 'footer' AS source FROM orders"
+ORACLE["lake_databases"] = ("SELECT * FROM (VALUES ('raw'), ('tpch')) AS t(name) "
+                            "WHERE (SELECT count(*) FROM events) > 0")

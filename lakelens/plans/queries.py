@@ -341,3 +341,56 @@ QUERIES.update({
     "profile_merge_partials": profile_merge_partials,
     "profile_by_file": profile_by_file,
 })
+
+
+# --- sinks, streams, ladders (A8, A9, W1, G8, B1) --------------------------------
+from lakelens.operators.catalog_stats import row_count_ladder  # noqa: E402
+from lakelens.session import scratch_dir  # noqa: E402
+from lakelens.sources.readers import export_tables, register_directory  # noqa: E402
+from lakelens.streaming.incremental import incremental_profile  # noqa: E402
+
+_ROUNDTRIP_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "orders": "o_orderkey",
+                   "lineitem": "l_orderkey"}
+
+
+def export_register_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 export each table to its own directory, A9 register the directory
+    tree as views, read back: count and key sum per table."""
+    out = scratch_dir(spark, "export")
+    export_tables(read_tables(spark, sf_dir, _ROUNDTRIP_KEYS), out)
+    views = register_directory(spark, out, prefix="rt_")
+    res = None
+    for v in views:
+        t = v[len("rt_"):]
+        r = spark.table(v).agg(F.count(F.lit(1)).cast("long").alias("row_count"),
+                               F.sum(_ROUNDTRIP_KEYS[t]).cast("long").alias("key_sum")) \
+                 .select(F.lit(t).alias("table_name"), "row_count", "key_sum")
+        res = r if res is None else res.unionByName(r)
+    return res
+
+
+def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arriving as six files, two per micro-batch; the merged
+    partials equal the batch profile (distinct left out: a sketch)."""
+    src = FX.stream_events(spark, sf_dir)
+    state = scratch_dir(spark, "stream-state")
+    return incremental_profile(spark, src, state, table_name="events",
+                               max_files_per_trigger=2).select(*_NO_DISTINCT)
+
+
+def row_count_ladder_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8 for a path table without catalog statistics: footers answer."""
+    return row_count_ladder(spark, path=FX.multi_file_orders(spark, sf_dir))
+
+
+def lake_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 for a lake root: top-level directories holding files."""
+    return INV.list_lake_databases(spark, FX.lake(spark, sf_dir))
+
+
+QUERIES.update({
+    "export_register_roundtrip": export_register_roundtrip,
+    "stream_profile": stream_profile,
+    "row_count_ladder_footers": row_count_ladder_footers,
+    "lake_databases": lake_databases,
+})

@@ -94,14 +94,16 @@ def export_tables(tables: Mapping[str, DataFrame], out_dir: str,
     return paths
 
 
-def register_directory(spark: SparkSession, base: str, names: Iterable[str] | None = None) -> list[str]:
+def register_directory(spark: SparkSession, base: str, names: Iterable[str] | None = None,
+                       prefix: str = "") -> list[str]:
     """Every child directory of ``base`` becomes a temp view named
-    after it.  Child names come from a listing job (file paths only)."""
+    ``prefix + child``.  Child names come from a listing job (paths only)."""
     if names is None:
         from lakelens.operators.inventory import list_table_dirs
         names = list_table_dirs(spark, base)
     registered = []
     for name in names:
-        spark.read.parquet(f"{base.rstrip('/')}/{name}").createOrReplaceTempView(name)
-        registered.append(name)
+        view = prefix + name
+        spark.read.parquet(f"{base.rstrip('/')}/{name}").createOrReplaceTempView(view)
+        registered.append(view)
     return registered
