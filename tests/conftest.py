@@ -39,3 +39,21 @@ def spark():
     s = make_spark()
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def scratch():
+    """A fresh directory per test run for generated inputs."""
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+@pytest.fixture(scope="session")
+def users(spark):
+    """The reference's three-row users table: one NULL age."""
+    return spark.createDataFrame(
+        [(1, "Alice", 30), (2, "Bob", 25), (3, "Charlie", None)],
+        "id int, name string, age int")
+
+
+def by_col(df):
+    return {r["column_name"]: r for r in df.collect()}
