@@ -73,14 +73,24 @@ def _orderable(dt: T.DataType) -> bool:
 
 
 def sketch_input(c: Column, dt: T.DataType) -> Column:
-    """HLL sketches accept int, bigint, string and binary only."""
+    """HLL sketches accept int, bigint, string and binary only; other types
+    enter as their 64-bit hash (collisions are negligible next to the
+    sketch's own error).  Floats are normalized first (-0.0 = 0.0)."""
     if isinstance(dt, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)):
         return c
     if isinstance(dt, (T.ByteType, T.ShortType)):
         return c.cast("int")
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        c = F.when(c == 0, F.lit(0.0).cast(dt)).otherwise(c)
     if isinstance(dt, T.MapType):
-        return F.to_json(c)
-    return c.cast("string")
+        c = F.to_json(c)
+    return F.when(c.isNotNull(), F.xxhash64(c))
+
+
+def lg_k_for(rsd: float) -> int:
+    """HLL register count for a relative standard error: 1.04 / sqrt(2^k)."""
+    import math
+    return int(min(21, max(4, math.ceil(math.log2((1.04 / rsd) ** 2)))))
 
 
 def _null(lane: str) -> Column:
@@ -98,7 +108,13 @@ def _fields(df: DataFrame, columns: Iterable[str] | None) -> list[tuple[int, T.S
     return [by_name[c] for c in columns]
 
 
-def _cheap_aggs(fields, distinct: str, rsd: float) -> list[Column]:
+def _approx_distinct(c: Column, dt: T.DataType, rsd: float, impl: str) -> Column:
+    if impl == "hllpp":
+        return F.approx_count_distinct(distinct_input(c, dt), rsd)
+    return F.hll_sketch_estimate(F.hll_sketch_agg(sketch_input(c, dt), lg_k_for(rsd)))
+
+
+def _cheap_aggs(fields, distinct: str, rsd: float, impl: str = "sketch") -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in fields:
         c, dt, lane = col(f.name), f.dataType, lane_of(f.dataType)
@@ -110,7 +126,7 @@ def _cheap_aggs(fields, distinct: str, rsd: float) -> list[Column]:
             aggs.append(F.avg(F.length(c)).alias(f"al{i}"))
             aggs.append(F.max(F.length(c)).cast("long").alias(f"ml{i}"))
         if distinct == "approx":
-            aggs.append(F.approx_count_distinct(distinct_input(c, dt), rsd).alias(f"d{i}"))
+            aggs.append(_approx_distinct(c, dt, rsd, impl).alias(f"d{i}"))
     return aggs
 
 
@@ -130,8 +146,9 @@ def _lane_values(f: T.StructField, i: int) -> dict[str, Column]:
     return out
 
 
-def _cheap_rows(df: DataFrame, fields, table_name: str, distinct: str, rsd: float) -> DataFrame:
-    wide = df.agg(*_cheap_aggs(fields, distinct, rsd))
+def _cheap_rows(df: DataFrame, fields, table_name: str, distinct: str, rsd: float,
+                impl: str = "sketch") -> DataFrame:
+    wide = df.agg(*_cheap_aggs(fields, distinct, rsd, impl))
     structs = []
     for i, f in fields:
         lanes = _lane_values(f, i)
@@ -182,21 +199,26 @@ def profile(
     rsd: float = DEFAULT_RSD,
     columns: Iterable[str] | None = None,
     batch_size: int = DEFAULT_BATCH,
+    approx_impl: str = "sketch",
 ) -> DataFrame:
     """One row per column with the fixed profile schema.
 
     ``distinct``: "exact" (second aggregate per column batch), "approx"
-    (HLL++ in the cheap aggregate, ``rsd`` relative error) or "none".
+    (in the cheap aggregate, ``rsd`` relative error) or "none".
+    ``approx_impl``: "sketch" (DataSketches HLL, fast and mergeable) or
+    "hllpp" (Spark's HyperLogLog++ ``approx_count_distinct``).
     """
     if distinct not in ("exact", "approx", "none"):
         raise ValueError("distinct must be 'exact', 'approx' or 'none'")
+    if approx_impl not in ("sketch", "hllpp"):
+        raise ValueError("approx_impl must be 'sketch' or 'hllpp'")
     fields = _fields(df, list(columns) if columns is not None else None)
     if not fields:
         raise ValueError("profile needs at least one column")
     parts = []
     for start in range(0, len(fields), batch_size):
         batch = fields[start:start + batch_size]
-        cheap = _cheap_rows(df, batch, table_name, distinct, rsd)
+        cheap = _cheap_rows(df, batch, table_name, distinct, rsd, approx_impl)
         if distinct == "exact":
             # bounded: one row per column of the batch
             exact = F.broadcast(exact_distinct_counts(df, batch))
@@ -233,9 +255,10 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def column_stats(df: DataFrame, column: str, distinct: str = "exact", rsd: float = DEFAULT_RSD) -> DataFrame:
+def column_stats(df: DataFrame, column: str, distinct: str = "exact", rsd: float = DEFAULT_RSD,
+                 approx_impl: str = "sketch") -> DataFrame:
     """G2/G3 for one column: min, max, null count, distinct count."""
-    return profile(df, columns=[column], distinct=distinct, rsd=rsd)
+    return profile(df, columns=[column], distinct=distinct, rsd=rsd, approx_impl=approx_impl)
 
 
 # --- F5: partial profiles per group, merged ------------------------------------------
