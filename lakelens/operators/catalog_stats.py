@@ -71,3 +71,17 @@ def row_count_ladder(spark: SparkSession, table_id: str | None = None, path: str
         raise ValueError("row_count_ladder needs a table id or a path")
     return spark.table(table_id).agg(F.count(F.lit(1)).cast("long").alias("row_count")) \
         .select("row_count", F.lit("scan").alias("source"))
+
+
+def catalog_stats_like(spark: SparkSession, database: str, pattern: str) -> DataFrame:
+    """(table_name, size_bytes, row_count) for catalog tables whose name
+    matches a SQL LIKE pattern; tables without statistics give NULLs and an
+    empty match gives no rows (not a fake 0)."""
+    names = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(database)
+                                   if not t.isTemporary], "table_name string")
+    hits = [r.table_name for r in names.where(F.col("table_name").like(pattern)).collect()]
+    out = spark.createDataFrame([], "table_name string, size_bytes long, row_count long")
+    for t in hits:
+        out = out.unionByName(catalog_table_stats(spark, f"{database}.{t}")
+                              .select(F.lit(t).alias("table_name"), "size_bytes", "row_count"))
+    return out

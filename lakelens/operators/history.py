@@ -161,3 +161,14 @@ def profile_drift(runs: DataFrame, run_col: str = "run_id") -> DataFrame:
         "null_count", F.lag("null_count").over(w).alias("prev_null_count"),
         "distinct_count", F.lag("distinct_count").over(w).alias("prev_distinct_count"),
         changed("min").alias("min_changed"), changed("max").alias("max_changed"))
+
+
+def discovery_rows(listing: DataFrame, source: str, key: str,
+                   last_updated: dt.datetime | None = None) -> DataFrame:
+    """A discovery result (e.g. ``list_tables``) saved as ONE history row
+    keyed by ``key`` with the JSON list as content.  The list is bounded by
+    the number of objects in one database."""
+    content = F.to_json(F.collect_list(F.struct(*[F.col(c) for c in listing.columns])))
+    one = listing.groupBy().agg(content.alias("content"))
+    return history_rows(one, F.lit(source), F.lit(key), F.col("content"), kind="discovery",
+                        last_updated=last_updated)

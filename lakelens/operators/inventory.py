@@ -171,3 +171,31 @@ PARTITION_INFO_SCHEMA = T.StructType([
     T.StructField("file_count", T.LongType()),
     T.StructField("size_bytes", T.LongType()),
 ])
+
+
+def list_all_tables(spark: SparkSession, databases: list[str] | None = None) -> DataFrame:
+    """Names only, flattened to ``database.table`` over the given (or
+    all) databases; databases that fail to list are skipped."""
+    if databases is None:
+        databases = [d.name for d in spark.catalog.listDatabases()]
+    rows = []
+    for db in databases:
+        try:
+            rows.extend((f"{db}.{t.name}", "unknown") for t in spark.catalog.listTables(db)
+                        if not t.isTemporary)
+        except Exception:  # noqa: BLE001 - the reference skips schemas that error
+            continue
+    return spark.createDataFrame(rows, "name string, type string").orderBy("name")
+
+
+def list_directories(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Directories below ``path`` that contain files: the direct
+    children (default) or every level (``recursive``)."""
+    root = qualify(spark, path)
+    segs = dir_segments(relative_path("path", root))
+    files = list_files(spark, path).select(segs.alias("segs")).where(F.size("segs") > 0)
+    if not recursive:
+        return files.select(F.col("segs")[0].alias("name")).distinct().orderBy("name")
+    ex = files.select(F.posexplode("segs").alias("pos", "seg"), "segs")
+    return (ex.select(F.array_join(F.slice("segs", 1, F.col("pos") + 1), "/").alias("name"))
+              .distinct().orderBy("name"))
