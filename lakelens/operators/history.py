@@ -6,9 +6,11 @@ Here the history is an append-only table (Parquet, partitioned by
 current state is derived:
 
 * current  - latest row per (source, kind, id); a tombstone hides the id.
-             ``max_by`` over an orderable struct is a hash aggregate with a
-             map-side combine, so one id with a third of all rows costs one
-             partial row per task, and no sort is needed.
+             ``max_by`` over an orderable struct is an aggregate with a
+             map-side partial step (sort-based, as the buffer is a struct):
+             one id with a third of all rows is reduced to one partial row
+             per task before the shuffle, unlike a ``row_number`` window
+             that would ship and sort every history row.
 * fresh    - current rows with ``as_of - last_updated <= ttl`` (a row exactly
              ``ttl`` old is still fresh; one microsecond older is stale).
 * stale    - catalog entries with no fresh row (left anti join).

@@ -29,6 +29,8 @@ from lakelens.functions.types import canonical_class
 from lakelens.model import LANE_TYPES, PROFILE_COLUMNS
 
 DEFAULT_BATCH = 32
+# Largest side we hint for broadcast when its row count is known up front.
+BROADCAST_MAX_ROWS = 100_000
 DEFAULT_RSD = 0.01
 
 
@@ -220,8 +222,10 @@ def profile(
         batch = fields[start:start + batch_size]
         cheap = _cheap_rows(df, batch, table_name, distinct, rsd, approx_impl)
         if distinct == "exact":
-            # bounded: one row per column of the batch
-            exact = F.broadcast(exact_distinct_counts(df, batch))
+            exact = exact_distinct_counts(df, batch)
+            if len(batch) <= BROADCAST_MAX_ROWS:
+                # size proven on the driver: one row per column of the batch
+                exact = F.broadcast(exact)
             cheap = (cheap.drop("distinct_count", "distinct_is_approx")
                      .join(exact, "ordinal")
                      .withColumn("distinct_is_approx", F.lit(False)))

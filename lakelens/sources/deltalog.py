@@ -2,7 +2,7 @@
 
 The log's JSON commits are read with an explicit action schema, the version
 comes from the commit file name, the latest action per file path wins
-(``max_by`` over the version: a hash aggregate, no sort), and the add
+(``max_by`` over the version, reduced map-side before the shuffle), and the add
 actions' ``stats`` JSON is parsed with a schema derived from the table's
 own ``metaData.schemaString``.  A Parquet checkpoint, when present, is read
 as the base and only newer JSON commits are replayed on top.
@@ -65,7 +65,7 @@ def log_actions(spark: SparkSession, table_path: str) -> DataFrame:
     if cp is None:
         return commits
     base = (spark.read.schema(ACTION_SCHEMA)
-            .parquet(f"{_log_dir(table_path)}/{cp:020d}.checkpoint.parquet")
+            .parquet(f"{_log_dir(table_path)}/{cp:020d}.checkpoint*.parquet")  # single or multi-part
             .withColumn("version", F.lit(cp).cast("long")))
     return base.unionByName(commits.where(F.col("version") > cp))
 
