@@ -181,17 +181,67 @@ def _cheap_rows(df: DataFrame, fields, table_name: str, distinct: str, rsd: floa
     return wide.select(F.inline(F.array(*structs)))
 
 
+# Key lanes of the exact-distinct unpivot: every atomic type maps injectively
+# into one of them, so (gid, lanes) equality is value equality.
+_KEY_LANES = {"k_long": T.LongType(), "k_double": T.DoubleType(), "k_str": T.StringType(),
+              "k_ts": T.TimestampNTZType(), "k_bin": T.BinaryType()}
+
+
+def _key_lane(c: Column, dt: T.DataType) -> tuple[str, Column] | None:
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return "k_long", c.cast("long")
+    if isinstance(dt, T.TimestampType):
+        return "k_long", F.unix_micros(c)          # instants, no DST folding
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "k_double", c.cast("double")        # grouping normalizes NaN and -0.0
+    if isinstance(dt, (T.StringType, T.CharType, T.VarcharType, T.DecimalType)):
+        return "k_str", c.cast("string")           # decimals print at their fixed scale
+    if isinstance(dt, (T.TimestampNTZType, T.DateType)):
+        return "k_ts", c.cast("timestamp_ntz")
+    if isinstance(dt, T.BinaryType):
+        return "k_bin", c
+    return None
+
+
 def exact_distinct_counts(df: DataFrame, fields) -> DataFrame:
-    """(ordinal, distinct_count) for the given fields, one aggregate."""
-    wide = df.agg(*[
-        F.count_distinct(distinct_input(col(f.name), f.dataType)).alias(f"d{i}")
-        for i, f in fields
-    ])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(i).cast("int").alias("ordinal"),
-                 F.col(f"d{i}").cast("long").alias("distinct_count"))
-        for i, f in fields
-    ])))
+    """(ordinal, distinct_count) for the given fields; a column with no
+    non-NULL value may be absent (its count is 0).
+
+    Atomic columns are unpivoted into narrow rows (gid + one key lane per
+    type), de-duplicated (map-side first) and counted per gid: linear in the
+    number of columns per input row, where Catalyst's Expand for several
+    ``count(DISTINCT)`` is quadratic (every copy carries every column).
+    Nested columns use ``count(DISTINCT)``.
+    """
+    atomic, nested = [], []
+    for i, f in fields:
+        (atomic if _key_lane(col(f.name), f.dataType) is not None else nested).append((i, f))
+    parts = []
+    if atomic:
+        structs = []
+        for i, f in atomic:
+            lane, v = _key_lane(col(f.name), f.dataType)
+            structs.append(F.struct(
+                F.lit(i).cast("int").alias("ordinal"),
+                *[(v if k == lane else F.lit(None).cast(t)).alias(k) for k, t in _KEY_LANES.items()]))
+        rows = df.select(F.inline(F.array(*structs)))
+        nonnull = None
+        for k in _KEY_LANES:
+            nonnull = F.col(k).isNotNull() if nonnull is None else (nonnull | F.col(k).isNotNull())
+        distinct = rows.where(nonnull).distinct()
+        # a column without any non-NULL value has no row here (count 0)
+        parts.append(distinct.groupBy("ordinal").agg(
+            F.count(F.lit(1)).cast("long").alias("distinct_count")))
+    if nested:
+        wide = df.agg(*[
+            F.count_distinct(distinct_input(col(f.name), f.dataType)).alias(f"d{i}") for i, f in nested])
+        parts.append(wide.select(F.inline(F.array(*[
+            F.struct(F.lit(i).cast("int").alias("ordinal"),
+                     F.col(f"d{i}").cast("long").alias("distinct_count")) for i, f in nested]))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def profile(
@@ -227,7 +277,8 @@ def profile(
                 # size proven on the driver: one row per column of the batch
                 exact = F.broadcast(exact)
             cheap = (cheap.drop("distinct_count", "distinct_is_approx")
-                     .join(exact, "ordinal")
+                     .join(exact, "ordinal", "left")
+                     .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long")))
                      .withColumn("distinct_is_approx", F.lit(False)))
         parts.append(cheap.select(*PROFILE_COLUMNS))
     out = parts[0]
