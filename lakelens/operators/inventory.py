@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakelens.functions.paths import dir_segments, unescape_partition_value
-from lakelens.sources.footers import footer_chunks
+from lakelens.sources.footers import footer_chunks  # noqa: F401
+from lakelens.sources.listing import list_files  # noqa: F401
 from lakelens.sources.listing import list_delta_logs, list_files, qualify, relative_path
 
 # --- catalog discovery (B1, B2) ---------------------------------------------

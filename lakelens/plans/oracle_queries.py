@@ -261,3 +261,32 @@ ORACLE["stream_profile"] = profile_select("events", "events", TABLE_SCHEMAS["eve
 ORACLE["row_count_ladder_footers"] = "SELECT CAST(count(*) AS BIGINT) AS row_count, 'footer' AS source FROM orders"
 ORACLE["lake_databases"] = ("SELECT * FROM (VALUES ('raw'), ('tpch')) AS t(name) "
                             "WHERE (SELECT count(*) FROM events) > 0")
+
+
+# --- the driver's own files and text tables ---------------------------------------
+def _given_footer_sql() -> str:
+    parts = []
+    for t in STAR_TABLES:
+        for part in _bounds_sql(t).split("\nUNION ALL\n"):
+            parts.append(part.replace("SELECT ", f"SELECT {lit(t)} AS table_name, ", 1))
+    other = ("CAST(NULL AS DOUBLE) AS min_num, CAST(NULL AS DOUBLE) AS max_num, "
+             "CAST(NULL AS VARCHAR) AS min_str, CAST(NULL AS VARCHAR) AS max_str, "
+             "CAST(NULL AS TIMESTAMP) AS min_ts, CAST(NULL AS TIMESTAMP) AS max_ts")
+    for c in ("vec_id", "label"):
+        parts.append(
+            f"SELECT 'embeddings' AS table_name, {lit(c)} AS column_name, CAST(count(*) AS BIGINT) AS row_count, "
+            f"CAST(count(*) - count({c}) AS BIGINT) AS null_count, CAST(min({c}) AS BIGINT) AS min_int, "
+            f"CAST(max({c}) AS BIGINT) AS max_int, {other} FROM embeddings")
+    parts.append(
+        "SELECT 'embeddings' AS table_name, 'embedding.list.element' AS column_name, "
+        "(SELECT CAST(count(*) AS BIGINT) FROM embeddings) AS row_count, CAST(0 AS BIGINT) AS null_count, "
+        "CAST(NULL AS BIGINT) AS min_int, CAST(NULL AS BIGINT) AS max_int, CAST(min(e) AS DOUBLE) AS min_num, "
+        "CAST(max(e) AS DOUBLE) AS max_num, CAST(NULL AS VARCHAR) AS min_str, CAST(NULL AS VARCHAR) AS max_str, "
+        "CAST(NULL AS TIMESTAMP) AS min_ts, CAST(NULL AS TIMESTAMP) AS max_ts "
+        "FROM (SELECT unnest(embedding) AS e FROM embeddings)")
+    return "\nUNION ALL BY NAME\n".join(parts)
+
+
+ORACLE["footer_stats_given_tables"] = _given_footer_sql()
+ORACLE["profile_text_tables"] = "\nUNION ALL\n".join(
+    table_profile_sql(t) for t in ["documents", "pages", "conversations", "benchmark", "labels", "embeddings"])

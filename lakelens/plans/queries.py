@@ -395,3 +395,31 @@ QUERIES.update({
     "row_count_ladder_footers": row_count_ladder_footers,
     "lake_databases": lake_databases,
 })
+
+
+# --- the driver's own files and text tables ---------------------------------------
+_FOOTER_TABLES = STAR_TABLES + ["embeddings"]
+TEXT_TABLES = ["documents", "pages", "conversations", "benchmark", "labels", "embeddings"]
+
+
+def footer_stats_given_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1/F2 over the driver's own Parquet files (another writer than
+    Spark's): per table and leaf column, from footers only."""
+    root = sf_dir.rstrip("/")
+    ch = FS.footer_chunks(spark, root, "*.parquet")
+    ch = ch.withColumn("table_name", F.regexp_extract("file_path", r"([^/]+)\.parquet$", 1))
+    ch = ch.where(F.col("table_name").isin(_FOOTER_TABLES))
+    return FS.merge_chunks(ch, ["table_name", "column_path"]).select(
+        "table_name", F.col("column_path").alias("column_name"), *_FOOTER_COLS[1:])
+
+
+def profile_text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4/G5 over whole texts (documents up to 20,000 words, raw pages) and
+    the array column of embeddings, exact distinct."""
+    return P.profile_tables(read_tables(spark, sf_dir, TEXT_TABLES))
+
+
+QUERIES.update({
+    "footer_stats_given_tables": footer_stats_given_tables,
+    "profile_text_tables": profile_text_tables,
+})
