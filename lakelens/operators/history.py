@@ -174,3 +174,35 @@ def discovery_rows(listing: DataFrame, source: str, key: str,
     one = listing.groupBy().agg(content.alias("content"))
     return history_rows(one, F.lit(source), F.lit(key), F.col("content"), kind="discovery",
                         last_updated=last_updated)
+
+
+def refresh_stale(spark: SparkSession, tables: dict, history_path: str, source: str,
+                  as_of: dt.datetime, ttl_seconds: int | None = None, column_stats: bool = True,
+                  force: bool = False) -> list[str]:
+    """C7 read-through: profile the tables whose history entry is missing or
+    stale (all of them with ``force``, the reference's refresh flag) and
+    append their nested metadata records.  ``tables`` maps table id to
+    DataFrame; the ids to refresh (a list bounded by the number of tables)
+    come back to the driver to drive one profile job per table.
+    """
+    from lakelens.operators.metadata import full_metadata, to_json_record
+
+    catalog = spark.createDataFrame([(source, t) for t in tables], "source string, id string")
+    if force:
+        todo = sorted(tables)
+    else:
+        try:
+            cur = current(read_history(spark, history_path))
+        except Exception:  # noqa: BLE001 - no history yet: everything is stale
+            cur = spark.createDataFrame([], HISTORY_SCHEMA)
+        todo = sorted(r.id for r in stale(catalog, cur, as_of, ttl_seconds).collect())
+    if not todo:
+        return []
+    records = None
+    for t in todo:
+        rec = to_json_record(full_metadata(spark, tables[t], t, column_stats=column_stats))
+        records = rec if records is None else records.unionByName(rec)
+    rows = history_rows(records, F.lit(source), "id", F.col("content"), kind="metadata",
+                        last_updated=as_of, has_column_stats=column_stats)
+    append_history(rows, history_path)
+    return todo

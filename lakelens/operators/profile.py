@@ -60,9 +60,16 @@ def has_length(dt: T.DataType) -> bool:
     return isinstance(dt, (T.StringType, T.CharType, T.VarcharType, T.BinaryType))
 
 
+def _has_variant(dt: T.DataType) -> bool:
+    return "variant" in dt.simpleString()
+
+
 def distinct_input(c: Column, dt: T.DataType) -> Column:
     """Value fed to distinct counting; maps are not groupable, so their
-    entries are counted as a key-sorted array instead."""
+    entries are counted as a key-sorted array instead; variants (not
+    comparable) by their JSON text."""
+    if _has_variant(dt):
+        return F.to_json(c)
     if isinstance(dt, T.MapType):
         return F.array_sort(F.map_entries(c)) if _orderable(dt.valueType) else F.to_json(c)
     return c
@@ -84,7 +91,7 @@ def sketch_input(c: Column, dt: T.DataType) -> Column:
         return c.cast("int")
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         c = F.when(c == 0, F.lit(0.0).cast(dt)).otherwise(c)
-    if isinstance(dt, T.MapType):
+    if isinstance(dt, T.MapType) or _has_variant(dt):
         c = F.to_json(c)
     return F.when(c.isNotNull(), F.xxhash64(c))
 

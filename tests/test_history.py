@@ -60,3 +60,20 @@ def test_append_clear_roundtrip(spark, scratch):
     assert {r.id for r in current(read_history(spark, path)).collect()} == {"b"}
     append_history(tombstones(current(read_history(spark, path)), kinds=("metadata", "discovery"), at=AS_OF), path)
     assert current(read_history(spark, path)).count() == 0
+
+
+def test_refresh_stale_read_through(spark, scratch):
+    from lakelens.operators.history import refresh_stale
+    from tests.conftest import SF001
+    path = f"{scratch}/history/refresh"
+    t = {"tpch.region": spark.read.parquet(f"{SF001}/region.parquet"),
+         "tpch.nation": spark.read.parquet(f"{SF001}/nation.parquet")}
+    assert refresh_stale(spark, t, path, "lake", AS_OF - 2 * DAY) == ["tpch.nation", "tpch.region"]
+    assert refresh_stale(spark, t, path, "lake", AS_OF - 2 * DAY + dt.timedelta(hours=1)) == []
+    assert refresh_stale(spark, t, path, "lake", AS_OF) == ["tpch.nation", "tpch.region"]
+    assert refresh_stale(spark, t, path, "lake", AS_OF, force=True) == ["tpch.nation", "tpch.region"]
+    cur = current(read_history(spark, path)).collect()
+    assert len(cur) == 2 and all(r.has_column_stats for r in cur)
+    import json
+    reg = [json.loads(r.content) for r in cur if r.id == "tpch.region"][0]
+    assert reg["stats"]["row_count"] == 5 and reg["database"] == "tpch"

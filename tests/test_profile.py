@@ -117,3 +117,14 @@ def test_one_scan_without_exact_distinct(spark):
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
     plan = profile(li, distinct="approx")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "Expand" not in plan
+
+
+def test_variant_and_interval_columns(spark):
+    df = spark.sql("""SELECT parse_json('{"a": 1}') AS v, INTERVAL '2' HOUR AS iv, 1 AS k
+                      UNION ALL SELECT parse_json('{"a": 2}'), INTERVAL '2' HOUR, 2""")
+    for mode in ("exact", "approx"):
+        p = by_col(profile(df, distinct=mode))
+        assert p["v"].data_type == "unknown" and p["iv"].data_type == "unknown"
+        assert p["k"].distinct_count == 2
+    ex = by_col(profile(df))
+    assert ex["v"].distinct_count == 2 and ex["iv"].distinct_count == 1
