@@ -191,7 +191,24 @@ def _cheap_rows(df: DataFrame, fields, table_name: str, distinct: str, rsd: floa
 # Key lanes of the exact-distinct unpivot: every atomic type maps injectively
 # into one of them, so (gid, lanes) equality is value equality.
 _KEY_LANES = {"k_long": T.LongType(), "k_double": T.DoubleType(), "k_str": T.StringType(),
-              "k_ts": T.TimestampNTZType(), "k_bin": T.BinaryType()}
+              "k_ts": T.TimestampNTZType(), "k_bin": T.BinaryType(), "k_dig": T.BinaryType()}
+# Strings/binaries longer than this many bytes are keyed by the SHA-256 of the
+# whole value (own lane, so never equal to a short value): the shuffle of an
+# exact distinct over long texts carries 32 bytes per value, not the text.
+DIGEST_OVER_BYTES = 32
+
+
+def _key_lanes(c: Column, dt: T.DataType, digest_over: int | None) -> dict[str, Column] | None:
+    """Lane values of one column: one lane, or short value / digest pair."""
+    one = _key_lane(c, dt)
+    if one is None:
+        return None
+    lane, v = one
+    if digest_over is None or lane not in ("k_str", "k_bin") or isinstance(dt, T.DecimalType):
+        return {lane: v}
+    size = F.octet_length(v)
+    return {lane: F.when(size <= digest_over, v),
+            "k_dig": F.when(size > digest_over, F.unhex(F.sha2(v, 256)))}
 
 
 def _key_lane(c: Column, dt: T.DataType) -> tuple[str, Column] | None:
@@ -210,7 +227,7 @@ def _key_lane(c: Column, dt: T.DataType) -> tuple[str, Column] | None:
     return None
 
 
-def exact_distinct_counts(df: DataFrame, fields) -> DataFrame:
+def exact_distinct_counts(df: DataFrame, fields, digest_over: int | None = DIGEST_OVER_BYTES) -> DataFrame:
     """(ordinal, distinct_count) for the given fields; a column with no
     non-NULL value may be absent (its count is 0).
 
@@ -218,7 +235,9 @@ def exact_distinct_counts(df: DataFrame, fields) -> DataFrame:
     type), de-duplicated (map-side first) and counted per gid: linear in the
     number of columns per input row, where Catalyst's Expand for several
     ``count(DISTINCT)`` is quadratic (every copy carries every column).
-    Nested columns use ``count(DISTINCT)``.
+    Long strings and binaries are keyed by the SHA-256 of the whole value
+    (``digest_over`` bytes; None keeps raw values), so the count is exact up
+    to SHA-256 collisions.  Nested columns use ``count(DISTINCT)``.
     """
     atomic, nested = [], []
     for i, f in fields:
@@ -227,10 +246,10 @@ def exact_distinct_counts(df: DataFrame, fields) -> DataFrame:
     if atomic:
         structs = []
         for i, f in atomic:
-            lane, v = _key_lane(col(f.name), f.dataType)
+            vals = _key_lanes(col(f.name), f.dataType, digest_over)
             structs.append(F.struct(
                 F.lit(i).cast("int").alias("ordinal"),
-                *[(v if k == lane else F.lit(None).cast(t)).alias(k) for k, t in _KEY_LANES.items()]))
+                *[vals.get(k, F.lit(None).cast(t)).alias(k) for k, t in _KEY_LANES.items()]))
         rows = df.select(F.inline(F.array(*structs)))
         nonnull = None
         for k in _KEY_LANES:
