@@ -128,3 +128,13 @@ def test_variant_and_interval_columns(spark):
         assert p["k"].distinct_count == 2
     ex = by_col(profile(df))
     assert ex["v"].distinct_count == 2 and ex["iv"].distinct_count == 1
+
+
+def test_digest_keys_equal_raw_values(spark):
+    from lakelens.operators.profile import _fields, exact_distinct_counts
+    df = spark.read.parquet(f"{SF001}/documents.parquet").unionByName(
+        spark.read.parquet(f"{SF001}/documents.parquet").limit(50))
+    f = _fields(df, None)
+    raw = sorted(tuple(r) for r in exact_distinct_counts(df, f, None).collect())
+    for d in (0, 32, 1000):
+        assert sorted(tuple(r) for r in exact_distinct_counts(df, f, d).collect()) == raw
