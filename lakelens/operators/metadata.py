@@ -105,50 +105,63 @@ def full_metadata(spark: SparkSession, df: DataFrame, table_id: str, path: str |
                   column_stats: bool = True, distinct: str = "exact") -> DataFrame:
     """X1 (+X2 with ``column_stats``): one nested row of METADATA_SCHEMA.
 
-    The parts are keyed by ``id`` and left-joined on it: the schema (from the
-    driver's schema object), the profile folded into a map (one entry per
-    column), file size / freshness and partitions from the listing of
-    ``path`` when given.
+    The parts - profile rows, the size/freshness row of the listing of
+    ``path`` and its partition rows - are stacked as tagged rows and folded
+    by ONE aggregate keyed by the table id (conditional aggregates pick each
+    part), so no join is needed.  The schema comes from the driver's schema
+    object; the column-stats map has one entry per column.
     """
     from lakelens.operators.inventory import partition_inventory, table_size
 
     db, name = split_id(table_id)
+    stat_t = COLUMN_STAT
+    part_t = METADATA_SCHEMA["partitions"].dataType.elementType
+    dist = distinct if column_stats else "none"
+    p = profile(df, table_id, distinct=dist)
+    stat_entry = F.struct(
+        F.col("column_name"),
+        min_value_text("min").alias("min_value"), min_value_text("max").alias("max_value"),
+        "null_count", "distinct_count", "avg_len", "max_len").cast(stat_t)
+
+    def tagged(frame: DataFrame, tag: str, rows=None, stat=None, size=None, mod=None, part=None) -> DataFrame:
+        return frame.select(
+            F.lit(tag).alias("tag"),
+            (rows if rows is not None else F.lit(None).cast("long")).alias("row_count"),
+            (stat if stat is not None else F.lit(None).cast(stat_t)).alias("stat"),
+            (size if size is not None else F.lit(None).cast("long")).alias("size"),
+            (mod if mod is not None else F.lit(None).cast("timestamp")).alias("modified"),
+            (part if part is not None else F.lit(None).cast(part_t)).alias("part"))
+
+    parts = tagged(p, "stat", rows=F.col("row_count"), stat=stat_entry)
+    if path is not None:
+        sz = table_size(spark, path)
+        parts = parts.unionByName(tagged(sz, "size", size=F.col("total_size_bytes"),
+                                         mod=F.col("last_modified").cast("timestamp")))
+        pi = partition_inventory(spark, path)
+        parts = parts.unionByName(tagged(pi, "partition", part=F.struct(
+            "column_name", "value", "location", "file_count", "size_bytes").cast(part_t)))
+    folded = parts.agg(
+        F.max("row_count").alias("row_count"),
+        F.map_from_entries(F.collect_list(
+            F.when(F.col("tag") == "stat", F.struct(F.col("stat.column_name"), F.col("stat"))))).alias("column_stats"),
+        F.max("size").alias("total_size_bytes"),
+        F.max("modified").alias("last_modified"),
+        F.collect_list("part").alias("partitions"))
     cols = F.array(*[F.struct(
         F.lit(f.name).alias("name"),
         F.lit(canonical_class(f.dataType)).alias("data_type"),
         F.lit(bool(f.nullable)).alias("nullable"),
         F.create_map(F.lit("original_type"), F.lit(f.dataType.simpleString())).alias("metadata"))
         for f in df.schema.fields])
-    pid = F.lit(table_id).alias("id")
-    base = spark.range(1).select(pid, F.lit(name).alias("name"), F.lit(db).alias("database"),
-                                 F.struct(cols.alias("columns"),
-                                          F.array().cast("array<string>").alias("primary_keys")).alias("schema_info"))
-    dist = distinct if column_stats else "none"
-    p = profile(df, table_id, distinct=dist)
-    entry = F.struct(
-        F.col("column_name"),
-        min_value_text("min").alias("min_value"), min_value_text("max").alias("max_value"),
-        "null_count", "distinct_count", "avg_len", "max_len")
-    stats = p.groupBy(F.col("table_name").alias("id")).agg(
-        F.max("row_count").alias("row_count"),
-        F.map_from_entries(F.collect_list(F.struct("column_name", entry))).alias("column_stats"))
-    if not column_stats:
-        stats = stats.withColumn("column_stats", F.create_map().cast(T.MapType(T.StringType(), COLUMN_STAT)))
-    out = base.join(stats, "id", "left")
-    if path is not None:
-        size = table_size(spark, path).select(pid, "total_size_bytes",
-                                              F.col("last_modified").cast("timestamp").alias("last_modified"))
-        parts = partition_inventory(spark, path).groupBy(pid).agg(
-            F.collect_list(F.struct("column_name", "value", "location", "file_count", "size_bytes")).alias("partitions"))
-        out = out.join(size, "id", "left").join(parts, "id", "left")
-    else:
-        out = out.select("*", F.lit(None).cast("long").alias("total_size_bytes"),
-                         F.lit(None).cast("timestamp").alias("last_modified"),
-                         F.lit(None).alias("partitions"))
-    return out.select(
-        "id", "name", "database", "schema_info",
-        F.struct("row_count", "total_size_bytes", "last_modified", "column_stats").alias("stats"),
-        F.coalesce(F.col("partitions"), F.array()).cast(METADATA_SCHEMA["partitions"].dataType).alias("partitions"),
+    stats_map = (F.col("column_stats") if column_stats
+                 else F.create_map().cast(T.MapType(T.StringType(), stat_t)))
+    return folded.select(
+        F.lit(table_id).alias("id"), F.lit(name).alias("name"), F.lit(db).alias("database"),
+        F.struct(cols.alias("columns"),
+                 F.array().cast("array<string>").alias("primary_keys")).alias("schema_info"),
+        F.struct("row_count", "total_size_bytes", "last_modified",
+                 stats_map.alias("column_stats")).alias("stats"),
+        F.col("partitions").cast(METADATA_SCHEMA["partitions"].dataType).alias("partitions"),
     )
 
 
