@@ -6,19 +6,21 @@ Two tiers:
   (optionally) an HLL distinct estimate for every column in ONE aggregate
   over ONE scan.  Global aggregates combine map-side, so a task ships one
   partial row and a hot value cannot skew anything.
-* exact-distinct tier (opt-in) - ``count(DISTINCT c)`` for a batch of
-  columns in one aggregate.  Catalyst expands each row once per column and
-  de-duplicates (column, value) map-side before the shuffle; it is kept out
-  of the cheap aggregate so string min/max stay in a key-less aggregate and
-  never force a sort over the expanded rows.  Wide tables run in column
-  batches so each scan prunes to the batch's columns.
-
-The wide one-row results are turned into one row per column with
-``inline`` on the driver-free one-row frame.
+* exact-distinct tier (opt-in) - a narrow unpivot of (column, typed key)
+  rows, de-duplicated map-side before the shuffle and counted per column.
+  It is kept out of the cheap aggregate so string min/max stay in a
+  key-less aggregate and never force a sort over expanded rows.  Wide tables
+  run in column batches so each scan prunes to the batch's columns.
+
+Plans are written as SQL expression text (one ``selectExpr`` per step):
+a profile of N columns costs a handful of driver-to-JVM calls instead of
+one per literal, cast and alias.  The wide one-row results become one row
+per column with ``inline`` on the one-row frame.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -26,12 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakelens.functions.types import canonical_class
-from lakelens.model import LANE_TYPES, PROFILE_COLUMNS
+from lakelens.model import PROFILE_COLUMNS
 
 DEFAULT_BATCH = 32
 # Largest side we hint for broadcast when its row count is known up front.
 BROADCAST_MAX_ROWS = 100_000
 DEFAULT_RSD = 0.01
+DEFAULT_LG_K = 12
+
+LANE_SQL = {"int": "BIGINT", "num": "DOUBLE", "str": "STRING", "ts": "TIMESTAMP_NTZ"}
+LANE_COLUMNS = ("min_int", "max_int", "min_num", "max_num", "min_str", "max_str", "min_ts", "max_ts")
 
 
 def quote(name: str) -> str:
@@ -43,6 +49,13 @@ def col(name: str) -> Column:
     return F.col(quote(name))
 
 
+def sql_str(s: str | None) -> str:
+    """A SQL string literal (or NULL)."""
+    if s is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lane_of(dt: T.DataType) -> str | None:
     """Which typed lane holds min/max for a type; None = no min/max."""
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -64,10 +77,24 @@ def _has_variant(dt: T.DataType) -> bool:
     return "variant" in dt.simpleString()
 
 
-def distinct_input(c: Column, dt: T.DataType) -> Column:
+def _orderable(dt: T.DataType) -> bool:
+    return not isinstance(dt, T.MapType) and not (
+        isinstance(dt, T.ArrayType) and not _orderable(dt.elementType))
+
+
+def distinct_input_sql(q: str, dt: T.DataType) -> str:
     """Value fed to distinct counting; maps are not groupable, so their
     entries are counted as a key-sorted array instead; variants (not
     comparable) by their JSON text."""
+    if _has_variant(dt):
+        return f"to_json({q})"
+    if isinstance(dt, T.MapType):
+        return f"array_sort(map_entries({q}))" if _orderable(dt.valueType) else f"to_json({q})"
+    return q
+
+
+def distinct_input(c: Column, dt: T.DataType) -> Column:
+    """Column form of ``distinct_input_sql`` for callers holding Columns."""
     if _has_variant(dt):
         return F.to_json(c)
     if isinstance(dt, T.MapType):
@@ -75,37 +102,41 @@ def distinct_input(c: Column, dt: T.DataType) -> Column:
     return c
 
 
-def _orderable(dt: T.DataType) -> bool:
-    return not isinstance(dt, T.MapType) and not (
-        isinstance(dt, (T.ArrayType,)) and not _orderable(dt.elementType)
-    )
-
-
-def sketch_input(c: Column, dt: T.DataType) -> Column:
+def sketch_input_sql(q: str, dt: T.DataType) -> str:
     """HLL sketches accept int, bigint, string and binary only; other types
     enter as their 64-bit hash (collisions are negligible next to the
     sketch's own error).  Floats are normalized first (-0.0 = 0.0)."""
+    if isinstance(dt, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)):
+        return q
+    if isinstance(dt, (T.ByteType, T.ShortType)):
+        return f"CAST({q} AS INT)"
+    v = q
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        v = f"CASE WHEN {q} = 0 THEN CAST(0 AS {dt.simpleString().upper()}) ELSE {q} END"
+    if isinstance(dt, T.MapType) or _has_variant(dt):
+        v = f"to_json({q})"
+    return f"CASE WHEN {q} IS NOT NULL THEN xxhash64({v}) END"
+
+
+def sketch_input(c: Column, dt: T.DataType) -> Column:
+    """Column form of ``sketch_input_sql``."""
     if isinstance(dt, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)):
         return c
     if isinstance(dt, (T.ByteType, T.ShortType)):
         return c.cast("int")
+    v = c
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        c = F.when(c == 0, F.lit(0.0).cast(dt)).otherwise(c)
+        v = F.when(c == 0, F.lit(0.0).cast(dt)).otherwise(c)
     if isinstance(dt, T.MapType) or _has_variant(dt):
-        c = F.to_json(c)
-    return F.when(c.isNotNull(), F.xxhash64(c))
+        v = F.to_json(c)
+    return F.when(c.isNotNull(), F.xxhash64(v))
 
 
 def lg_k_for(rsd: float) -> int:
     """HLL register count for a relative standard error: 1.04 / sqrt(2^k)."""
-    import math
     return int(min(21, max(4, math.ceil(math.log2((1.04 / rsd) ** 2)))))
 
 
-def _null(lane: str) -> Column:
-    return F.lit(None).cast(LANE_TYPES[lane])
-
-
 def _fields(df: DataFrame, columns: Iterable[str] | None) -> list[tuple[int, T.StructField]]:
     fields = list(enumerate(df.schema.fields, start=1))
     if columns is None:
@@ -117,159 +148,162 @@ def _fields(df: DataFrame, columns: Iterable[str] | None) -> list[tuple[int, T.S
     return [by_name[c] for c in columns]
 
 
-def _approx_distinct(c: Column, dt: T.DataType, rsd: float, impl: str) -> Column:
+# --- cheap tier ------------------------------------------------------------------------
+
+
+def _approx_sql(q: str, dt: T.DataType, rsd: float, impl: str) -> str:
     if impl == "hllpp":
-        return F.approx_count_distinct(distinct_input(c, dt), rsd)
-    return F.hll_sketch_estimate(F.hll_sketch_agg(sketch_input(c, dt), lg_k_for(rsd)))
+        return f"approx_count_distinct({distinct_input_sql(q, dt)}, {rsd!r})"
+    return f"hll_sketch_estimate(hll_sketch_agg({sketch_input_sql(q, dt)}, {lg_k_for(rsd)}))"
 
 
-def _cheap_aggs(fields, distinct: str, rsd: float, impl: str = "sketch") -> list[Column]:
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+def _cheap_aggs(fields, distinct: str, rsd: float, impl: str = "sketch") -> list[str]:
+    aggs = ["count(1) AS `__rows`"]
     for i, f in fields:
-        c, dt, lane = col(f.name), f.dataType, lane_of(f.dataType)
-        aggs.append(F.count(c).alias(f"nn{i}"))
-        if lane is not None:
-            aggs.append(F.min(c).alias(f"mn{i}"))
-            aggs.append(F.max(c).alias(f"mx{i}"))
+        q, dt = quote(f.name), f.dataType
+        aggs.append(f"count({q}) AS nn{i}")
+        if lane_of(dt) is not None:
+            aggs += [f"min({q}) AS mn{i}", f"max({q}) AS mx{i}"]
         if has_length(dt):
-            aggs.append(F.avg(F.length(c)).alias(f"al{i}"))
-            aggs.append(F.max(F.length(c)).cast("long").alias(f"ml{i}"))
+            aggs += [f"avg(length({q})) AS al{i}", f"CAST(max(length({q})) AS BIGINT) AS ml{i}"]
         if distinct == "approx":
-            aggs.append(_approx_distinct(c, dt, rsd, impl).alias(f"d{i}"))
+            aggs.append(f"{_approx_sql(q, dt, rsd, impl)} AS d{i}")
     return aggs
 
 
-def _lane_values(f: T.StructField, i: int) -> dict[str, Column]:
-    """min/max typed lanes of column i from the one-row aggregate."""
-    out = {f"{b}_{ln}": _null(ln) for b in ("min", "max") for ln in LANE_TYPES}
+def _lane_sql(f: T.StructField, i: int, mn: str | None = None, mx: str | None = None) -> dict[str, str]:
+    """min/max typed lanes of column i as SQL over the aggregate's outputs."""
+    out = {c: f"CAST(NULL AS {LANE_SQL[c.split('_')[1]]})" for c in LANE_COLUMNS}
     lane = lane_of(f.dataType)
     if lane is None:
         return out
-    for b, src in (("min", f"mn{i}"), ("max", f"mx{i}")):
-        v = F.col(src)
+    for b, src in (("min", mn or f"mn{i}"), ("max", mx or f"mx{i}")):
         if isinstance(f.dataType, T.DecimalType):
-            out[f"{b}_num"] = v.cast("double")
-            out[f"{b}_str"] = v.cast("string")
+            out[f"{b}_num"] = f"CAST({src} AS DOUBLE)"
+            out[f"{b}_str"] = f"CAST({src} AS STRING)"
         else:
-            out[f"{b}_{lane}"] = v.cast(LANE_TYPES[lane])
+            out[f"{b}_{lane}"] = f"CAST({src} AS {LANE_SQL[lane]})"
     return out
 
 
+def _named_struct(pairs: list[tuple[str, str]]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in pairs) + ")"
+
+
 def _cheap_rows(df: DataFrame, fields, table_name: str, distinct: str, rsd: float,
                 impl: str = "sketch") -> DataFrame:
-    wide = df.agg(*_cheap_aggs(fields, distinct, rsd, impl))
+    wide = df.selectExpr(*_cheap_aggs(fields, distinct, rsd, impl))
     structs = []
     for i, f in fields:
-        lanes = _lane_values(f, i)
+        lanes = _lane_sql(f, i)
         if has_length(f.dataType):
-            avg_len = F.round(F.col(f"al{i}"), 6)
-            max_len = F.col(f"ml{i}")
+            avg_len, max_len = f"round(al{i}, 6)", f"ml{i}"
         else:
-            avg_len, max_len = F.lit(None).cast("double"), F.lit(None).cast("long")
+            avg_len, max_len = "CAST(NULL AS DOUBLE)", "CAST(NULL AS BIGINT)"
         if distinct == "approx":
-            dcount, approx = F.col(f"d{i}").cast("long"), F.lit(True)
+            dcount, approx = f"CAST(d{i} AS BIGINT)", "true"
         else:
-            dcount, approx = F.lit(None).cast("long"), F.lit(None).cast("boolean")
-        structs.append(F.struct(
-            F.lit(table_name).cast("string").alias("table_name"),
-            F.lit(f.name).alias("column_name"),
-            F.lit(i).cast("int").alias("ordinal"),
-            F.lit(canonical_class(f.dataType)).alias("data_type"),
-            F.lit(f.dataType.simpleString()).alias("original_type"),
-            F.col("__rows").cast("long").alias("row_count"),
-            (F.col("__rows") - F.col(f"nn{i}")).cast("long").alias("null_count"),
-            dcount.alias("distinct_count"),
-            approx.alias("distinct_is_approx"),
-            *[lanes[k].alias(k) for k in
-              ("min_int", "max_int", "min_num", "max_num", "min_str", "max_str", "min_ts", "max_ts")],
-            avg_len.alias("avg_len"),
-            max_len.alias("max_len"),
-        ))
-    return wide.select(F.inline(F.array(*structs)))
-
+            dcount, approx = "CAST(NULL AS BIGINT)", "CAST(NULL AS BOOLEAN)"
+        structs.append(_named_struct([
+            ("table_name", sql_str(table_name)),
+            ("column_name", sql_str(f.name)),
+            ("ordinal", f"CAST({i} AS INT)"),
+            ("data_type", sql_str(canonical_class(f.dataType))),
+            ("original_type", sql_str(f.dataType.simpleString())),
+            ("row_count", "CAST(`__rows` AS BIGINT)"),
+            ("null_count", f"CAST(`__rows` - nn{i} AS BIGINT)"),
+            ("distinct_count", dcount),
+            ("distinct_is_approx", approx),
+            *[(k, lanes[k]) for k in LANE_COLUMNS],
+            ("avg_len", avg_len),
+            ("max_len", max_len),
+        ]))
+    return wide.selectExpr(f"inline(array({', '.join(structs)}))")
+
+
+# --- exact-distinct tier -----------------------------------------------------------------
 
 # Key lanes of the exact-distinct unpivot: every atomic type maps injectively
-# into one of them, so (gid, lanes) equality is value equality.
-_KEY_LANES = {"k_long": T.LongType(), "k_double": T.DoubleType(), "k_str": T.StringType(),
-              "k_ts": T.TimestampNTZType(), "k_bin": T.BinaryType(), "k_dig": T.BinaryType()}
+# into one of them, so (ordinal, lanes) equality is value equality.
+KEY_LANES = {"k_long": "BIGINT", "k_double": "DOUBLE", "k_str": "STRING",
+             "k_ts": "TIMESTAMP_NTZ", "k_bin": "BINARY", "k_dig": "BINARY"}
 # Strings/binaries longer than this many bytes are keyed by the SHA-256 of the
 # whole value (own lane, so never equal to a short value): the shuffle of an
 # exact distinct over long texts carries 32 bytes per value, not the text.
 DIGEST_OVER_BYTES = 32
 
 
-def _key_lanes(c: Column, dt: T.DataType, digest_over: int | None) -> dict[str, Column] | None:
-    """Lane values of one column: one lane, or short value / digest pair."""
-    one = _key_lane(c, dt)
-    if one is None:
-        return None
-    lane, v = one
-    if digest_over is None or lane not in ("k_str", "k_bin") or isinstance(dt, T.DecimalType):
-        return {lane: v}
-    size = F.octet_length(v)
-    return {lane: F.when(size <= digest_over, v),
-            "k_dig": F.when(size > digest_over, F.unhex(F.sha2(v, 256)))}
-
-
-def _key_lane(c: Column, dt: T.DataType) -> tuple[str, Column] | None:
+def _key_lane(q: str, dt: T.DataType) -> tuple[str, str] | None:
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
-        return "k_long", c.cast("long")
+        return "k_long", f"CAST({q} AS BIGINT)"
     if isinstance(dt, T.TimestampType):
-        return "k_long", F.unix_micros(c)          # instants, no DST folding
+        return "k_long", f"unix_micros({q})"        # instants, no DST folding
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        return "k_double", c.cast("double")        # grouping normalizes NaN and -0.0
+        return "k_double", f"CAST({q} AS DOUBLE)"   # grouping normalizes NaN and -0.0
     if isinstance(dt, (T.StringType, T.CharType, T.VarcharType, T.DecimalType)):
-        return "k_str", c.cast("string")           # decimals print at their fixed scale
+        return "k_str", f"CAST({q} AS STRING)"      # decimals print at their fixed scale
     if isinstance(dt, (T.TimestampNTZType, T.DateType)):
-        return "k_ts", c.cast("timestamp_ntz")
+        return "k_ts", f"CAST({q} AS TIMESTAMP_NTZ)"
     if isinstance(dt, T.BinaryType):
-        return "k_bin", c
+        return "k_bin", q
     return None
 
 
+def _key_lanes(q: str, dt: T.DataType, digest_over: int | None) -> dict[str, str] | None:
+    """Lane values of one column: one lane, or short value / digest pair."""
+    one = _key_lane(q, dt)
+    if one is None:
+        return None
+    lane, v = one
+    if digest_over is None or lane not in ("k_str", "k_bin") or isinstance(dt, T.DecimalType):
+        return {lane: v}
+    return {lane: f"CASE WHEN octet_length({v}) <= {int(digest_over)} THEN {v} END",
+            "k_dig": f"CASE WHEN octet_length({v}) > {int(digest_over)} THEN unhex(sha2({v}, 256)) END"}
+
+
 def exact_distinct_counts(df: DataFrame, fields, digest_over: int | None = DIGEST_OVER_BYTES) -> DataFrame:
     """(ordinal, distinct_count) for the given fields; a column with no
     non-NULL value may be absent (its count is 0).
 
-    Atomic columns are unpivoted into narrow rows (gid + one key lane per
-    type), de-duplicated (map-side first) and counted per gid: linear in the
-    number of columns per input row, where Catalyst's Expand for several
-    ``count(DISTINCT)`` is quadratic (every copy carries every column).
-    Long strings and binaries are keyed by the SHA-256 of the whole value
-    (``digest_over`` bytes; None keeps raw values), so the count is exact up
-    to SHA-256 collisions.  Nested columns use ``count(DISTINCT)``.
+    Atomic columns are unpivoted into narrow rows (ordinal + one key lane
+    per type), de-duplicated (map-side first) and counted per ordinal:
+    linear in the number of columns per input row, where Catalyst's Expand
+    for several ``count(DISTINCT)`` is quadratic (every copy carries every
+    column).  Long strings and binaries are keyed by the SHA-256 of the
+    whole value (``digest_over`` bytes; None keeps raw values), so the count
+    is exact up to SHA-256 collisions.  Nested columns use
+    ``count(DISTINCT)``.
     """
     atomic, nested = [], []
     for i, f in fields:
-        (atomic if _key_lane(col(f.name), f.dataType) is not None else nested).append((i, f))
+        (atomic if _key_lane(quote(f.name), f.dataType) is not None else nested).append((i, f))
     parts = []
     if atomic:
         structs = []
         for i, f in atomic:
-            vals = _key_lanes(col(f.name), f.dataType, digest_over)
-            structs.append(F.struct(
-                F.lit(i).cast("int").alias("ordinal"),
-                *[vals.get(k, F.lit(None).cast(t)).alias(k) for k, t in _KEY_LANES.items()]))
-        rows = df.select(F.inline(F.array(*structs)))
-        nonnull = None
-        for k in _KEY_LANES:
-            nonnull = F.col(k).isNotNull() if nonnull is None else (nonnull | F.col(k).isNotNull())
+            vals = _key_lanes(quote(f.name), f.dataType, digest_over)
+            structs.append(_named_struct(
+                [("ordinal", f"CAST({i} AS INT)")]
+                + [(k, vals.get(k, f"CAST(NULL AS {t})")) for k, t in KEY_LANES.items()]))
+        rows = df.selectExpr(f"inline(array({', '.join(structs)}))")
+        nonnull = " OR ".join(f"{k} IS NOT NULL" for k in KEY_LANES)
         distinct = rows.where(nonnull).distinct()
-        # a column without any non-NULL value has no row here (count 0)
-        parts.append(distinct.groupBy("ordinal").agg(
-            F.count(F.lit(1)).cast("long").alias("distinct_count")))
+        parts.append(distinct.groupBy("ordinal").agg(F.count(F.lit(1)).cast("long").alias("distinct_count")))
     if nested:
-        wide = df.agg(*[
-            F.count_distinct(distinct_input(col(f.name), f.dataType)).alias(f"d{i}") for i, f in nested])
-        parts.append(wide.select(F.inline(F.array(*[
-            F.struct(F.lit(i).cast("int").alias("ordinal"),
-                     F.col(f"d{i}").cast("long").alias("distinct_count")) for i, f in nested]))))
+        wide = df.selectExpr(*[
+            f"count(DISTINCT {distinct_input_sql(quote(f.name), f.dataType)}) AS d{i}" for i, f in nested])
+        parts.append(wide.selectExpr("inline(array(" + ", ".join(
+            _named_struct([("ordinal", f"CAST({i} AS INT)"), ("distinct_count", f"CAST(d{i} AS BIGINT)")])
+            for i, f in nested) + "))"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+# --- public API ----------------------------------------------------------------------------
+
+
 def profile(
     df: DataFrame,
     table_name: str = "table",
@@ -298,15 +332,17 @@ def profile(
         batch = fields[start:start + batch_size]
         cheap = _cheap_rows(df, batch, table_name, distinct, rsd, approx_impl)
         if distinct == "exact":
-            exact = exact_distinct_counts(df, batch)
+            exact = exact_distinct_counts(df, batch).withColumnRenamed("distinct_count", "__d")
             if len(batch) <= BROADCAST_MAX_ROWS:
                 # size proven on the driver: one row per column of the batch
                 exact = F.broadcast(exact)
-            cheap = (cheap.drop("distinct_count", "distinct_is_approx")
-                     .join(exact, "ordinal", "left")
-                     .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long")))
-                     .withColumn("distinct_is_approx", F.lit(False)))
-        parts.append(cheap.select(*PROFILE_COLUMNS))
+            cheap = cheap.join(exact, "ordinal", "left").selectExpr(
+                *[c if c not in ("distinct_count", "distinct_is_approx") else
+                  ("coalesce(`__d`, CAST(0 AS BIGINT)) AS distinct_count" if c == "distinct_count"
+                   else "false AS distinct_is_approx") for c in PROFILE_COLUMNS])
+        else:
+            cheap = cheap.select(*PROFILE_COLUMNS)
+        parts.append(cheap)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -328,8 +364,7 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """G1 over several tables: (table_name, row_count), one tiny row each."""
     out = None
     for name, df in tables.items():
-        r = df.agg(F.count(F.lit(1)).cast("long").alias("row_count")) \
-              .select(F.lit(name).alias("table_name"), "row_count")
+        r = df.selectExpr(f"{sql_str(name)} AS table_name", "CAST(count(1) AS BIGINT) AS row_count")
         out = r if out is None else out.unionByName(r)
     if out is None:
         raise ValueError("no tables given")
@@ -344,8 +379,6 @@ def column_stats(df: DataFrame, column: str, distinct: str = "exact", rsd: float
 
 # --- F5: partial profiles per group, merged ------------------------------------------
 
-DEFAULT_LG_K = 12
-
 
 def profile_partials(df: DataFrame, group_cols: Iterable[str] = (), table_name: str = "table",
                      lg_k: int = DEFAULT_LG_K, columns: Iterable[str] | None = None) -> DataFrame:
@@ -359,59 +392,59 @@ def profile_partials(df: DataFrame, group_cols: Iterable[str] = (), table_name:
     group_cols = list(group_cols)
     fields = [(i, f) for i, f in _fields(df, list(columns) if columns is not None else None)
               if f.name not in group_cols]
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+    aggs = ["count(1) AS `__rows`"]
     for i, f in fields:
-        c, dt, lane = col(f.name), f.dataType, lane_of(f.dataType)
-        aggs.append(F.count(c).alias(f"nn{i}"))
-        if lane is not None:
-            aggs += [F.min(c).alias(f"mn{i}"), F.max(c).alias(f"mx{i}")]
+        q, dt = quote(f.name), f.dataType
+        aggs.append(f"count({q}) AS nn{i}")
+        if lane_of(dt) is not None:
+            aggs += [f"min({q}) AS mn{i}", f"max({q}) AS mx{i}"]
         if has_length(dt):
-            aggs += [F.sum(F.length(c)).cast("long").alias(f"sl{i}"),
-                     F.max(F.length(c)).cast("long").alias(f"ml{i}")]
-        aggs.append(F.hll_sketch_agg(sketch_input(c, dt), lg_k).alias(f"hll{i}"))
-    g = df.groupBy(*[col(c) for c in group_cols]).agg(*aggs) if group_cols else df.agg(*aggs)
+            aggs += [f"CAST(sum(length({q})) AS BIGINT) AS sl{i}", f"CAST(max(length({q})) AS BIGINT) AS ml{i}"]
+        aggs.append(f"hll_sketch_agg({sketch_input_sql(q, dt)}, {int(lg_k)}) AS hll{i}")
+    if group_cols:
+        g = df.groupBy(*[col(c) for c in group_cols]).agg(*[F.expr(a) for a in aggs])
+    else:
+        g = df.selectExpr(*aggs)
     structs = []
     for i, f in fields:
-        lanes = _lane_values(f, i)
+        lanes = _lane_sql(f, i)
         has_len = has_length(f.dataType)
-        structs.append(F.struct(
-            F.lit(table_name).cast("string").alias("table_name"),
-            F.lit(f.name).alias("column_name"),
-            F.lit(i).cast("int").alias("ordinal"),
-            F.lit(canonical_class(f.dataType)).alias("data_type"),
-            F.lit(f.dataType.simpleString()).alias("original_type"),
-            F.col("__rows").cast("long").alias("row_count"),
-            F.col(f"nn{i}").cast("long").alias("non_null"),
-            *[lanes[k].alias(k) for k in
-              ("min_int", "max_int", "min_num", "max_num", "min_str", "max_str", "min_ts", "max_ts")],
-            (F.col(f"sl{i}") if has_len else F.lit(None).cast("long")).alias("sum_len"),
-            (F.col(f"ml{i}") if has_len else F.lit(None).cast("long")).alias("max_len"),
-            F.col(f"hll{i}").alias("sketch"),
-        ))
-    keep = [col(c) for c in group_cols]
-    return g.select(*keep, F.inline(F.array(*structs)))
+        structs.append(_named_struct([
+            ("table_name", sql_str(table_name)),
+            ("column_name", sql_str(f.name)),
+            ("ordinal", f"CAST({i} AS INT)"),
+            ("data_type", sql_str(canonical_class(f.dataType))),
+            ("original_type", sql_str(f.dataType.simpleString())),
+            ("row_count", "CAST(`__rows` AS BIGINT)"),
+            ("non_null", f"CAST(nn{i} AS BIGINT)"),
+            *[(k, lanes[k]) for k in LANE_COLUMNS],
+            ("sum_len", f"sl{i}" if has_len else "CAST(NULL AS BIGINT)"),
+            ("max_len", f"ml{i}" if has_len else "CAST(NULL AS BIGINT)"),
+            ("sketch", f"hll{i}"),
+        ]))
+    keep = [quote(c) for c in group_cols]
+    return g.selectExpr(*keep, f"inline(array({', '.join(structs)}))")
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
     """Final merge of ``profile_partials`` rows into the profile schema; the
     distinct count is the union sketch's estimate (approximate)."""
     key = ["table_name", "column_name", "ordinal", "data_type", "original_type"]
-    m = partials.groupBy(*key).agg(
-        F.sum("row_count").cast("long").alias("row_count"),
-        F.sum("non_null").cast("long").alias("non_null"),
-        *[F.min(f"min_{ln}").alias(f"min_{ln}") for ln in ("int", "num", "str", "ts")],
-        *[F.max(f"max_{ln}").alias(f"max_{ln}") for ln in ("int", "num", "str", "ts")],
-        F.sum("sum_len").cast("long").alias("sum_len"),
-        F.max("max_len").cast("long").alias("max_len"),
-        F.hll_union_agg("sketch", True).alias("sketch"),
-    )
-    return m.select(
+    m = partials.groupBy(*key).agg(*[F.expr(e) for e in (
+        "CAST(sum(row_count) AS BIGINT) AS row_count",
+        "CAST(sum(non_null) AS BIGINT) AS non_null",
+        *[f"min(min_{ln}) AS min_{ln}" for ln in LANE_SQL],
+        *[f"max(max_{ln}) AS max_{ln}" for ln in LANE_SQL],
+        "CAST(sum(sum_len) AS BIGINT) AS sum_len",
+        "CAST(max(max_len) AS BIGINT) AS max_len",
+        "hll_union_agg(sketch, true) AS sketch")])
+    return m.selectExpr(
         *key, "row_count",
-        (F.col("row_count") - F.col("non_null")).cast("long").alias("null_count"),
-        F.hll_sketch_estimate("sketch").cast("long").alias("distinct_count"),
-        F.lit(True).alias("distinct_is_approx"),
-        "min_int", "max_int", "min_num", "max_num", "min_str", "max_str", "min_ts", "max_ts",
-        F.round(F.col("sum_len") / F.col("non_null"), 6).alias("avg_len"),
+        "CAST(row_count - non_null AS BIGINT) AS null_count",
+        "CAST(hll_sketch_estimate(sketch) AS BIGINT) AS distinct_count",
+        "true AS distinct_is_approx",
+        *LANE_COLUMNS,
+        "round(sum_len / non_null, 6) AS avg_len",
         "max_len",
     ).select(*PROFILE_COLUMNS)
 

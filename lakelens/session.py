@@ -67,3 +67,30 @@ def write_single_text_file(spark: SparkSession, lines_df, target: str) -> None:
 
 def unique_suffix() -> str:
     return uuid.uuid4().hex[:8]
+
+
+def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings sized from the bytes a job reads and the cluster's
+    cores: shuffle partitions of about ``partition_bytes`` each (never
+    fewer than two waves of cores), AQE coalescing and skew splitting, and
+    scan splits no larger than a shuffle partition."""
+    shuffle = max(2 * cores, -(-int(input_bytes) // partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(min(partition_bytes, 512 << 20)),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total bytes below a path, from a listing job (no file is opened)."""
+    from pyspark.sql import functions as F
+
+    from lakelens.sources.listing import list_files
+
+    row = list_files(spark, path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
+    return int(row.b)
