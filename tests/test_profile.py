@@ -138,3 +138,18 @@ def test_digest_keys_equal_raw_values(spark):
     raw = sorted(tuple(r) for r in exact_distinct_counts(df, f, None).collect())
     for d in (0, 32, 1000):
         assert sorted(tuple(r) for r in exact_distinct_counts(df, f, d).collect()) == raw
+
+
+def test_awkward_names(spark):
+    from lakelens.operators.profile import merge_partials, profile_partials
+    names = ["a.b", "c d", "e`f", "g'h", "ünï", "back\\slash"]
+    df = spark.createDataFrame([(1, "x", 2.5, "it's", 3, "p"), (2, None, None, "ok", 3, "q")],
+                               names)
+    for mode in ("exact", "approx", "none"):
+        p = by_col(profile(df, "t'able", distinct=mode))
+        assert set(p) == set(names)
+        assert p["a.b"].max_int == 2 and p["c d"].null_count == 1 and p["g'h"].min_str == "it's"
+        assert {r.table_name for r in p.values()} == {"t'able"}
+    assert by_col(profile(df))["ünï"].distinct_count == 1
+    m = by_col(merge_partials(profile_partials(df, [], "t'able")))
+    assert m["back\\slash"].max_str == "q" and m["e`f"].null_count == 1
