@@ -290,3 +290,6 @@ def _given_footer_sql() -> str:
 ORACLE["footer_stats_given_tables"] = _given_footer_sql()
 ORACLE["profile_text_tables"] = "\nUNION ALL\n".join(
     table_profile_sql(t) for t in ["documents", "pages", "conversations", "benchmark", "labels", "embeddings"])
+
+ORACLE["column_profile_lineitem_approx"] = profile_select("lineitem", "lineitem", TABLE_SCHEMAS["lineitem"],
+                                                          with_distinct_cols=False)

@@ -423,3 +423,12 @@ QUERIES.update({
     "footer_stats_given_tables": footer_stats_given_tables,
     "profile_text_tables": profile_text_tables,
 })
+
+
+def column_profile_lineitem_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4 cheap tier with HLL sketches: one job, one scan, no exact distinct
+    (distinct is an estimate and left out of the comparison)."""
+    return P.profile(read_table(spark, sf_dir, "lineitem"), "lineitem", distinct="approx").select(*_NO_DISTINCT)
+
+
+QUERIES["column_profile_lineitem_approx"] = column_profile_lineitem_approx
