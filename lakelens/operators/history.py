@@ -44,6 +44,11 @@ HISTORY_COLUMNS = [f.name for f in HISTORY_SCHEMA.fields]
 KEY = ("source", "kind", "id")
 
 
+def ntz(value: dt.datetime) -> Column:
+    """An exact TIMESTAMP_NTZ literal, independent of any time zone."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def history_rows(df: DataFrame, source: Column | str, id_col: Column | str, content: Column,
                  kind: str = "metadata", last_updated: Column | dt.datetime | None = None,
                  has_column_stats: bool | Column = False) -> DataFrame:
@@ -60,7 +65,7 @@ def history_rows(df: DataFrame, source: Column | str, id_col: Column | str, cont
     elif isinstance(last_updated, Column):
         ts = last_updated
     else:
-        ts = F.lit(last_updated)
+        ts = ntz(last_updated)
     return df.select(
         c(source).cast("string").alias("source"),
         (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string").alias("id"),
@@ -106,7 +111,7 @@ def fresh(cur: DataFrame, as_of: dt.datetime, ttl_seconds: int | None = None,
     """Current rows not older than their TTL at ``as_of`` (default
     TTL per kind).  ``need_column_stats`` only accepts rows saved with them."""
     age_ok = F.col("last_updated") >= (
-        F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(secs=_ttl_for(F.col("kind"), ttl_seconds)))
+        ntz(as_of) - F.make_dt_interval(secs=_ttl_for(F.col("kind"), ttl_seconds)))
     out = cur.where(age_ok)
     if need_column_stats:
         out = out.where(F.col("has_column_stats"))
@@ -125,7 +130,7 @@ def tombstones(cur: DataFrame, ids: DataFrame | None = None, kinds: Sequence[str
     target = cur.where(F.col("kind").isin(list(kinds)))
     if ids is not None:
         target = target.join(ids.select("source", "id"), ["source", "id"], "left_semi")
-    ts = F.lit(at).cast("timestamp_ntz") if at else F.localtimestamp()
+    ts = ntz(at) if at else F.localtimestamp()
     return target.select(*KEY, F.lit(None).cast("string").alias("content"),
                          ts.alias("last_updated"), F.lit(True).alias("deleted"),
                          F.lit(False).alias("has_column_stats")).select(*HISTORY_COLUMNS)

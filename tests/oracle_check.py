@@ -46,6 +46,8 @@ def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 and not sys.argv[1].isidentifier() else "/root/testdata/sf0.01"
     names = [a for a in sys.argv[1:] if a.isidentifier()]
     spark = make_spark()
+    if os.environ.get("ORACLE_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_TZ"])
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
