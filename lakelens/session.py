@@ -49,8 +49,14 @@ def write_single_text_file(spark: SparkSession, lines_df, target: str) -> None:
     Spark writes a one-partition text directory; the single part file is then
     renamed into place through the Hadoop file system of the target path.
     """
+    write_single_file(spark, lines_df, target, "text")
+
+
+def write_single_file(spark: SparkSession, df, target: str, fmt: str) -> None:
+    """Write ``df`` (log-sized: one row per data file) as exactly one file of
+    format ``fmt`` at ``target``, e.g. a Delta checkpoint."""
     tmp = scratch_dir(spark, "staging")
-    lines_df.coalesce(1).write.mode("overwrite").text(tmp)
+    df.coalesce(1).write.mode("overwrite").format(fmt).save(tmp)
     fs, tmp_path = _hadoop_fs(spark, tmp)
     parts = [
         st.getPath()

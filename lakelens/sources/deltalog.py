@@ -49,11 +49,17 @@ def _log_dir(table_path: str) -> str:
 
 
 def _last_checkpoint_version(spark: SparkSession, table_path: str) -> int | None:
-    lc = f"{_log_dir(table_path)}/_last_checkpoint"
-    if not path_exists(spark, lc):
-        return None
-    row = spark.read.schema("version long").json(lc).first()
-    return None if row is None else row.version
+    """Newest checkpoint version, from a listing of the checkpoint files
+    (paths only).  ``_last_checkpoint`` is only a hint, and Spark hides
+    ``_``-prefixed files, so the files themselves are the source."""
+    from lakelens.sources.listing import list_files
+
+    if not path_exists(spark, _log_dir(table_path)):
+        raise ValueError(f"no Delta log at {_log_dir(table_path)}")
+    cps = list_files(spark, f"{_log_dir(table_path)}/*.checkpoint*.parquet", recursive=False)
+    v = cps.select(F.max(F.regexp_extract("path", r"/(\d{20})\.checkpoint[^/]*\.parquet$", 1)
+                         .cast("long")).alias("v")).first()
+    return None if v is None else v.v
 
 
 def log_actions(spark: SparkSession, table_path: str) -> DataFrame:

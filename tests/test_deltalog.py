@@ -26,3 +26,34 @@ def test_column_stats_from_log(spark):
     assert c["o_orderkey"].min_int == mn
     assert c["o_orderstatus"].min_str == "F" and c["o_orderstatus"].max_str == "O"
     assert c["o_orderdate"].min_ts is not None and c["o_totalprice"].null_count == 0
+
+
+def test_checkpoint_base_without_old_commits(spark, scratch):
+    """A log whose commits 0 and 1 were cleaned up after a checkpoint at
+    version 1: the snapshot comes from the checkpoint plus commit 2."""
+    from pyspark.sql import functions as F
+
+    from lakelens.session import write_single_file, write_single_text_file
+    from lakelens.sources.deltalog import ACTION_SCHEMA, log_actions
+
+    src = delta_orders(spark, SF001)
+    full = sorted((r.path, r.added_in_version) for r in snapshot_files(spark, src).collect())
+    dst = f"{scratch}/delta/cp_table"
+    log = f"{dst}/_delta_log"
+    acts = log_actions(spark, src)
+    v1 = snapshot_files(spark, src, version=1)
+    adds = v1.select(F.struct("path", "partitionValues", "size", "modificationTime",
+                              F.lit(True).alias("dataChange"), "stats").alias("add"))
+    meta = acts.where(F.col("metaData").isNotNull()).select("metaData")
+    cp = adds.select("add", F.lit(None).cast(ACTION_SCHEMA["remove"].dataType).alias("remove"),
+                     F.lit(None).cast(ACTION_SCHEMA["metaData"].dataType).alias("metaData")).unionByName(
+        meta.select(F.lit(None).cast(ACTION_SCHEMA["add"].dataType).alias("add"),
+                    F.lit(None).cast(ACTION_SCHEMA["remove"].dataType).alias("remove"), "metaData"))
+    write_single_file(spark, cp, f"{log}/{1:020d}.checkpoint.parquet", "parquet")
+    write_single_text_file(spark, spark.createDataFrame([('{"version":1,"size":3}',)], "value string"),
+                           f"{log}/_last_checkpoint")
+    c2 = spark.read.text(f"{src}/_delta_log/{2:020d}.json")
+    write_single_text_file(spark, c2, f"{log}/{2:020d}.json")
+    got = sorted((r.path, r.added_in_version) for r in snapshot_files(spark, dst).collect())
+    assert [p for p, _ in got] == [p for p, _ in full]
+    assert delta_table_stats(spark, dst).collect()[0].row_count == delta_table_stats(spark, src).collect()[0].row_count
