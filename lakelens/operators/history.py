@@ -84,7 +84,8 @@ def append_history(rows: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY_SCHEMA.add("run_date", T.DateType())).parquet(path).select(*HISTORY_COLUMNS)
+    stored = T.StructType(HISTORY_SCHEMA.fields + [T.StructField("run_date", T.DateType())])
+    return spark.read.schema(stored).parquet(path).select(*HISTORY_COLUMNS)
 
 
 def current(history: DataFrame, include_deleted: bool = False) -> DataFrame:
