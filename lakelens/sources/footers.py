@@ -171,10 +171,19 @@ def _read_file_schemas(batches):
 
 
 def _spread(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Spread the file list over the cluster: one round-robin exchange of
-    path rows, at least one partition per core."""
-    n = max(spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions())
-    return files.select("path").repartition(n)
+    """Lay the file list out for footer reading.
+
+    Few listing splits (a handful of big files): one round-robin exchange of
+    path rows spreads them over all cores.  Many splits (a big lake): pack
+    about eight adjacent splits per task with a narrow ``coalesce`` - no
+    shuffle, and no task per footer (task overhead would dominate).
+    """
+    parts = files.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    paths = files.select("path")
+    if parts < cores:
+        return paths.repartition(cores)
+    return paths.coalesce(max(cores, -(-parts // 8)))
 
 
 def footer_chunks(spark: SparkSession, path_or_files, glob: str = "*.parquet") -> DataFrame:
