@@ -75,7 +75,9 @@ _CLASS_OF = {"BIGINT": "integer", "INTEGER": "integer", "VARCHAR": "string", "DO
 
 
 def _case(mapping: dict[str, str], expr: str = "column_type") -> str:
-    return "CASE " + " ".join(f"WHEN {expr} = {lit(k)} THEN {lit(v)}" for k, v in mapping.items()) + " END"
+    # TIMESTAMP_NS / _US / _MS (views over pandas or Arrow) read as TIMESTAMP
+    norm = f"regexp_replace({expr}, '^TIMESTAMP_(NS|US|MS)$', 'TIMESTAMP')"
+    return "CASE " + " ".join(f"WHEN {norm} = {lit(k)} THEN {lit(v)}" for k, v in mapping.items()) + " END"
 
 
 _COLS_CTE = "\nUNION ALL\n".join(
@@ -93,7 +95,8 @@ _DIALECT_CASE = "CASE " + " ".join(
 ORACLE["normalize_types_all_dialects"] = f"""WITH cols AS ({_COLS_CTE}),
 spelt AS (
   SELECT table_name, column_name, 'spark' AS spelling, {_case(_SPARK_OF)} AS raw_type FROM cols
-  UNION ALL SELECT table_name, column_name, 'embedded', column_type FROM cols
+  UNION ALL SELECT table_name, column_name, 'embedded',
+                   regexp_replace(column_type, '^TIMESTAMP_(NS|US|MS)$', 'TIMESTAMP') FROM cols
   UNION ALL SELECT table_name, column_name, 'arrow', {_case(_ARROW_OF)} FROM cols),
 dialects AS (SELECT unnest([{', '.join(lit(d) for d in DIALECT_RULES)}]) AS dialect)
 SELECT table_name, column_name, spelling, raw_type, dialect, {_DIALECT_CASE} AS normalized
