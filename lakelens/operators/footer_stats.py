@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakelens.operators.profile import col, quote
+from lakelens.operators.profile import col
 from lakelens.sources.footers import file_schemas, footer_chunks
 from lakelens.sources.listing import list_files
 

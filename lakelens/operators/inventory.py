@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakelens.functions.paths import dir_segments, unescape_partition_value
 from lakelens.sources.footers import footer_chunks  # noqa: F401
@@ -165,14 +164,6 @@ def catalog_partitions(spark: SparkSession, table_id: str) -> DataFrame:
     ).distinct()
 
 
-PARTITION_INFO_SCHEMA = T.StructType([
-    T.StructField("column_name", T.StringType()),
-    T.StructField("value", T.StringType()),
-    T.StructField("location", T.StringType()),
-    T.StructField("file_count", T.LongType()),
-    T.StructField("size_bytes", T.LongType()),
-])
-
 
 def list_all_tables(spark: SparkSession, databases: list[str] | None = None) -> DataFrame:
     """Names only, flattened to ``database.table`` over the given (or
