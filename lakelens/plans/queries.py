@@ -143,16 +143,22 @@ def schema_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalize_types_all_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1-T7 over the schema corpus of every table: each column's type spelt
-    the Spark way, the embedded-database way and the Arrow way, normalized
+    the Spark way and the embedded-database way (from the table schema), and
+    the Arrow way as read from the footers of the table's files, normalized
     under every dialect."""
+    from lakelens.sources.footers import file_schemas
+
     rows = []
     for name, df in read_tables(spark, sf_dir, TABLE_SCHEMAS).items():
         for f in df.schema.fields:
-            for spelling, raw in (("spark", f.dataType.simpleString()),
-                                  ("embedded", TY.embedded_type_name(f.dataType)),
-                                  ("arrow", TY.arrow_type_name(f.dataType))):
-                rows.append((name, f.name, spelling, raw))
+            rows.append((name, f.name, "spark", f.dataType.simpleString()))
+            rows.append((name, f.name, "embedded", TY.embedded_type_name(f.dataType)))
     corpus = spark.createDataFrame(rows, "table_name string, column_name string, spelling string, raw_type string")
+    arrow = (file_schemas(spark, sf_dir.rstrip("/"))
+             .select(F.regexp_extract("file_path", r"([^/]+)\.parquet$", 1).alias("table_name"),
+                     "column_name", F.lit("arrow").alias("spelling"), F.col("arrow_type").alias("raw_type"))
+             .where(F.col("table_name").isin(list(TABLE_SCHEMAS))).distinct())
+    corpus = corpus.unionByName(arrow)
     corpus = corpus.withColumn("dialect", F.explode(F.array(*[F.lit(d) for d in TY.DIALECTS])))
     return TY.normalize_types(corpus)
 
