@@ -184,7 +184,7 @@ def discovery_rows(listing: DataFrame, source: str, key: str,
 
 def refresh_stale(spark: SparkSession, tables: dict, history_path: str, source: str,
                   as_of: dt.datetime, ttl_seconds: int | None = None, column_stats: bool = True,
-                  force: bool = False) -> list[str]:
+                  force: bool = False, chunk: int = 64) -> list[str]:
     """C7 read-through: profile the tables whose history entry is missing or
     stale (all of them with ``force``, the reference's refresh flag) and
     append their nested metadata records.  ``tables`` maps table id to
@@ -204,11 +204,12 @@ def refresh_stale(spark: SparkSession, tables: dict, history_path: str, source:
         todo = sorted(r.id for r in stale(catalog, cur, as_of, ttl_seconds).collect())
     if not todo:
         return []
-    records = None
-    for t in todo:
-        rec = to_json_record(full_metadata(spark, tables[t], t, column_stats=column_stats))
-        records = rec if records is None else records.unionByName(rec)
-    rows = history_rows(records, F.lit(source), "id", F.col("content"), kind="metadata",
-                        last_updated=as_of, has_column_stats=column_stats)
-    append_history(rows, history_path)
+    for start in range(0, len(todo), chunk):
+        records = None
+        for t in todo[start:start + chunk]:
+            rec = to_json_record(full_metadata(spark, tables[t], t, column_stats=column_stats))
+            records = rec if records is None else records.unionByName(rec)
+        rows = history_rows(records, F.lit(source), "id", F.col("content"), kind="metadata",
+                            last_updated=as_of, has_column_stats=column_stats)
+        append_history(rows, history_path)  # each chunk is durable on its own
     return todo

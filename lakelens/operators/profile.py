@@ -349,15 +349,32 @@ def profile(
     return out
 
 
-def profile_tables(tables: Mapping[str, DataFrame], **kwargs) -> DataFrame:
-    """Profiles of several tables stacked, keyed by table_name."""
-    out = None
-    for name, df in tables.items():
-        p = profile(df, table_name=name, **kwargs)
-        out = p if out is None else out.unionByName(p)
-    if out is None:
+def profile_tables(tables: Mapping[str, DataFrame], out_path: str | None = None,
+                   chunk: int = 64, **kwargs) -> DataFrame:
+    """Profiles of several tables stacked, keyed by table_name.
+
+    With ``out_path`` the profiles are written (appended) ``chunk`` tables
+    per job and read back: a catalog of thousands of tables never becomes
+    one giant plan, finished chunks survive a failure, and the result has no
+    lineage back to the tables.
+    """
+    if not tables:
         raise ValueError("no tables given")
-    return out
+    names = list(tables)
+    if out_path is None:
+        out = None
+        for name in names:
+            p = profile(tables[name], table_name=name, **kwargs)
+            out = p if out is None else out.unionByName(p)
+        return out
+    spark = next(iter(tables.values())).sparkSession
+    for start in range(0, len(names), chunk):
+        part = None
+        for name in names[start:start + chunk]:
+            p = profile(tables[name], table_name=name, **kwargs)
+            part = p if part is None else part.unionByName(p)
+        part.write.mode("append").parquet(out_path)
+    return spark.read.parquet(out_path)
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

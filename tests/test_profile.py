@@ -153,3 +153,10 @@ def test_awkward_names(spark):
     assert by_col(profile(df))["ünï"].distinct_count == 1
     m = by_col(merge_partials(profile_partials(df, [], "t'able")))
     assert m["back\\slash"].max_str == "q" and m["e`f"].null_count == 1
+
+
+def test_profile_tables_written_in_chunks(spark, scratch):
+    t = {n: spark.read.parquet(f"{SF001}/{n}.parquet") for n in ("region", "nation", "supplier")}
+    inline = sorted(tuple(r) for r in profile_tables(t).collect())
+    written = profile_tables(t, out_path=f"{scratch}/profiles/chunked", chunk=2)
+    assert sorted(tuple(r) for r in written.select(*PROFILE_SCHEMA.names).collect()) == inline
