@@ -18,3 +18,19 @@ def test_incremental_equals_batch_and_is_idempotent(spark, scratch):
     again = by_col(incremental_profile(spark, src, state, table_name="events", max_files_per_trigger=2))
     assert again["event_id"].row_count == ev.count()
     assert by_col(merged_profile(spark, state))["event_id"].row_count == ev.count()
+
+
+def test_files_arriving_between_runs(spark, scratch):
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    src = f"{scratch}/stream/arriving"
+    state = f"{scratch}/stream/arriving_state"
+    ev.where("event_id < 500").write.mode("append").parquet(src)
+    first = by_col(incremental_profile(spark, src, state, table_name="events"))
+    assert first["event_id"].row_count == 500 and first["event_id"].max_int == 499
+    ev.where("event_id >= 500").write.mode("append").parquet(src)
+    second = by_col(incremental_profile(spark, src, state, table_name="events"))
+    whole = by_col(profile(ev, "events", distinct="none"))
+    for k, r in whole.items():
+        assert (second[k].row_count, second[k].min_int, second[k].max_int, second[k].max_str,
+                second[k].avg_len) == (r.row_count, r.min_int, r.max_int, r.max_str, r.avg_len)
+    assert abs(second["user_id"].distinct_count - ev.select("user_id").distinct().count()) <= 3
