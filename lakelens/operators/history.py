@@ -213,3 +213,14 @@ def refresh_stale(spark: SparkSession, tables: dict, history_path: str, source:
                             last_updated=as_of, has_column_stats=column_stats)
         append_history(rows, history_path)  # each chunk is durable on its own
     return todo
+
+
+def compact_history(spark: SparkSession, src_path: str, dst_path: str,
+                    keep_tombstones: bool = False) -> DataFrame:
+    """Write the current state of a history (latest row per key; tombstoned
+    keys dropped unless ``keep_tombstones``) as a new, date-partitioned
+    history at ``dst_path``; nothing is deleted.  Reading the compacted copy
+    gives the same ``current`` as the full history."""
+    cur = current(read_history(spark, src_path), include_deleted=keep_tombstones)
+    append_history(cur.select(*HISTORY_COLUMNS), dst_path)
+    return read_history(spark, dst_path)

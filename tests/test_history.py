@@ -77,3 +77,13 @@ def test_refresh_stale_read_through(spark, scratch):
     import json
     reg = [json.loads(r.content) for r in cur if r.id == "tpch.region"][0]
     assert reg["stats"]["row_count"] == 5 and reg["database"] == "tpch"
+
+
+def test_compaction_keeps_current_state(spark, scratch):
+    from lakelens.operators.history import compact_history
+    src = f"{scratch}/history/compact_src"
+    append_history(_hist(spark), src)
+    before = sorted(tuple(r) for r in current(read_history(spark, src)).collect())
+    out = compact_history(spark, src, f"{scratch}/history/compact_dst")
+    assert out.count() == len(before)
+    assert sorted(tuple(r) for r in current(out).collect()) == before
