@@ -296,3 +296,9 @@ ORACLE["profile_text_tables"] = "\nUNION ALL\n".join(
 
 ORACLE["column_profile_lineitem_approx"] = profile_select("lineitem", "lineitem", TABLE_SCHEMAS["lineitem"],
                                                           with_distinct_cols=False)
+
+ORACLE["history_compacted"] = ORACLE["history_latest"]
+ORACLE["lake_directories"] = """SELECT * FROM (VALUES ('raw'), ('raw/events_json'), ('tpch'), ('tpch/lineitem'),
+                      ('tpch/orders'), ('tpch/orders_delta')) AS t(name)
+UNION ALL
+SELECT DISTINCT 'tpch/orders_delta/o_orderstatus=' || o_orderstatus FROM orders"""

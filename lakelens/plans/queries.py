@@ -438,3 +438,22 @@ def column_profile_lineitem_approx(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES["column_profile_lineitem_approx"] = column_profile_lineitem_approx
+
+
+def history_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 compaction: the events-derived history written, compacted into a
+    new location, and its current state read back."""
+    src, dst = scratch_dir(spark, "history"), scratch_dir(spark, "history-compact")
+    H.append_history(events_history(spark, sf_dir), src)
+    return H.current(H.compact_history(spark, src, dst)).select("source", "kind", "id", "content", "last_updated")
+
+
+def lake_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every directory holding files below the lake root."""
+    return INV.list_directories(spark, FX.lake(spark, sf_dir), recursive=True)
+
+
+QUERIES.update({
+    "history_compacted": history_compacted,
+    "lake_directories": lake_directories,
+})
