@@ -89,6 +89,8 @@ def _lanes(logical: str, physical: str, v):
     if isinstance(v, _dt.date):
         return "ts", pd.Timestamp(v), False
     if isinstance(v, int):
+        if not -(1 << 63) <= v < (1 << 63):
+            return None, None, False  # unsigned 64-bit beyond the int lane: unknown
         return "int", int(v), False
     if isinstance(v, str):
         return "str", v, False

@@ -75,3 +75,18 @@ def test_drift(spark, scratch):
     assert cols["a"].types == ["int32", "int64"] and cols["a"].conflict
     assert not cols["b"].conflict and cols["b"].in_all_files
     assert not cols["c"].in_all_files and cols["c"].presence_ratio == 0.5
+
+
+def test_unsigned_and_decimal_bounds(spark, scratch):
+    import decimal
+    import os
+    d = f"{scratch}/footers/uint"
+    os.makedirs(d, exist_ok=True)
+    t = pa.table({"u": pa.array([1, 2 ** 64 - 1], pa.uint64()),
+                  "dec": pa.array([decimal.Decimal("1.25"), decimal.Decimal("-3.50")], pa.decimal128(10, 2)),
+                  "day": pa.array([1, 20000], pa.date32())})
+    pq.write_table(t, f"{d}/u.parquet")
+    st = by_col(footer_table_stats(spark, d))
+    assert st["u"].max_int is None and st["u"].row_count == 2
+    assert st["dec"].min_num == -3.5 and st["dec"].max_str == "1.25"
+    assert str(st["day"].min_ts) == "1970-01-02 00:00:00"
