@@ -307,7 +307,7 @@ def exact_distinct_counts(df: DataFrame, fields, digest_over: int | None = DIGES
 def profile(
     df: DataFrame,
     table_name: str = "table",
-    distinct: str = "exact",
+    distinct: str = "approx",
     rsd: float = DEFAULT_RSD,
     columns: Iterable[str] | None = None,
     batch_size: int = DEFAULT_BATCH,
@@ -315,8 +315,9 @@ def profile(
 ) -> DataFrame:
     """One row per column with the fixed profile schema.
 
-    ``distinct``: "exact" (second aggregate per column batch), "approx"
-    (in the cheap aggregate, ``rsd`` relative error) or "none".
+    ``distinct``: "approx" (default: HLL sketches in the cheap aggregate,
+    ``rsd`` relative error - one job, one scan), "exact" (opt-in: a second
+    aggregate per column batch) or "none".
     ``approx_impl``: "sketch" (DataSketches HLL, fast and mergeable) or
     "hllpp" (Spark's HyperLogLog++ ``approx_count_distinct``).
     """

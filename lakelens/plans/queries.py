@@ -19,11 +19,11 @@ def table_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile(read_table(spark, sf_dir, "lineitem"), "lineitem")
+    return P.profile(read_table(spark, sf_dir, "lineitem"), "lineitem", distinct="exact")
 
 
 def column_profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile(read_table(spark, sf_dir, "events"), "events")
+    return P.profile(read_table(spark, sf_dir, "events"), "events", distinct="exact")
 
 
 def orders_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def orders_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_profile_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile(orders_with_nulls(spark, sf_dir), "orders_nulls")
+    return P.profile(orders_with_nulls(spark, sf_dir), "orders_nulls", distinct="exact")
 
 
 def column_stats_single(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def column_stats_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile_tables(read_tables(spark, sf_dir, STAR_TABLES))
+    return P.profile_tables(read_tables(spark, sf_dir, STAR_TABLES), distinct="exact")
 
 
 def approx_distinct_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,8 +300,9 @@ def history_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
-    r1 = P.profile(o.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")), "orders")
-    r2 = P.profile(o, "orders")
+    r1 = P.profile(o.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")), "orders",
+                   distinct="exact")
+    r2 = P.profile(o, "orders", distinct="exact")
     runs = r1.withColumn("run_id", F.lit(1)).unionByName(r2.withColumn("run_id", F.lit(2)))
     return H.profile_drift(runs)
 
@@ -422,7 +423,7 @@ def footer_stats_given_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4/G5 over whole texts (documents up to 20,000 words, raw pages) and
     the array column of embeddings, exact distinct."""
-    return P.profile_tables(read_tables(spark, sf_dir, TEXT_TABLES))
+    return P.profile_tables(read_tables(spark, sf_dir, TEXT_TABLES), distinct="exact")
 
 
 QUERIES.update({

@@ -11,7 +11,7 @@ from tests.conftest import SF001, by_col
 
 
 def test_golden_users(users):
-    p = by_col(profile(users, "test_users"))
+    p = by_col(profile(users, "test_users", distinct="exact"))
     age = p["age"]
     assert age.row_count == 3
     assert (age.min_int, age.max_int, age.null_count, age.distinct_count) == (25, 30, 1, 2)
@@ -42,7 +42,7 @@ def test_unknown_column_raises(users):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "a int, b string, c double, d timestamp_ntz")
-    for r in profile(df, "empty").collect():
+    for r in profile(df, "empty", distinct="exact").collect():
         assert r.row_count == 0 and r.null_count == 0 and r.distinct_count == 0
         assert r.min_int is None and r.min_str is None and r.min_num is None and r.min_ts is None
         assert r.avg_len is None
@@ -50,13 +50,13 @@ def test_empty_table(spark):
 
 def test_all_null_column(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "k int, n bigint")
-    r = by_col(profile(df))["n"]
+    r = by_col(profile(df, distinct="exact"))["n"]
     assert r.null_count == 2 and r.distinct_count == 0 and r.min_int is None
 
 
 def test_nan_is_largest_and_not_null(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "x double")
-    r = profile(df).collect()[0]
+    r = profile(df, distinct="exact").collect()[0]
     assert r.null_count == 1 and r.distinct_count == 2
     assert r.min_num == 1.0 and math.isnan(r.max_num)
 
@@ -65,7 +65,7 @@ def test_nested_and_other_types(spark):
     df = spark.sql("""SELECT array(1, 2) AS arr, named_struct('a', 1) AS st, map('k', 1) AS mp,
                              CAST('ab' AS BINARY) AS bin, true AS flag, CAST(1.25 AS DECIMAL(10,2)) AS dec,
                              DATE'2024-01-02' AS d, INTERVAL '1' DAY AS iv""")
-    p = by_col(profile(df))
+    p = by_col(profile(df, distinct="exact"))
     assert {k: v.data_type for k, v in p.items()} == {
         "arr": "array", "st": "struct", "mp": "map", "bin": "binary", "flag": "boolean",
         "dec": "float", "d": "date", "iv": "unknown"}
@@ -77,8 +77,8 @@ def test_nested_and_other_types(spark):
 
 def test_invariants_and_batching(spark):
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
-    a = sorted(profile(li, "l").collect())
-    b = sorted(profile(li, "l", batch_size=3).collect())
+    a = sorted(profile(li, "l", distinct="exact").collect())
+    b = sorted(profile(li, "l", distinct="exact", batch_size=3).collect())
     assert a == b
     for r in a:
         assert r.null_count + (r.row_count - r.null_count) == r.row_count
@@ -96,7 +96,7 @@ def test_approx_close_to_exact(spark):
 
 def test_partials_merge_equal_profile(spark):
     o = spark.read.parquet(f"{SF001}/orders.parquet")
-    whole = by_col(profile(o, "orders"))
+    whole = by_col(profile(o, "orders", distinct="exact"))
     merged = by_col(merge_partials(profile_partials(
         o.withColumn("g", F.col("o_orderpriority")), ["g"], "orders", columns=o.columns)))
     for k, r in whole.items():
@@ -126,7 +126,7 @@ def test_variant_and_interval_columns(spark):
         p = by_col(profile(df, distinct=mode))
         assert p["v"].data_type == "unknown" and p["iv"].data_type == "unknown"
         assert p["k"].distinct_count == 2
-    ex = by_col(profile(df))
+    ex = by_col(profile(df, distinct="exact"))
     assert ex["v"].distinct_count == 2 and ex["iv"].distinct_count == 1
 
 
@@ -150,13 +150,20 @@ def test_awkward_names(spark):
         assert set(p) == set(names)
         assert p["a.b"].max_int == 2 and p["c d"].null_count == 1 and p["g'h"].min_str == "it's"
         assert {r.table_name for r in p.values()} == {"t'able"}
-    assert by_col(profile(df))["ünï"].distinct_count == 1
+    assert by_col(profile(df, distinct="exact"))["ünï"].distinct_count == 1
     m = by_col(merge_partials(profile_partials(df, [], "t'able")))
     assert m["back\\slash"].max_str == "q" and m["e`f"].null_count == 1
 
 
 def test_profile_tables_written_in_chunks(spark, scratch):
     t = {n: spark.read.parquet(f"{SF001}/{n}.parquet") for n in ("region", "nation", "supplier")}
-    inline = sorted(tuple(r) for r in profile_tables(t).collect())
-    written = profile_tables(t, out_path=f"{scratch}/profiles/chunked", chunk=2)
+    inline = sorted(tuple(r) for r in profile_tables(t, distinct="exact").collect())
+    written = profile_tables(t, out_path=f"{scratch}/profiles/chunked", chunk=2, distinct="exact")
     assert sorted(tuple(r) for r in written.select(*PROFILE_SCHEMA.names).collect()) == inline
+
+
+def test_default_is_one_scan_approx(users):
+    r = by_col(profile(users))
+    assert r["age"].distinct_is_approx is True and r["age"].distinct_count == 2
+    plan = profile(users)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
