@@ -165,9 +165,23 @@ def catalog_partitions(spark: SparkSession, table_id: str) -> DataFrame:
 
 
 
-def list_all_tables(spark: SparkSession, databases: list[str] | None = None) -> DataFrame:
+def list_all_tables(spark: SparkSession, databases: list[str] | None = None,
+                    catalog: str | None = None) -> DataFrame:
     """Names only, flattened to ``database.table`` over the given (or
-    all) databases; databases that fail to list are skipped."""
+    all) databases of the session catalog, or of ``catalog`` when given;
+    databases that fail to list are skipped."""
+    if catalog is not None:
+        if databases is None:
+            databases = [r[0] for r in spark.sql(f"SHOW NAMESPACES IN {catalog}").collect()]
+        out = spark.createDataFrame([], "name string, type string")
+        for db in databases:
+            try:
+                t = spark.sql(f"SHOW TABLES IN {catalog}.{db}").where(~F.col("isTemporary"))
+            except Exception:  # noqa: BLE001 - the reference skips schemas that error
+                continue
+            out = out.unionByName(t.select(F.concat_ws(".", F.lit(db), F.col("tableName")).alias("name"),
+                                           F.lit("unknown").alias("type")))
+        return out.orderBy("name")
     if databases is None:
         databases = [d.name for d in spark.catalog.listDatabases()]
     rows = []

@@ -16,6 +16,8 @@ def test_catalog_tables_partitions_and_describe(spark):
     spark.read.parquet(f"{SF001}/region.parquet").write.mode("overwrite").saveAsTable("llcat.region")
     names = [r.name for r in list_all_tables(spark, ["llcat", "no_such_db"]).collect()]
     assert names == ["llcat.orders_p", "llcat.region"]
+    by_cat = [r.name for r in list_all_tables(spark, catalog="spark_catalog").collect()]
+    assert "llcat.orders_p" in by_cat and "llcat.region" in by_cat
     parts = {(r.column_name, r.value) for r in catalog_partitions(spark, "llcat.orders_p").collect()}
     assert parts == {("o_orderstatus", v) for v in ("F", "O", "P")}
     d = [r.col_name for r in describe_columns(spark, "llcat.orders_p").collect()]
