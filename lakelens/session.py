@@ -37,6 +37,14 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return fs, jpath
 
 
+def glob_names(spark: SparkSession, pattern: str) -> list[str]:
+    """File names matching a glob (one directory listing on the path's file
+    system; for log directories, not for data)."""
+    fs, jpath = _hadoop_fs(spark, pattern)
+    found = fs.globStatus(jpath)
+    return [] if found is None else [str(st.getPath().getName()) for st in found]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, jpath = _hadoop_fs(spark, path)
     return bool(fs.exists(jpath))

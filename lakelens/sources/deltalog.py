@@ -49,17 +49,18 @@ def _log_dir(table_path: str) -> str:
 
 
 def _last_checkpoint_version(spark: SparkSession, table_path: str) -> int | None:
-    """Newest checkpoint version, from a listing of the checkpoint files
-    (paths only).  ``_last_checkpoint`` is only a hint, and Spark hides
-    ``_``-prefixed files, so the files themselves are the source."""
-    from lakelens.sources.listing import list_files
+    """Newest checkpoint version, from the names of the checkpoint files in
+    the log directory (one glob on the log directory's file system, as any
+    Delta reader lists its log).  ``_last_checkpoint`` is only a hint."""
+    import re
+
+    from lakelens.session import glob_names
 
     if not path_exists(spark, _log_dir(table_path)):
         raise ValueError(f"no Delta log at {_log_dir(table_path)}")
-    cps = list_files(spark, f"{_log_dir(table_path)}/*.checkpoint*.parquet", recursive=False)
-    v = cps.select(F.max(F.regexp_extract("path", r"/(\d{20})\.checkpoint[^/]*\.parquet$", 1)
-                         .cast("long")).alias("v")).first()
-    return None if v is None else v.v
+    versions = [int(m.group(1)) for n in glob_names(spark, f"{_log_dir(table_path)}/*.checkpoint*.parquet")
+                if (m := re.match(r"^(\d{20})\.checkpoint.*\.parquet$", n))]
+    return max(versions) if versions else None
 
 
 def log_actions(spark: SparkSession, table_path: str) -> DataFrame:
@@ -76,10 +77,11 @@ def log_actions(spark: SparkSession, table_path: str) -> DataFrame:
     return base.unionByName(commits.where(F.col("version") > cp))
 
 
-def snapshot_files(spark: SparkSession, table_path: str, version: int | None = None) -> DataFrame:
+def snapshot_files(spark: SparkSession, table_path: str, version: int | None = None,
+                   actions: DataFrame | None = None) -> DataFrame:
     """Files of the table at ``version`` (latest if None): (path,
     partitionValues, size, modificationTime, stats, version)."""
-    acts = log_actions(spark, table_path)
+    acts = log_actions(spark, table_path) if actions is None else actions
     if version is not None:
         acts = acts.where(F.col("version") <= version)
     file_acts = acts.where(F.col("add").isNotNull() | F.col("remove").isNotNull()).select(
@@ -97,10 +99,11 @@ def snapshot_files(spark: SparkSession, table_path: str, version: int | None = N
         F.col("act.v").alias("added_in_version"))
 
 
-def table_metadata(spark: SparkSession, table_path: str) -> tuple[T.StructType, list[str]]:
+def table_metadata(spark: SparkSession, table_path: str,
+                   actions: DataFrame | None = None) -> tuple[T.StructType, list[str]]:
     """Schema and partition columns from the newest metaData action (one
     small record, read on the driver like any Delta reader does)."""
-    acts = log_actions(spark, table_path).where(F.col("metaData").isNotNull())
+    acts = (log_actions(spark, table_path) if actions is None else actions).where(F.col("metaData").isNotNull())
     row = acts.groupBy().agg(F.max_by("metaData", "version").alias("m")).first()
     if row is None or row.m is None or row.m.schemaString is None:
         raise ValueError(f"no metaData action in {_log_dir(table_path)}")
@@ -129,10 +132,14 @@ def stats_schema(schema: T.StructType) -> T.StructType:
     ])
 
 
-def delta_file_stats(spark: SparkSession, table_path: str, version: int | None = None) -> DataFrame:
+def delta_file_stats(spark: SparkSession, table_path: str, version: int | None = None,
+                     actions: DataFrame | None = None,
+                     schema: T.StructType | None = None) -> DataFrame:
     """Snapshot files with parsed statistics (``s`` struct, NULL if none)."""
-    schema = table_schema(spark, table_path)
-    files = snapshot_files(spark, table_path, version)
+    acts = log_actions(spark, table_path) if actions is None else actions
+    if schema is None:
+        schema = table_metadata(spark, table_path, acts)[0]
+    files = snapshot_files(spark, table_path, version, acts)
     return files.withColumn("s", F.from_json("stats", stats_schema(schema)))
 
 
@@ -151,8 +158,9 @@ def delta_table_stats(spark: SparkSession, table_path: str, version: int | None
 def delta_column_stats(spark: SparkSession, table_path: str, version: int | None = None) -> DataFrame:
     """Per column: min/max/null count merged over files with statistics, in
     the profile's typed lanes; ``row_count`` = rows covered by statistics."""
-    schema, part_cols = table_metadata(spark, table_path)
-    fs = delta_file_stats(spark, table_path, version).where(F.col("s.numRecords").isNotNull())
+    acts = log_actions(spark, table_path)
+    schema, part_cols = table_metadata(spark, table_path, acts)
+    fs = delta_file_stats(spark, table_path, version, acts, schema).where(F.col("s.numRecords").isNotNull())
     leaf = [f for f in schema.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
     aggs = [F.sum("s.numRecords").cast("long").alias("__rows")]
     for i, f in enumerate(leaf):
