@@ -379,14 +379,22 @@ def profile_tables(tables: Mapping[str, DataFrame], out_path: str | None = None,
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """G1 over several tables: (table_name, row_count), one tiny row each."""
-    out = None
-    for name, df in tables.items():
-        r = df.selectExpr(f"{sql_str(name)} AS table_name", "CAST(count(1) AS BIGINT) AS row_count")
-        out = r if out is None else out.unionByName(r)
-    if out is None:
+    """G1 over several tables: (table_name, row_count) in ONE job - the
+    tables' zero-column scans are stacked with their name and counted by one
+    grouped aggregate (partial counts map-side, one tiny shuffle).  A table
+    without rows still gets its row (count 0)."""
+    if not tables:
         raise ValueError("no tables given")
-    return out
+    stacked = None
+    for name, df in tables.items():
+        t = df.selectExpr(f"{sql_str(name)} AS table_name")
+        stacked = t if stacked is None else stacked.unionByName(t)
+    counts = stacked.groupBy("table_name").agg(F.count(F.lit(1)).cast("long").alias("row_count"))
+    names = next(iter(tables.values())).sparkSession.createDataFrame(
+        [(n,) for n in tables], "table_name string")
+    # the name list is bounded by the number of tables: broadcast is safe
+    return names.join(counts, "table_name", "left").selectExpr(
+        "table_name", "coalesce(row_count, CAST(0 AS BIGINT)) AS row_count")
 
 
 def column_stats(df: DataFrame, column: str, distinct: str = "exact", rsd: float = DEFAULT_RSD,

@@ -167,3 +167,10 @@ def test_default_is_one_scan_approx(users):
     assert r["age"].distinct_is_approx is True and r["age"].distinct_count == 2
     plan = profile(users)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_row_counts_one_job_and_empty_tables(spark):
+    t = {"region": spark.read.parquet(f"{SF001}/region.parquet"),
+         "none": spark.createDataFrame([], "a int")}
+    got = {r.table_name: r.row_count for r in row_counts(t).collect()}
+    assert got == {"region": 5, "none": 0}
