@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lakelens.plans.oracle import STAR_TABLES, TABLE_SCHEMAS, profile_select, table_profile_sql
+from lakelens.functions.types import DIALECT_RULES
+from lakelens.plans.oracle import (STAR_TABLES, TABLE_SCHEMAS, hash_pred_sql, lit, profile_select,
+                                   rule_case_sql, table_profile_sql)
 
 _NULLS_CTE = """(SELECT o_orderkey,
         nullif(o_orderpriority, '5-LOW') AS o_orderpriority,
@@ -49,8 +51,6 @@ ORACLE = {
 
 
 # --- sampling -----------------------------------------------------------------
-from lakelens.functions.types import DIALECT_RULES  # noqa: E402
-from lakelens.plans.oracle import hash_pred_sql, lit, rule_case_sql  # noqa: E402
 
 ORACLE.update({
     "sample_bernoulli_hash": f"SELECT * FROM orders WHERE {hash_pred_sql(42, 10, 'o_orderkey')}",

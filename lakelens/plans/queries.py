@@ -6,12 +6,27 @@ over whole tables.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakelens.functions import types as TY
+from lakelens.operators import footer_stats as FS
+from lakelens.operators import history as H
+from lakelens.operators import inventory as INV
+from lakelens.operators import metadata as MD
 from lakelens.operators import profile as P
-from lakelens.plans.oracle import STAR_TABLES
-from lakelens.sources.readers import read_table, read_tables
+from lakelens.operators import sampling as S
+from lakelens.operators import schema as SC
+from lakelens.operators.catalog_stats import row_count_ladder
+from lakelens.operators.metadata import describe_report as _describe
+from lakelens.plans import fixtures as FX
+from lakelens.plans.oracle import STAR_TABLES, TABLE_SCHEMAS
+from lakelens.session import scratch_dir
+from lakelens.sources import deltalog as DL
+from lakelens.sources.readers import export_tables, read_table, read_tables, register_directory
+from lakelens.streaming.incremental import incremental_profile
 
 
 def table_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +107,6 @@ QUERIES = {
 
 
 # --- sampling (M1-M7) --------------------------------------------------------
-from lakelens.operators import sampling as S  # noqa: E402
 
 
 def sample_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +144,6 @@ def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- schema, keys, describe (S1, S3, S5, T1-T8, X3) ---------------------------
-from lakelens.functions import types as TY  # noqa: E402
-from lakelens.operators import schema as SC  # noqa: E402
-from lakelens.operators.metadata import describe_report as _describe  # noqa: E402
-from lakelens.plans.oracle import TABLE_SCHEMAS  # noqa: E402
 
 
 def schema_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,10 +203,6 @@ QUERIES.update({
 
 
 # --- footers, drift, inventory, partitions, Delta (F1-F6, S4, B3-B6, P1-P3) -----
-from lakelens.operators import footer_stats as FS  # noqa: E402
-from lakelens.operators import inventory as INV  # noqa: E402
-from lakelens.plans import fixtures as FX  # noqa: E402
-from lakelens.sources import deltalog as DL  # noqa: E402
 
 _FOOTER_COLS = ["column_name", "row_count", "null_count", "min_int", "max_int", "min_num", "max_num",
                 "min_str", "max_str", "min_ts", "max_ts"]
@@ -257,10 +263,7 @@ QUERIES.update({
 
 
 # --- history, drift, metadata, partial merges (C1-C8, X1-X4, F5, A8/A9) -------------
-import datetime as _dt  # noqa: E402
 
-from lakelens.operators import history as H  # noqa: E402
-from lakelens.operators import metadata as MD  # noqa: E402
 
 HISTORY_AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)
 
@@ -352,10 +355,6 @@ QUERIES.update({
 
 
 # --- sinks, streams, ladders (A8, A9, W1, G8, B1) --------------------------------
-from lakelens.operators.catalog_stats import row_count_ladder  # noqa: E402
-from lakelens.session import scratch_dir  # noqa: E402
-from lakelens.sources.readers import export_tables, register_directory  # noqa: E402
-from lakelens.streaming.incremental import incremental_profile  # noqa: E402
 
 _ROUNDTRIP_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "orders": "o_orderkey",
                    "lineitem": "l_orderkey"}
