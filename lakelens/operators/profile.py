@@ -137,6 +137,18 @@ def lg_k_for(rsd: float) -> int:
     return int(min(21, max(4, math.ceil(math.log2((1.04 / rsd) ** 2)))))
 
 
+def _pos(i: int) -> str:
+    """Positional name of column i (1-based) after ``_positional``."""
+    return f"`_c{i}`"
+
+
+def _positional(df: DataFrame) -> DataFrame:
+    """The same rows with columns renamed ``_c1.._cN``: duplicate or awkward
+    names can never clash in generated SQL; original names stay in the
+    output as literals."""
+    return df.toDF(*[f"_c{i}" for i in range(1, len(df.columns) + 1)])
+
+
 def _fields(df: DataFrame, columns: Iterable[str] | None) -> list[tuple[int, T.StructField]]:
     fields = list(enumerate(df.schema.fields, start=1))
     if columns is None:
@@ -160,7 +172,7 @@ def _approx_sql(q: str, dt: T.DataType, rsd: float, impl: str) -> str:
 def _cheap_aggs(fields, distinct: str, rsd: float, impl: str = "sketch") -> list[str]:
     aggs = ["count(1) AS `__rows`"]
     for i, f in fields:
-        q, dt = quote(f.name), f.dataType
+        q, dt = _pos(i), f.dataType
         aggs.append(f"count({q}) AS nn{i}")
         if lane_of(dt) is not None:
             aggs += [f"min({q}) AS mn{i}", f"max({q}) AS mx{i}"]
@@ -192,7 +204,7 @@ def _named_struct(pairs: list[tuple[str, str]]) -> str:
 
 def _cheap_rows(df: DataFrame, fields, table_name: str, distinct: str, rsd: float,
                 impl: str = "sketch") -> DataFrame:
-    wide = df.selectExpr(*_cheap_aggs(fields, distinct, rsd, impl))
+    wide = _positional(df).selectExpr(*_cheap_aggs(fields, distinct, rsd, impl))
     structs = []
     for i, f in fields:
         lanes = _lane_sql(f, i)
@@ -276,12 +288,13 @@ def exact_distinct_counts(df: DataFrame, fields, digest_over: int | None = DIGES
     """
     atomic, nested = [], []
     for i, f in fields:
-        (atomic if _key_lane(quote(f.name), f.dataType) is not None else nested).append((i, f))
+        (atomic if _key_lane(_pos(i), f.dataType) is not None else nested).append((i, f))
+    df = _positional(df)
     parts = []
     if atomic:
         structs = []
         for i, f in atomic:
-            vals = _key_lanes(quote(f.name), f.dataType, digest_over)
+            vals = _key_lanes(_pos(i), f.dataType, digest_over)
             structs.append(_named_struct(
                 [("ordinal", f"CAST({i} AS INT)")]
                 + [(k, vals.get(k, f"CAST(NULL AS {t})")) for k, t in KEY_LANES.items()]))
@@ -291,7 +304,7 @@ def exact_distinct_counts(df: DataFrame, fields, digest_over: int | None = DIGES
         parts.append(distinct.groupBy("ordinal").agg(F.count(F.lit(1)).cast("long").alias("distinct_count")))
     if nested:
         wide = df.selectExpr(*[
-            f"count(DISTINCT {distinct_input_sql(quote(f.name), f.dataType)}) AS d{i}" for i, f in nested])
+            f"count(DISTINCT {distinct_input_sql(_pos(i), f.dataType)}) AS d{i}" for i, f in nested])
         parts.append(wide.selectExpr("inline(array(" + ", ".join(
             _named_struct([("ordinal", f"CAST({i} AS INT)"), ("distinct_count", f"CAST(d{i} AS BIGINT)")])
             for i, f in nested) + "))"))
@@ -416,11 +429,17 @@ def profile_partials(df: DataFrame, group_cols: Iterable[str] = (), table_name:
     rows still ships one partial row per task.
     """
     group_cols = list(group_cols)
+    names = df.columns
+    missing = [g for g in group_cols if g not in names]
+    if missing:
+        raise ValueError(f"unknown group column(s): {missing}")
+    group_pos = [names.index(g) + 1 for g in group_cols]
     fields = [(i, f) for i, f in _fields(df, list(columns) if columns is not None else None)
-              if f.name not in group_cols]
+              if i not in group_pos]
+    df = _positional(df)
     aggs = ["count(1) AS `__rows`"]
     for i, f in fields:
-        q, dt = quote(f.name), f.dataType
+        q, dt = _pos(i), f.dataType
         aggs.append(f"count({q}) AS nn{i}")
         if lane_of(dt) is not None:
             aggs += [f"min({q}) AS mn{i}", f"max({q}) AS mx{i}"]
@@ -428,7 +447,7 @@ def profile_partials(df: DataFrame, group_cols: Iterable[str] = (), table_name:
             aggs += [f"CAST(sum(length({q})) AS BIGINT) AS sl{i}", f"CAST(max(length({q})) AS BIGINT) AS ml{i}"]
         aggs.append(f"hll_sketch_agg({sketch_input_sql(q, dt)}, {int(lg_k)}) AS hll{i}")
     if group_cols:
-        g = df.groupBy(*[col(c) for c in group_cols]).agg(*[F.expr(a) for a in aggs])
+        g = df.groupBy(*[F.col(f"_c{j}") for j in group_pos]).agg(*[F.expr(a) for a in aggs])
     else:
         g = df.selectExpr(*aggs)
     structs = []
@@ -448,7 +467,7 @@ def profile_partials(df: DataFrame, group_cols: Iterable[str] = (), table_name:
             ("max_len", f"ml{i}" if has_len else "CAST(NULL AS BIGINT)"),
             ("sketch", f"hll{i}"),
         ]))
-    keep = [quote(c) for c in group_cols]
+    keep = [f"{_pos(j)} AS {quote(c)}" for j, c in zip(group_pos, group_cols)]
     return g.selectExpr(*keep, f"inline(array({', '.join(structs)}))")
 
 

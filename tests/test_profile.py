@@ -174,3 +174,10 @@ def test_row_counts_one_job_and_empty_tables(spark):
          "none": spark.createDataFrame([], "a int")}
     got = {r.table_name: r.row_count for r in row_counts(t).collect()}
     assert got == {"region": 5, "none": 0}
+
+
+def test_duplicate_column_names(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], ["a", "b"]).selectExpr("a", "b", "a * 10 AS a")
+    for mode in ("exact", "approx"):
+        rows = sorted((r.ordinal, r.column_name, r.max_int) for r in profile(df, distinct=mode).collect())
+        assert rows == [(1, "a", 2), (2, "b", None), (3, "a", 20)]
