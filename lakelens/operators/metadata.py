@@ -102,14 +102,18 @@ def split_id(table_id: str) -> tuple[str, str]:
 
 
 def full_metadata(spark: SparkSession, df: DataFrame, table_id: str, path: str | None = None,
-                  column_stats: bool = True, distinct: str = "exact") -> DataFrame:
+                  column_stats: bool = True, distinct: str = "exact",
+                  inline_partitions: bool = True) -> DataFrame:
     """X1 (+X2 with ``column_stats``): one nested row of METADATA_SCHEMA.
 
     The parts - profile rows, the size/freshness row of the listing of
     ``path`` and its partition rows - are stacked as tagged rows and folded
     by ONE aggregate keyed by the table id (conditional aggregates pick each
     part), so no join is needed.  The schema comes from the driver's schema
-    object; the column-stats map has one entry per column.
+    object; the column-stats map has one entry per column.  The inline
+    partition list grows with the table's partition count; for tables with
+    very many partitions pass ``inline_partitions=False`` and read
+    ``partition_inventory`` (a distributed DataFrame) instead.
     """
     from lakelens.operators.inventory import partition_inventory, table_size
 
@@ -137,6 +141,7 @@ def full_metadata(spark: SparkSession, df: DataFrame, table_id: str, path: str |
         sz = table_size(spark, path)
         parts = parts.unionByName(tagged(sz, "size", size=F.col("total_size_bytes"),
                                          mod=F.col("last_modified").cast("timestamp")))
+    if path is not None and inline_partitions:
         pi = partition_inventory(spark, path)
         parts = parts.unionByName(tagged(pi, "partition", part=F.struct(
             "column_name", "value", "location", "file_count", "size_bytes").cast(part_t)))

@@ -50,3 +50,10 @@ def test_catalog_ladder(spark):
     c = catalog_column_stats(spark, "ll_nation", "n_name").collect()[0]
     assert c.distinct_count == 25 and c.null_count == 0 and c.min_value is None
     spark.sql("DROP TABLE ll_nation")
+
+
+def test_full_metadata_without_inline_partitions(spark, scratch):
+    p = f"{scratch}/meta/orders_by_status2"
+    spark.read.parquet(f"{SF001}/orders.parquet").write.partitionBy("o_orderstatus").parquet(p)
+    m = full_metadata(spark, spark.read.parquet(p), "tpch.orders", path=p, inline_partitions=False).collect()[0]
+    assert m.partitions == [] and m.stats.total_size_bytes > 0
