@@ -194,3 +194,16 @@ def arrow_type_name(dt: T.DataType) -> str:
         inner = ", ".join(f"{f.name}: {arrow_type_name(f.dataType)}" for f in dt.fields)
         return f"struct<{inner}>"
     return dt.simpleString()
+
+
+def spelling_for(dialect: str, dt: T.DataType) -> str:
+    """How a Spark type reads in the type system a dialect's rules expect:
+    Arrow names for the Arrow dialects, Spark names for the lakehouse ones,
+    SQL-standard names (as the embedded database prints them) otherwise."""
+    if dialect not in DIALECT_RULES:
+        raise ValueError(f"unknown dialect {dialect!r}; expected one of {DIALECTS}")
+    if dialect.startswith("arrow"):
+        return arrow_type_name(dt)
+    if dialect.startswith("lakehouse"):
+        return dt.simpleString()
+    return embedded_type_name(dt)

@@ -151,6 +151,16 @@ def partition_row_counts(spark: SparkSession, table_path: str) -> DataFrame:
                    F.sum("num_rows").cast("long").alias("row_count")))
 
 
+def catalog_partition_row_counts(spark: SparkSession, table_id: str) -> DataFrame:
+    """P3 for a catalog table: its location from ``DESCRIBE TABLE EXTENDED``,
+    then row counts per partition directory from the footers there."""
+    loc = (spark.sql(f"DESCRIBE TABLE EXTENDED {table_id}")
+           .where(F.col("col_name") == "Location").select("data_type").first())
+    if loc is None:
+        raise ValueError(f"{table_id} has no location (not a file-based table)")
+    return partition_row_counts(spark, loc.data_type)
+
+
 def catalog_partitions(spark: SparkSession, table_id: str) -> DataFrame:
     """``SHOW PARTITIONS`` of a catalog table parsed like P1."""
     parts = spark.sql(f"SHOW PARTITIONS {table_id}")

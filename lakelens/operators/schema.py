@@ -28,27 +28,40 @@ SCHEMA_SCHEMA = T.StructType([
 ])
 
 
-def schema_rows(schema: T.StructType, table_name: str) -> list[tuple]:
+def schema_rows(schema: T.StructType, table_name: str, dialect: str | None = None) -> list[tuple]:
+    """Rows of SCHEMA_SCHEMA.  ``dialect`` (T1-T7 compatibility) spells each
+    type the way that source would and classifies it with that dialect's
+    rules; the default is the canonical class (T8) of the Spark type."""
+    from lakelens.functions.types import DIALECT_RULES, spelling_for
+
     rows = []
     for i, f in enumerate(schema.fields, start=1):
         meta = {k: (v if isinstance(v, str) else json.dumps(v)) for k, v in (f.metadata or {}).items()}
-        meta.setdefault("original_type", f.dataType.simpleString())
-        rows.append((table_name, i, f.name, canonical_class(f.dataType),
-                     f.dataType.simpleString(), bool(f.nullable), meta.get("comment"), meta))
+        raw = f.dataType.simpleString() if dialect is None else spelling_for(dialect, f.dataType)
+        meta.setdefault("original_type", raw)
+        if dialect is None:
+            cls = canonical_class(f.dataType)
+        else:
+            folded = raw.lower()
+            cls = next((c for needles, c in DIALECT_RULES[dialect] if any(n in folded for n in needles)),
+                       "unknown")
+        rows.append((table_name, i, f.name, cls, raw, bool(f.nullable), meta.get("comment"), meta))
     return rows
 
 
-def table_schema(spark: SparkSession, df: DataFrame, table_name: str) -> DataFrame:
+def table_schema(spark: SparkSession, df: DataFrame, table_name: str,
+                 dialect: str | None = None) -> DataFrame:
     """(table_name, ordinal, column_name, data_type, original_type,
     nullable, comment, metadata); column order kept."""
-    return spark.createDataFrame(schema_rows(df.schema, table_name), SCHEMA_SCHEMA)
+    return spark.createDataFrame(schema_rows(df.schema, table_name, dialect), SCHEMA_SCHEMA)
 
 
-def schema_inventory(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+def schema_inventory(spark: SparkSession, tables: Mapping[str, DataFrame],
+                     dialect: str | None = None) -> DataFrame:
     """S1 over many tables as one DataFrame."""
     rows = []
     for name, df in tables.items():
-        rows.extend(schema_rows(df.schema, name))
+        rows.extend(schema_rows(df.schema, name, dialect))
     return spark.createDataFrame(rows, SCHEMA_SCHEMA)
 
 

@@ -3,8 +3,8 @@ import json
 
 from lakelens.operators.catalog_stats import analyze, catalog_stats_like
 from lakelens.operators.history import current, discovery_rows, fresh
-from lakelens.operators.inventory import (catalog_partitions, list_all_tables, list_directories,
-                                          list_tables)
+from lakelens.operators.inventory import (catalog_partition_row_counts, catalog_partitions,
+                                          list_all_tables, list_directories, list_tables)
 from lakelens.operators.schema import describe_columns
 from tests.conftest import SF001
 
@@ -20,6 +20,8 @@ def test_catalog_tables_partitions_and_describe(spark):
     assert "llcat.orders_p" in by_cat and "llcat.region" in by_cat
     parts = {(r.column_name, r.value) for r in catalog_partitions(spark, "llcat.orders_p").collect()}
     assert parts == {("o_orderstatus", v) for v in ("F", "O", "P")}
+    rc = {r.value: r.row_count for r in catalog_partition_row_counts(spark, "llcat.orders_p").collect()}
+    assert rc == {r.o_orderstatus: r["count"] for r in o.groupBy("o_orderstatus").count().collect()}
     d = [r.col_name for r in describe_columns(spark, "llcat.orders_p").collect()]
     assert sorted(d) == sorted(o.columns)
     analyze(spark, "llcat.region", columns=False)

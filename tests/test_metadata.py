@@ -57,3 +57,14 @@ def test_full_metadata_without_inline_partitions(spark, scratch):
     spark.read.parquet(f"{SF001}/orders.parquet").write.partitionBy("o_orderstatus").parquet(p)
     m = full_metadata(spark, spark.read.parquet(p), "tpch.orders", path=p, inline_partitions=False).collect()[0]
     assert m.partitions == [] and m.stats.total_size_bytes > 0
+
+
+def test_schema_dialect_compat(spark):
+    df = spark.sql("SELECT CAST(1 AS BIGINT) AS a, 1.5D AS b, DATE'2024-01-01' AS d, 'x' AS s")
+    emb = {r.column_name: (r.original_type, r.data_type) for r in table_schema(spark, df, "t", "embedded").collect()}
+    assert emb == {"a": ("BIGINT", "integer"), "b": ("DOUBLE", "float"), "d": ("DATE", "timestamp"),
+                   "s": ("VARCHAR", "string")}
+    arrow = {r.column_name: r.data_type for r in table_schema(spark, df, "t", "arrow_parquet").collect()}
+    assert arrow == {"a": "integer", "b": "unknown", "d": "unknown", "s": "string"}
+    lake = {r.column_name: r.data_type for r in table_schema(spark, df, "t", "lakehouse_sql").collect()}
+    assert lake == {"a": "integer", "b": "float", "d": "unknown", "s": "string"}
