@@ -34,3 +34,19 @@ def test_files_arriving_between_runs(spark, scratch):
         assert (second[k].row_count, second[k].min_int, second[k].max_int, second[k].max_str,
                 second[k].avg_len) == (r.row_count, r.min_int, r.max_int, r.max_str, r.avg_len)
     assert abs(second["user_id"].distinct_count - ev.select("user_id").distinct().count()) <= 3
+
+
+def test_processing_time_trigger(spark, scratch):
+    from lakelens.streaming.incremental import start_incremental_profile
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    src, state = f"{scratch}/stream/pt_in", f"{scratch}/stream/pt_state"
+    ev.where("event_id < 300").write.mode("append").parquet(src)
+    q = start_incremental_profile(spark, src, state, schema=ev.schema, table_name="events",
+                                  available_now=False, processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        ev.where("event_id >= 300").write.mode("append").parquet(src)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert by_col(merged_profile(spark, state))["event_id"].row_count == ev.count()
