@@ -53,3 +53,14 @@ def test_no_cross_joins_in_registered_queries(spark):
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(name)
     assert bad == []
+
+
+def test_default_profile_is_one_job_one_scan(spark):
+    s2 = spark.newSession()
+    s2.conf.set("spark.sql.adaptive.enabled", "false")  # AQE runs each shuffle stage as its own job
+    sc = s2.sparkContext
+    df = profile(s2.read.parquet(f"{SF001}/lineitem.parquet"), "l")
+    assert _plan(df).count("FileScan parquet") == 1
+    sc.setJobGroup("one-job", "default profile")
+    df.write.format("noop").mode("overwrite").save()
+    assert len(sc.statusTracker().getJobIdsForGroup("one-job")) == 1
