@@ -471,11 +471,14 @@ def profile_partials(df: DataFrame, group_cols: Iterable[str] = (), table_name:
     return g.selectExpr(*keep, f"inline(array({', '.join(structs)}))")
 
 
-def merge_partials(partials: DataFrame) -> DataFrame:
+def merge_partials(partials: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """Final merge of ``profile_partials`` rows into the profile schema; the
-    distinct count is the union sketch's estimate (approximate)."""
-    key = ["table_name", "column_name", "ordinal", "data_type", "original_type"]
-    m = partials.groupBy(*key).agg(*[F.expr(e) for e in (
+    distinct count is the union sketch's estimate (approximate).  ``by``
+    keeps those group columns: one profile per group (e.g. per partition
+    value) instead of one for the whole table."""
+    by = list(by)
+    key = by + ["table_name", "column_name", "ordinal", "data_type", "original_type"]
+    m = partials.groupBy(*[col(c) for c in key]).agg(*[F.expr(e) for e in (
         "CAST(sum(row_count) AS BIGINT) AS row_count",
         "CAST(sum(non_null) AS BIGINT) AS non_null",
         *[f"min(min_{ln}) AS min_{ln}" for ln in LANE_SQL],
@@ -484,14 +487,22 @@ def merge_partials(partials: DataFrame) -> DataFrame:
         "CAST(max(max_len) AS BIGINT) AS max_len",
         "hll_union_agg(sketch, true) AS sketch")])
     return m.selectExpr(
-        *key, "row_count",
+        *[quote(c) for c in key], "row_count",
         "CAST(row_count - non_null AS BIGINT) AS null_count",
         "CAST(hll_sketch_estimate(sketch) AS BIGINT) AS distinct_count",
         "true AS distinct_is_approx",
         *LANE_COLUMNS,
         "round(sum_len / non_null, 6) AS avg_len",
         "max_len",
-    ).select(*PROFILE_COLUMNS)
+    ).select(*[col(c) for c in by], *PROFILE_COLUMNS)
+
+
+def profile_by_group(df: DataFrame, group_cols: Iterable[str], table_name: str = "table",
+                     lg_k: int = DEFAULT_LG_K) -> DataFrame:
+    """F5 per group: one profile per value of ``group_cols`` (a partition, a
+    day) from one grouped aggregate; the group columns lead each row."""
+    group_cols = list(group_cols)
+    return merge_partials(profile_partials(df, group_cols, table_name, lg_k), by=group_cols)
 
 
 def profile_by_file(df: DataFrame, table_name: str = "table", lg_k: int = DEFAULT_LG_K) -> DataFrame:

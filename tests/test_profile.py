@@ -181,3 +181,17 @@ def test_duplicate_column_names(spark):
     for mode in ("exact", "approx"):
         rows = sorted((r.ordinal, r.column_name, r.max_int) for r in profile(df, distinct=mode).collect())
         assert rows == [(1, "a", 2), (2, "b", None), (3, "a", 20)]
+
+
+def test_profile_by_group_equals_profile_of_each_group(spark):
+    from lakelens.operators.profile import profile_by_group
+    o = spark.read.parquet(f"{SF001}/orders.parquet")
+    g = profile_by_group(o, ["o_orderstatus"], "orders").collect()
+    assert {r.o_orderstatus for r in g} == {"F", "O", "P"}
+    for status in ("F", "P"):
+        want = by_col(profile(o.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), "orders",
+                              distinct="exact"))
+        got = {r.column_name: r for r in g if r.o_orderstatus == status}
+        for k, r in want.items():
+            assert (got[k].row_count, got[k].min_int, got[k].max_num, got[k].max_str, got[k].min_ts) == \
+                   (r.row_count, r.min_int, r.max_num, r.max_str, r.min_ts)
