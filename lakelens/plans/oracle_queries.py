@@ -302,3 +302,18 @@ ORACLE["lake_directories"] = """SELECT * FROM (VALUES ('raw'), ('raw/events_json
                       ('tpch/orders'), ('tpch/orders_delta')) AS t(name)
 UNION ALL
 SELECT DISTINCT 'tpch/orders_delta/o_orderstatus=' || o_orderstatus FROM orders"""
+
+
+def _per_group_sql() -> str:
+    parts = []
+    cols = TABLE_SCHEMAS["orders"]
+    for ordinal, (c, typ) in enumerate(cols, start=1):
+        if c == "o_orderstatus":
+            continue
+        one = profile_select("orders", "orders", [(c, typ)], with_distinct_cols=False)
+        one = one.replace("CAST(1 AS INTEGER) AS ordinal", f"CAST({ordinal} AS INTEGER) AS ordinal")
+        parts.append(one.replace("SELECT ", "SELECT o_orderstatus, ", 1) + " GROUP BY o_orderstatus")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["profile_per_partition"] = _per_group_sql()

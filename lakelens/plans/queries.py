@@ -457,3 +457,13 @@ QUERIES.update({
     "history_compacted": history_compacted,
     "lake_directories": lake_directories,
 })
+
+
+def profile_per_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 per group: one profile of orders per o_orderstatus value, from one
+    grouped aggregate (distinct is a sketch estimate, left out)."""
+    o = read_table(spark, sf_dir, "orders")
+    return P.profile_by_group(o, ["o_orderstatus"], "orders").select("o_orderstatus", *_NO_DISTINCT)
+
+
+QUERIES["profile_per_partition"] = profile_per_partition
