@@ -53,8 +53,8 @@ def load_table(spark: SparkSession, config: Mapping[str, Any], table_id: str) ->
     """A1: dispatch on the source config's ``type``.
 
     rdbms -> JDBC; file_system -> Parquet below ``path``; duckdb -> a
-    directory of Parquet tables registered as views (the embedded database's
-    role); databricks -> the session catalog.
+    directory of Parquet tables (the embedded database's role), one child
+    directory per table; databricks -> the session catalog.
     """
     kind = config.get("type")
     details = dict(config.get("connection_details") or {})
@@ -73,8 +73,9 @@ def load_table(spark: SparkSession, config: Mapping[str, Any], table_id: str) ->
         base = details.get("database")
         if not base:
             raise ValueError("DuckDB connection requires 'database' parameter")
-        register_directory(spark, base)
-        return spark.table(split_table_id(table_id)[2])
+        # a directory of Parquet tables stands in for the database file; the
+        # table is read directly (``register_directory`` registers views)
+        return read_parquet(spark, f"{base.rstrip('/')}/{split_table_id(table_id)[2]}")
     return read_catalog_table(spark, table_id)
 
 
