@@ -54,3 +54,18 @@ def test_exact_profile_matches_brute_force(spark, data):
                 assert math.isnan(r.max_num)  # NaN sorts last in Spark
             else:
                 assert r.max_num == max(finite)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.integers(-10 ** 12, 10 ** 12), st.text(max_size=8)), min_size=1, max_size=40,
+                unique_by=str),
+       st.integers(0, 10 ** 6), st.floats(0, 100))
+def test_hash_sample_matches_md5_rule(spark, keys, seed, percent):
+    import hashlib
+
+    from lakelens.operators.sampling import hash_sample
+    df = spark.createDataFrame([(str(k),) for k in keys], "k string")
+    got = {r.k for r in hash_sample(df, percent, "k", seed).collect()}
+    want = {str(k) for k in keys
+            if int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:8], 16) % 10000 < percent * 100}
+    assert got == want
