@@ -11,13 +11,21 @@ from __future__ import annotations
 import datetime as _dt
 import decimal
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lakelens.sources.listing import list_files
 
+# The footer readers run in Python workers on the executors.  Pickling this
+# module's functions by value ships their code with the task, so executors
+# need pyarrow/pandas but not this package on their path (it can still be
+# shipped the usual way, with --py-files).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK_SCHEMA = T.StructType([
     T.StructField("file_path", T.StringType()),
     T.StructField("row_group", T.IntegerType()),
