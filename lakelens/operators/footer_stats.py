@@ -68,6 +68,11 @@ def footer_column_stats(spark: SparkSession, path: str, column: str) -> DataFram
 V1_SOURCES_WITHOUT_PARQUET = "avro,csv,json,kafka,orc,text"
 
 
+def _zero_norm(c: F.Column) -> F.Column:
+    """-0.0 reads as 0.0 (see ``profile.zero_norm_sql``)."""
+    return F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
+
+
 def pushdown_aggregate(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """MIN/MAX/COUNT answered from footers by Spark's V2 Parquet reader.
 
@@ -96,8 +101,8 @@ def pushdown_aggregate(spark: SparkSession, path: str, columns: Sequence[str]) -
             F.col("__rows").cast("long").alias("row_count"),
             (F.col(f"mn{i}").cast("long") if is_int else F.lit(None).cast("long")).alias("min_int"),
             (F.col(f"mx{i}").cast("long") if is_int else F.lit(None).cast("long")).alias("max_int"),
-            (F.lit(None).cast("double") if is_int else F.col(f"mn{i}").cast("double")).alias("min_num"),
-            (F.lit(None).cast("double") if is_int else F.col(f"mx{i}").cast("double")).alias("max_num"),
+            (F.lit(None).cast("double") if is_int else _zero_norm(F.col(f"mn{i}"))).alias("min_num"),
+            (F.lit(None).cast("double") if is_int else _zero_norm(F.col(f"mx{i}"))).alias("max_num"),
         ))
     return wide.select(F.inline(F.array(*structs)))
 

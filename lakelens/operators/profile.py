@@ -193,11 +193,19 @@ def _lane_sql(f: T.StructField, i: int, mn: str | None = None, mx: str | None =
         if isinstance(f.dataType, T.DecimalType):
             out[f"{b}_num"] = f"CAST({src} AS DOUBLE)"
             out[f"{b}_str"] = f"CAST({src} AS STRING)"
+        elif lane == "num":
+            out[f"{b}_num"] = zero_norm_sql(f"CAST({src} AS DOUBLE)")
         else:
             out[f"{b}_{lane}"] = f"CAST({src} AS {LANE_SQL[lane]})"
     return out
 
 
+def zero_norm_sql(x: str) -> str:
+    """-0.0 and 0.0 are one value: bounds report 0.0, whichever the engine's
+    aggregate happened to keep (distinct counting already merges them)."""
+    return f"CASE WHEN {x} = 0 THEN CAST(0 AS DOUBLE) ELSE {x} END"
+
+
 def _named_struct(pairs: list[tuple[str, str]]) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in pairs) + ")"
 

@@ -43,6 +43,11 @@ _LANE = {"int": "int", "bigint": "int", "double": "num", "string": "str", "times
 _LANE_SQL = {"int": "BIGINT", "num": "DOUBLE", "str": "VARCHAR", "ts": "TIMESTAMP"}
 
 
+def zero_norm(x: str) -> str:
+    """-0.0 reads as 0.0, as in the profile's float lanes."""
+    return f"CASE WHEN {x} = 0 THEN CAST(0 AS DOUBLE) ELSE {x} END"
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -72,7 +77,8 @@ def profile_select(table_label: str, source: str, columns: list[tuple[str, str]]
         for b, fn in (("min", "min"), ("max", "max")):
             for ln, sqlt in _LANE_SQL.items():
                 if ln == lane:
-                    cols.append(f"CAST({fn}({name}) AS {sqlt}) AS {b}_{ln}")
+                    v = f"CAST({fn}({name}) AS {sqlt})"
+                    cols.append(f"{zero_norm(v) if ln == 'num' else v} AS {b}_{ln}")
                 else:
                     cols.append(f"CAST(NULL AS {sqlt}) AS {b}_{ln}")
         if typ == "string":

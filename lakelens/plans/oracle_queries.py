@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lakelens.functions.types import DIALECT_RULES
 from lakelens.plans.oracle import (STAR_TABLES, TABLE_SCHEMAS, hash_pred_sql, lit, profile_select,
-                                   rule_case_sql, table_profile_sql)
+                                   rule_case_sql, table_profile_sql, zero_norm)
 
 _NULLS_CTE = """(SELECT o_orderkey,
         nullif(o_orderpriority, '5-LOW') AS o_orderpriority,
@@ -41,7 +41,7 @@ ORACLE = {
     "column_stats_single": """SELECT 'c_acctbal' AS column_name, CAST(count(*) AS BIGINT) AS row_count,
         CAST(count(*) - count(c_acctbal) AS BIGINT) AS null_count,
         CAST(count(DISTINCT c_acctbal) AS BIGINT) AS distinct_count,
-        min(c_acctbal) AS min_num, max(c_acctbal) AS max_num FROM customer""",
+        """ + zero_norm("min(c_acctbal)") + """ AS min_num, """ + zero_norm("max(c_acctbal)") + """ AS max_num FROM customer""",
     "profile_all_tables": "\nUNION ALL\n".join(table_profile_sql(t) for t in STAR_TABLES),
     "approx_distinct_check": """SELECT 'o_custkey' AS column_name,
         CAST(count(DISTINCT o_custkey) AS BIGINT) AS exact_distinct,
@@ -119,6 +119,10 @@ ORACLE["candidate_keys"] = "\nUNION ALL\n".join([
     _key_sql("lineitem", ["l_orderkey", "l_linenumber"]), _key_sql("lineitem", ["l_orderkey"])])
 
 
+def _zn(x: str, typ: str) -> str:
+    return zero_norm(x) if typ == "double" else x
+
+
 def _describe_sql(t: str) -> str:
     parts = []
     for i, (c, typ) in enumerate(TABLE_SCHEMAS[t], start=1):
@@ -127,8 +131,8 @@ def _describe_sql(t: str) -> str:
         parts.append(
             f"SELECT {lit(t)} AS table_name, CAST({i} AS INTEGER) AS ordinal, {lit(c)} AS column_name, "
             f"{lit(cls)} AS type, {lit(typ)} AS original_type, "
-            f"coalesce(CAST(min({c}) AS VARCHAR), '') AS min_value, "
-            f"coalesce(CAST(max({c}) AS VARCHAR), '') AS max_value, "
+            f"coalesce(CAST({_zn(f'min({c})', typ)} AS VARCHAR), '') AS min_value, "
+            f"coalesce(CAST({_zn(f'max({c})', typ)} AS VARCHAR), '') AS max_value, "
             f"CAST(count(*) - count({c}) AS VARCHAR) AS null_count, "
             f"CAST(count(DISTINCT {c}) AS VARCHAR) AS distinct_count, "
             f"CAST(count(*) AS VARCHAR) AS row_count FROM {t}")
@@ -150,6 +154,8 @@ def _bounds_sql(t: str, where: str = "", extra_rows: str = "CAST(count(*) AS BIG
         for b in ("min", "max"):
             for ln, sqlt in lane_sql.items():
                 v = f"CAST({b}({c}) AS {sqlt})" if ln == lane else f"CAST(NULL AS {sqlt})"
+                if ln == lane == "num":
+                    v = zero_norm(v)
                 cols.append(f"{v} AS {b}_{ln}")
         parts.append("SELECT " + ", ".join(cols) + f" FROM {t} {where}")
     return "\nUNION ALL\n".join(parts)
@@ -163,7 +169,7 @@ ORACLE["footer_pushdown_agg"] = "\nUNION ALL\n".join(
        "CAST(NULL AS DOUBLE) AS min_num, CAST(NULL AS DOUBLE) AS max_num"
        if typ in ("int", "bigint") else
        "CAST(NULL AS BIGINT) AS min_int, CAST(NULL AS BIGINT) AS max_int, "
-       f"min({c}) AS min_num, max({c}) AS max_num")
+       f"{zero_norm(f'min({c})')} AS min_num, {zero_norm(f'max({c})')} AS max_num")
     + " FROM lineitem"
     for c, typ in TABLE_SCHEMAS["lineitem"] if typ in ("int", "bigint", "double"))
 
@@ -245,7 +251,8 @@ def _meta_sql() -> str:
             f"CAST(count(*) AS BIGINT) AS row_count, {lit(c)} AS column_name, {lit(cls[typ])} AS data_type, "
             f"CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
             f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count, "
-            f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders")
+            f"CAST({_zn(f'min({c})', typ)} AS VARCHAR) AS min_value, "
+            f"CAST({_zn(f'max({c})', typ)} AS VARCHAR) AS max_value FROM orders")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -283,8 +290,9 @@ def _given_footer_sql() -> str:
     parts.append(
         "SELECT 'embeddings' AS table_name, 'embedding.list.element' AS column_name, "
         "(SELECT CAST(count(*) AS BIGINT) FROM embeddings) AS row_count, CAST(0 AS BIGINT) AS null_count, "
-        "CAST(NULL AS BIGINT) AS min_int, CAST(NULL AS BIGINT) AS max_int, CAST(min(e) AS DOUBLE) AS min_num, "
-        "CAST(max(e) AS DOUBLE) AS max_num, CAST(NULL AS VARCHAR) AS min_str, CAST(NULL AS VARCHAR) AS max_str, "
+        "CAST(NULL AS BIGINT) AS min_int, CAST(NULL AS BIGINT) AS max_int, "
+        f"{zero_norm('CAST(min(e) AS DOUBLE)')} AS min_num, "
+        f"{zero_norm('CAST(max(e) AS DOUBLE)')} AS max_num, CAST(NULL AS VARCHAR) AS min_str, CAST(NULL AS VARCHAR) AS max_str, "
         "CAST(NULL AS TIMESTAMP) AS min_ts, CAST(NULL AS TIMESTAMP) AS max_ts "
         "FROM (SELECT unnest(embedding) AS e FROM embeddings)")
     return "\nUNION ALL BY NAME\n".join(parts)

@@ -190,7 +190,7 @@ def delta_column_stats(spark: SparkSession, table_path: str, version: int | None
             if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
                 lanes[f"{b}_int"] = v.cast("long")
             elif isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-                lanes[f"{b}_num"] = v.cast("double")
+                lanes[f"{b}_num"] = F.when(v == 0, F.lit(0.0)).otherwise(v.cast("double"))  # -0.0 -> 0.0
             elif isinstance(dt, T.StringType):
                 lanes[f"{b}_str"] = v
             elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):

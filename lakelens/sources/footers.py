@@ -88,7 +88,7 @@ def _lanes(logical: str, physical: str, v):
     if isinstance(v, float):
         if math.isnan(v):
             return None, None, True
-        return "num", v, False
+        return "num", (0.0 if v == 0 else v), False  # -0.0 reads as 0.0
     if isinstance(v, (pd.Timestamp, _dt.datetime)):
         ts = pd.Timestamp(v)
         if ts.tzinfo is not None:
