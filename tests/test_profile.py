@@ -195,3 +195,12 @@ def test_profile_by_group_equals_profile_of_each_group(spark):
         for k, r in want.items():
             assert (got[k].row_count, got[k].min_int, got[k].max_num, got[k].max_str, got[k].min_ts) == \
                    (r.row_count, r.min_int, r.max_num, r.max_str, r.min_ts)
+
+
+def test_negative_zero_bounds_read_as_zero(spark):
+    df = spark.createDataFrame([(-0.0,), (0.0,), (-0.0,)], "x double")
+    for mode in ("none", "approx", "exact"):
+        r = profile(df, distinct=mode).collect()[0]
+        assert math.copysign(1.0, r.min_num) == 1.0 and math.copysign(1.0, r.max_num) == 1.0, mode
+        if mode == "exact":
+            assert r.distinct_count == 1
