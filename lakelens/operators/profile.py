@@ -384,21 +384,32 @@ def profile_tables(tables: Mapping[str, DataFrame], out_path: str | None = None,
         raise ValueError("no tables given")
     names = list(tables)
     if out_path is None:
-        out = None
-        for name in names:
-            p = profile(tables[name], table_name=name, **kwargs)
-            out = p if out is None else out.unionByName(p)
+        parts = _build_profiles(tables, names, kwargs)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
         return out
     spark = next(iter(tables.values())).sparkSession
     for start in range(0, len(names), chunk):
-        part = None
-        for name in names[start:start + chunk]:
-            p = profile(tables[name], table_name=name, **kwargs)
-            part = p if part is None else part.unionByName(p)
+        built = _build_profiles(tables, names[start:start + chunk], kwargs)
+        part = built[0]
+        for p in built[1:]:
+            part = part.unionByName(p)
         part.write.mode("append").parquet(out_path)
     return spark.read.parquet(out_path)
 
 
+def _build_profiles(tables: Mapping[str, DataFrame], names: list[str], kwargs: dict) -> list[DataFrame]:
+    """Profile plans of several tables, built from a few driver threads
+    (building is driver-to-JVM round trips; the jobs run when executed)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    if len(names) <= 1:
+        return [profile(tables[n], table_name=n, **kwargs) for n in names]
+    with ThreadPoolExecutor(max_workers=min(8, len(names))) as pool:
+        return list(pool.map(lambda n: profile(tables[n], table_name=n, **kwargs), names))
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """G1 over several tables: (table_name, row_count) in ONE job - the
     tables' zero-column scans are stacked with their name and counted by one
