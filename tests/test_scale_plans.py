@@ -64,3 +64,9 @@ def test_default_profile_is_one_job_one_scan(spark):
     sc.setJobGroup("one-job", "default profile")
     df.write.format("noop").mode("overwrite").save()
     assert len(sc.statusTracker().getJobIdsForGroup("one-job")) == 1
+
+
+def test_footer_listing_reads_no_content(spark):
+    from lakelens.sources.footers import footer_chunks
+    plan = _plan(footer_chunks(spark, SF001))
+    assert "ReadSchema: struct<path:string>" in plan and "content" not in plan
