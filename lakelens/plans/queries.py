@@ -467,3 +467,13 @@ def profile_per_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["profile_per_partition"] = profile_per_partition
+
+
+def delta_profile_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4 over a Delta table's data at version 1 (time travel: only the O
+    files are live then), read from its log without a Delta runtime."""
+    df = DL.read_delta(spark, FX.delta_orders(spark, sf_dir), version=1)
+    return P.profile(df, "orders_delta", distinct="exact")
+
+
+QUERIES["delta_profile_v1"] = delta_profile_v1

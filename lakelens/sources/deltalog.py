@@ -202,3 +202,22 @@ def delta_column_stats(spark: SparkSession, table_path: str, version: int | None
             *[lanes[k].alias(k) for k in ("min_int", "max_int", "min_num", "max_num",
                                           "min_str", "max_str", "min_ts", "max_ts")]))
     return wide.select(F.inline(F.array(*structs)))
+
+
+def read_delta(spark: SparkSession, table_path: str, version: int | None = None) -> DataFrame:
+    """The table's data at ``version`` (latest if None) without a Delta
+    runtime: the snapshot's data files are read as Parquet with the table
+    root as ``basePath``, so Hive-style partition columns come back.
+
+    The file list (one path per data file, log metadata) is planned on the
+    driver, as every Delta reader plans its scan.  Tables using deletion
+    vectors or column mapping need the Delta runtime and are refused.
+    """
+    acts = log_actions(spark, table_path)
+    files = snapshot_files(spark, table_path, version, acts)
+    root = table_path.rstrip("/")
+    paths = [f"{root}/{r.path}" for r in files.select("path").collect()]
+    schema, _ = table_metadata(spark, table_path, acts)
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", root).parquet(*paths)

@@ -57,3 +57,14 @@ def test_checkpoint_base_without_old_commits(spark, scratch):
     got = sorted((r.path, r.added_in_version) for r in snapshot_files(spark, dst).collect())
     assert [p for p, _ in got] == [p for p, _ in full]
     assert delta_table_stats(spark, dst).collect()[0].row_count == delta_table_stats(spark, src).collect()[0].row_count
+
+
+def test_read_delta_data_and_time_travel(spark):
+    from lakelens.sources.deltalog import read_delta
+    t = delta_orders(spark, SF001)
+    o = spark.read.parquet(f"{SF001}/orders.parquet")
+    latest = read_delta(spark, t)
+    assert latest.count() == o.count() and "o_orderstatus" in latest.columns
+    v0 = read_delta(spark, t, version=0)
+    assert v0.count() == o.where("o_orderstatus IN ('F', 'O')").count()
+    assert {r.o_orderstatus for r in v0.select("o_orderstatus").distinct().collect()} == {"F", "O"}
