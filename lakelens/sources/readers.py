@@ -78,7 +78,12 @@ def load_table(spark: SparkSession, config: Mapping[str, Any], table_id: str) ->
         base = details.get("path")
         if not base:
             raise ValueError("file_system source requires 'path'")
-        return read_parquet(spark, f"{base.rstrip('/')}/{table_id}")
+        table_path = f"{base.rstrip('/')}/{table_id}"
+        from lakelens.session import path_exists
+        if path_exists(spark, f"{table_path}/_delta_log"):  # Delta first: its files are Parquet too
+            from lakelens.sources.deltalog import read_delta
+            return read_delta(spark, table_path)
+        return read_parquet(spark, table_path)
     if kind == "duckdb":
         base = details.get("database")
         if not base:

@@ -41,3 +41,12 @@ def test_split_ids():
     assert split_table_id("c.db.t") == ("c", "db", "t")
     with pytest.raises(ValueError):
         split_table_id("a.b.c.d")
+
+
+def test_file_system_source_reads_delta(spark):
+    from lakelens.plans.fixtures import lake
+    base = lake(spark, SF001)
+    cfg = {"type": "file_system", "connection_details": {"path": base}}
+    o = spark.read.parquet(f"{SF001}/orders.parquet").count()
+    assert load_table(spark, cfg, "tpch/orders_delta").count() == o
+    assert load_table(spark, cfg, "tpch/orders").count() == o
