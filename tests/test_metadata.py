@@ -68,3 +68,15 @@ def test_schema_dialect_compat(spark):
     assert arrow == {"a": "integer", "b": "unknown", "d": "unknown", "s": "string"}
     lake = {r.column_name: r.data_type for r in table_schema(spark, df, "t", "lakehouse_sql").collect()}
     assert lake == {"a": "integer", "b": "float", "d": "unknown", "s": "string"}
+
+
+def test_candidate_keys_shared_profile_path(spark):
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    sets = [[c] for c in li.columns] + [["l_orderkey", "l_linenumber"]]
+    got = {r.key_columns: r for r in candidate_keys(li, sets, "li").collect()}
+    n = li.count()
+    pair = li.select("l_orderkey", "l_linenumber").distinct().count()
+    assert got["l_orderkey,l_linenumber"].distinct_count == pair
+    assert got["l_orderkey,l_linenumber"].is_key == (pair == n)
+    for c in li.columns:
+        assert got[c].row_count == n and got[c].distinct_count == li.select(c).distinct().count()
