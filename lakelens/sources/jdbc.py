@@ -110,17 +110,23 @@ def pushed_query(spark: SparkSession, details: Mapping[str, Any], credentials: M
     return r.option("dbtable", f"({sql}) lakelens_q").load()
 
 
-def jdbc_column_stats(spark: SparkSession, details: Mapping[str, Any], credentials: Mapping[str, Any],
-                      table_id: str, columns: Sequence[str]) -> DataFrame:
-    """G1/G2 pushed down: one aggregate statement for all columns, then one
-    row per column (column_name, row_count, null_count, distinct_count,
-    min_value, max_value as text)."""
+def column_stats_sql(table_id: str, columns: Sequence[str]) -> str:
+    """The one statement the database runs for G1/G2 over ``columns``
+    (the reference issues two per column)."""
     ref = table_ref(table_id)
     sel = ["COUNT(*) AS n"]
     for i, c in enumerate(columns):
         sel += [f"COUNT({c}) AS nn{i}", f"COUNT(DISTINCT {c}) AS d{i}",
                 f"MIN({c}) AS mn{i}", f"MAX({c}) AS mx{i}"]
-    wide = pushed_query(spark, details, credentials, f"SELECT {', '.join(sel)} FROM {ref}")
+    return f"SELECT {', '.join(sel)} FROM {ref}"
+
+
+def jdbc_column_stats(spark: SparkSession, details: Mapping[str, Any], credentials: Mapping[str, Any],
+                      table_id: str, columns: Sequence[str]) -> DataFrame:
+    """G1/G2 pushed down: one aggregate statement for all columns, then one
+    row per column (column_name, row_count, null_count, distinct_count,
+    min_value, max_value as text)."""
+    wide = pushed_query(spark, details, credentials, column_stats_sql(table_id, columns))
     wide = wide.toDF(*[c.lower() for c in wide.columns])
     return wide.select(F.inline(F.array(*[F.struct(
         F.lit(c).alias("column_name"), F.col("n").cast("long").alias("row_count"),

@@ -50,3 +50,11 @@ def test_file_system_source_reads_delta(spark):
     o = spark.read.parquet(f"{SF001}/orders.parquet").count()
     assert load_table(spark, cfg, "tpch/orders_delta").count() == o
     assert load_table(spark, cfg, "tpch/orders").count() == o
+
+
+def test_jdbc_statistics_statement():
+    from lakelens.sources.jdbc import column_stats_sql
+    sql = column_stats_sql("public.test_users", ["age", "name"])
+    assert sql == ("SELECT COUNT(*) AS n, COUNT(age) AS nn0, COUNT(DISTINCT age) AS d0, MIN(age) AS mn0, "
+                   "MAX(age) AS mx0, COUNT(name) AS nn1, COUNT(DISTINCT name) AS d1, MIN(name) AS mn1, "
+                   "MAX(name) AS mx1 FROM public.test_users")
