@@ -24,8 +24,8 @@ def min_value_text(prefix: str) -> Column:
 
 def describe_report(spark: SparkSession, df: DataFrame, table_name: str,
                     distinct: str = "exact") -> DataFrame:
-    """Schema left-joined to the profile on the column name; every value
-    as text, missing values as empty strings.
+    """Schema left-joined to the profile on the column ordinal (names
+    may repeat); every value as text, missing values as empty strings.
 
     The profile side has one row per column, so the join is bounded by the
     schema width and broadcast.
@@ -33,13 +33,13 @@ def describe_report(spark: SparkSession, df: DataFrame, table_name: str,
     s = table_schema(spark, df, table_name).select("table_name", "ordinal", "column_name",
                                                    "data_type", "original_type")
     p = profile(df, table_name, distinct=distinct).select(
-        "column_name",
+        "ordinal",
         min_value_text("min").alias("min_value"),
         min_value_text("max").alias("max_value"),
         "null_count", "distinct_count", "row_count")
     if len(df.columns) <= BROADCAST_MAX_ROWS:
         p = F.broadcast(p)  # one row per column: size known from the schema
-    j = s.join(p, "column_name", "left")
+    j = s.join(p, "ordinal", "left")
     blank = F.lit("")
     return j.select(
         "table_name", "ordinal", "column_name",

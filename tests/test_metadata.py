@@ -80,3 +80,9 @@ def test_candidate_keys_shared_profile_path(spark):
     assert got["l_orderkey,l_linenumber"].is_key == (pair == n)
     for c in li.columns:
         assert got[c].row_count == n and got[c].distinct_count == li.select(c).distinct().count()
+
+
+def test_describe_with_duplicate_names(spark):
+    df = spark.sql("SELECT 1 AS k, 2 AS k2").toDF("k", "k")
+    rows = sorted((r.ordinal, r.column_name, r.max_value) for r in describe_report(spark, df, "t").collect())
+    assert rows == [(1, "k", "1"), (2, "k", "2")]
