@@ -136,7 +136,12 @@ def full_metadata(spark: SparkSession, df: DataFrame, table_id: str, path: str |
             (mod if mod is not None else F.lit(None).cast("timestamp")).alias("modified"),
             (part if part is not None else F.lit(None).cast(part_t)).alias("part"))
 
-    parts = tagged(p, "stat", rows=F.col("row_count"), stat=stat_entry)
+    # one entry per name: with repeated names the last column wins, as in a
+    # mapping keyed by name (map_from_entries refuses duplicate keys)
+    by_name = (p.select("column_name", "ordinal", "row_count", stat_entry.alias("stat"))
+                .groupBy("column_name")
+                .agg(F.max("row_count").alias("row_count"), F.max_by("stat", "ordinal").alias("stat")))
+    parts = tagged(by_name, "stat", rows=F.col("row_count"), stat=F.col("stat"))
     if path is not None:
         sz = table_size(spark, path)
         parts = parts.unionByName(tagged(sz, "size", size=F.col("total_size_bytes"),

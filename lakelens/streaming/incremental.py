@@ -32,14 +32,24 @@ def start_incremental_profile(spark: SparkSession, input_dir: str, state_dir: st
     on ``processing_time`` triggers."""
     if schema is None:
         schema = spark.read.parquet(input_dir).schema
+    stream = (spark.readStream.schema(schema)
+              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(input_dir))
+    return start_stream_profile(stream, state_dir, table_name, lg_k, available_now, processing_time)
+
+
+def start_stream_profile(stream: DataFrame, state_dir: str, table_name: str = "table",
+                         lg_k: int = DEFAULT_LG_K, available_now: bool = True,
+                         processing_time: str | None = None) -> StreamingQuery:
+    """Profile any streaming DataFrame (files, Kafka, ...): each micro-batch
+    becomes one partial per column under ``<state>/partials/batch_id=<n>``."""
+    if not stream.isStreaming:
+        raise ValueError("start_stream_profile needs a streaming DataFrame")
     out = _partials_dir(state_dir)
 
     def write_batch(df: DataFrame, batch_id: int) -> None:
         part = profile_partials(df, [], table_name, lg_k)
         part.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    stream = (spark.readStream.schema(schema)
-              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(input_dir))
     w = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", f"{state_dir.rstrip('/')}/_checkpoint"))
     if available_now:

@@ -86,3 +86,9 @@ def test_describe_with_duplicate_names(spark):
     df = spark.sql("SELECT 1 AS k, 2 AS k2").toDF("k", "k")
     rows = sorted((r.ordinal, r.column_name, r.max_value) for r in describe_report(spark, df, "t").collect())
     assert rows == [(1, "k", "1"), (2, "k", "2")]
+
+
+def test_full_metadata_duplicate_names_last_wins(spark):
+    df = spark.sql("SELECT 1 AS k, 2 AS k2").toDF("k", "k")
+    m = full_metadata(spark, df, "t").collect()[0]
+    assert list(m.stats.column_stats) == ["k"] and m.stats.column_stats["k"].max_value == "2"

@@ -50,3 +50,18 @@ def test_processing_time_trigger(spark, scratch):
     finally:
         q.stop()
     assert by_col(merged_profile(spark, state))["event_id"].row_count == ev.count()
+
+
+def test_stream_profile_of_any_streaming_frame(spark, scratch):
+    import pytest
+
+    from lakelens.streaming.incremental import start_stream_profile
+    with pytest.raises(ValueError):
+        start_stream_profile(spark.range(3), f"{scratch}/stream/nope")
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    src = f"{scratch}/stream/json_in"
+    ev.write.json(src)
+    stream = spark.readStream.schema(ev.schema).json(src)
+    q = start_stream_profile(stream, f"{scratch}/stream/json_state", "events")
+    q.awaitTermination()
+    assert by_col(merged_profile(spark, f"{scratch}/stream/json_state"))["event_id"].row_count == ev.count()
