@@ -49,3 +49,16 @@ def test_discovery_record(spark):
     assert {"name": "disc_region", "type": "view"} in json.loads(cur[0].content)
     assert fresh(current(rows), at + dt.timedelta(seconds=3600)).count() == 1
     assert fresh(current(rows), at + dt.timedelta(seconds=3601)).count() == 0
+
+
+def test_databases_and_three_part_ids(spark, scratch):
+    from lakelens.operators.inventory import list_databases, table_size
+    from lakelens.sources.readers import read_catalog_table
+    spark.sql("CREATE DATABASE IF NOT EXISTS llthree")
+    spark.read.parquet(f"{SF001}/region.parquet").write.mode("overwrite").saveAsTable("llthree.region")
+    assert "llthree" in [r.name for r in list_databases(spark).collect()]
+    assert read_catalog_table(spark, "spark_catalog.llthree.region").count() == 5
+    assert read_catalog_table(spark, "llthree.region").count() == 5
+    empty = table_size(spark, f"{scratch}/cat/does_not_exist").collect()[0]
+    assert (empty.file_count, empty.total_size_bytes, empty.last_modified) == (0, 0, None)
+    spark.sql("DROP DATABASE llthree CASCADE")
