@@ -50,7 +50,7 @@ def describe_report(spark: SparkSession, df: DataFrame, table_name: str,
         F.coalesce(F.col("null_count").cast("string"), blank).alias("null_count"),
         F.coalesce(F.col("distinct_count").cast("string"), blank).alias("distinct_count"),
         F.coalesce(F.col("row_count").cast("string"), blank).alias("row_count"),
-    )
+    ).orderBy("ordinal")  # a report in column order: one row per column
 
 
 # --- X1/X2/X4: nested whole-table record and its JSON form ---------------------------

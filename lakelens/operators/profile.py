@@ -281,47 +281,163 @@ def _key_lanes(q: str, dt: T.DataType, digest_over: int | None) -> dict[str, str
             "k_dig": f"CASE WHEN octet_length({v}) > {int(digest_over)} THEN unhex(sha2({v}, 256)) END"}
 
 
+def _key_counts(df: DataFrame, atomic, digest_over: int | None) -> DataFrame:
+    """(ordinal, key lanes..., n): rows per distinct (column, value) of the
+    atomic columns; a column's NULLs form one all-NULL group.  One scan, the
+    unpivot counted map-side before the shuffle."""
+    structs = []
+    for i, f in atomic:
+        vals = _key_lanes(_pos(i), f.dataType, digest_over)
+        structs.append(_named_struct(
+            [("ordinal", f"CAST({i} AS INT)")]
+            + [(k, vals.get(k, f"CAST(NULL AS {t})")) for k, t in KEY_LANES.items()]))
+    rows = _positional(df).selectExpr(f"inline(array({', '.join(structs)}))")
+    return rows.groupBy("ordinal", *KEY_LANES).agg(F.count(F.lit(1)).alias("n"))
+
+
+_NONNULL = " OR ".join(f"{k} IS NOT NULL" for k in KEY_LANES)
+
+
+def _per_ordinal(key_counts: DataFrame) -> DataFrame:
+    """Column-level facts from the key counts: rows, non-NULL rows, distinct
+    values and min/max of the fixed-width lanes (a hash aggregate: no string
+    buffers)."""
+    return key_counts.groupBy("ordinal").agg(*[F.expr(e) for e in (
+        "CAST(sum(n) AS BIGINT) AS rows",
+        f"CAST(sum(CASE WHEN {_NONNULL} THEN n ELSE 0 END) AS BIGINT) AS nn",
+        f"CAST(count(CASE WHEN {_NONNULL} THEN 1 END) AS BIGINT) AS d",
+        "min(k_long) AS mn_l", "max(k_long) AS mx_l",
+        "min(k_double) AS mn_d", "max(k_double) AS mx_d",
+        "min(k_ts) AS mn_t", "max(k_ts) AS mx_t")])
+
+
 def exact_distinct_counts(df: DataFrame, fields, digest_over: int | None = DIGEST_OVER_BYTES) -> DataFrame:
     """(ordinal, distinct_count) for the given fields; a column with no
     non-NULL value may be absent (its count is 0).
 
     Atomic columns are unpivoted into narrow rows (ordinal + one key lane
-    per type), de-duplicated (map-side first) and counted per ordinal:
-    linear in the number of columns per input row, where Catalyst's Expand
-    for several ``count(DISTINCT)`` is quadratic (every copy carries every
-    column).  Long strings and binaries are keyed by the SHA-256 of the
-    whole value (``digest_over`` bytes; None keeps raw values), so the count
-    is exact up to SHA-256 collisions.  Nested columns use
-    ``count(DISTINCT)``.
+    per type), counted per distinct key (map-side first) and then per
+    ordinal: linear in the number of columns per input row, where
+    Catalyst's Expand for several ``count(DISTINCT)`` is quadratic (every
+    copy carries every column).  Long strings and binaries are keyed by the
+    SHA-256 of the whole value (``digest_over`` bytes; None keeps raw
+    values), so the count is exact up to SHA-256 collisions.  Nested
+    columns use ``count(DISTINCT)``.
     """
     atomic, nested = [], []
     for i, f in fields:
         (atomic if _key_lane(_pos(i), f.dataType) is not None else nested).append((i, f))
-    df = _positional(df)
     parts = []
     if atomic:
-        structs = []
-        for i, f in atomic:
-            vals = _key_lanes(_pos(i), f.dataType, digest_over)
-            structs.append(_named_struct(
-                [("ordinal", f"CAST({i} AS INT)")]
-                + [(k, vals.get(k, f"CAST(NULL AS {t})")) for k, t in KEY_LANES.items()]))
-        rows = df.selectExpr(f"inline(array({', '.join(structs)}))")
-        nonnull = " OR ".join(f"{k} IS NOT NULL" for k in KEY_LANES)
-        distinct = rows.where(nonnull).distinct()
-        parts.append(distinct.groupBy("ordinal").agg(F.count(F.lit(1)).cast("long").alias("distinct_count")))
+        parts.append(_key_counts(df, atomic, digest_over).where(_NONNULL)
+                     .groupBy("ordinal").agg(F.count(F.lit(1)).cast("long").alias("distinct_count")))
     if nested:
-        wide = df.selectExpr(*[
-            f"count(DISTINCT {distinct_input_sql(_pos(i), f.dataType)}) AS d{i}" for i, f in nested])
-        parts.append(wide.selectExpr("inline(array(" + ", ".join(
-            _named_struct([("ordinal", f"CAST({i} AS INT)"), ("distinct_count", f"CAST(d{i} AS BIGINT)")])
-            for i, f in nested) + "))"))
+        parts.append(_nested_distinct(df, nested))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _nested_distinct(df: DataFrame, nested) -> DataFrame:
+    wide = _positional(df).selectExpr(*[
+        f"count(DISTINCT {distinct_input_sql(_pos(i), f.dataType)}) AS d{i}" for i, f in nested])
+    return wide.selectExpr("inline(array(" + ", ".join(
+        _named_struct([("ordinal", f"CAST({i} AS INT)"), ("distinct_count", f"CAST(d{i} AS BIGINT)")])
+        for i, f in nested) + "))")
+
+
+# Columns whose cheap statistics follow from their exact keys: integers,
+# booleans, floats, dates and timestamps (the key lane holds the value).
+def _derivable_kind(dt: T.DataType) -> str | None:
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "int"
+    if isinstance(dt, T.BooleanType):
+        return "bool"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "num"
+    if isinstance(dt, T.TimestampType):
+        return "ltz"
+    if isinstance(dt, (T.TimestampNTZType, T.DateType)):
+        return "ts"
+    return None
+
+
+def _exact_batch(df: DataFrame, batch, table_name: str, rsd: float, impl: str) -> DataFrame:
+    """Exact profile of one column batch.
+
+    The key counts are computed once and consumed once: integer/float/date/
+    timestamp columns take every statistic from them (one scan for those
+    columns); the cheap aggregate scans only the columns that need raw
+    values (strings, binaries, decimals, nested) and takes just the
+    distinct count from them.  Both kinds of row are stacked and joined once
+    to the per-column facts (one row per column: broadcast).
+    """
+    spark = df.sparkSession
+    atomic = [(i, f) for i, f in batch if _key_lane(_pos(i), f.dataType) is not None]
+    nested = [(i, f) for i, f in batch if _key_lane(_pos(i), f.dataType) is None]
+    derivable = [(i, f) for i, f in atomic if _derivable_kind(f.dataType) is not None]
+    dset = {i for i, _ in derivable}
+    other = [(i, f) for i, f in batch if i not in dset]
+
+    facts = []
+    if atomic:
+        facts.append(_per_ordinal(_key_counts(df, atomic, DIGEST_OVER_BYTES)))
+    if nested:
+        facts.append(_nested_distinct(df, nested).selectExpr(
+            "ordinal", "CAST(NULL AS BIGINT) AS rows", "CAST(NULL AS BIGINT) AS nn", "distinct_count AS d",
+            "CAST(NULL AS BIGINT) AS mn_l", "CAST(NULL AS BIGINT) AS mx_l",
+            "CAST(NULL AS DOUBLE) AS mn_d", "CAST(NULL AS DOUBLE) AS mx_d",
+            "CAST(NULL AS TIMESTAMP_NTZ) AS mn_t", "CAST(NULL AS TIMESTAMP_NTZ) AS mx_t"))
+    fact = facts[0]
+    for x in facts[1:]:
+        fact = fact.unionByName(x)
+
+    base = []
+    if other:
+        base.append(_cheap_rows(df, other, table_name, "none", rsd, impl)
+                    .selectExpr(*PROFILE_COLUMNS, "CAST(NULL AS STRING) AS kind"))
+    if derivable:
+        rows = [(table_name, f.name, i, canonical_class(f.dataType), f.dataType.simpleString(),
+                 _derivable_kind(f.dataType)) for i, f in derivable]
+        meta = spark.createDataFrame(rows, "table_name string, column_name string, ordinal int, "
+                                           "data_type string, original_type string, kind string")
+        base.append(meta.selectExpr(
+            "table_name", "column_name", "ordinal", "data_type", "original_type",
+            *[f"CAST(NULL AS {t}) AS {c}" for c, t in (
+                ("row_count", "BIGINT"), ("null_count", "BIGINT"), ("distinct_count", "BIGINT"),
+                ("distinct_is_approx", "BOOLEAN"), ("min_int", "BIGINT"), ("max_int", "BIGINT"),
+                ("min_num", "DOUBLE"), ("max_num", "DOUBLE"), ("min_str", "STRING"), ("max_str", "STRING"),
+                ("min_ts", "TIMESTAMP_NTZ"), ("max_ts", "TIMESTAMP_NTZ"), ("avg_len", "DOUBLE"),
+                ("max_len", "BIGINT"))],
+            "kind"))
+    stacked = base[0]
+    for x in base[1:]:
+        stacked = stacked.unionByName(x)
+    if len(batch) <= BROADCAST_MAX_ROWS:
+        fact = F.broadcast(fact)  # one row per column of the batch
+    j = stacked.join(fact, "ordinal", "left")
+    ltz = "CAST(timestamp_micros({}) AS TIMESTAMP_NTZ)"
+
+    def pick(cheap: str, derived: str) -> str:
+        return f"CASE WHEN kind IS NULL THEN {cheap} ELSE {derived} END"
+
+    return j.selectExpr(
+        "table_name", "column_name", "ordinal", "data_type", "original_type",
+        pick("row_count", "coalesce(rows, CAST(0 AS BIGINT))") + " AS row_count",
+        pick("null_count", "coalesce(rows, CAST(0 AS BIGINT)) - coalesce(nn, CAST(0 AS BIGINT))") + " AS null_count",
+        "coalesce(d, CAST(0 AS BIGINT)) AS distinct_count",
+        "false AS distinct_is_approx",
+        pick("min_int", "CASE WHEN kind = 'int' THEN mn_l END") + " AS min_int",
+        pick("max_int", "CASE WHEN kind = 'int' THEN mx_l END") + " AS max_int",
+        pick("min_num", f"CASE WHEN kind = 'num' THEN {zero_norm_sql('mn_d')} END") + " AS min_num",
+        pick("max_num", f"CASE WHEN kind = 'num' THEN {zero_norm_sql('mx_d')} END") + " AS max_num",
+        "min_str", "max_str",
+        pick("min_ts", f"CASE WHEN kind = 'ltz' THEN {ltz.format('mn_l')} WHEN kind = 'ts' THEN mn_t END") + " AS min_ts",
+        pick("max_ts", f"CASE WHEN kind = 'ltz' THEN {ltz.format('mx_l')} WHEN kind = 'ts' THEN mx_t END") + " AS max_ts",
+        "avg_len", "max_len")
+
+
 # --- public API ----------------------------------------------------------------------------
 
 
@@ -337,8 +453,10 @@ def profile(
     """One row per column with the fixed profile schema.
 
     ``distinct``: "approx" (default: HLL sketches in the cheap aggregate,
-    ``rsd`` relative error - one job, one scan), "exact" (opt-in: a second
-    aggregate per column batch) or "none".
+    ``rsd`` relative error - one job, one scan), "exact" (opt-in: counted
+    keys per column; integer/float/date/timestamp columns are profiled from
+    their keys alone, the cheap aggregate scans only the other columns) or
+    "none".
     ``approx_impl``: "sketch" (DataSketches HLL, fast and mergeable) or
     "hllpp" (Spark's HyperLogLog++ ``approx_count_distinct``).
     """
@@ -352,19 +470,10 @@ def profile(
     parts = []
     for start in range(0, len(fields), batch_size):
         batch = fields[start:start + batch_size]
-        cheap = _cheap_rows(df, batch, table_name, distinct, rsd, approx_impl)
         if distinct == "exact":
-            exact = exact_distinct_counts(df, batch).withColumnRenamed("distinct_count", "__d")
-            if len(batch) <= BROADCAST_MAX_ROWS:
-                # size proven on the driver: one row per column of the batch
-                exact = F.broadcast(exact)
-            cheap = cheap.join(exact, "ordinal", "left").selectExpr(
-                *[c if c not in ("distinct_count", "distinct_is_approx") else
-                  ("coalesce(`__d`, CAST(0 AS BIGINT)) AS distinct_count" if c == "distinct_count"
-                   else "false AS distinct_is_approx") for c in PROFILE_COLUMNS])
+            parts.append(_exact_batch(df, batch, table_name, rsd, approx_impl))
         else:
-            cheap = cheap.select(*PROFILE_COLUMNS)
-        parts.append(cheap)
+            parts.append(_cheap_rows(df, batch, table_name, distinct, rsd, approx_impl).select(*PROFILE_COLUMNS))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

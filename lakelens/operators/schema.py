@@ -126,4 +126,4 @@ def single_column_keys(profile_df: DataFrame) -> DataFrame:
     return profile_df.where(
         (F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count"))
         & (F.col("distinct_is_approx") == F.lit(False))
-    ).select("table_name", "column_name")
+    ).orderBy("table_name", "ordinal").select("table_name", "column_name")  # column order; one row per column

@@ -70,3 +70,13 @@ def test_footer_listing_reads_no_content(spark):
     from lakelens.sources.footers import footer_chunks
     plan = _plan(footer_chunks(spark, SF001))
     assert "ReadSchema: struct<path:string>" in plan and "content" not in plan
+
+
+def test_exact_profile_scans(spark):
+    import re
+    labels = spark.read.parquet(f"{SF001}/labels.parquet")       # integers only
+    assert _plan(profile(labels, "labels", distinct="exact")).count("FileScan parquet") == 1
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", _plan(profile(li, "li", distinct="exact")))
+    widths = sorted(len(s.split(",")) for s in scans)
+    assert widths == [2, 11]  # keys of all columns once; raw values of the 2 string columns
