@@ -193,7 +193,9 @@ def refresh_stale(spark: SparkSession, tables: dict, history_path: str, source:
     """
     from lakelens.operators.metadata import full_metadata, to_json_record
 
-    catalog = spark.createDataFrame([(source, t) for t in tables], "source string, id string")
+    from lakelens.functions.literals import literal_rows
+
+    catalog = literal_rows(spark, [(source, t) for t in tables], [("source", "STRING"), ("id", "STRING")])
     if force:
         todo = sorted(tables)
     else:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakelens.functions.literals import literal_rows
 from lakelens.functions.paths import dir_segments, unescape_partition_value
 from lakelens.sources.footers import footer_chunks
 from lakelens.sources.listing import list_delta_logs, list_files, qualify, relative_path
@@ -29,7 +30,7 @@ def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     tables = spark.catalog.listTables(database) if database else spark.catalog.listTables()
     rows = [(t.name, "view" if t.tableType in ("VIEW", "TEMPORARY") else
              "table" if t.tableType in ("MANAGED", "EXTERNAL") else "unknown") for t in tables]
-    return spark.createDataFrame(rows, "name string, type string").orderBy("name")
+    return literal_rows(spark, rows, [("name", "STRING"), ("type", "STRING")]).orderBy("name")
 
 
 # --- lake listings (B1-B6 for file systems) -----------------------------------

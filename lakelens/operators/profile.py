@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakelens.functions.literals import literal_rows
 from lakelens.functions.types import canonical_class
 from lakelens.model import PROFILE_COLUMNS
 
@@ -400,8 +401,8 @@ def _exact_batch(df: DataFrame, batch, table_name: str, rsd: float, impl: str) -
     if derivable:
         rows = [(table_name, f.name, i, canonical_class(f.dataType), f.dataType.simpleString(),
                  _derivable_kind(f.dataType)) for i, f in derivable]
-        meta = spark.createDataFrame(rows, "table_name string, column_name string, ordinal int, "
-                                           "data_type string, original_type string, kind string")
+        meta = literal_rows(spark, rows, [("table_name", "STRING"), ("column_name", "STRING"), ("ordinal", "INT"),
+                                          ("data_type", "STRING"), ("original_type", "STRING"), ("kind", "STRING")])
         base.append(meta.selectExpr(
             "table_name", "column_name", "ordinal", "data_type", "original_type",
             *[f"CAST(NULL AS {t}) AS {c}" for c, t in (
@@ -531,8 +532,8 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
         t = df.selectExpr(f"{sql_str(name)} AS table_name")
         stacked = t if stacked is None else stacked.unionByName(t)
     counts = stacked.groupBy("table_name").agg(F.count(F.lit(1)).cast("long").alias("row_count"))
-    names = next(iter(tables.values())).sparkSession.createDataFrame(
-        [(n,) for n in tables], "table_name string")
+    names = literal_rows(next(iter(tables.values())).sparkSession, [(n,) for n in tables],
+                         [("table_name", "STRING")])
     # the name list is bounded by the number of tables: broadcast is safe
     return names.join(counts, "table_name", "left").selectExpr(
         "table_name", "coalesce(row_count, CAST(0 AS BIGINT)) AS row_count")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakelens.functions.literals import literal_rows
 from lakelens.functions.types import canonical_class
 
 SCHEMA_SCHEMA = T.StructType([
@@ -28,6 +29,11 @@ SCHEMA_SCHEMA = T.StructType([
 ])
 
 
+_SCHEMA_COLS = [("table_name", "STRING"), ("ordinal", "INT"), ("column_name", "STRING"),
+                ("data_type", "STRING"), ("original_type", "STRING"), ("nullable", "BOOLEAN"),
+                ("comment", "STRING"), ("metadata", "MAP<STRING, STRING>")]
+
+
 def schema_rows(schema: T.StructType, table_name: str, dialect: str | None = None) -> list[tuple]:
     """Rows of SCHEMA_SCHEMA.  ``dialect`` (T1-T7 compatibility) spells each
     type the way that source would and classifies it with that dialect's
@@ -53,7 +59,7 @@ def table_schema(spark: SparkSession, df: DataFrame, table_name: str,
                  dialect: str | None = None) -> DataFrame:
     """(table_name, ordinal, column_name, data_type, original_type,
     nullable, comment, metadata); column order kept."""
-    return spark.createDataFrame(schema_rows(df.schema, table_name, dialect), SCHEMA_SCHEMA)
+    return literal_rows(spark, schema_rows(df.schema, table_name, dialect), _SCHEMA_COLS)
 
 
 def schema_inventory(spark: SparkSession, tables: Mapping[str, DataFrame],
@@ -62,7 +68,7 @@ def schema_inventory(spark: SparkSession, tables: Mapping[str, DataFrame],
     rows = []
     for name, df in tables.items():
         rows.extend(schema_rows(df.schema, name, dialect))
-    return spark.createDataFrame(rows, SCHEMA_SCHEMA)
+    return literal_rows(spark, rows, _SCHEMA_COLS)
 
 
 def describe_columns(spark: SparkSession, table_id: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.functions import types as TY
+from lakelens.functions.literals import literal_rows
 from lakelens.operators import footer_stats as FS
 from lakelens.operators import history as H
 from lakelens.operators import inventory as INV
@@ -163,7 +164,8 @@ def normalize_types_all_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
         for f in df.schema.fields:
             rows.append((name, f.name, "spark", f.dataType.simpleString()))
             rows.append((name, f.name, "embedded", TY.embedded_type_name(f.dataType)))
-    corpus = spark.createDataFrame(rows, "table_name string, column_name string, spelling string, raw_type string")
+    corpus = literal_rows(spark, rows, [("table_name", "STRING"), ("column_name", "STRING"),
+                                        ("spelling", "STRING"), ("raw_type", "STRING")])
     arrow = (file_schemas(spark, sf_dir.rstrip("/"))
              .select(F.regexp_extract("file_path", r"([^/]+)\.parquet$", 1).alias("table_name"),
                      "column_name", F.lit("arrow").alias("spelling"), F.col("arrow_type").alias("raw_type"))
