@@ -204,3 +204,18 @@ def test_negative_zero_bounds_read_as_zero(spark):
         assert math.copysign(1.0, r.min_num) == 1.0 and math.copysign(1.0, r.max_num) == 1.0, mode
         if mode == "exact":
             assert r.distinct_count == 1
+
+
+def test_exact_path_derives_ltz_timestamps_and_booleans(spark):
+    s2 = spark.newSession()
+    s2.conf.set("spark.sql.session.timeZone", "America/New_York")
+    df = s2.sql("""SELECT * FROM VALUES
+        (TIMESTAMP'2024-03-10 01:30:00', true, 1.5D),
+        (TIMESTAMP'2024-03-10 03:30:00', false, -0.0D),
+        (CAST(NULL AS TIMESTAMP), true, NULL) AS t(ts, flag, x)""")
+    exact = by_col(profile(df, "t", distinct="exact"))
+    cheap = by_col(profile(df, "t", distinct="none"))
+    for c in ("ts", "flag", "x"):
+        for f in ("row_count", "null_count", "min_int", "max_int", "min_num", "max_num", "min_ts", "max_ts"):
+            assert getattr(exact[c], f) == getattr(cheap[c], f), (c, f)
+    assert exact["ts"].distinct_count == 2 and exact["flag"].distinct_count == 2 and exact["x"].distinct_count == 2
