@@ -3,6 +3,8 @@
 Runs each registered Spark query and its DuckDB oracle on the same parquet
 tables and compares row count, column names and order-insensitive values.
 Usage: python tests/oracle_check.py [sf_dir] [name ...]
+Env: ORACLE_TZ=<zone> runs Spark under that session time zone;
+     ORACLE_EXACT=1 compares floats exactly instead of to 6 digits.
 """
 
 from __future__ import annotations
