@@ -329,3 +329,6 @@ ORACLE["profile_per_partition"] = _per_group_sql()
 _DELTA_COLS = [(c, t) for c, t in TABLE_SCHEMAS["orders"] if c != "o_orderstatus"] + [("o_orderstatus", "string")]
 ORACLE["delta_profile_v1"] = profile_select(
     "orders_delta", "(SELECT * FROM orders WHERE o_orderstatus = 'O') AS o", _DELTA_COLS)
+
+ORACLE["discover_tables"] = "\nUNION ALL\n".join(
+    f"SELECT 'dt_{t}' AS name, 'view' AS type WHERE EXISTS (SELECT * FROM {t})" for t in TABLE_SCHEMAS)

@@ -479,3 +479,14 @@ def delta_profile_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["delta_profile_v1"] = delta_profile_v1
+
+
+def discover_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: the given tables registered as views (A9 naming ``dt_<table>``),
+    then listed with their kind, sorted by name."""
+    for name, df in read_tables(spark, sf_dir, TABLE_SCHEMAS).items():
+        df.createOrReplaceTempView(f"dt_{name}")
+    return INV.list_tables(spark).where(F.col("name").startswith("dt_"))
+
+
+QUERIES["discover_tables"] = discover_tables
