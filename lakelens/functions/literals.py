@@ -29,10 +29,19 @@ def _sql_lit(v, typ: str) -> str:
     return f"CAST('{s}' AS {typ})"
 
 
+# Above this many rows the one-expression form would make an outsized SQL
+# text; such lists (e.g. the schema of a whole catalog) go through
+# createDataFrame instead.
+MAX_INLINE_ROWS = 1000
+
+
 def literal_rows(spark: SparkSession, rows: Sequence[Sequence], columns: Sequence[tuple[str, str]]) -> DataFrame:
     """A DataFrame of ``rows`` with ``columns`` = [(name, SQL type)]."""
     if not rows:
         return spark.range(0).selectExpr(*[f"CAST(NULL AS {t}) AS `{c}`" for c, t in columns])
+    if len(rows) > MAX_INLINE_ROWS:
+        ddl = ", ".join(f"`{c}` {t}" for c, t in columns)
+        return spark.createDataFrame([tuple(r) for r in rows], ddl)
     structs = []
     for r in rows:
         pairs = ", ".join(f"'{c}', {_sql_lit(v, t)}" for (c, t), v in zip(columns, r))

@@ -92,3 +92,12 @@ def test_full_metadata_duplicate_names_last_wins(spark):
     df = spark.sql("SELECT 1 AS k, 2 AS k2").toDF("k", "k")
     m = full_metadata(spark, df, "t").collect()[0]
     assert list(m.stats.column_stats) == ["k"] and m.stats.column_stats["k"].max_value == "2"
+
+
+def test_literal_rows_small_and_large(spark):
+    from lakelens.functions.literals import literal_rows
+    cols = [("i", "INT"), ("s", "STRING"), ("m", "MAP<STRING, STRING>")]
+    small = literal_rows(spark, [(1, "a'b", {"k": "v"}), (2, None, {})], cols).collect()
+    assert [(r.i, r.s, r.m) for r in small] == [(1, "a'b", {"k": "v"}), (2, None, {})]
+    big = literal_rows(spark, [(i, str(i), {}) for i in range(1500)], cols)
+    assert big.count() == 1500 and big.schema.names == ["i", "s", "m"]
