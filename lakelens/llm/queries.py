@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm import digest_index, packing, sharding, token_counts
+from lakelens.llm import decontaminate, digest_index, ngram_join, packing, sentence_spans, sharding, token_counts, toxicity
 from lakelens.llm.words import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,15 +26,33 @@ def op2_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"))
 
 
+def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(read(spark, sf_dir, "documents"))
+
+
 def op6_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.deduplicated(read(spark, sf_dir, "documents"))
 
 
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.spans_digest(read(spark, sf_dir, "documents"))
+
+
+def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severities(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_stratified_interleave, op6_digest_index, op10_harmonic_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_stratified_interleave, op4_template_leaks, op5_ngram_jaccard, op6_digest_index,
+    op7_sentence_spans, op8_ordinal_toxicity, op10_harmonic_packing)}
 
 ORACLE = {
     "op6_digest_index": """

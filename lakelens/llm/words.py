@@ -87,3 +87,44 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+class PrefixHashes:
+    """Polynomial hashes (modulo 2^64, mixed) of stretches of a row of hashes."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.inverse = pow(self.BASE, -1, 1 << 64)
+        self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        for name, base in (("powers", self.BASE), ("inverses", self.inverse)):
+            have = getattr(self, name)
+            while len(have) < n:
+                have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
+            setattr(self, name, have)
+
+    def sums(self, hashes: np.ndarray) -> np.ndarray:
+        self.reach(len(hashes) + 1)
+        out = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * self.powers[: len(hashes)], out=out[1:])
+        return out
+
+    def between(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of each stretch from a to before b, its length included."""
+        return mixed((sums[b] - sums[a]) * self.inverses[a] + mixed((b - a).astype(np.uint64)))
+
+    def spans(self, hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.between(self.sums(hashes), a, b)
+
+
+def remembered(key, make):
+    """An object that a Python worker keeps between tasks (memos of pure functions only)."""
+    import sys
+    import types
+
+    memory = sys.modules.setdefault("lakelens_worker_memory", types.ModuleType("lakelens_worker_memory"))
+    if key not in memory.__dict__:
+        memory.__dict__[key] = make()
+    return memory.__dict__[key]
