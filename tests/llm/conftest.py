@@ -5,7 +5,7 @@ import pytest
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
           "row long, digest string, shard int, n long, t string, h long, key long, size string, top long")
 
-LONG = " ".join(f"wort{i} et{i % 7} de." for i in range(9000))
+LONG = " ".join(f"satz{i} et{i % 7} de." for i in range(9000))
 
 ODD = [
     (1, "The cat sat on the mat.", "en", "a", 1),
