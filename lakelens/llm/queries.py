@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm import decontaminate, digest_index, ngram_join, packing, sentence_spans, sharding, token_counts, toxicity
+from lakelens.llm import decontaminate, digest_index, ngram_join, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity
 from lakelens.llm.words import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op2_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"))
 
 
+def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substrings_digest(read(spark, sf_dir, "documents"))
+
+
 def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -51,7 +55,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_stratified_interleave, op4_template_leaks, op5_ngram_jaccard, op6_digest_index,
+    op1_token_counts, op2_stratified_interleave, op3_prefix_doubling, op4_template_leaks, op5_ngram_jaccard, op6_digest_index,
     op7_sentence_spans, op8_ordinal_toxicity, op10_harmonic_packing)}
 
 ORACLE = {
