@@ -84,3 +84,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     found = DigestIndex(spark, scratch_dir(spark, "digest-index")).add(docs)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts (that of the largest id), with the columns of ``docs``."""
+    spark = docs.sparkSession
+    found = DigestIndex(spark, scratch_dir(spark, "digest-index")).add(docs)
+    # what becomes of the rows of one id and text: all go, or one of several stays
+    pairs = found.groupBy(F.col("doc_id").alias("pair_id"), F.col("text_sha256").alias("pair_digest")).agg(
+        F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    pairs = kept_table(pairs, "copies")
+    keyed = docs.select(F.struct("*").alias("whole"), text_digest(F.col("text")).alias("digest"))
+    on = F.col("whole.doc_id").eqNullSafe(F.col("pair_id")) & (F.col("digest") == F.col("pair_digest"))
+    joined = keyed.join(pairs, on, "left")
+    alone = joined.where("n is null").select("whole.*")
+    several = keyed.join(pairs.where("kept"), on).dropDuplicates(["pair_id", "pair_digest"]).select("whole.*")
+    return alone.unionByName(several)

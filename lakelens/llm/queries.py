@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm import decontaminate, digest_index, ngram_join, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity
+from lakelens.llm import (
+    context_mixing,
+    decontaminate,
+    digest_index,
+    ngram_join,
+    packing,
+    sentence_spans,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from lakelens.llm.words import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,13 +61,17 @@ def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severities(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(read(spark, sf_dir, "documents"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_stratified_interleave, op3_prefix_doubling, op4_template_leaks, op5_ngram_jaccard, op6_digest_index,
-    op7_sentence_spans, op8_ordinal_toxicity, op10_harmonic_packing)}
+    op7_sentence_spans, op8_ordinal_toxicity, op9_context_mixing, op10_harmonic_packing)}
 
 ORACLE = {
     "op6_digest_index": """

@@ -281,8 +281,9 @@ def severities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return fit(docs, labels).graded(docs.select("doc_id", "text")).drop("text")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the model doesn't call toxic, with the columns of ``docs``."""
-    model = fit(docs, labels)
+def without_toxic(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None) -> DataFrame:
+    """The rows that the model doesn't call toxic, with the columns of ``docs``.  The model is
+    fitted on ``labelled_docs`` (``docs`` if not given)."""
+    model = fit(docs if labelled_docs is None else labelled_docs, labels)
     graded = model.graded(docs.select(F.struct("*").alias("whole"), F.col("text").alias("text")))
     return graded.where(~F.col("toxic")).select("whole.*")
