@@ -200,9 +200,9 @@ UNION ALL
 SELECT 'o_orderpriority', nullif(o_orderpriority, '5-LOW'), CAST(2 AS INTEGER), CAST(count(*) AS BIGINT)
 FROM orders GROUP BY o_orderstatus, nullif(o_orderpriority, '5-LOW')"""
 
-ORACLE["delta_log_stats"] = _bounds_sql("orders", "WHERE o_orderstatus IN ('F', 'O')")
+ORACLE["delta_log_stats"] = _bounds_sql("orders", "")
 ORACLE["delta_snapshot"] = ("SELECT CAST(2 AS BIGINT) AS max_add_version, CAST(count(*) AS BIGINT) AS row_count "
-                            "FROM orders WHERE o_orderstatus IN ('F', 'O')")
+                            "FROM orders")
 
 
 # --- history, drift, metadata, partial merges ----------------------------------------

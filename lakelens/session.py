@@ -1,8 +1,9 @@
 """Session helpers: shared scratch space and Hadoop file-system access.
 
 Intermediate tables are written below the cluster's checkpoint directory
-(``spark.checkpoint.dir``), never to a machine-local folder.  Only when the
-session has none (local tests) do we create one under the system temp dir.
+(``spark.checkpoint.dir``), never to a machine-local folder.  Only a session in
+one JVM (``local`` master, as in tests) may have none: it gets a fresh folder
+under ``/tmp``.  On a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session, set up only if it is unset."""
+    """The shared folder named by the session; in one JVM set up if it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root
@@ -45,6 +49,12 @@ def glob_names(spark: SparkSession, pattern: str) -> list[str]:
     return [] if found is None else [str(st.getPath().getName()) for st in found]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, without a trailing slash."""
+    fs, jpath = _hadoop_fs(spark, path)
+    return str(fs.makeQualified(jpath).toString()).rstrip("/")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, jpath = _hadoop_fs(spark, path)
     return bool(fs.exists(jpath))
