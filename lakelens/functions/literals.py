@@ -2,48 +2,23 @@
 
 ``spark.createDataFrame(list)`` plans as a Python-backed RDD scan, which
 needs Python workers at execution; schema rows, column metadata and name
-lists are instead written as one ``inline(array(named_struct(...)))``
-projection over a one-row range, a JVM-only plan.
+lists are instead one JSON literal parsed by ``from_json`` over a one-row
+range: a JVM-only plan with a fixed number of expressions, however many rows.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-
-
-def _sql_lit(v, typ: str) -> str:
-    if v is None:
-        return f"CAST(NULL AS {typ})"
-    if isinstance(v, bool):
-        return f"CAST({'true' if v else 'false'} AS {typ})"
-    if isinstance(v, (int, float)):
-        return f"CAST({v!r} AS {typ})"
-    if isinstance(v, dict):
-        if not v:
-            return f"CAST(map() AS {typ})"
-        body = ", ".join(f"{_sql_lit(k, 'STRING')}, {_sql_lit(x, 'STRING')}" for k, x in v.items())
-        return f"CAST(map({body}) AS {typ})"
-    s = str(v).replace("\\", "\\\\").replace("'", "\\'")
-    return f"CAST('{s}' AS {typ})"
-
-
-# Above this many rows the one-expression form would make an outsized SQL
-# text; such lists (e.g. the schema of a whole catalog) go through
-# createDataFrame instead.
-MAX_INLINE_ROWS = 1000
+from pyspark.sql import functions as F
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[Sequence], columns: Sequence[tuple[str, str]]) -> DataFrame:
     """A DataFrame of ``rows`` with ``columns`` = [(name, SQL type)]."""
-    if not rows:
-        return spark.range(0).selectExpr(*[f"CAST(NULL AS {t}) AS `{c}`" for c, t in columns])
-    if len(rows) > MAX_INLINE_ROWS:
-        ddl = ", ".join(f"`{c}` {t}" for c, t in columns)
-        return spark.createDataFrame([tuple(r) for r in rows], ddl)
-    structs = []
-    for r in rows:
-        pairs = ", ".join(f"'{c}', {_sql_lit(v, t)}" for (c, t), v in zip(columns, r))
-        structs.append(f"named_struct({pairs})")
-    return spark.range(1).selectExpr(f"inline(array({', '.join(structs)}))")
+    fields = [f"c{i}" for i in range(len(columns))]
+    schema = "ARRAY<STRUCT<" + ", ".join(f"{k}: {t}" for k, (_, t) in zip(fields, columns)) + ">>"
+    text = json.dumps([dict(zip(fields, r)) for r in rows])
+    parsed = spark.range(1).select(F.inline(F.from_json(F.lit(text), schema)))
+    return parsed.toDF(*[c for c, _ in columns])

@@ -5,13 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakelens.functions.decimals import decimal_bound
 from lakelens.operators.profile import col
-from lakelens.sources.footers import file_schemas, footer_chunks
-from lakelens.sources.listing import list_files
+from lakelens.sources.footers import file_rows, file_schemas, footer_chunks
 
 
 def _covered() -> F.Column:
@@ -19,27 +19,38 @@ def _covered() -> F.Column:
     return F.col("has_min_max") | (F.col("null_count") == F.col("num_values"))
 
 
-def merge_chunks(chunks: DataFrame, by: Sequence[str] = ("column_path",)) -> DataFrame:
-    """per column, rows summed, min of mins, max of maxes, nulls summed.
+def merge_chunks(chunks: DataFrame, by: Sequence[str] = ("column_path",), table: Sequence[str] = ()) -> DataFrame:
+    """per column, min of mins, max of maxes, nulls summed, over the table's rows.
 
-    A NULL null_count (a chunk without statistics) makes the sum NULL; a
-    chunk without bounds makes the bounds NULL; a NaN bound nulls the
-    numeric bounds and sets ``has_nan_bound``.
+    ``row_count`` is the table's (``table``: the columns of ``by`` that name it); rows of
+    files that lack a column are NULLs of it.  A NULL null_count (a chunk without
+    statistics) makes the sum NULL; a chunk without bounds makes the bounds
+    NULL; a NaN bound nulls the numeric bounds and sets ``has_nan_bound``.
+    Decimal bounds are compared as numbers.
     """
     all_covered = F.min(F.when(_covered(), 1).otherwise(0)) == 1
     nan = F.max(F.col("nan_bound").cast("int")) == 1
+    dec = F.max(F.col("logical_type").startswith("Decimal").cast("int")) == 1
     aggs = [
-        F.sum("num_rows").cast("long").alias("row_count"),
+        F.sum("num_rows").cast("long").alias("__covered"),
+        F.sum(F.when(F.col("column_index") == 0, F.col("num_rows"))).cast("long").alias("__counted"),
         F.when(F.count("null_count") == F.count(F.lit(1)), F.sum("null_count")).cast("long").alias("null_count"),
         F.count(F.lit(1)).cast("long").alias("chunk_count"),
         nan.alias("has_nan_bound"),
     ]
     for b, fn in (("min", F.min), ("max", F.max)):
-        for ln in ("int", "str", "ts"):
+        for ln in ("int", "ts"):
             aggs.append(F.when(all_covered, fn(f"{b}_{ln}")).alias(f"{b}_{ln}"))
+        text = F.when(dec, decimal_bound(b, f"CASE WHEN logical_type LIKE 'Decimal%' THEN {b}_str END")).otherwise(fn(f"{b}_str"))
+        aggs.append(F.when(all_covered, text).alias(f"{b}_str"))
         aggs.append(F.when(all_covered & ~nan, fn(f"{b}_num")).alias(f"{b}_num"))
     aggs.append(F.sum("compressed_size").cast("long").alias("compressed_size"))
-    return chunks.groupBy(*by).agg(*aggs)
+    merged = chunks.groupBy(*by).agg(*aggs)
+    # every row group has one first column: their rows are the table's (a row per column here)
+    rows = F.sum("__counted").over(Window.partitionBy(*table)).cast("long")
+    kept = [c for c in merged.columns if c not in (*by, "__covered", "__counted", "null_count")]
+    return merged.withColumn("row_count", rows).select(
+        *by, "row_count", (F.col("null_count") + F.col("row_count") - F.col("__covered")).alias("null_count"), *kept)
 
 
 def footer_table_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -48,10 +59,9 @@ def footer_table_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def footer_row_count(spark: SparkSession, path: str) -> DataFrame:
-    """Table row count from footers: each row group counted once."""
-    ch = footer_chunks(spark, path).where(F.col("column_index") == 0)
-    return ch.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).cast("long").alias("row_count"),
-                  F.countDistinct("file_path").cast("long").alias("file_count"))
+    """Table row count from footers."""
+    return file_rows(spark, path).agg(F.coalesce(F.sum("num_rows"), F.lit(0)).cast("long").alias("row_count"),
+                                      F.count(F.lit(1)).cast("long").alias("file_count"))
 
 
 def footer_column_stats(spark: SparkSession, path: str, column: str) -> DataFrame:
@@ -59,8 +69,7 @@ def footer_column_stats(spark: SparkSession, path: str, column: str) -> DataFram
     names = {f.name for f in spark.read.parquet(path).schema.fields}
     if column.split(".")[0] not in names:
         raise ValueError(f"unknown column {column!r}")
-    ch = footer_chunks(spark, path).where(F.col("column_path") == column)
-    return merge_chunks(ch).withColumnRenamed("column_path", "column_name")
+    return footer_table_stats(spark, path).where(F.col("column_name") == column)
 
 
 # Where Parquet stops being the V1 source, so that the V2
@@ -114,22 +123,22 @@ def schema_drift(spark: SparkSession, path: str, by_type: bool = True) -> DataFr
     ``conflict`` marks columns with more than one type and ``in_all_files``
     columns present in every file.  Otherwise one row per column.
     """
-    files = list_files(spark, path, "*.parquet")
-    # a scalar from the listing job (paths only); no file is opened for it
-    total_files = files.count()
-    fs = file_schemas(spark, files)
-    per_type = fs.groupBy("column_name", "arrow_type").agg(
-        F.countDistinct("file_path").cast("long").alias("file_count"),
-        F.sum("num_rows").cast("long").alias("row_count"))
-    per_col = per_type.groupBy("column_name").agg(
-        F.sort_array(F.collect_set("arrow_type")).alias("types"),
-        F.sum("file_count").cast("long").alias("files_with_column"),
-        F.sum("row_count").cast("long").alias("rows_with_column"))
-    per_col = per_col.select(
-        "column_name", "types", "files_with_column", "rows_with_column",
-        (F.size("types") > 1).alias("conflict"),
-        (F.col("files_with_column") == F.lit(total_files)).alias("in_all_files"),
-        (F.col("files_with_column") / F.lit(total_files)).alias("presence_ratio"))
-    if not by_type:
-        return per_col
-    return per_type.join(per_col.select("column_name", "conflict", "in_all_files"), "column_name")
+    per_type = file_schemas(spark, path).groupBy("column_name", "arrow_type").agg(
+        F.count(F.lit(1)).cast("long").alias("file_count"),
+        F.sum("num_rows").cast("long").alias("row_count"),
+        F.count_if(F.col("ordinal") == 1).alias("__first"))
+    # over one row per (column, type): every file has one first column
+    whole, column = Window.partitionBy(), Window.partitionBy("column_name")
+    total = F.sum("__first").over(whole)
+    rows = per_type.select(
+        "column_name", "arrow_type", "file_count", "row_count",
+        F.sort_array(F.collect_set("arrow_type").over(column)).alias("types"),
+        F.sum("file_count").over(column).cast("long").alias("files_with_column"),
+        F.sum("row_count").over(column).cast("long").alias("rows_with_column"),
+        total.alias("__files"))
+    rows = rows.select("*", (F.size("types") > 1).alias("conflict"),
+                       (F.col("files_with_column") == F.col("__files")).alias("in_all_files"))
+    if by_type:
+        return rows.select("column_name", "arrow_type", "file_count", "row_count", "conflict", "in_all_files")
+    return rows.select("column_name", "types", "files_with_column", "rows_with_column", "conflict", "in_all_files",
+                       (F.col("files_with_column") / F.col("__files")).alias("presence_ratio")).distinct()

@@ -8,12 +8,15 @@ listing loops, so millions of files cost one distributed aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.functions.literals import literal_rows
 from lakelens.functions.paths import dir_segments, unescape_partition_value
-from lakelens.sources.footers import footer_chunks
+from lakelens.session import path_exists
+from lakelens.sources.footers import file_rows
 from lakelens.sources.listing import list_delta_logs, list_files, qualify, relative_path
 
 # --- catalog discovery (B1, B2) ---------------------------------------------
@@ -99,8 +102,13 @@ def table_formats(spark: SparkSession, base: str) -> DataFrame:
 
 
 def table_size(spark: SparkSession, table_path: str) -> DataFrame:
-    """G6 and G7 for one table directory: bytes, files, last modification."""
-    return list_files(spark, table_path).agg(
+    """G6 and G7 for one table directory: bytes, files, last modification; of a
+    Delta table only the files that its newest snapshot holds."""
+    if path_exists(spark, f"{table_path.rstrip('/')}/_delta_log"):
+        files = _delta_files(spark, table_path)
+    else:
+        files = list_files(spark, table_path)
+    return files.agg(
         F.count(F.lit(1)).cast("long").alias("file_count"),
         F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_size_bytes"),
         F.max("modificationTime").alias("last_modified"))
@@ -109,14 +117,15 @@ def table_size(spark: SparkSession, table_path: str) -> DataFrame:
 # --- partitions (P1-P3) -----------------------------------------------------------
 
 
-def _partition_levels(files: DataFrame, root: str) -> DataFrame:
-    """One row per (file, partition level): column_name, value, depth, location."""
+def _partition_levels(files: DataFrame, root: str, more: Sequence[str] = ()) -> DataFrame:
+    """One row per (file, partition level): column_name, value, depth, location
+    (and the columns ``more`` of the file)."""
     rel = relative_path("path", root)
     segs = dir_segments(rel)
-    exploded = files.select("path", "length", segs.alias("segs")).select(
-        "path", "length", "segs", F.posexplode("segs").alias("pos", "seg"))
+    exploded = files.select("path", "length", *more, segs.alias("segs")).select(
+        "path", "length", *more, "segs", F.posexplode("segs").alias("pos", "seg"))
     return exploded.where(F.col("seg").contains("=")).select(
-        "path", "length",
+        "path", "length", *more,
         F.substring_index("seg", "=", 1).alias("column_name"),
         unescape_partition_value(F.expr("substring(seg, instr(seg, '=') + 1)")).alias("value"),
         (F.col("pos") + 1).cast("int").alias("depth"),
@@ -124,31 +133,45 @@ def _partition_levels(files: DataFrame, root: str) -> DataFrame:
     )
 
 
-def partition_inventory(spark: SparkSession, table_path: str, glob: str = "*.parquet") -> DataFrame:
+def _live_files(spark: SparkSession, table_path: str) -> DataFrame:
+    """(path, length) of a table's files: those of the newest snapshot if it has a
+    Delta log, else all that are listed."""
+    if not path_exists(spark, f"{table_path.rstrip('/')}/_delta_log"):
+        return list_files(spark, table_path).select("path", "length")
+    return _delta_files(spark, table_path).select("path", "length")
+
+
+def _delta_files(spark: SparkSession, table_path: str) -> DataFrame:
+    """(path, length, modificationTime) of the files that a Delta table holds now."""
+    from lakelens.sources.deltalog import snapshot_files
+
+    root = qualify(spark, table_path)
+    full = F.when(F.col("path").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("path")).otherwise(F.concat(F.lit(f"{root}/"), F.col("path")))
+    return snapshot_files(spark, table_path).select(
+        full.alias("path"), F.col("size").alias("length"),
+        F.timestamp_millis("modificationTime").alias("modificationTime"))
+
+
+def partition_inventory(spark: SparkSession, table_path: str) -> DataFrame:
     """(column_name, value, depth, location, file_count, size_bytes), one
     row per directory level of a Hive-style layout; values URL-decoded,
     the Hive NULL marker read as NULL."""
     root = qualify(spark, table_path)
-    lv = _partition_levels(list_files(spark, table_path, glob), root)
+    lv = _partition_levels(_live_files(spark, table_path), root)
     return lv.groupBy("column_name", "value", "depth", "location").agg(
         F.count(F.lit(1)).cast("long").alias("file_count"),
         F.sum("length").cast("long").alias("size_bytes"))
 
 
 def partition_row_counts(spark: SparkSession, table_path: str) -> DataFrame:
-    """Rows per partition directory from footers only (no data read):
-    footer row counts per file joined to the file's partition levels."""
+    """Rows per partition directory from footers only (no data read, one
+    listing): each file's row count goes to its partition levels."""
     root = qualify(spark, table_path)
-    files = list_files(spark, table_path, "*.parquet")
-    per_file = (footer_chunks(spark, files).where(F.col("column_index") == 0)
-                .groupBy(F.col("file_path").alias("path"))
-                .agg(F.sum("num_rows").cast("long").alias("num_rows")))
-    lv = _partition_levels(files, root)
-    return (lv.join(per_file, "path")
-              .groupBy("column_name", "value", "depth", "location")
-              .agg(F.count(F.lit(1)).cast("long").alias("file_count"),
-                   F.sum("length").cast("long").alias("size_bytes"),
-                   F.sum("num_rows").cast("long").alias("row_count")))
+    lv = _partition_levels(file_rows(spark, _live_files(spark, table_path)), root, ["num_rows"])
+    return lv.groupBy("column_name", "value", "depth", "location").agg(
+        F.count(F.lit(1)).cast("long").alias("file_count"),
+        F.sum("length").cast("long").alias("size_bytes"),
+        F.sum("num_rows").cast("long").alias("row_count"))
 
 
 def catalog_partition_row_counts(spark: SparkSession, table_id: str) -> DataFrame:

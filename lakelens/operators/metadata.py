@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakelens.functions.types import canonical_class
-from lakelens.operators.profile import BROADCAST_MAX_ROWS, profile
+from lakelens.operators.profile import profile
 from lakelens.operators.schema import table_schema
 
 
@@ -37,9 +37,7 @@ def describe_report(spark: SparkSession, df: DataFrame, table_name: str,
         min_value_text("min").alias("min_value"),
         min_value_text("max").alias("max_value"),
         "null_count", "distinct_count", "row_count")
-    if len(df.columns) <= BROADCAST_MAX_ROWS:
-        p = F.broadcast(p)  # one row per column: size known from the schema
-    j = s.join(p, "ordinal", "left")
+    j = s.join(F.broadcast(p), "ordinal", "left")  # one row per column: size known from the schema
     blank = F.lit("")
     return j.select(
         "table_name", "ordinal", "column_name",

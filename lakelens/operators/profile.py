@@ -27,13 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakelens.functions.decimals import decimal_bound_sql
 from lakelens.functions.literals import literal_rows
 from lakelens.functions.types import canonical_class
 from lakelens.model import PROFILE_COLUMNS
 
 DEFAULT_BATCH = 32
-# Largest side we hint for broadcast when its row count is known up front.
-BROADCAST_MAX_ROWS = 100_000
 DEFAULT_RSD = 0.01
 DEFAULT_LG_K = 12
 
@@ -135,7 +134,10 @@ def sketch_input(c: Column, dt: T.DataType) -> Column:
 
 def lg_k_for(rsd: float) -> int:
     """HLL register count for a relative standard error: 1.04 / sqrt(2^k)."""
-    return int(min(21, max(4, math.ceil(math.log2((1.04 / rsd) ** 2)))))
+    k = math.ceil(math.log2((1.04 / rsd) ** 2))
+    if not 4 <= k <= 21:
+        raise ValueError(f"rsd must lie between {1.04 / 2 ** 10.5:.6f} and {1.04 / 2 ** 1.5:.2f}, got {rsd}")
+    return k
 
 
 def _pos(i: int) -> str:
@@ -247,11 +249,7 @@ def _cheap_rows(df: DataFrame, fields, table_name: str, distinct: str, rsd: floa
 # Key lanes of the exact-distinct unpivot: every atomic type maps injectively
 # into one of them, so (ordinal, lanes) equality is value equality.
 KEY_LANES = {"k_long": "BIGINT", "k_double": "DOUBLE", "k_str": "STRING",
-             "k_ts": "TIMESTAMP_NTZ", "k_bin": "BINARY", "k_dig": "BINARY"}
-# Strings/binaries longer than this many bytes are keyed by the SHA-256 of the
-# whole value (own lane, so never equal to a short value): the shuffle of an
-# exact distinct over long texts carries 32 bytes per value, not the text.
-DIGEST_OVER_BYTES = 32
+             "k_ts": "TIMESTAMP_NTZ", "k_dig": "BINARY"}
 
 
 def _key_lane(q: str, dt: T.DataType) -> tuple[str, str] | None:
@@ -261,34 +259,24 @@ def _key_lane(q: str, dt: T.DataType) -> tuple[str, str] | None:
         return "k_long", f"unix_micros({q})"        # instants, no DST folding
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return "k_double", f"CAST({q} AS DOUBLE)"   # grouping normalizes NaN and -0.0
-    if isinstance(dt, (T.StringType, T.CharType, T.VarcharType, T.DecimalType)):
+    if isinstance(dt, T.DecimalType):
         return "k_str", f"CAST({q} AS STRING)"      # decimals print at their fixed scale
+    if has_length(dt):
+        # every string and binary by the SHA-256 of the whole value: the shuffle carries
+        # 32 bytes a value, and the count is exact up to SHA-256 collisions
+        return "k_dig", f"unhex(sha2({q}, 256))"
     if isinstance(dt, (T.TimestampNTZType, T.DateType)):
         return "k_ts", f"CAST({q} AS TIMESTAMP_NTZ)"
-    if isinstance(dt, T.BinaryType):
-        return "k_bin", q
     return None
 
 
-def _key_lanes(q: str, dt: T.DataType, digest_over: int | None) -> dict[str, str] | None:
-    """Lane values of one column: one lane, or short value / digest pair."""
-    one = _key_lane(q, dt)
-    if one is None:
-        return None
-    lane, v = one
-    if digest_over is None or lane not in ("k_str", "k_bin") or isinstance(dt, T.DecimalType):
-        return {lane: v}
-    return {lane: f"CASE WHEN octet_length({v}) <= {int(digest_over)} THEN {v} END",
-            "k_dig": f"CASE WHEN octet_length({v}) > {int(digest_over)} THEN unhex(sha2({v}, 256)) END"}
-
-
-def _key_counts(df: DataFrame, atomic, digest_over: int | None) -> DataFrame:
+def _key_counts(df: DataFrame, atomic) -> DataFrame:
     """(ordinal, key lanes..., n): rows per distinct (column, value) of the
     atomic columns; a column's NULLs form one all-NULL group.  One scan, the
     unpivot counted map-side before the shuffle."""
     structs = []
     for i, f in atomic:
-        vals = _key_lanes(_pos(i), f.dataType, digest_over)
+        vals = dict([_key_lane(_pos(i), f.dataType)])
         structs.append(_named_struct(
             [("ordinal", f"CAST({i} AS INT)")]
             + [(k, vals.get(k, f"CAST(NULL AS {t})")) for k, t in KEY_LANES.items()]))
@@ -312,7 +300,7 @@ def _per_ordinal(key_counts: DataFrame) -> DataFrame:
         "min(k_ts) AS mn_t", "max(k_ts) AS mx_t")])
 
 
-def exact_distinct_counts(df: DataFrame, fields, digest_over: int | None = DIGEST_OVER_BYTES) -> DataFrame:
+def exact_distinct_counts(df: DataFrame, fields) -> DataFrame:
     """(ordinal, distinct_count) for the given fields; a column with no
     non-NULL value may be absent (its count is 0).
 
@@ -320,17 +308,16 @@ def exact_distinct_counts(df: DataFrame, fields, digest_over: int | None = DIGES
     per type), counted per distinct key (map-side first) and then per
     ordinal: linear in the number of columns per input row, where
     Catalyst's Expand for several ``count(DISTINCT)`` is quadratic (every
-    copy carries every column).  Long strings and binaries are keyed by the
-    SHA-256 of the whole value (``digest_over`` bytes; None keeps raw
-    values), so the count is exact up to SHA-256 collisions.  Nested
-    columns use ``count(DISTINCT)``.
+    copy carries every column).  Strings and binaries are keyed by the SHA-256
+    of the whole value, so the count is exact up to SHA-256 collisions.
+    Nested columns use ``count(DISTINCT)``.
     """
     atomic, nested = [], []
     for i, f in fields:
         (atomic if _key_lane(_pos(i), f.dataType) is not None else nested).append((i, f))
     parts = []
     if atomic:
-        parts.append(_key_counts(df, atomic, digest_over).where(_NONNULL)
+        parts.append(_key_counts(df, atomic).where(_NONNULL)
                      .groupBy("ordinal").agg(F.count(F.lit(1)).cast("long").alias("distinct_count")))
     if nested:
         parts.append(_nested_distinct(df, nested))
@@ -383,7 +370,7 @@ def _exact_batch(df: DataFrame, batch, table_name: str, rsd: float, impl: str) -
 
     facts = []
     if atomic:
-        facts.append(_per_ordinal(_key_counts(df, atomic, DIGEST_OVER_BYTES)))
+        facts.append(_per_ordinal(_key_counts(df, atomic)))
     if nested:
         facts.append(_nested_distinct(df, nested).selectExpr(
             "ordinal", "CAST(NULL AS BIGINT) AS rows", "CAST(NULL AS BIGINT) AS nn", "distinct_count AS d",
@@ -415,8 +402,7 @@ def _exact_batch(df: DataFrame, batch, table_name: str, rsd: float, impl: str) -
     stacked = base[0]
     for x in base[1:]:
         stacked = stacked.unionByName(x)
-    if len(batch) <= BROADCAST_MAX_ROWS:
-        fact = F.broadcast(fact)  # one row per column of the batch
+    fact = F.broadcast(fact)  # one row per column of the batch
     j = stacked.join(fact, "ordinal", "left")
     ltz = "CAST(timestamp_micros({}) AS TIMESTAMP_NTZ)"
 
@@ -485,10 +471,10 @@ def profile_tables(tables: Mapping[str, DataFrame], out_path: str | None = None,
                    chunk: int = 64, **kwargs) -> DataFrame:
     """Profiles of several tables stacked, keyed by table_name.
 
-    With ``out_path`` the profiles are written (appended) ``chunk`` tables
-    per job and read back: a catalog of thousands of tables never becomes
-    one giant plan, finished chunks survive a failure, and the result has no
-    lineage back to the tables.
+    With ``out_path`` the profiles are written ``chunk`` tables per job, each
+    chunk over its own directory, and read back: a catalog of thousands of
+    tables never becomes one giant plan, a retry replaces what it wrote
+    before, and the result has no lineage back to the tables.
     """
     if not tables:
         raise ValueError("no tables given")
@@ -505,8 +491,8 @@ def profile_tables(tables: Mapping[str, DataFrame], out_path: str | None = None,
         part = built[0]
         for p in built[1:]:
             part = part.unionByName(p)
-        part.write.mode("append").parquet(out_path)
-    return spark.read.parquet(out_path)
+        part.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/chunk={start // chunk}")
+    return spark.read.parquet(*[f"{out_path.rstrip('/')}/chunk={i}" for i in range(-(-len(names) // chunk))])
 
 
 def _build_profiles(tables: Mapping[str, DataFrame], names: list[str], kwargs: dict) -> list[DataFrame]:
@@ -600,6 +586,15 @@ def profile_partials(df: DataFrame, group_cols: Iterable[str] = (), table_name:
     return g.selectExpr(*keep, f"inline(array({', '.join(structs)}))")
 
 
+def _merged_bound(b: str, lane: str) -> str:
+    """Least or greatest of a lane; the text of decimals is compared as numbers."""
+    plain = f"{b}({b}_{lane})"
+    if lane != "str":
+        return plain
+    decimal = decimal_bound_sql(b, f"CASE WHEN startswith(original_type, 'decimal') THEN {b}_str END")
+    return f"CASE WHEN startswith(original_type, 'decimal') THEN {decimal} ELSE {plain} END"
+
+
 def merge_partials(partials: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """Final merge of ``profile_partials`` rows into the profile schema; the
     distinct count is the union sketch's estimate (approximate).  ``by``
@@ -610,8 +605,7 @@ def merge_partials(partials: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     m = partials.groupBy(*[col(c) for c in key]).agg(*[F.expr(e) for e in (
         "CAST(sum(row_count) AS BIGINT) AS row_count",
         "CAST(sum(non_null) AS BIGINT) AS non_null",
-        *[f"min(min_{ln}) AS min_{ln}" for ln in LANE_SQL],
-        *[f"max(max_{ln}) AS max_{ln}" for ln in LANE_SQL],
+        *[f"{_merged_bound(b, ln)} AS {b}_{ln}" for b in ("min", "max") for ln in LANE_SQL],
         "CAST(sum(sum_len) AS BIGINT) AS sum_len",
         "CAST(max(max_len) AS BIGINT) AS max_len",
         "hll_union_agg(sketch, true) AS sketch")])

@@ -78,35 +78,20 @@ def describe_columns(spark: SparkSession, table_id: str) -> DataFrame:
              .dropDuplicates(["col_name"]))
 
 
-# A profile costs two scans: worth it from three single-column candidates.
-SHARED_PROFILE_MIN = 3
-
-
 def candidate_keys(df: DataFrame, column_sets: Sequence[Sequence[str]], table_name: str = "table") -> DataFrame:
     """S3 re-aimed: for each column set, is it a key of the data?
 
     (table_name, key_columns, row_count, distinct_count, null_rows, is_key).
-    From ``SHARED_PROFILE_MIN`` single-column candidates up, they share ONE
-    exact profile (two scans however many columns); any other set is one
-    grouping (one scan) whose partial aggregation collapses duplicate keys
-    map-side, so a hot key costs one row per task.
+    Each set is one grouping (one scan) whose partial aggregation collapses
+    duplicate keys map-side, so a hot key costs one row per task.  A set given
+    twice is answered twice.  ``single_column_keys`` reads all single-column
+    keys off one exact profile.
     """
-    from lakelens.operators.profile import profile
-
     sets = [list(c) for c in column_sets]
     if not sets:
         raise ValueError("no column sets given")
-    singles = sorted({c[0] for c in sets if len(c) == 1})
-    if len(singles) < SHARED_PROFILE_MIN:
-        singles = []
     out = None
-    if singles:
-        p = profile(df, table_name, distinct="exact", columns=singles)
-        out = p.select(
-            F.lit(table_name).alias("table_name"), F.col("column_name").alias("key_columns"),
-            "row_count", "distinct_count", F.col("null_count").alias("null_rows"),
-            ((F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count"))).alias("is_key"))
-    for cols in (c for c in sets if len(c) > 1 or c[0] not in singles):
+    for cols in sets:
         any_null = F.lit(False)
         for c in cols:
             any_null = any_null | F.col(f"`{c}`").isNull()

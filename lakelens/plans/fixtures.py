@@ -26,12 +26,9 @@ def _cached(spark: SparkSession, sf_dir: str, name: str, build) -> str:
 
 
 def at_least(df: DataFrame, files: int, key: str) -> DataFrame:
-    """At least ``files`` output files: a small input is range-split into
-    ``files`` tasks, a large one keeps its natural (many-task) layout so no
-    task ever holds a fixed fraction of a big table."""
-    if df.rdd.getNumPartitions() >= files:
-        return df
-    return df.repartitionByRange(files, key)
+    """At least ``files`` output files, range-split over as many tasks as the
+    cluster runs at once."""
+    return df.repartitionByRange(max(files, df.sparkSession.sparkContext.defaultParallelism), key)
 
 
 def multi_file_orders(spark: SparkSession, sf_dir: str, files: int = 6) -> str:

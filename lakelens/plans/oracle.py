@@ -108,8 +108,8 @@ def table_profile_sql(table: str, distinct: bool = True) -> str:
 
 def hash_pred_sql(seed: int, percent: float, *keys: str) -> str:
     """SQL form of lakelens.functions.hashing.keep_fraction."""
-    text = " || '|' || ".join([lit(str(seed))] + [f"CAST({k} AS VARCHAR)" for k in keys])
-    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT % 10000 < {float(percent) * 100.0}"
+    text = " || '|' || ".join([lit(str(seed))] + [f"coalesce('v' || CAST({k} AS VARCHAR), 'n')" for k in keys])
+    return f"('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < {float(percent) / 100.0!r}::DOUBLE"
 
 
 def rule_case_sql(raw: str, rules) -> str:

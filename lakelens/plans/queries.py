@@ -406,7 +406,6 @@ QUERIES.update({
 
 
 # --- the driver's own files and text tables ---------------------------------------
-_FOOTER_TABLES = STAR_TABLES + ["embeddings"]
 TEXT_TABLES = ["documents", "pages", "conversations", "benchmark", "labels", "embeddings"]
 
 
@@ -414,10 +413,9 @@ def footer_stats_given_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1/F2 over the driver's own Parquet files (another writer than
     Spark's): per table and leaf column, from footers only."""
     root = sf_dir.rstrip("/")
-    ch = FS.footer_chunks(spark, root, "*.parquet")
-    ch = ch.withColumn("table_name", F.regexp_extract("file_path", r"([^/]+)\.parquet$", 1))
-    ch = ch.where(F.col("table_name").isin(_FOOTER_TABLES))
-    return FS.merge_chunks(ch, ["table_name", "column_path"]).select(
+    ch = FS.footer_chunks(spark, root)
+    ch = ch.withColumn("table_name", F.regexp_extract("file_path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1))
+    return FS.merge_chunks(ch, ["table_name", "column_path"], ["table_name"]).select(
         "table_name", F.col("column_path").alias("column_name"), *_FOOTER_COLS[1:])
 
 

@@ -1,9 +1,11 @@
-"""Parquet footer readers (F1, and per-file schemas for S4).
+"""Parquet footer readers (F1, per-file schemas for S4, per-file rows for P3).
 
 The file list is a DataFrame; footers are read on executors by
-``mapInPandas`` with pyarrow, so thousands of footers are read in parallel
-and no data page is touched.  Output is one row per (file, row group,
-column chunk) with min/max in the same typed lanes as the profile.
+``mapInArrow`` with pyarrow, so thousands of footers are read in parallel
+and no data page is touched.  Rows leave a task file by file.  Output is one
+row per (file, row group, column chunk) with min/max in the same typed lanes
+as the profile; a bound that a lane cannot hold exactly (INT96, unsigned
+beyond 2^63, binary) is unknown, never dropped from a merge in silence.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ import datetime as _dt
 import decimal
 import math
 import sys
+from collections.abc import Iterator
+from zoneinfo import ZoneInfo
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -22,7 +25,7 @@ from lakelens.sources.listing import list_files
 
 # The footer readers run in Python workers on the executors.  Pickling this
 # module's functions by value ships their code with the task, so executors
-# need pyarrow/pandas but not this package on their path (it can still be
+# need pyarrow but not this package on their path (it can still be
 # shipped the usual way, with --py-files).
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -62,7 +65,35 @@ FILE_SCHEMA_SCHEMA = T.StructType([
 ])
 
 
-def _open(path: str):
+FILE_ROWS_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("num_rows", T.LongType()),
+])
+
+# Hadoop's S3 settings and what pyarrow calls them.
+S3_SETTINGS = {
+    "fs.s3a.access.key": "access_key",
+    "fs.s3a.secret.key": "secret_key",
+    "fs.s3a.session.token": "session_token",
+    "fs.s3a.endpoint": "endpoint_override",
+    "fs.s3a.endpoint.region": "region",
+}
+
+
+def s3_options(spark: SparkSession) -> dict[str, str]:
+    """pyarrow's S3 options from the session's Hadoop settings (empty: defaults)."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = {to: conf.get(key) for key, to in S3_SETTINGS.items() if conf.get(key)}
+    endpoint = found.get("endpoint_override", "")
+    if "://" in endpoint:
+        found["scheme"], found["endpoint_override"] = endpoint.split("://", 1)
+    elif endpoint and conf.get("fs.s3a.connection.ssl.enabled") == "false":
+        found["scheme"] = "http"
+    return found
+
+
+def _open(path: str, s3: dict[str, str]):
     """Open a listed path with pyarrow's file system for its scheme."""
     import pyarrow.fs as pafs
 
@@ -71,139 +102,124 @@ def _open(path: str):
         while local.startswith("//"):
             local = local[1:]
         return pafs.LocalFileSystem().open_input_file(local)
-    if path.startswith(("s3a://", "s3n://")):
-        path = "s3://" + path.split("://", 1)[1]
+    if path.startswith(("s3a://", "s3n://", "s3://")):
+        return pafs.S3FileSystem(**s3).open_input_file(path.split("://", 1)[1])
     fs, inner = pafs.FileSystem.from_uri(path)
     return fs.open_input_file(inner)
 
 
-def _lanes(logical: str, physical: str, v):
-    """Place one footer bound in its lane; returns (lane, value, is_nan)."""
-    if v is None:
-        return None, None, False
-    if isinstance(v, bool) or physical == "BOOLEAN":
-        return None, None, False
+def _lane(physical: str, v, zone: str):
+    """(lane, value) of one footer bound; lane "nan" for a NaN, None if no lane holds it exactly."""
+    if isinstance(v, bool) or physical in ("BOOLEAN", "INT96"):
+        return None, None
     if isinstance(v, decimal.Decimal):
-        return "dec", v, False
+        return "dec", v
     if isinstance(v, float):
-        if math.isnan(v):
-            return None, None, True
-        return "num", (0.0 if v == 0 else v), False  # -0.0 reads as 0.0
-    if isinstance(v, (pd.Timestamp, _dt.datetime)):
-        ts = pd.Timestamp(v)
-        if ts.tzinfo is not None:
-            ts = ts.tz_convert("UTC").tz_localize(None)
-        return "ts", ts, False
+        return ("nan", None) if math.isnan(v) else ("num", 0.0 if v == 0 else v)  # -0.0 reads as 0.0
+    if isinstance(v, _dt.datetime):
+        # an instant reads in the session's time zone, like the column itself
+        return "ts", v if v.tzinfo is None else v.astimezone(ZoneInfo(zone)).replace(tzinfo=None)
     if isinstance(v, _dt.date):
-        return "ts", pd.Timestamp(v), False
+        return "ts", _dt.datetime(v.year, v.month, v.day)
     if isinstance(v, int):
-        if not -(1 << 63) <= v < (1 << 63):
-            return None, None, False  # unsigned 64-bit beyond the int lane: unknown
-        return "int", int(v), False
-    if isinstance(v, str):
-        return "str", v, False
-    return None, None, False  # binary and unknown logical types
-
-
-def _chunk_rows(path: str) -> list[dict]:
-    import pyarrow.parquet as pq
-
-    rows = []
-    with _open(path) as f:
-        meta = pq.ParquetFile(f).metadata
-        for rg_i in range(meta.num_row_groups):
-            rg = meta.row_group(rg_i)
-            for ci in range(rg.num_columns):
-                ch = rg.column(ci)
-                st = ch.statistics
-                logical = str(st.logical_type) if st is not None else None
-                r = {
-                    "file_path": path, "row_group": rg_i, "column_index": ci,
-                    "column_path": ch.path_in_schema,
-                    "top_column": ch.path_in_schema.split(".")[0],
-                    "physical_type": ch.physical_type, "logical_type": logical,
-                    "num_rows": rg.num_rows, "num_values": ch.num_values,
-                    "null_count": st.null_count if (st is not None and st.has_null_count) else None,
-                    "has_min_max": bool(st is not None and st.has_min_max),
-                    "nan_bound": False,
-                    "compressed_size": ch.total_compressed_size,
-                    "uncompressed_size": ch.total_uncompressed_size,
-                }
-                for b in ("min", "max"):
-                    for ln in ("int", "num", "str", "ts"):
-                        r[f"{b}_{ln}"] = None
-                if r["has_min_max"]:
-                    for b, v in (("min", st.min), ("max", st.max)):
-                        lane, val, is_nan = _lanes(logical, ch.physical_type, v)
-                        if is_nan:
-                            r["nan_bound"] = True
-                        elif lane == "dec":
-                            r[f"{b}_num"] = float(val)
-                            r[f"{b}_str"] = str(val)
-                        elif lane is not None:
-                            r[f"{b}_{lane}"] = val
-                    if r["nan_bound"]:
-                        # a NaN bound makes both bounds of the chunk unusable
-                        for b in ("min", "max"):
-                            r[f"{b}_num"] = None
-                rows.append(r)
-    return rows
-
-
-def _read_chunks(batches):
-    cols = [f.name for f in CHUNK_SCHEMA.fields]
-    for pdf in batches:
-        rows = []
-        for p in pdf["path"]:
-            rows.extend(_chunk_rows(p))
-        out = pd.DataFrame(rows, columns=cols)
-        for c in ("min_ts", "max_ts"):
-            out[c] = pd.to_datetime(out[c])
-        for c in ("min_int", "max_int", "null_count"):
-            out[c] = out[c].astype("Int64")
-        yield out
-
-
-def _read_file_schemas(batches):
-    import pyarrow.parquet as pq
-
-    cols = [f.name for f in FILE_SCHEMA_SCHEMA.fields]
-    for pdf in batches:
-        rows = []
-        for p in pdf["path"]:
-            with _open(p) as f:
-                pf = pq.ParquetFile(f)
-                meta = pf.metadata
-                for i, fld in enumerate(pf.schema_arrow, start=1):
-                    rows.append((p, meta.num_rows, meta.num_row_groups, i, fld.name,
-                                 str(fld.type), bool(fld.nullable)))
-        yield pd.DataFrame(rows, columns=cols)
-
-
-def _spread(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Lay the file list out for footer reading.
-
-    Few listing splits (a handful of big files): one round-robin exchange of
-    path rows spreads them over all cores.  Many splits (a big lake): pack
-    about eight adjacent splits per task with a narrow ``coalesce`` - no
-    shuffle, and no task per footer (task overhead would dominate).
-    """
-    parts = files.rdd.getNumPartitions()
-    cores = spark.sparkContext.defaultParallelism
-    paths = files.select("path")
-    if parts < cores:
-        return paths.repartition(cores)
-    return paths.coalesce(max(cores, -(-parts // 8)))
-
-
-def footer_chunks(spark: SparkSession, path_or_files, glob: str = "*.parquet") -> DataFrame:
-    """column-chunk statistics of every Parquet file below a path (or of
-    a listing DataFrame with a ``path`` column)."""
-    files = path_or_files if isinstance(path_or_files, DataFrame) else list_files(spark, path_or_files, glob)
-    return _spread(spark, files).mapInPandas(_read_chunks, CHUNK_SCHEMA)
-
-
-def file_schemas(spark: SparkSession, path_or_files, glob: str = "*.parquet") -> DataFrame:
+        return ("int", v) if -(1 << 63) <= v < 1 << 63 else (None, None)
+    return ("str", v) if isinstance(v, str) else (None, None)
+
+
+def _bounds(st, physical: str, zone: str) -> list | None:
+    """[(lane, value) of min, of max]; None if they are unknown.  One column's
+    unreadable bounds never fail the file."""
+    if physical == "INT96":
+        return None
+    try:
+        found = [_lane(physical, v, zone) for v in (st.min, st.max)]
+    except (ArithmeticError, ValueError, NotImplementedError):
+        return None
+    return found if all(lane is not None for lane, _ in found) else None
+
+
+def _chunk_rows(path: str, meta, zone: str) -> Iterator[dict]:
+    for rg_i in range(meta.num_row_groups):
+        rg = meta.row_group(rg_i)
+        for ci in range(rg.num_columns):
+            ch = rg.column(ci)
+            st = ch.statistics
+            has = st is not None and st.has_min_max
+            bounds = _bounds(st, ch.physical_type, zone) if has else None
+            r = {
+                "file_path": path, "row_group": rg_i, "column_index": ci,
+                "column_path": ch.path_in_schema,
+                "top_column": ch.path_in_schema.split(".")[0],
+                "physical_type": ch.physical_type,
+                "logical_type": str(meta.schema.column(ci).logical_type),
+                "num_rows": rg.num_rows, "num_values": ch.num_values,
+                "null_count": st.null_count if (st is not None and st.has_null_count) else None,
+                # booleans and binary have bounds that no lane shows
+                "has_min_max": has and (bounds is not None or ch.physical_type in ("BOOLEAN", "BYTE_ARRAY", "FIXED_LEN_BYTE_ARRAY")),
+                "nan_bound": bounds is not None and any(lane == "nan" for lane, _ in bounds),
+                "compressed_size": ch.total_compressed_size,
+                "uncompressed_size": ch.total_uncompressed_size,
+            }
+            if bounds is not None and not r["nan_bound"]:  # a NaN bound makes both unusable
+                for b, (lane, v) in zip(("min", "max"), bounds):
+                    if lane == "dec":
+                        r[f"{b}_num"], r[f"{b}_str"] = float(v), format(v, "f")
+                    else:
+                        r[f"{b}_{lane}"] = v
+            yield r
+
+
+def _schema_rows(path: str, file) -> Iterator[dict]:
+    meta = file.metadata
+    for i, fld in enumerate(file.schema_arrow, start=1):
+        yield {"file_path": path, "num_rows": meta.num_rows, "num_row_groups": meta.num_row_groups, "ordinal": i,
+               "column_name": fld.name, "arrow_type": str(fld.type), "nullable": bool(fld.nullable)}
+
+
+def _read(spark: SparkSession, files: DataFrame, schema: T.StructType, rows_of) -> DataFrame:
+    """``rows_of(path, length, file)`` of every listed file, one batch a file.  The listing
+    is spread over the session's cores by one exchange of (path, length) rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    s3, arrow = s3_options(spark), to_arrow_schema(schema)
+
+    def read(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                with _open(path, s3) as f:
+                    rows = list(rows_of(path, length, pq.ParquetFile(f)))
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    spread = files.select("path", "length").repartition(_tasks(spark))
+    return spread.mapInArrow(read, schema)
+
+
+def _tasks(spark: SparkSession) -> int:
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+def _files(spark: SparkSession, path_or_files) -> DataFrame:
+    return path_or_files if isinstance(path_or_files, DataFrame) else list_files(spark, path_or_files)
+
+
+def footer_chunks(spark: SparkSession, path_or_files) -> DataFrame:
+    """column-chunk statistics of every data file below a path, whatever its
+    name ends in (or of a listing DataFrame)."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    return _read(spark, _files(spark, path_or_files), CHUNK_SCHEMA,
+                 lambda path, _, file: _chunk_rows(path, file.metadata, zone))
+
+
+def file_schemas(spark: SparkSession, path_or_files) -> DataFrame:
     """Per-file Arrow schema and row count, read from footers."""
-    files = path_or_files if isinstance(path_or_files, DataFrame) else list_files(spark, path_or_files, glob)
-    return _spread(spark, files).mapInPandas(_read_file_schemas, FILE_SCHEMA_SCHEMA)
+    return _read(spark, _files(spark, path_or_files), FILE_SCHEMA_SCHEMA, lambda path, _, file: _schema_rows(path, file))
+
+
+def file_rows(spark: SparkSession, path_or_files) -> DataFrame:
+    """(path, length, num_rows) of every file, from its footer alone."""
+    return _read(spark, _files(spark, path_or_files), FILE_ROWS_SCHEMA, lambda path, length, file: [
+        {"path": path, "length": length, "num_rows": file.metadata.num_rows}])

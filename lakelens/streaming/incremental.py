@@ -24,17 +24,18 @@ def _partials_dir(state_dir: str) -> str:
 
 def start_incremental_profile(spark: SparkSession, input_dir: str, state_dir: str,
                               schema: T.StructType | None = None, table_name: str = "table",
-                              max_files_per_trigger: int = 2, lg_k: int = DEFAULT_LG_K,
+                              max_files_per_trigger: int | None = None, lg_k: int = DEFAULT_LG_K,
                               available_now: bool = True,
                               processing_time: str | None = None) -> StreamingQuery:
     """Start the stream.  ``available_now`` consumes what is there (in
-    batches of ``max_files_per_trigger`` files) and stops; otherwise it runs
-    on ``processing_time`` triggers."""
+    batches of ``max_files_per_trigger`` files, all at once by default) and
+    stops; otherwise it runs on ``processing_time`` triggers."""
     if schema is None:
         schema = spark.read.parquet(input_dir).schema
-    stream = (spark.readStream.schema(schema)
-              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(input_dir))
-    return start_stream_profile(stream, state_dir, table_name, lg_k, available_now, processing_time)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return start_stream_profile(reader.parquet(input_dir), state_dir, table_name, lg_k, available_now, processing_time)
 
 
 def start_stream_profile(stream: DataFrame, state_dir: str, table_name: str = "table",

@@ -135,9 +135,34 @@ def test_digest_keys_equal_raw_values(spark):
     df = spark.read.parquet(f"{SF001}/documents.parquet").unionByName(
         spark.read.parquet(f"{SF001}/documents.parquet").limit(50))
     f = _fields(df, None)
-    raw = sorted(tuple(r) for r in exact_distinct_counts(df, f, None).collect())
-    for d in (0, 32, 1000):
-        assert sorted(tuple(r) for r in exact_distinct_counts(df, f, d).collect()) == raw
+    got = dict(tuple(r) for r in exact_distinct_counts(df, f).collect())
+    assert got == {i: df.select(c.name).distinct().count() for i, c in f}
+
+
+def test_decimal_bounds_merge_as_numbers(spark):
+    from lakelens.operators.profile import merge_partials, profile_partials
+    df = spark.sql("""SELECT g, CAST(x AS DECIMAL(38,2)) AS d FROM VALUES (1, '9.10'), (2, '10.50'), (2, '-3.05'),
+                      (3, '-3.5'), (3, '-0.50'), (4, '123456789012345678901234567890123456.78'), (4, NULL) AS t(g, x)""")
+    r = by_col(merge_partials(profile_partials(df, ["g"]).drop("g")))["d"]
+    assert (r.min_str, r.max_str) == ("-3.50", "123456789012345678901234567890123456.78")
+    small = by_col(merge_partials(profile_partials(df.where("g < 3 and d > 0"), ["g"]).drop("g")))["d"]
+    assert (small.min_str, small.max_str) == ("9.10", "10.50")
+
+
+def test_unreachable_error_is_refused():
+    import pytest
+    from lakelens.operators.profile import lg_k_for
+    assert lg_k_for(0.01) == 14
+    for rsd in (0.0005, 0.5):
+        with pytest.raises(ValueError):
+            lg_k_for(rsd)
+
+
+def test_retried_chunks_replace_themselves(spark, scratch):
+    t = {"a": spark.range(3), "b": spark.range(4)}
+    for _ in range(2):
+        rows = profile_tables(t, out_path=f"{scratch}/profiles/retry", chunk=1).collect()
+        assert sorted((r.table_name, r.row_count) for r in rows) == [("a", 3), ("b", 4)]
 
 
 def test_awkward_names(spark):
