@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +65,14 @@ def row_count_ladder(spark: SparkSession, table_id: str | None = None, path: str
     if path is not None:
         from lakelens.operators.footer_stats import footer_row_count
         try:
-            return footer_row_count(spark, path).select("row_count", F.lit("footer").alias("source"))
-        except Exception:  # noqa: BLE001 - unreadable footers fall through to a scan
+            n = footer_row_count(spark, path).first().row_count  # read now, so that a failure is met here
+            return spark.range(1).select(F.lit(n).cast("long").alias("row_count"), F.lit("footer").alias("source"))
+        except PySparkException:  # unreadable footers: the scan answers or says why
             pass
-    if table_id is None:
+    if table_id is None and path is None:
         raise ValueError("row_count_ladder needs a table id or a path")
-    return spark.table(table_id).agg(F.count(F.lit(1)).cast("long").alias("row_count")) \
-        .select("row_count", F.lit("scan").alias("source"))
+    rows = spark.table(table_id) if table_id is not None else spark.read.parquet(path)
+    return rows.agg(F.count(F.lit(1)).cast("long").alias("row_count")).select("row_count", F.lit("scan").alias("source"))
 
 
 def catalog_stats_like(spark: SparkSession, database: str, pattern: str) -> DataFrame:

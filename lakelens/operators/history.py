@@ -20,12 +20,14 @@ current state is derived:
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakelens.session import path_exists
+
 # Default time-to-live per kind of cached entry, in seconds.
 METADATA_TTL_SECONDS = 86400
 DISCOVERY_TTL_SECONDS = 3600
@@ -49,6 +51,11 @@ def ntz(value: dt.datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def utc_now() -> Column:
+    """The present as a TIMESTAMP_NTZ in UTC, whatever the session's time zone."""
+    return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
+
+
 def history_rows(df: DataFrame, source: Column | str, id_col: Column | str, content: Column,
                  kind: str = "metadata", last_updated: Column | dt.datetime | None = None,
                  has_column_stats: bool | Column = False) -> DataFrame:
@@ -61,7 +68,7 @@ def history_rows(df: DataFrame, source: Column | str, id_col: Column | str, cont
         return v if isinstance(v, Column) else F.lit(v)
 
     if last_updated is None:
-        ts = F.localtimestamp()
+        ts = utc_now()
     elif isinstance(last_updated, Column):
         ts = last_updated
     else:
@@ -83,15 +90,24 @@ def append_history(rows: DataFrame, path: str) -> None:
          .write.mode("append").partitionBy("run_date").parquet(path))
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
+def read_history(spark: SparkSession, path: str, since: dt.date | None = None,
+                 until: dt.date | None = None) -> DataFrame:
+    """The history, or only the days ``since`` to ``until`` (other days aren't read)."""
     stored = T.StructType(HISTORY_SCHEMA.fields + [T.StructField("run_date", T.DateType())])
-    return spark.read.schema(stored).parquet(path).select(*HISTORY_COLUMNS)
-
-
-def current(history: DataFrame, include_deleted: bool = False) -> DataFrame:
-    """The latest row per (source, kind, id).  Ties on last_updated
-    go to a tombstone, then to the larger content, so the result is
-    deterministic."""
+    rows = spark.read.schema(stored).parquet(path)
+    if since is not None:
+        rows = rows.where(F.col("run_date") >= F.lit(since))
+    if until is not None:
+        rows = rows.where(F.col("run_date") <= F.lit(until))
+    return rows.select(*HISTORY_COLUMNS)
+
+
+def current(history: DataFrame, include_deleted: bool = False, as_of: dt.datetime | None = None) -> DataFrame:
+    """The latest row per (source, kind, id), at ``as_of`` if given (later
+    rows don't count).  Ties on last_updated go to a tombstone, then to the
+    larger content, so the result is deterministic."""
+    if as_of is not None:
+        history = history.where(F.col("last_updated") <= ntz(as_of))
     order = F.struct("last_updated", "deleted", "content")
     rec = F.struct(*[F.col(c) for c in HISTORY_COLUMNS if c not in KEY])
     latest = history.groupBy(*KEY).agg(F.max_by(rec, order).alias("r")).select(*KEY, "r.*")
@@ -110,15 +126,26 @@ def _ttl_for(kind_col: Column, ttl_seconds: int | None) -> Column:
 def fresh(cur: DataFrame, as_of: dt.datetime, ttl_seconds: int | None = None,
           need_column_stats: bool = False) -> DataFrame:
     """Current rows not older than their TTL at ``as_of`` (default
-    TTL per kind).  ``need_column_stats`` only accepts rows saved with them."""
-    age_ok = F.col("last_updated") >= (
-        ntz(as_of) - F.make_dt_interval(secs=_ttl_for(F.col("kind"), ttl_seconds)))
+    TTL per kind), nor later than it.  ``need_column_stats`` only accepts rows
+    saved with them."""
+    age_ok = (F.col("last_updated") <= ntz(as_of)) & (F.col("last_updated") >= (
+        ntz(as_of) - F.make_dt_interval(secs=_ttl_for(F.col("kind"), ttl_seconds))))
     out = cur.where(age_ok)
     if need_column_stats:
         out = out.where(F.col("has_column_stats"))
     return out
 
 
+def fresh_history(spark: SparkSession, path: str, as_of: dt.datetime, ttl_seconds: int | None = None,
+                  need_column_stats: bool = False) -> DataFrame:
+    """C2/C4 from a stored history, reading only the days that can hold a fresh row:
+    what is fresh, and any later row or tombstone that hides it, is no older
+    than the longest TTL."""
+    longest = ttl_seconds if ttl_seconds is not None else max(KIND_TTL.values())
+    since = (as_of - dt.timedelta(seconds=longest)).date()
+    return fresh(current(read_history(spark, path, since, as_of.date()), as_of=as_of), as_of, ttl_seconds, need_column_stats)
+
+
 def cached_ids(cur: DataFrame) -> DataFrame:
     """Every cached id, fresh or not."""
     return cur.where(F.col("kind") == "metadata").select("source", "id").distinct()
@@ -131,7 +158,7 @@ def tombstones(cur: DataFrame, ids: DataFrame | None = None, kinds: Sequence[str
     target = cur.where(F.col("kind").isin(list(kinds)))
     if ids is not None:
         target = target.join(ids.select("source", "id"), ["source", "id"], "left_semi")
-    ts = ntz(at) if at else F.localtimestamp()
+    ts = ntz(at) if at else utc_now()
     return target.select(*KEY, F.lit(None).cast("string").alias("content"),
                          ts.alias("last_updated"), F.lit(True).alias("deleted"),
                          F.lit(False).alias("has_column_stats")).select(*HISTORY_COLUMNS)
@@ -184,11 +211,13 @@ def discovery_rows(listing: DataFrame, source: str, key: str,
 
 def refresh_stale(spark: SparkSession, tables: dict, history_path: str, source: str,
                   as_of: dt.datetime, ttl_seconds: int | None = None, column_stats: bool = True,
-                  force: bool = False, chunk: int = 64) -> list[str]:
+                  force: bool = False, chunk: int = 64, paths: Mapping[str, str] | None = None,
+                  primary_keys: Mapping[str, Sequence[str]] | None = None, distinct: str = "approx") -> list[str]:
     """C7 read-through: profile the tables whose history entry is missing or
     stale (all of them with ``force``, the reference's refresh flag) and
     append their nested metadata records.  ``tables`` maps table id to
-    DataFrame; the ids to refresh (a list bounded by the number of tables)
+    DataFrame, ``paths`` to its location (so that records hold size, freshness
+    and partitions) and ``primary_keys`` to its key columns; the ids to refresh (a list bounded by the number of tables)
     come back to the driver to drive one profile job per table.
     """
     from lakelens.operators.metadata import full_metadata, to_json_record
@@ -199,17 +228,19 @@ def refresh_stale(spark: SparkSession, tables: dict, history_path: str, source:
     if force:
         todo = sorted(tables)
     else:
-        try:
-            cur = current(read_history(spark, history_path))
-        except Exception:  # noqa: BLE001 - no history yet: everything is stale
-            cur = spark.createDataFrame([], HISTORY_SCHEMA)
+        if path_exists(spark, history_path):
+            cur = fresh_history(spark, history_path, as_of, ttl_seconds)
+        else:
+            cur = spark.createDataFrame([], HISTORY_SCHEMA)  # no history yet: everything is stale
         todo = sorted(r.id for r in stale(catalog, cur, as_of, ttl_seconds).collect())
     if not todo:
         return []
     for start in range(0, len(todo), chunk):
         records = None
         for t in todo[start:start + chunk]:
-            rec = to_json_record(full_metadata(spark, tables[t], t, column_stats=column_stats))
+            rec = to_json_record(full_metadata(
+                spark, tables[t], t, (paths or {}).get(t), column_stats=column_stats, distinct=distinct,
+                primary_keys=(primary_keys or {}).get(t, ())))
             records = rec if records is None else records.unionByName(rec)
         rows = history_rows(records, F.lit(source), "id", F.col("content"), kind="metadata",
                             last_updated=as_of, has_column_stats=column_stats)

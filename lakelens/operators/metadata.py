@@ -3,6 +3,8 @@ whole-table record with its JSON form."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,7 @@ def min_value_text(prefix: str) -> Column:
 
 
 def describe_report(spark: SparkSession, df: DataFrame, table_name: str,
-                    distinct: str = "exact") -> DataFrame:
+                    distinct: str = "approx") -> DataFrame:
     """Schema left-joined to the profile on the column ordinal (names
     may repeat); every value as text, missing values as empty strings.
 
@@ -100,15 +102,17 @@ def split_id(table_id: str) -> tuple[str, str]:
 
 
 def full_metadata(spark: SparkSession, df: DataFrame, table_id: str, path: str | None = None,
-                  column_stats: bool = True, distinct: str = "exact",
-                  inline_partitions: bool = True) -> DataFrame:
+                  column_stats: bool = True, distinct: str = "approx",
+                  inline_partitions: bool = True, primary_keys: Sequence[str] = ()) -> DataFrame:
     """X1 (+X2 with ``column_stats``): one nested row of METADATA_SCHEMA.
 
     The parts - profile rows, the size/freshness row of the listing of
     ``path`` and its partition rows - are stacked as tagged rows and folded
     by ONE aggregate keyed by the table id (conditional aggregates pick each
     part), so no join is needed.  The schema comes from the driver's schema
-    object; the column-stats map has one entry per column.  The inline
+    object; the column-stats map has one entry per column (without
+    ``column_stats`` no column is read, rows are only counted).
+    ``primary_keys`` come from the caller, e.g. from ``candidate_keys``.  The inline
     partition list grows with the table's partition count; for tables with
     very many partitions pass ``inline_partitions=False`` and read
     ``partition_inventory`` (a distributed DataFrame) instead.
@@ -118,8 +122,9 @@ def full_metadata(spark: SparkSession, df: DataFrame, table_id: str, path: str |
     db, name = split_id(table_id)
     stat_t = COLUMN_STAT
     part_t = METADATA_SCHEMA["partitions"].dataType.elementType
-    dist = distinct if column_stats else "none"
-    p = profile(df, table_id, distinct=dist)
+    unknown = [k for k in primary_keys if k not in df.columns]
+    if unknown:
+        raise ValueError(f"unknown column(s): {unknown}")
     stat_entry = F.struct(
         F.col("column_name"),
         min_value_text("min").alias("min_value"), min_value_text("max").alias("max_value"),
@@ -136,10 +141,13 @@ def full_metadata(spark: SparkSession, df: DataFrame, table_id: str, path: str |
 
     # one entry per name: with repeated names the last column wins, as in a
     # mapping keyed by name (map_from_entries refuses duplicate keys)
-    by_name = (p.select("column_name", "ordinal", "row_count", stat_entry.alias("stat"))
-                .groupBy("column_name")
-                .agg(F.max("row_count").alias("row_count"), F.max_by("stat", "ordinal").alias("stat")))
-    parts = tagged(by_name, "stat", rows=F.col("row_count"), stat=F.col("stat"))
+    if column_stats:
+        by_name = (profile(df, table_id, distinct=distinct)
+                   .select("column_name", "ordinal", "row_count", stat_entry.alias("stat")).groupBy("column_name")
+                   .agg(F.max("row_count").alias("row_count"), F.max_by("stat", "ordinal").alias("stat")))
+        parts = tagged(by_name, "stat", rows=F.col("row_count"), stat=F.col("stat"))
+    else:
+        parts = tagged(df.agg(F.count(F.lit(1)).alias("n")), "rows", rows=F.col("n"))
     if path is not None:
         sz = table_size(spark, path)
         parts = parts.unionByName(tagged(sz, "size", size=F.col("total_size_bytes"),
@@ -166,7 +174,7 @@ def full_metadata(spark: SparkSession, df: DataFrame, table_id: str, path: str |
     return folded.select(
         F.lit(table_id).alias("id"), F.lit(name).alias("name"), F.lit(db).alias("database"),
         F.struct(cols.alias("columns"),
-                 F.array().cast("array<string>").alias("primary_keys")).alias("schema_info"),
+                 F.array(*[F.lit(k) for k in primary_keys]).cast("array<string>").alias("primary_keys")).alias("schema_info"),
         F.struct("row_count", "total_size_bytes", "last_modified",
                  stats_map.alias("column_stats")).alias("stats"),
         F.col("partitions").cast(METADATA_SCHEMA["partitions"].dataType).alias("partitions"),

@@ -525,7 +525,7 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
         "table_name", "coalesce(row_count, CAST(0 AS BIGINT)) AS row_count")
 
 
-def column_stats(df: DataFrame, column: str, distinct: str = "exact", rsd: float = DEFAULT_RSD,
+def column_stats(df: DataFrame, column: str, distinct: str = "approx", rsd: float = DEFAULT_RSD,
                  approx_impl: str = "sketch") -> DataFrame:
     """G2/G3 for one column: min, max, null count, distinct count."""
     return profile(df, columns=[column], distinct=distinct, rsd=rsd, approx_impl=approx_impl)

@@ -313,6 +313,17 @@ ORACLE["column_profile_lineitem_approx"] = profile_select("lineitem", "lineitem"
                                                           with_distinct_cols=False)
 
 ORACLE["history_compacted"] = ORACLE["history_latest"]
+# The tables whose records are read through the history, with their keys.
+_RECORDS = {"region": "r_regionkey", "supplier": "s_suppkey", "lineitem": "l_orderkey,l_linenumber"}
+ORACLE["read_through_records"] = "\nUNION ALL\n".join(
+    f"SELECT {lit('tpch.' + t)} AS id, 'tpch' AS database, {lit(keys)} AS primary_keys, CAST(count(*) AS BIGINT) AS row_count, "
+    f"TRUE AS size_known, CAST(3 AS BIGINT) AS refreshed, {lit(c)} AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
+    + (f"CAST(max(length({c})) AS BIGINT)" if typ == "string" else "CAST(NULL AS BIGINT)") + f" AS max_len FROM {t}"
+    for t, keys in _RECORDS.items() for c, typ in TABLE_SCHEMAS[t])
+ORACLE["decimal_partials"] = """SELECT 'price' AS column_name, CAST(count(*) AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS null_count,
+       CAST(min(CAST(o_totalprice AS DECIMAL(20,2))) AS VARCHAR) AS min_value,
+       CAST(max(CAST(o_totalprice AS DECIMAL(20,2))) AS VARCHAR) AS max_value FROM orders"""
+ORACLE["sample_hash_rare"] = f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {hash_pred_sql(42, 0.05, 'l_orderkey', 'l_linenumber')}"
 ORACLE["lake_directories"] = """SELECT * FROM (VALUES ('raw'), ('raw/events_json'), ('tpch'), ('tpch/lineitem'),
                       ('tpch/orders'), ('tpch/orders_delta')) AS t(name)
 UNION ALL

@@ -59,7 +59,7 @@ def column_profile_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_stats_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.column_stats(read_table(spark, sf_dir, "customer"), "c_acctbal").select(
+    return P.column_stats(read_table(spark, sf_dir, "customer"), "c_acctbal", "exact").select(
         "column_name", "row_count", "null_count", "distinct_count", "min_num", "max_num")
 
 
@@ -186,7 +186,7 @@ def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def describe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _describe(spark, read_table(spark, sf_dir, "supplier"), "supplier")
+    return _describe(spark, read_table(spark, sf_dir, "supplier"), "supplier", distinct="exact")
 
 
 QUERIES.update({
@@ -314,7 +314,7 @@ def profile_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1+X2 for orders, to JSON (X4) and back; fields read from the parsed record."""
-    meta = MD.full_metadata(spark, read_table(spark, sf_dir, "orders"), "tpch.orders")
+    meta = MD.full_metadata(spark, read_table(spark, sf_dir, "orders"), "tpch.orders", distinct="exact")
     back = MD.from_json_record(MD.to_json_record(meta))
     cols = back.select("id", "name", "database", F.col("stats.row_count").alias("row_count"),
                        F.explode("schema_info.columns").alias("c"), "stats.column_stats")
@@ -448,6 +448,43 @@ def history_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.current(H.compact_history(spark, src, dst)).select("source", "kind", "id", "content", "last_updated")
 
 
+# The tables whose records are read through the history, with their keys.
+RECORD_TABLES = {"region": ["r_regionkey"], "supplier": ["s_suppkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+
+
+def read_through_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 with X1/X2: records that a refresh saved, and that a second refresh found
+    fresh, read back from the history: rows, keys, size known, and nulls and bounds
+    of every column."""
+    path, at = scratch_dir(spark, "records"), HISTORY_AS_OF
+    frames = {f"tpch.{t}": df for t, df in read_tables(spark, sf_dir, RECORD_TABLES).items()}
+    paths = {f"tpch.{t}": f"{sf_dir.rstrip('/')}/{t}.parquet" for t in RECORD_TABLES}
+    keys = {f"tpch.{t}": k for t, k in RECORD_TABLES.items()}
+    saved = H.refresh_stale(spark, frames, path, "lake", at, paths=paths, primary_keys=keys)
+    again = H.refresh_stale(spark, frames, path, "lake", at + _dt.timedelta(hours=1), paths=paths, primary_keys=keys)
+    records = MD.from_json_record(H.fresh_history(spark, path, at + _dt.timedelta(hours=1)).select("content"))
+    return records.select(
+        "id", "database", F.array_join("schema_info.primary_keys", ",").alias("primary_keys"),
+        F.col("stats.row_count").alias("row_count"), (F.col("stats.total_size_bytes") > 0).alias("size_known"),
+        F.lit(len(saved) - len(again)).cast("long").alias("refreshed"),
+        F.explode("stats.column_stats").alias("column_name", "c")).select(
+        "id", "database", "primary_keys", "row_count", "size_known", "refreshed", "column_name",
+        F.col("c.null_count").alias("null_count"), F.col("c.max_len").alias("max_len"))
+
+
+def decimal_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 on a DECIMAL: partial profiles of o_totalprice cast to decimal, one a priority,
+    merged; bounds are compared as numbers and shown as text."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_totalprice").cast("decimal(20,2)").alias("price"))
+    merged = P.merge_partials(P.profile_partials(o, ["o_orderpriority"], "orders").drop("o_orderpriority"))
+    return merged.select("column_name", "row_count", "null_count", F.col("min_str").alias("min_value"), F.col("max_str").alias("max_value"))
+
+
+def sample_hash_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 at 0.05 %: far below one row in a thousand."""
+    return S.hash_sample(read_table(spark, sf_dir, "lineitem"), 0.05, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+
+
 def lake_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every directory holding files below the lake root."""
     return INV.list_directories(spark, FX.lake(spark, sf_dir), recursive=True)
@@ -455,6 +492,9 @@ def lake_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES.update({
     "history_compacted": history_compacted,
+    "read_through_records": read_through_records,
+    "decimal_partials": decimal_partials,
+    "sample_hash_rare": sample_hash_rare,
     "lake_directories": lake_directories,
 })
 

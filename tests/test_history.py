@@ -77,6 +77,23 @@ def test_refresh_stale_read_through(spark, scratch):
     import json
     reg = [json.loads(r.content) for r in cur if r.id == "tpch.region"][0]
     assert reg["stats"]["row_count"] == 5 and reg["database"] == "tpch"
+    paths = {"tpch.region": f"{SF001}/region.parquet"}
+    refresh_stale(spark, t, path, "lake", AS_OF + DAY, force=True, paths=paths, primary_keys={"tpch.region": ["r_regionkey"]})
+    reg = json.loads([r.content for r in current(read_history(spark, path)).collect() if r.id == "tpch.region"][0])
+    assert reg["stats"]["total_size_bytes"] > 0 and reg["stats"]["last_modified"]
+    assert reg["schema_info"]["primary_keys"] == ["r_regionkey"]
+
+
+def test_rows_after_as_of_do_not_count(spark, scratch):
+    from lakelens.operators.history import fresh_history
+    path = f"{scratch}/history/as_of"
+    append_history(_hist(spark), path)
+    later = AS_OF - DAY
+    assert {(r.source, r.id) for r in fresh_history(spark, path, later).collect()} == {("s1", "t1"), ("s1", "t2")}
+    full = sorted(tuple(r) for r in fresh(current(read_history(spark, path), as_of=AS_OF), AS_OF).collect())
+    assert sorted(tuple(r) for r in fresh_history(spark, path, AS_OF).collect()) == full
+    plan = fresh_history(spark, path, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_date" in plan and "run_date" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
 def test_compaction_keeps_current_state(spark, scratch):
