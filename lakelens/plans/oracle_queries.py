@@ -84,9 +84,12 @@ _COLS_CTE = "\nUNION ALL\n".join(
     f"SELECT {lit(t)} AS table_name, CAST(row_number() OVER () AS INTEGER) AS ordinal, "
     f"column_name, column_type FROM (DESCRIBE {t})" for t in TABLE_SCHEMAS)
 
+_ROWS_CTE = " UNION ALL ".join(f"SELECT {lit(t)} AS table_name, CAST(count(*) AS BIGINT) AS row_count FROM {t}" for t in TABLE_SCHEMAS)
+
 ORACLE["schema_inventory"] = f"""WITH cols AS ({_COLS_CTE})
 SELECT table_name, ordinal, column_name, {_case(_CLASS_OF)} AS data_type,
-       {_case(_SPARK_OF)} AS original_type, TRUE AS nullable FROM cols"""
+       {_case(_SPARK_OF)} AS original_type, TRUE AS nullable, ordinal AS file_ordinal, row_count
+FROM cols JOIN ({_ROWS_CTE}) USING (table_name)"""
 
 _DIALECT_CASE = "CASE " + " ".join(
     f"WHEN dialect = {lit(d)} THEN {rule_case_sql('raw_type', rules)}" for d, rules in DIALECT_RULES.items()
@@ -187,11 +190,11 @@ ORACLE["schema_drift"] = "\nUNION ALL\n".join(
        "SELECT 'o_extra', 'double', CAST(count(*) AS BIGINT), FALSE, FALSE FROM orders "
        "WHERE o_orderstatus = 'P'"])
 
-ORACLE["table_formats"] = """SELECT * FROM (VALUES
-  ('tpch', 'orders', 'parquet'), ('tpch', 'lineitem', 'parquet'),
-  ('tpch', 'orders_delta', 'delta'), ('raw', 'events_json', 'unknown'))
-  AS t(database, table_name, format)
-  WHERE (SELECT count(*) FROM orders) > 0"""
+ORACLE["table_formats"] = """
+SELECT 'tpch' AS database, 'orders' AS table_name, 'parquet' AS format, CAST(count(*) AS BIGINT) AS row_count FROM orders
+UNION ALL SELECT 'tpch', 'lineitem', 'parquet', CAST(count(*) AS BIGINT) FROM lineitem
+UNION ALL SELECT 'tpch', 'orders_delta', 'delta', CAST(count(*) AS BIGINT) FROM orders
+UNION ALL SELECT 'raw', 'events_json', 'unknown', CAST(count(*) AS BIGINT) FROM events"""
 
 ORACLE["partition_inventory"] = """
 SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value, CAST(1 AS INTEGER) AS depth,
@@ -349,4 +352,4 @@ ORACLE["delta_profile_v1"] = profile_select(
     "orders_delta", "(SELECT * FROM orders WHERE o_orderstatus = 'O') AS o", _DELTA_COLS)
 
 ORACLE["discover_tables"] = "\nUNION ALL\n".join(
-    f"SELECT 'dt_{t}' AS name, 'view' AS type WHERE EXISTS (SELECT * FROM {t})" for t in TABLE_SCHEMAS)
+    f"SELECT 'dt_{t}' AS name, 'view' AS type, CAST(count(*) AS BIGINT) AS row_count FROM {t}" for t in TABLE_SCHEMAS)

@@ -19,6 +19,7 @@ from lakelens.operators import inventory as INV
 from lakelens.operators import metadata as MD
 from lakelens.operators import profile as P
 from lakelens.operators import sampling as S
+from lakelens.sources import footers as FSRC
 from lakelens.operators import schema as SC
 from lakelens.operators.catalog_stats import row_count_ladder
 from lakelens.operators.metadata import describe_report as _describe
@@ -149,7 +150,12 @@ def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schema_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv = SC.schema_inventory(spark, read_tables(spark, sf_dir, TABLE_SCHEMAS))
-    return inv.select("table_name", "ordinal", "column_name", "data_type", "original_type", "nullable")
+    # what the files themselves say: the column's place in their footers, and their rows
+    files = (FSRC.file_schemas(spark, sf_dir.rstrip("/"))
+             .withColumn("table_name", F.regexp_extract("file_path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1))
+             .groupBy("table_name", "column_name").agg(F.min("ordinal").alias("file_ordinal"), F.sum("num_rows").alias("row_count")))
+    return inv.join(files, ["table_name", "column_name"], "left").select(
+        "table_name", "ordinal", "column_name", "data_type", "original_type", "nullable", "file_ordinal", "row_count")
 
 
 def normalize_types_all_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +163,6 @@ def normalize_types_all_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     the Spark way and the embedded-database way (from the table schema), and
     the Arrow way as read from the footers of the table's files, normalized
     under every dialect."""
-    from lakelens.sources.footers import file_schemas
-
     rows = []
     for name, df in read_tables(spark, sf_dir, TABLE_SCHEMAS).items():
         for f in df.schema.fields:
@@ -166,7 +170,7 @@ def normalize_types_all_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows.append((name, f.name, "embedded", TY.embedded_type_name(f.dataType)))
     corpus = literal_rows(spark, rows, [("table_name", "STRING"), ("column_name", "STRING"),
                                         ("spelling", "STRING"), ("raw_type", "STRING")])
-    arrow = (file_schemas(spark, sf_dir.rstrip("/"))
+    arrow = (FSRC.file_schemas(spark, sf_dir.rstrip("/"))
              .select(F.regexp_extract("file_path", r"([^/]+)\.parquet$", 1).alias("table_name"),
                      "column_name", F.lit("arrow").alias("spelling"), F.col("arrow_type").alias("raw_type"))
              .where(F.col("table_name").isin(list(TABLE_SCHEMAS))).distinct())
@@ -230,7 +234,18 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return INV.table_formats(spark, FX.lake(spark, sf_dir))
+    """B5 for every table of the lake, with the rows that a reader of that format
+    finds: footers, the Delta log, or a scan."""
+    base = FX.lake(spark, sf_dir)
+    rows = None
+    for db, table, counted in (
+            ("tpch", "orders", FS.footer_row_count(spark, f"{base}/tpch/orders")),
+            ("tpch", "lineitem", FS.footer_row_count(spark, f"{base}/tpch/lineitem")),
+            ("tpch", "orders_delta", DL.delta_table_stats(spark, f"{base}/tpch/orders_delta")),
+            ("raw", "events_json", spark.read.text(f"{base}/raw/events_json").agg(F.count(F.lit(1)).alias("row_count")))):
+        one = counted.select(F.lit(db).alias("database"), F.lit(table).alias("table_name"), "row_count")
+        rows = one if rows is None else rows.unionByName(one)
+    return INV.table_formats(spark, base).join(rows, ["database", "table_name"], "left")
 
 
 def partition_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,11 +535,13 @@ QUERIES["delta_profile_v1"] = delta_profile_v1
 
 
 def discover_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B2: the given tables registered as views (A9 naming ``dt_<table>``),
-    then listed with their kind, sorted by name."""
-    for name, df in read_tables(spark, sf_dir, TABLE_SCHEMAS).items():
-        df.createOrReplaceTempView(f"dt_{name}")
-    return INV.list_tables(spark).where(F.col("name").startswith("dt_"))
+    """B2 and G1: the given tables registered as views (A9 naming ``dt_<table>``),
+    listed with their kind, and the rows of each."""
+    frames = {f"dt_{name}": df for name, df in read_tables(spark, sf_dir, TABLE_SCHEMAS).items()}
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+    listed = INV.list_tables(spark).where(F.col("name").startswith("dt_"))
+    return listed.join(P.row_counts(frames).withColumnRenamed("table_name", "name"), "name")
 
 
 QUERIES["discover_tables"] = discover_tables
