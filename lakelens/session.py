@@ -60,6 +60,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a directory below the session's scratch folder (no other)."""
+    if not path.startswith(f"{checkpoint_root(spark)}/lakelens-"):
+        raise ValueError(f"not a scratch folder of this library: {path}")
+    fs, jpath = _hadoop_fs(spark, path)
+    fs.delete(jpath, True)
+
+
 def write_single_text_file(spark: SparkSession, lines_df, target: str) -> None:
     """Write a one-column string DataFrame as exactly one file at ``target``.
 
