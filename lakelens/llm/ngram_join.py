@@ -13,17 +13,17 @@ candidates.
 *Short lists* (an n-gram in the prefixes of at most ``SHORT`` sets) give pairs,
 counted, filtered by size, position and number of matches, and verified.
 
-*Long lists* never give all their pairs.  Each has a pivot p (the set in which
-the n-gram comes first), and every member x is compared with it: S(x), the n-grams
+*Long lists* never give all their pairs.  Each has a pivot p (the member with the
+fewest n-grams of its own), and every member x is compared with it: S(x), the n-grams
 that x and p don't share, decides the rest exactly.  With d = (100 - percent) /
 (100 + percent), x and y link when |S(x) ^ S(y)| <= d (|x| + |y|).  If S(x) and S(y)
 are disjoint, both sets are then linked with p already.  Otherwise they share
-an n-gram of S(x) and S(y), and again a prefix of each will do: pairs of two members
-that are both linked with p needn't be found, so the other has |S| > d (|x| + |p|),
-which makes the prefix of a near copy's short S(x) shorter still and leaves its
-rarest n-grams, the ones it shares with nobody.  These prefixes are postings under
-(p, n-gram), and the lists of the next level; the last level takes all pairs of
-what is left.
+an n-gram of S(x) and S(y), and again a prefix of each will do.  Two members that are
+both linked with p needn't be found, so at least one has |S| > d (|x| + |p|), which
+halves the prefix of all pairs but those of a far member with a near one; near
+copies' prefixes then hold little but n-grams that they share with nobody.
+These prefixes are postings under (p, n-gram), and the lists of the next level;
+after ``LEVELS`` such levels all pairs of what is left in a list are compared.
 
 Components come from alternating large and small stars.  All state lives in
 tables in the shared folder; what reaches the driver is the table of counts and
@@ -39,7 +39,10 @@ from pyspark.sql import functions as F
 from lakelens.llm.words import WordHashes, hash_bitmap, in_bitmap, kept_table, mixed, remembered, runs_of
 
 WORDS, PERCENT = 3, 90
-SHORT, LEVELS, MOST_MATCHES = 32, 3, 4
+SHORT, LEVELS, MOST_MATCHES = 32, 1, 4
+
+#: Sides of a list: members that meet all others, and members near the pivot or far from it that only meet the other side.
+ALL, NEAR, FAR = 0, 1, 2
 
 #: Counters of the n-gram counts (2^20), in blocks of 2^14, and bits of the prefilters.
 COUNT_BITS, BLOCK_BITS, BITS = 20, 14, 26
@@ -68,13 +71,14 @@ def rare_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, counts[slots(s)]))]
 
 
-def prefix_of(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """A set's prefix and the number of n-grams that its pairs must share there."""
+def prefix_of(s: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
+    """A set's prefix and the number of n-grams that its pairs must share there.
+    ``usual``: the mean of the counts, which n-grams of no weight share a slot with."""
     n = len(s)
     least = -(-percent * n // 100)
-    s = rare_first(s, counts)
-    usual = counts.mean()
-    cost = np.cumsum(1 + np.maximum(counts[slots(s)] - usual, 0))
+    many = counts[slots(s)]
+    order = np.lexsort((s, many))[: n - least + MOST_MATCHES]
+    s, cost = s[order], np.cumsum(1 + np.maximum(many[order] - usual, 0))
     best, matches = None, 1
     for m in range(1, min(MOST_MATCHES, least) + 1):
         found = cost[n - least + m - 1]
@@ -101,13 +105,14 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[Data
         counts = np.zeros(1 << COUNT_BITS, np.int32)
         kind = None
         names = ["doc_id", "text_hash", "n", "node", "block", "counts"]
-        for batch in batches:
-            kind = batch.schema.field("doc_id").type
-            sets = [shingles(t, k, memo) for t in batch.column("t").to_pylist()]
-            counts += np.bincount(slots(np.concatenate(sets)), minlength=len(counts)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(node_of, sets), pa.binary()),
-                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+        for whole in batches:
+            kind = whole.schema.field("doc_id").type
+            for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+                sets = [shingles(t, k, memo) for t in batch.column("t").to_pylist()]
+                counts += np.bincount(slots(np.concatenate(sets)), minlength=len(counts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array(map(node_of, sets), pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if kind is not None:
             parts = [(i, counts[i * block : (i + 1) * block].tobytes()) for i in range(len(counts) // block)]
             yield pa.RecordBatch.from_arrays(
@@ -127,7 +132,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[Data
     table = kept_table(rows.mapInArrow(scan, f"doc_id {id_type}, text_hash long, n long, node binary, block int, counts binary"), "sets")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     parts = table.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add_up, "block int, counts binary")
-    for r in parts.toLocalIterator():  # 2^20 numbers in all
+    for r in parts.collect():  # 2^20 numbers in all
         counts[r.block * block : (r.block + 1) * block] = np.frombuffer(bytes(r.counts), np.int64)
     return table.where("block is null").select("doc_id", "text_hash", "n", "node"), counts
 
@@ -158,62 +163,80 @@ def from_sets(texts: DataFrame, k: int, schema: str, rows_of) -> DataFrame:
     return texts.mapInArrow(scan, schema)
 
 
-def prefix_postings(texts: DataFrame, k: int, percent: int, counts: np.ndarray, bits: int) -> DataFrame:
+def prefix_postings(docs: DataFrame, text_col: str, k: int, percent: int, counts: np.ndarray, bits: int) -> DataFrame:
     """Table of key (n-gram), node, n, matches and place of the prefixes, n-grams that
-    are in the prefix of one row alone left out."""
+    are in the prefix of one row alone left out; ``rank`` is the length of the prefix."""
     import pyarrow as pa
 
-    sc = texts.sparkSession.sparkContext
-    given = sc.broadcast(counts)
+    sc = docs.sparkSession.sparkContext
+    given, usual = sc.broadcast(counts), float(counts.mean())
 
-    def keys(node, s):
-        prefix, _ = prefix_of(s, given.value, percent)
-        return {"key": prefix.view(np.int64)}
+    def prefix(node, s):
+        head, matches = prefix_of(s, given.value, usual, percent)
+        return {"node": pa.array([node], pa.binary()), "n": pa.array([len(s)], pa.int64()),
+                "matches": pa.array([matches], pa.int32()), "head": pa.array([head.tobytes()], pa.binary())}
+
+    table = kept_table(from_sets(texts_of(docs, text_col), k, "node binary, n long, matches int, head binary", prefix), "prefixes")
+
+    def keys(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["key"])
 
-    met = from_sets(texts, k, "key long", keys).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = table.select("head").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     bitmap = sc.broadcast(hash_bitmap(met, "key", bits))
 
-    def postings(node, s):
-        prefix, matches = prefix_of(s, given.value, percent)
-        at = np.flatnonzero(in_bitmap(bitmap.value, prefix, bits))
-        if not len(at):
-            return None
-        same = len(at)
-        return {"key": prefix[at].view(np.int64), "node": pa.array([node] * same, pa.binary()), "n": np.full(same, len(s), np.int64),
-                "matches": np.full(same, matches, np.int32), "place": at.astype(np.int32), "near": np.zeros(same, bool)}
+    def postings(batches):
+        for batch in batches:
+            heads = [np.frombuffer(h, np.uint64) for h in batch.column("head").to_pylist()]
+            sizes = np.array([len(h) for h in heads], np.int64)
+            flat = np.concatenate(heads)
+            at = np.flatnonzero(in_bitmap(bitmap.value, flat, bits))
+            of = np.repeat(np.arange(len(heads)), sizes)[at]
+            which = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[at].view(np.int64)), batch.column("node").take(which), batch.column("n").take(which),
+                 batch.column("matches").take(which), pa.array((at - (np.cumsum(sizes) - sizes)[of]).astype(np.int32)),
+                 pa.array(sizes[of].astype(np.int32)), pa.array(np.full(len(at), ALL, np.int32))],
+                names=["key", "node", "n", "matches", "place", "rank", "side"])
 
-    rows = from_sets(texts, k, "key long, node binary, n long, matches int, place int, near boolean", postings)
+    rows = table.mapInArrow(postings, "key long, node binary, n long, matches int, place int, rank int, side int")
     return kept_table(rows.dropDuplicates(["key", "node"]), "postings")
 
 
-def sets_of(texts: DataFrame, k: int, nodes: DataFrame, bits: int) -> DataFrame:
-    """Table of node and s (its n-grams) of (at least) the given nodes."""
+def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, table: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
+    """Table of node and s (its n-grams) of the given nodes.  ``table`` (of ``described``)
+    says which rows have them; other texts aren't cut into n-grams again."""
     import pyarrow as pa
 
-    # the node's own first bytes serve as its slot in the bitmap
-    hashed = nodes.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("h"))
-    bitmap = texts.sparkSession.sparkContext.broadcast(hash_bitmap(hashed, "h", bits))
-
-    def rows(node, s):
-        if not in_bitmap(bitmap.value, np.frombuffer(node[:8], ">u8").astype(np.uint64), bits)[0]:
-            return None
-        return {"node": pa.array([node], pa.binary()), "s": pa.array([s.tobytes()], pa.binary())}
+    rows = table.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("h"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(hash_bitmap(rows, "h", bits))
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
 
-    found = from_sets(texts, k, "node binary, s binary", rows)
+    def scan(batches):
+        memo = remembered("words", WordHashes)
+        for batch in batches:
+            hit = np.flatnonzero(in_bitmap(bitmap.value, batch.column("h").to_numpy().view(np.uint64), bits))
+            for at in range(0, len(hit), 500):
+                sets = [shingles(t, k, memo) for t in batch.column("t").take(pa.array(hit[at : at + 500])).to_pylist()]
+                sets = {node_of(s): s for s in sets if len(s)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary())],
+                                                 names=["node", "s"])
+
+    found = texts.mapInArrow(scan, "node binary, s binary")
     return kept_table(found.groupBy("node").agg(F.first("s").alias("s")), "set-members")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
     """For pairs x, y (and star: y is the pivot of x), table of the links (u, v) and of the
-    next level's postings (key, node, n, near)."""
+    next level's postings (key, node, n, rank, side)."""
     import pyarrow as pa
 
     given = pairs.sparkSession.sparkContext.broadcast(counts)
     part = (100 - percent) / (100 + percent)
 
     def scan(batches):
-        names = ["u", "v", "key", "node", "n", "near"]
-        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
+        names = ["u", "v", "key", "node", "n", "rank", "side"]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
         for batch in batches:
             out = []
             for x, y, star, sx, sy in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "star", "sx", "sy")), strict=True):
@@ -221,75 +244,81 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, counts: np.ndarray
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 near = 100 * shared >= percent * (len(a) + len(b) - shared)
                 if near:
-                    out.append((x, y, None, None, None, None))
+                    out.append((x, y, None, None, None, None, None))
                 if star:
                     rest = rare_first(np.setxor1d(a, b, assume_unique=True), given.value)
-                    most = len(a) * (100 - percent) / percent  # of |S(x) ^ S(y)|, whatever the size of y
-                    size = len(rest)
-                    if near:
-                        # y of a pair is not linked with p: |S(y)| > part (|y| + |p|), and |S(x) ^ S(y)| <= part (|x| + |y|)
-                        least = (size + part * (len(b) - len(a))) / 2
-                    else:
-                        least = size - most
-                    least = max(1, int(np.ceil(least - 1e-9)))
-                    head = rest[: max(0, size - least + 1)]
-                    salt = np.frombuffer(y[:8], np.uint64)[0]
-                    for key in mixed(head ^ salt).view(np.int64).tolist():
-                        out.append((None, None, key, x, len(a), bool(near)))
+                    # a partner that isn't linked with p has |S(y)| > part (|y| + |p|), and a pair
+                    # |S(x) ^ S(y)| <= part (|x| + |y|); any partner of x, whatever its size, differs by
+                    # at most this part of x
+                    far = (len(rest) + part * (len(b) - len(a))) / 2
+                    any_one = len(rest) - len(a) * (100 - percent) / percent
+                    for least, side in ((far, NEAR),) if near else ((far, ALL), (any_one, FAR)):
+                        least = max(1, int(np.ceil(least - 1e-9)))
+                        head = rest[: max(0, len(rest) - least + 1)]
+                        salt = np.frombuffer(y[:8], np.uint64)[0] ^ np.uint64(0 if side == ALL else 0x51ED270B153A4D2F)
+                        for key in mixed(head ^ salt).view(np.int64).tolist():
+                            out.append((None, None, key, x, len(a), len(rest), side))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     left = sets.select(F.col("node").alias("x"), F.col("s").alias("sx"))
     right = sets.select(F.col("node").alias("y"), F.col("s").alias("sy"))
     rows = pairs.join(left, "x").join(right, "y").select("x", "y", "star", "sx", "sy")
-    return kept_table(rows.mapInArrow(scan, "u binary, v binary, key long, node binary, n long, near boolean"), "compared")
+    return kept_table(rows.mapInArrow(scan, "u binary, v binary, key long, node binary, n long, rank int, side int"), "compared")
 
 
 def pairs_of(postings: DataFrame, percent: int, short: int | None) -> DataFrame:
-    """Table of the pairs to compare: x, y, star.  ``short`` None: every list counts as short."""
-    sizes = kept_table(postings.groupBy("key").agg(
-        F.count("*").alias("size"), F.min(F.struct("place", "node")).alias("top")).where("size > 1"), "lists")
-    listed = postings.join(sizes, "key").withColumn("long", F.lit(False) if short is None else F.col("size") > short)
-    per_node = listed.groupBy("node").agg(F.sum(F.col("long").cast("int")).alias("longs"))
-    little = listed.where("not long").join(per_node, "node").select(
-        "key", "node", "n", "matches", "place", "near", "longs")
+    """Table of the pairs to compare: x, y, star.  ``short`` None: every list counts as short.
+
+    The pivot of a long list is its member with the fewest n-grams of its own (rank less
+    the listed ones), the most central one: near copies of one text then agree
+    on one pivot, and share most with it."""
+    own = postings.groupBy("node").agg((F.first("rank") - F.count("*")).alias("own")) if short is not None else None
+    sizes = kept_table(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "lists")
+    listed = postings.join(sizes, "key")
+    little = listed if short is None else listed.where(F.col("size") <= short)
     a, b = little.alias("a"), little.alias("b")
     smaller, larger = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     # most n-grams that the pair can share: those up to this one, and those behind it
     most = F.least("a.place", "b.place") + 1 + F.least(F.col("a.n") - 1 - F.col("a.place"), F.col("b.n") - 1 - F.col("b.place"))
-    fits = (F.col("a.node") < F.col("b.node")) & (smaller * 100 >= larger * percent) & ~(F.col("a.near") & F.col("b.near"))
+    fits = (F.col("a.node") < F.col("b.node")) & (smaller * 100 >= larger * percent) & (F.col("a.side") + F.col("b.side")).isin(ALL, NEAR + FAR)
     enough = most * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
     met = (a.join(b, (F.col("a.key") == F.col("b.key")) & fits & enough)
            .groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
-           .agg(F.count("*").alias("shared"), F.first(F.least("a.matches", "b.matches")).alias("matches"),
-                F.first(F.least("a.longs", "b.longs")).alias("longs"))
-           .where(F.col("shared") >= F.col("matches") - F.col("longs"))
+           .agg(F.count("*").alias("shared"), F.first(F.least("a.matches", "b.matches")).alias("matches")))
+    if short is None:
+        return kept_table(met.select("x", "y", F.lit(False).alias("star")), "pairs")
+    big = kept_table(listed.where(F.col("size") > short).select("key", "node"), "long-lists")
+    longs = big.groupBy("node").agg(F.count("*").alias("longs"))
+    met = (met.join(longs.select(F.col("node").alias("x"), F.col("longs").alias("lx")), "x", "left")
+           .join(longs.select(F.col("node").alias("y"), F.col("longs").alias("ly")), "y", "left")
+           .where(F.col("shared") >= F.col("matches") - F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0))))
            .select("x", "y", F.lit(False).alias("star")))
-    stars = (listed.where("long").select(F.col("node").alias("x"), F.col("top.node").alias("y"))
+    central = big.join(own, "node").groupBy("key").agg(F.min(F.struct("own", "node")).alias("top"))
+    stars = (big.join(central, "key").select(F.col("node").alias("x"), F.col("top.node").alias("y"))
              .where("x <> y").distinct().withColumn("star", F.lit(True)))
     return kept_table(met.unionByName(stars), "pairs")
 
 
-def links(docs: DataFrame, *, text_col: str = "text", k: int = WORDS, percent: int = PERCENT, counts: np.ndarray,
-          short: int = SHORT, levels: int = LEVELS, bits: int = BITS) -> DataFrame:
+def links(docs: DataFrame, table: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT,
+          counts: np.ndarray, short: int = SHORT, levels: int = LEVELS, bits: int = BITS) -> DataFrame:
     """Links (u, v) between nodes, enough to connect every component."""
-    texts = texts_of(docs, text_col)
-    postings = prefix_postings(texts, k, percent, counts, bits)
+    postings = prefix_postings(docs, text_col, k, percent, counts, bits)
     found, sets = None, None
     for level in range(levels + 1):
         pairs = pairs_of(postings, percent, short if level < levels else None)
         if sets is None:
             nodes = pairs.select(F.explode(F.array("x", "y")).alias("node"))
-            sets = sets_of(texts, k, nodes, bits)
+            sets = sets_of(docs, id_col, text_col, k, table, nodes, bits)
         made = compared(pairs, sets, percent, counts)
         here = made.where("u is not null").select("u", "v")
         found = here if found is None else found.unionByName(here)
         # no place and no number of matches on these levels: neither filter then bites
         postings = made.where("key is not null").select(
-            "key", "node", "n", F.lit(1).alias("matches"), F.lit(0).alias("place"), "near")
-        postings = postings.dropDuplicates(["key", "node"])
+            "key", "node", "n", F.lit(1).alias("matches"), F.lit(0).alias("place"), "rank", "side")
         if postings.isEmpty():
             break
+        postings = kept_table(postings.dropDuplicates(["key", "node"]), "postings")
     return found
 
 
@@ -323,7 +352,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     table gives no rows.
     """
     table, counts = described(docs, id_col, text_col, k)
-    joined = components(links(docs, text_col=text_col, k=k, percent=percent, counts=counts, short=short, levels=levels, bits=bits))
+    joined = components(links(docs, table, id_col=id_col, text_col=text_col, k=k, percent=percent, counts=counts, short=short, levels=levels, bits=bits))
     nodes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     rooted = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("n_linked"))

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.session import scratch_dir
+from lakelens.session import drop_path, scratch_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,6 +30,36 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class WordTable(dict):
+    """word -> number; ``columns`` hold what ``describe`` says of each word.  Starts
+    again when it knows ``MEMO_WORDS`` words."""
+
+    def __init__(self, describe, kinds):
+        super().__init__()
+        self.describe, self.fresh, self.filled = describe, [], 0
+        self.columns = [np.empty(1024, k) for k in kinds]
+
+    def __missing__(self, word):
+        n = self[word] = self.filled + len(self.fresh)
+        self.fresh.append(self.describe(word))
+        return n
+
+    def numbers(self, words: list) -> np.ndarray:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+            self.filled = 0
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            end = self.filled + len(self.fresh)
+            for i, values in enumerate(zip(*self.fresh, strict=True)):
+                column = self.columns[i]
+                if end > len(column):
+                    column = self.columns[i] = np.concatenate([column[: self.filled], np.empty(max(end, len(column)), column.dtype)])
+                column[self.filled : end] = values
+            self.filled, self.fresh = end, []
+        return at
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64's constants)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -43,8 +73,8 @@ def runs_of(h: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return out
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+    return mixed(out)
 
 
 def spread(column: str, bits: int) -> Column:
@@ -64,7 +94,7 @@ def hash_bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     rows = (hashes.where(F.col(column).isNotNull())
             .groupBy(F.expr(f"bitmap_bucket_number(shiftrightunsigned(`{column}`, {64 - bits}) + 1)").alias("b"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")))
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # at most 2^bits / 8 bytes
         part = np.frombuffer(bytes(r.m), np.uint8)
         at = (r.b - 1) * 4096
         out[at : at + len(part)] |= part[: max(0, len(out) - at)]
@@ -82,7 +112,15 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``kept_table`` that nothing reads any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table.kept_at)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
