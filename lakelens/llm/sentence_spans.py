@@ -18,12 +18,13 @@ document in a join that Spark can split.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.words import PrefixHashes, WordHashes, hash_bitmap, in_bitmap, kept_table
+from lakelens.llm.words import PrefixHashes, WordTable, hash_bitmap, in_bitmap, kept_table
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 12
 BITS = 26
@@ -32,34 +33,30 @@ LAST_ID = (1 << 63) - 1
 WORD = re.compile(r"\s*\S+\s*|\s+")
 
 
-class Words(dict):
-    """word with its white space -> (hash, begins a sentence, ends one)."""
+def described(raw: str) -> tuple[int, bool, bool]:
+    """Of a word with its white space: hash, begins a sentence, ends one."""
+    import xxhash
 
-    def __init__(self):
-        super().__init__()
-        self.hashes = WordHashes()
+    word = raw.strip()
+    ends = not word or word.rstrip("\"')]»”’")[-1:] in (".", "!", "?") or "\n" in raw
+    return xxhash.xxh3_64_intdigest(word.encode().lower()), word[:1].isupper(), ends
 
-    def __missing__(self, raw: str) -> tuple[int, bool, bool]:
-        word = raw.strip()
-        ends = not word or word.rstrip("\"')]»”’")[-1:] in (".", "!", "?") or "\n" in raw
-        found = self.hashes[word.encode().lower()], word[:1].isupper(), ends
-        if len(self) < 1 << 18:
-            self[raw] = found
-        return found
 
+def word_table() -> WordTable:
+    return WordTable(described, (np.uint64, bool, bool))
 
-def sentence_spans(texts: list[str], memo: Words, prefix: PrefixHashes, sentences: int, words: int):
+
+def sentence_spans(texts: list[str], memo: WordTable, prefix: PrefixHashes, sentences: int, words: int):
     """For each span: text number, first word, word behind the last, hash."""
     split = [WORD.findall(t) for t in texts]
-    flat = [memo[w] for ws in split for w in ws]
+    flat = list(chain.from_iterable(split))
     size = np.array([len(ws) for ws in split], np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
     if not flat:
         none = np.empty(0, np.int64)
         return none, none, none, none.view(np.uint64)
-    hashes = np.fromiter((f[0] for f in flat), np.uint64, len(flat))
-    begins = np.fromiter((f[1] for f in flat), bool, len(flat))
-    ends = np.fromiter((f[2] for f in flat), bool, len(flat))
+    at = memo.numbers(flat)
+    hashes, begins, ends = (column[at] for column in memo.columns)
     begins[1:] |= ends[:-1]
     begins[first[:-1][size > 0]] = True
     edges = np.append(np.flatnonzero(begins), len(flat))  # first words of sentences
@@ -85,7 +82,7 @@ def span_rows(keyed: DataFrame, sentences: int, words: int, bitmap=None, bits: i
     import pyarrow as pa
 
     def rows(batches):
-        memo, prefix = Words(), PrefixHashes()
+        memo, prefix = word_table(), PrefixHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
