@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.words import WordHashes, hash_bitmap, in_bitmap, kept_table, mixed, remembered, runs_of
+from lakelens.llm.words import WordHashes, discard, hash_bitmap, in_bitmap, kept_table, mixed, remembered, runs_of
 
 WORDS, PERCENT = 3, 90
 SHORT, LEVELS, MOST_MATCHES = 32, 1, 4
@@ -134,7 +134,9 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[Data
     parts = table.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add_up, "block int, counts binary")
     for r in parts.collect():  # 2^20 numbers in all
         counts[r.block * block : (r.block + 1) * block] = np.frombuffer(bytes(r.counts), np.int64)
-    return table.where("block is null").select("doc_id", "text_hash", "n", "node"), counts
+    sets = kept_table(table.where("block is null").select("doc_id", "text_hash", "n", "node"), "nodes")
+    discard(table)
+    return sets, counts
 
 
 def from_sets(texts: DataFrame, k: int, schema: str, rows_of) -> DataFrame:
@@ -200,7 +202,9 @@ def prefix_postings(docs: DataFrame, text_col: str, k: int, percent: int, counts
                 names=["key", "node", "n", "matches", "place", "rank", "side"])
 
     rows = table.mapInArrow(postings, "key long, node binary, n long, matches int, place int, rank int, side int")
-    return kept_table(rows.dropDuplicates(["key", "node"]), "postings")
+    found = kept_table(rows.dropDuplicates(["key", "node"]), "postings")
+    discard(table)
+    return found
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, table: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
@@ -287,7 +291,9 @@ def pairs_of(postings: DataFrame, percent: int, short: int | None) -> DataFrame:
            .groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
            .agg(F.count("*").alias("shared"), F.first(F.least("a.matches", "b.matches")).alias("matches")))
     if short is None:
-        return kept_table(met.select("x", "y", F.lit(False).alias("star")), "pairs")
+        pairs = kept_table(met.select("x", "y", F.lit(False).alias("star")), "pairs")
+        discard(sizes)
+        return pairs
     big = kept_table(listed.where(F.col("size") > short).select("key", "node"), "long-lists")
     longs = big.groupBy("node").agg(F.count("*").alias("longs"))
     met = (met.join(longs.select(F.col("node").alias("x"), F.col("longs").alias("lx")), "x", "left")
@@ -297,7 +303,9 @@ def pairs_of(postings: DataFrame, percent: int, short: int | None) -> DataFrame:
     central = big.join(own, "node").groupBy("key").agg(F.min(F.struct("own", "node")).alias("top"))
     stars = (big.join(central, "key").select(F.col("node").alias("x"), F.col("top.node").alias("y"))
              .where("x <> y").distinct().withColumn("star", F.lit(True)))
-    return kept_table(met.unionByName(stars), "pairs")
+    pairs = kept_table(met.unionByName(stars), "pairs")
+    discard(sizes, big)
+    return pairs
 
 
 def links(docs: DataFrame, table: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT,
@@ -307,10 +315,12 @@ def links(docs: DataFrame, table: DataFrame, *, id_col: str = "doc_id", text_col
     found, sets = None, None
     for level in range(levels + 1):
         pairs = pairs_of(postings, percent, short if level < levels else None)
+        discard(postings)
         if sets is None:
             nodes = pairs.select(F.explode(F.array("x", "y")).alias("node"))
             sets = sets_of(docs, id_col, text_col, k, table, nodes, bits)
         made = compared(pairs, sets, percent, counts)
+        discard(pairs)
         here = made.where("u is not null").select("u", "v")
         found = here if found is None else found.unionByName(here)
         # no place and no number of matches on these levels: neither filter then bites
@@ -319,6 +329,7 @@ def links(docs: DataFrame, table: DataFrame, *, id_col: str = "doc_id", text_col
         if postings.isEmpty():
             break
         postings = kept_table(postings.dropDuplicates(["key", "node"]), "postings")
+    discard(sets)
     return found
 
 
@@ -332,8 +343,10 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
+        old = edges
         edges = kept_table(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                            .unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
