@@ -15,12 +15,13 @@ exactly.  The bitmap's size is bounded whatever the size of the benchmark.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.words import hash_bitmap, in_bitmap, kept_table, mixed, runs_of
+from lakelens.llm.words import WordTable, hash_bitmap, in_bitmap, kept_table, mixed, runs_of
 
 WINDOW = 5
 
@@ -46,52 +47,40 @@ NUMERAL = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:[a-z]{1,3}|[%°€$])?")
 EDGES = ".,;:!?\"'()[]{}<>*_|/\\"
 
 
-class TemplateWords(dict):
-    """raw word -> index into ``hashes``, ``kinds``, ``capital`` and ``ends`` (a sentence ends behind it)."""
-
-    LIMIT = 1 << 18
-
-    def __init__(self):
-        super().__init__()
-        self.fixed = dict.fromkeys(NUMBER_WORDS, NUMBER) | dict.fromkeys(UNIT_WORDS, UNIT)
-        self.rows: list[tuple[int, int, bool, bool]] = []
-
-    def __missing__(self, raw: str) -> int:
-        import xxhash
-
-        word = raw.strip(EDGES)
-        low = word.lower()
-        kind = self.fixed.get(low, NUMBER if NUMERAL.fullmatch(low) else PLAIN)
-        self.rows.append((xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")), kind, word[:1].isupper(),
-                          not word or raw[-1] in ".!?:|\""))
-        self[raw] = len(self.rows) - 1
-        return len(self.rows) - 1
-
-    def templates(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-        """Words of each text; over all texts in a row: hashes, kinds and the place of each text's first word."""
-        if len(self) > self.LIMIT:
-            self.clear()
-            self.rows.clear()
-        words = [t.split() for t in texts]
-        at = np.fromiter((self[w] for ws in words for w in ws), np.int64)
-        table = self.rows
-        hashes = np.fromiter((r[0] for r in table), np.uint64, len(table))[at]
-        kinds = np.fromiter((r[1] for r in table), np.int8, len(table))[at]
-        capital = np.fromiter((r[2] for r in table), bool, len(table))[at]
-        ends = np.fromiter((r[3] for r in table), bool, len(table))[at]
-        first = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)
-        opens = np.concatenate([[True], ends[:-1]]) if len(at) else np.empty(0, bool)
-        opens[first[:-1][first[:-1] < len(at)]] = True
-        kinds = np.where((kinds == PLAIN) & capital & ~opens, np.int8(NAME), kinds)
-        # placeholders hash by their kind alone
-        hashes = np.where(kinds == PLAIN, hashes, mixed(kinds.astype(np.uint64)))
-        return words, hashes, kinds, first
-
-
-def windows(texts: list[str], memo: TemplateWords, window: int, hit=None):
+FIXED = dict.fromkeys(NUMBER_WORDS, NUMBER) | dict.fromkeys(UNIT_WORDS, UNIT)
+
+
+def described(raw: str) -> tuple[int, int, bool, bool]:
+    """Of a word: hash, kind, begins with a capital, ends a sentence."""
+    import xxhash
+
+    word = raw.strip(EDGES)
+    low = word.lower()
+    kind = FIXED.get(low, NUMBER if NUMERAL.fullmatch(low) else PLAIN)
+    return xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")), kind, word[:1].isupper(), not word or raw[-1] in ".!?:|\""
+
+
+def word_table() -> WordTable:
+    return WordTable(described, (np.uint64, np.int8, bool, bool))
+
+
+def templates(texts: list[str], memo: WordTable) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text; over all texts in a row: hashes, kinds and the place of each text's first word."""
+    words = [t.split() for t in texts]
+    at = memo.numbers(list(chain.from_iterable(words)))
+    hashes, kinds, capital, ends = (column[at] for column in memo.columns)
+    first = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)
+    opens = np.concatenate([[True], ends[:-1]]) if len(at) else np.empty(0, bool)
+    opens[first[:-1][first[:-1] < len(at)]] = True
+    kinds = np.where((kinds == PLAIN) & capital & ~opens, np.int8(NAME), kinds)
+    # placeholders hash by their kind alone
+    return words, np.where(kinds == PLAIN, hashes, mixed(kinds.astype(np.uint64))), kinds, first
+
+
+def windows(texts: list[str], memo: WordTable, window: int, hit=None):
     """(text number, place, hash, slots) of every window that ``hit`` lets through.
     A text with fewer words than a window is one window of its own length."""
-    words, hashes, kinds, first = memo.templates(texts)
+    words, hashes, kinds, first = templates(texts, memo)
     of = np.repeat(np.arange(len(texts)), np.diff(first))
 
     def found(size: int, starts: np.ndarray, values: np.ndarray):
@@ -120,7 +109,7 @@ def template_rows(table: DataFrame, keys: list[str], text: str, window: int, bit
     kind = ", ".join(f"`{k}` {table.schema[k].dataType.simpleString()}" for k in keys)
 
     def rows(batches):
-        memo = TemplateWords()
+        memo = word_table()
         hit = None if bitmap is None else (lambda h: in_bitmap(bitmap.value, h, bits))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
