@@ -158,11 +158,13 @@ class PrefixHashes:
 
 
 def remembered(key, make):
-    """An object that a Python worker keeps between tasks (memos of pure functions only)."""
+    """An object that a Python worker keeps between tasks (memos of pure functions
+    only); it keeps the last one asked for, so that stages don't add up."""
     import sys
     import types
 
     memory = sys.modules.setdefault("lakelens_worker_memory", types.ModuleType("lakelens_worker_memory"))
-    if key not in memory.__dict__:
-        memory.__dict__[key] = make()
-    return memory.__dict__[key]
+    if getattr(memory, "key", None) != key:
+        memory.key, memory.kept = None, None
+        memory.key, memory.kept = key, make()
+    return memory.kept
