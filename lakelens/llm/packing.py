@@ -16,10 +16,13 @@ capacity, so that one sequence a task is padded.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakelens.llm.words import remembered
+
 CAPACITY, SHORTEST, END_ID = 2048, 32, 1
 
 SCHEMA = ("doc_id {id}, start long, length long, ids binary, doc_tokens long, "
@@ -27,15 +30,25 @@ SCHEMA = ("doc_id {id}, start long, length long, ids binary, doc_tokens long, "
 
 
 class PieceIds(dict):
-    """Ids (little-endian unsigned 32-bit) of the white-space delimited pieces
-    of a text.  The tokenizer ends words at white space, so a text's ids are its
-    pieces' ids in a row; ``LIMIT`` short pieces are remembered."""
+    """Ids (little-endian unsigned 32-bit) of the white-space delimited pieces of a
+    text, A-Z lower-cased.  The tokenizer lower-cases and ends words at white space,
+    so a text's ids are its pieces' ids in a row.  Special strings are matched as
+    they are written; texts that may hold one are not lower-cased here.
+
+    ``LIMIT`` pieces are remembered.  A piece that ends in common signs is looked up
+    without them, and words of letters alone are encoded many in one call (each
+    word's last id is one that ends words).
+    """
 
-    LIMIT = 1 << 18
+    LIMIT = 700_000
+    #: Signs that are a word of their own behind a letter (no apostrophe, nothing of special strings).
+    SIGNS = b".,;:!?%$*#&-_/=+)]}\""
 
     def __init__(self, path: str):
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,26 +56,79 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+    def single(self, pieces: list[bytes]) -> list[bytes]:
         import numpy as np
 
-        got = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, got, strict=True)}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in self})
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list({p for pieces in split for p in pieces})
-        for i in range(0, len(new), 4096):
-            self.update(self.learn(new[i : i + 4096]))
-        out = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
+        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are one run of letters each."""
+        import numpy as np
+
+        (got,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(last) != len(words):
+            return self.single(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *last[:-1]], last, strict=True)]
+
+    def learn(self, new: list[bytes]) -> None:
+        signed, letters, other = [], set(), set()
         for p in new:
-            if len(p) > 64:
-                del self[p]
-        return out
+            core = p.rstrip(self.SIGNS)
+            if b"a" <= core[-1:] <= b"z" and len(core) < len(p):  # signs are a word of their own
+                ids, more = self.get(core), self.get(p[len(core) :])
+                if ids is not None and more is not None:
+                    self[p] = ids + more
+                    continue
+            if not core.isalpha():  # ASCII letters
+                text = core.decode("utf-8", "replace")
+                if not (text.isalpha() and text.lower().isalpha()):
+                    other.add(p)
+                    continue
+            letters.add(core)
+            if len(core) < len(p):
+                signed.append((p, core, p[len(core) :]))
+                other.add(p[len(core) :])
+        for found, encode, n in ((letters, self.words, 1000), (other, self.single, 4096)):
+            todo = [p for p in found if p not in self]
+            for i in range(0, len(todo), n):
+                self.update(zip(todo[i : i + n], encode(todo[i : i + n]), strict=True))
+        for p, core, signs in signed:
+            self[p] = self[core] + self[signs]
+
+    def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
+        """Ids of each text and its end."""
+        import numpy as np
+
+        # the mark is no UTF-8, so no text has it; its id is none of the tokenizer's
+        if any(b"<|" in t for t in texts):
+            texts = [t if b"<|" in t else t.lower() for t in texts]
+            flat = b" \xff ".join([*texts, b""]).split()
+        else:
+            flat = b" \xff ".join([*texts, b""]).lower().split()
+        self[b"\xff"] = b"\xff\xff\xff\xff"
+        before = len(self)
+        found = list(map(self.get, flat))
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        new = {flat[i] for i in missed}
+        self.learn(list(new))
+        for i in missed:
+            found[i] = self[flat[i]]
+        # frequent pieces come early: those that come when the memory is full are not kept
+        for p in [*islice(reversed(self), len(self) - before)] if before > self.LIMIT else [p for p in new if len(p) > 64]:
+            del self[p]
+        ids = np.frombuffer(bytearray(b"".join(found)), "<u4")
+        ends = np.flatnonzero(ids == 0xFFFFFFFF)
+        ids[ends] = end_id
+        raw, cuts = ids.tobytes(), (4 * (ends + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 class Bins:
@@ -146,12 +212,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     schema = SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString())
 
     def packed(batches):
-        import numpy as np
         from pyspark import TaskContext
 
-        encoder = PieceIds(tokenizer_path)
+        encoder = remembered(("pieces", tokenizer_path), lambda: PieceIds(tokenizer_path))
         bins = Bins(TaskContext.get().partitionId(), capacity, shortest)
-        end = np.array([end_id], "<u4").tobytes()
         kind = None
 
         def batch_of(found: list[tuple]):
@@ -162,11 +226,11 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 found = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    found += bins.add(doc, ids + end)
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end_id), strict=True):
+                    found += bins.add(doc, ids)
                 if found:
                     yield batch_of(found)
         if found := list(bins.close()):
