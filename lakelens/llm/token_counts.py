@@ -33,6 +33,8 @@ import unicodedata
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakelens.llm.words import remembered
+
 #: Bytes of a chunk; a document of any length is cut into such chunks.
 CHUNK = 1 << 16
 
@@ -42,6 +44,9 @@ REMEMBERED = 1 << 19
 #: Contractions that the tokenizer splits off, by the letters after the apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
+#: Signs that are a word of their own behind a letter.
+SIGNS = b".,;:!?%$*#&-_/=+)]}\""
+
 START = -1
 
 
@@ -176,7 +181,7 @@ class TokenTransducer:
         model = spec["model"]
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.words = MergeTransducer(model["merges"], model["vocab"], model["end_of_word_suffix"])
-        self.known, self.kinds, self.counted = Remembered(), Remembered(), Remembered()
+        self.known, self.kinds, self.counted = Remembered(), Remembered(), PieceCounts(self.count)
 
     def word(self, w: str) -> int:
         n = self.known.get(w)
@@ -216,9 +221,11 @@ class TokenTransducer:
         return total if mode == " " else total + self.word(text[begun:])
 
     def count(self, piece: bytes) -> int:
-        n = self.counted.get(piece)
-        if n is not None:
-            return n
+        # letters are a word of their own before any sign but the apostrophe
+        core = piece.rstrip(SIGNS)
+        if core.isalpha():
+            signs = piece[len(core) :].decode()
+            return self.word(core.lower().decode()) + (self.word(signs) if signs else 0)
         rest, n = piece.decode("utf-8", "replace"), 0
         while rest:
             found = min(((rest.index(s), s) for s in self.special if s in rest), default=None)
@@ -226,18 +233,37 @@ class TokenTransducer:
                 n += self.plain(rest)
                 break
             n, rest = n + self.plain(rest[: found[0]]) + 1, rest[found[0] + len(found[1]) :]
-        return self.counted.keep(piece, n) if len(piece) <= 64 else n
+        return n
 
     def state_map(self, chunk: bytes) -> tuple[bytes, int, bytes | None]:
         """(head, tokens after it, tail) of a chunk; no tail when it has no white space."""
-        pieces = chunk.split()
-        if not pieces:
-            return (b"", 0, b"") if chunk else (b"", 0, None)
-        head = pieces.pop(0) if chunk[:1].strip() else b""
-        if head and len(head) == len(chunk):
+        pieces = chunk.split(None, 1)
+        head = pieces[0] if pieces and chunk[:1].strip() else b""
+        if len(head) == len(chunk):
             return head, 0, None
-        tail = pieces.pop() if pieces and chunk[-1:].strip() else b""
-        return head, sum(map(self.count, pieces)), tail
+        chunk = chunk[len(head) :]
+        pieces = chunk.rsplit(None, 1)
+        tail = pieces[-1] if pieces and chunk[-1:].strip() else b""
+        inner = chunk[: len(chunk) - len(tail)]
+        if b"<|" not in inner:  # a special string counts only as it is written
+            inner = inner.lower()
+        return head, sum(map(self.counted.__getitem__, inner.split())), tail
+
+
+class PieceCounts(dict):
+    """piece -> tokens; remembers ``REMEMBERED`` short pieces."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, piece: bytes) -> int:
+        n = self.count(piece)
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = n
+        return n
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text",
@@ -255,7 +281,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def maps(batches):
-        transducer = TokenTransducer(tokenizer_path)
+        transducer = remembered(("transducer", tokenizer_path), lambda: TokenTransducer(tokenizer_path))
         kinds = [pa.int64(), None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         names = ["row", "doc_id", "chunk", "n_bytes", "n_tokens", "head", "tail"]
         for batch in batches:
@@ -271,7 +297,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
                     [pa.array(c, t or batch.schema.field("doc_id").type) for c, t in columns], names=names)
 
     def joints(batches):
-        transducer = TokenTransducer(tokenizer_path)
+        transducer = remembered(("transducer", tokenizer_path), lambda: TokenTransducer(tokenizer_path))
         for batch in batches:
             counts = [transducer.count(x) for x in batch.column("joint").to_pylist()]
             yield pa.RecordBatch.from_arrays(
