@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.words import PrefixHashes, WordTable, hash_bitmap, in_bitmap, kept_table
+from lakelens.llm.words import PrefixHashes, WordTable, hash_bitmap, in_bitmap, kept_table, remembered
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 12
 BITS = 26
@@ -82,7 +82,7 @@ def span_rows(keyed: DataFrame, sentences: int, words: int, bitmap=None, bits: i
     import pyarrow as pa
 
     def rows(batches):
-        memo, prefix = word_table(), PrefixHashes()
+        memo, prefix = remembered("sentence words", word_table), PrefixHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
