@@ -96,7 +96,9 @@ def without_copies(docs: DataFrame) -> DataFrame:
     pairs = kept_table(pairs, "copies")
     keyed = docs.select(F.struct("*").alias("whole"), text_digest(F.col("text")).alias("digest"))
     on = F.col("whole.doc_id").eqNullSafe(F.col("pair_id")) & (F.col("digest") == F.col("pair_digest"))
-    joined = keyed.join(pairs, on, "left")
-    alone = joined.where("n is null").select("whole.*")
-    several = keyed.join(pairs.where("kept"), on).dropDuplicates(["pair_id", "pair_digest"]).select("whole.*")
-    return alone.unionByName(several)
+    # sort-merge at every size: what goes is as many rows as there are copies
+    alone = keyed.join(pairs.hint("merge"), on, "left_anti").select("whole.*")
+    several = pairs.where("kept")
+    if several.isEmpty():  # no id has the same text twice
+        return alone
+    return alone.unionByName(keyed.join(several.hint("merge"), on).dropDuplicates(["pair_id", "pair_digest"]).select("whole.*"))

@@ -141,12 +141,12 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[Data
 
 def from_sets(texts: DataFrame, k: int, schema: str, rows_of) -> DataFrame:
     """Rows that ``rows_of(node, set)`` gives for the sets of all texts, once for the
-    equal sets of a batch.  ``rows_of`` returns columns."""
+    equal sets of 1,000 rows.  ``rows_of`` returns columns."""
     import pyarrow as pa
 
     def scan(batches):
         memo = remembered("words", WordHashes)
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             seen: set[bytes] = set()
             found = []
             for t in batch.column("t").to_pylist():
@@ -241,7 +241,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, counts: np.ndarray
     def scan(batches):
         names = ["u", "v", "key", "node", "n", "rank", "side"]
         kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             out = []
             for x, y, star, sx, sy in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "star", "sx", "sy")), strict=True):
                 a, b = np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)
@@ -385,4 +385,4 @@ def without_near_copies(docs: DataFrame, k: int, percent: int) -> DataFrame:
         F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     keyed = docs.select(F.struct("*").alias("whole"), F.xxhash64("doc_id", "text").alias("here"))
     on = F.col("whole.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("here") == F.col("gone_hash"))
-    return keyed.join(gone, on, "left_anti").select("whole.*")
+    return keyed.join(gone.hint("merge"), on, "left_anti").select("whole.*")
