@@ -67,5 +67,14 @@ def test_hash_sample_matches_md5_rule(spark, keys, seed, percent):
     df = spark.createDataFrame([(str(k),) for k in keys], "k string")
     got = {r.k for r in hash_sample(df, percent, "k", seed).collect()}
     want = {str(k) for k in keys
-            if int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:8], 16) % 10000 < percent * 100}
+            if int(hashlib.md5(f"{seed}|v{k}".encode()).hexdigest()[:13], 16) / 16 ** 13 < percent / 100}
     assert got == want
+
+
+def test_null_keys_and_small_percentages(spark):
+    from lakelens.operators.sampling import hash_sample
+    df = spark.createDataFrame([(None, "x"), ("x", None), ("", "x"), (None, None)], "a string, b string")
+    from lakelens.functions.hashing import hash_fraction
+    from pyspark.sql import functions as F
+    assert df.select(hash_fraction(1, F.col("a"), F.col("b")).alias("h")).distinct().count() == 4
+    assert 5 <= hash_sample(spark.range(2_000_000), 0.001, "id").count() <= 40
