@@ -10,18 +10,18 @@ is unique (met in one document alone) takes no part in the next round.
 have equal anchors, and consecutive windows mostly share one, so about one
 position in 18 is an anchor.  The windows of one anchor are decided together.
 
-*Chunks.*  Anchors whose rank has five zero bits cut a document into chunks of
-windows (some 600 bytes).  A chunk that a document with a smaller id holds in
+*Chunks.*  Anchors whose rank has three zero bits cut a document into chunks of
+windows (some 150 bytes).  A chunk that a document with a smaller id holds in
 full is removed in full; only its first holder's takes part in rounds 2 and 3.
 
 *Round 1, 16 bytes.*  Ranks of chunks and of anchors with the documents that hold them.
-*Round 2, 32 bytes.*  An anchor's windows begin near it (and hold the 32 bytes from
-the anchor on) or further ahead (and hold the 32 bytes up to the anchor's end).
-Each half is the pair of the anchor's rank and the rank at the next offset,
-named anew, and survives if two documents hold it.
-*Round 3, the threshold.*  A surviving half is sent with its bytes.  Equal
-halves are one class with the smallest id that holds them; only where one 32-byte
-rank has several classes are their windows named one by one, and each window
+*Round 2, 33 bytes.*  An anchor's windows are dealt by their offset to it into groups of
+eighteen; the windows of a group have 33 bytes in common, those around the anchor.
+The anchor's rank extended by the ranks at the group's offsets names them, and a
+group survives if two documents hold its name.
+*Round 3, the threshold.*  A surviving group is sent with its bytes.  Equal
+groups are one class with the smallest id that holds them; only where one 33-byte
+name has several classes are their windows named one by one, and each window
 goes to the smallest id that any class has for it.
 
 Rows that a round doesn't need are held back by bitmaps of fixed size of the
@@ -34,9 +34,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.words import hash_bitmap, in_bitmap, kept_table, mixed
+from lakelens.llm.words import discard, hash_bitmap, in_bitmap, kept_table, mixed
 
-LENGTH, RANK, CUT_BITS = 50, 16, 5
+LENGTH, RANK, CUT_BITS = 50, 16, 3
+
+#: Offsets of a group of windows.
+GROUP = 18
 BITS = 27
 LAST_ID = (1 << 63) - 1
 
@@ -115,7 +118,7 @@ def name_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Segment:
-    """Runs, chunks and halves of a stretch of bytes."""
+    """Runs, chunks and groups of a stretch of bytes."""
 
     def __init__(self, data: np.ndarray, ranks: Ranks, length: int, rank: int):
         self.data, self.ranks, self.length, self.rank = data, ranks, length, rank
@@ -131,16 +134,17 @@ class Segment:
     def anchor_names(self) -> np.ndarray:
         return self.name & ~np.uint64(1)
 
-    def halves(self, use: np.ndarray):
-        """Of the runs ``use``: name of the 32 bytes, first window and the window behind the last."""
+    def groups(self, use: np.ndarray):
+        """Of the runs ``use``: name of a group's common bytes, first window, the window
+        behind the last, and the anchor."""
         first, end, at, name = self.first[use], self.end[use], self.anchor[use], self.name[use]
-        k = self.rank
-        near = at - (self.length - k) // 2  # from here on windows hold the bytes behind the anchor
-        for side, a, b, other in ((1, np.maximum(first, near), end, at + k), (2, first, np.minimum(end, near), at - k)):
+        for near in range(0, self.length - self.rank + 1, GROUP):
+            far = min(near + GROUP, self.length - self.rank + 1) - 1
+            a, b = np.maximum(first, at - far), np.minimum(end, at - near + 1)
             ok = a < b
-            o = other[ok]
-            pair = name_pair(name[ok] + np.uint64(side), mixed((self.sums[o + k] - self.sums[o]) * self.ranks.inverses[o]))
-            yield pair, a[ok], b[ok], at[ok]
+            o = at[ok]
+            around = self.ranks.of(self.sums, o - near, o - far + self.length)
+            yield name_pair(name[ok] + np.uint64(near), around), a[ok], b[ok], o
 
 
 def scanned(keyed: DataFrame, schema: str, length: int, rank: int, rows_of) -> DataFrame:
@@ -206,6 +210,7 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(with_id(r.view(np.uint64), lo).view(np.int64))], names=["h"])
 
     owners = sc.broadcast(hash_bitmap(held.where("r % 2 <> 0").mapInArrow(owned, "h long"), "h", bits))
+    discard(held)
 
     def open_runs(doc, s):
         """Runs that two documents may hold, in chunks whose first holder this may be; those chunks."""
@@ -214,11 +219,12 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int) -> DataFrame:
         return np.flatnonzero(in_mine & in_bitmap(anchors.value, s.anchor_names(), bits)), mine
 
     def second_round(doc, key, at, s):
-        names = np.unique(np.concatenate([pair for pair, *_ in s.halves(open_runs(doc, s)[0])]))
+        names = np.unique(np.concatenate([pair for pair, *_ in s.groups(open_runs(doc, s)[0])]))
         return names.view(np.int64), np.full(len(names), doc, np.int64)
 
     alive = kept_table(holders(scanned(keyed, "r long, id long", length, rank, second_round)).where("lo < hi").select("r"), "round-2")
     pairs = sc.broadcast(hash_bitmap(alive, "r", bits))
+    discard(alive)
 
     def third_round(doc, key, at, s):
         runs, mine = open_runs(doc, s)
@@ -226,7 +232,7 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int) -> DataFrame:
         gone = np.flatnonzero(np.diff(np.concatenate([[False], ~mine, [False]]).astype(np.int8)))
         a, b = s.chunk_first[gone[::2]], s.chunk_end[gone[1::2] - 1]
         parts = [(np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), a, b, [None] * len(a))]
-        for pair, a, b, anchor in s.halves(runs):
+        for pair, a, b, anchor in s.groups(runs):
             hit = in_bitmap(pairs.value, pair, bits)
             pair, a, b, anchor = pair[hit], a[hit], b[hit], anchor[hit]
             kind = name_pair(s.ranks.of(s.sums, a, b + s.length - 1), (anchor - a).astype(np.uint64))
@@ -239,8 +245,8 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int) -> DataFrame:
 
     found = kept_table(scanned(keyed, "r long, kind long, id long, key long, a long, b long, bytes binary", length, rank, third_round), "round-3")
     whole = found.where("bytes is null").select("id", "key", "a", F.expr(f"b + {length - 1}").alias("b"))
-    halves = found.where("bytes is not null")
-    classes = kept_table(halves.groupBy("r", "kind").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("bytes").alias("bytes")), "classes")
+    groups = found.where("bytes is not null")
+    classes = kept_table(groups.groupBy("r", "kind").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("bytes").alias("bytes")), "classes")
     several = classes.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r")
 
     def name_windows(batches):
@@ -261,7 +267,8 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int) -> DataFrame:
     per_class = windows.join(first, "w").groupBy("r", "kind").agg(F.collect_list(F.struct("j", "m")).alias("each"))
     decided = kept_table(classes.select("r", "kind", "lo", "hi").join(per_class, ["r", "kind"], "left")
                          .where("lo < hi or exists(each, x -> x.m < hi)").select("r", "kind", "lo", "each"), "decided")
-    placed = halves.select("r", "kind", "id", "key", "a", "b").join(decided, ["r", "kind"])
+    discard(classes, windows)
+    placed = groups.select("r", "kind", "id", "key", "a", "b").join(decided, ["r", "kind"])
     same = placed.where("each is null and lo < id").select("id", "key", "a", F.expr(f"b + {length - 1}").alias("b"))
     single = (placed.where("each is not null").select("id", "key", "a", F.explode(F.expr("filter(each, x -> x.m < id)")).alias("x"))
               .select("id", "key", F.expr("a + x.j").alias("a"), F.expr(f"a + x.j + {length}").alias("b")))
@@ -281,8 +288,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     import pyarrow as pa
 
-    if length < 3 * rank - 1:
-        raise ValueError("length must be at least 3 * rank - 1")
+    if not 0 < rank <= length - GROUP:
+        raise ValueError(f"rank must be at most length - {GROUP}")
     keyed = keyed_texts(docs, id_col, text_col)
     spans = repeats(keyed, length, rank, bits).groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     joined = keyed.join(spans, ["id", "key"], "left").select("id", "no_id", "t", "spans.a", "spans.b")

@@ -118,9 +118,14 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``kept_table`` that nothing reads any more."""
+    """Deletes tables of ``kept_table`` that nothing reads any more, and has the driver
+    forget finished plans, so that Spark drops their shuffle files now."""
+    import gc
+
     for table in tables:
         drop_path(table.sparkSession, table.kept_at)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

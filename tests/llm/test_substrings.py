@@ -75,4 +75,4 @@ def test_sample_of_the_documents(spark, sf001, empty):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute(rows)
     assert suffix_dedup.dedup_substrings(empty, bits=16).count() == 0
     with pytest.raises(ValueError):
-        suffix_dedup.dedup_substrings(empty, length=30)
+        suffix_dedup.dedup_substrings(empty, length=20)
