@@ -1,8 +1,13 @@
 """Substring deduplication by sliding sentence spans (operator 7).
 
-A text is cut into sentences: behind a sentence sign or a line break, and before
-a capitalised word, so that a passage pasted into the middle of a sentence
-begins one of its own.  From every sentence a span runs over several consecutive
+A text is cut into sentences: behind a sentence sign of any script or a line break,
+and before a capitalised word, so that a passage pasted into the middle of a sentence
+begins one of its own.  With a ``reach`` (the registered query's is ``REACH``) there are
+also spans of shorter units: where ``reach`` words have no such boundary, the word with the
+smallest hash begins a unit.  That depends on no other words, so a passage
+of over 50 words that is repeated word by word holds a whole span in all its places
+wherever its sentences begin and end.  A character of a script without spaces is a
+word.  From every sentence a span runs over several consecutive
 sentences: at least ``LEAST_SENTENCES`` and at least ``LEAST_WORDS`` words.  Spans
 are joined over all documents by hash; a span stays where it occurs first
 (smallest document id, then place) and the sentences that any other occurrence
@@ -30,7 +35,21 @@ LEAST_SENTENCES, LEAST_WORDS = 2, 12
 BITS = 26
 LAST_ID = (1 << 63) - 1
 
+#: A repeated passage of 4 * REACH + LEAST_WORDS - 3 words holds a span: boundaries less than REACH words
+#: from its ends may differ from copy to copy, and those between are at most REACH apart.
+REACH = 10
+
 WORD = re.compile(r"\s*\S+\s*|\s+")
+#: Thai, Lao, Burmese, Khmer, kana, Han and full-width characters.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
+WORD_OR_SIGN = re.compile(rf"\s*(?:[{UNSPACED}]|[^\s{UNSPACED}]+)\s*|\s+")
+SIGNS = frozenset(".!?。！？．｡।॥؟۔։።፧፨៕")
+
+
+def words_of(text: str) -> list[str]:
+    """The words with their white space; together they are the text."""
+    return (WORD if text.isascii() or not HAS_UNSPACED.search(text) else WORD_OR_SIGN).findall(text)
 
 
 def described(raw: str) -> tuple[int, bool, bool]:
@@ -38,7 +57,7 @@ def described(raw: str) -> tuple[int, bool, bool]:
     import xxhash
 
     word = raw.strip()
-    ends = not word or word.rstrip("\"')]»”’")[-1:] in (".", "!", "?") or "\n" in raw
+    ends = not word or word.rstrip("\"')]»”’")[-1:] in SIGNS or "\n" in raw
     return xxhash.xxh3_64_intdigest(word.encode().lower()), word[:1].isupper(), ends
 
 
@@ -46,9 +65,9 @@ def word_table() -> WordTable:
     return WordTable(described, (np.uint64, bool, bool))
 
 
-def sentence_spans(texts: list[str], memo: WordTable, prefix: PrefixHashes, sentences: int, words: int):
+def sentence_spans(texts: list[str], memo: WordTable, prefix: PrefixHashes, sentences: int, words: int, reach: int = 0):
     """For each span: text number, first word, word behind the last, hash."""
-    split = [WORD.findall(t) for t in texts]
+    split = [words_of(t) for t in texts]
     flat = list(chain.from_iterable(split))
     size = np.array([len(ws) for ws in split], np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
@@ -59,13 +78,27 @@ def sentence_spans(texts: list[str], memo: WordTable, prefix: PrefixHashes, sent
     hashes, begins, ends = (column[at] for column in memo.columns)
     begins[1:] |= ends[:-1]
     begins[first[:-1][size > 0]] = True
-    edges = np.append(np.flatnonzero(begins), len(flat))  # first words of sentences
-    starts = edges[:-1]
-    of = np.searchsorted(first, starts, side="right") - 1
-    to = np.maximum(np.arange(len(starts)) + sentences, np.searchsorted(edges, starts + words))
-    ok = to < len(edges)
-    ok[ok] = edges[to[ok]] <= first[of[ok] + 1]
-    a, b, of = starts[ok], edges[to[ok]], of[ok]
+
+    def spans(begins):
+        edges = np.append(np.flatnonzero(begins), len(flat))  # first words of sentences
+        starts = edges[:-1]
+        of = np.searchsorted(first, starts, side="right") - 1
+        to = np.maximum(np.arange(len(starts)) + sentences, np.searchsorted(edges, starts + words))
+        ok = to < len(edges)
+        ok[ok] = edges[to[ok]] <= first[of[ok] + 1]
+        return starts[ok], edges[to[ok]], of[ok]
+
+    a, b, of = spans(begins)
+    if 0 < reach <= len(flat):
+        seen = np.concatenate([[0], np.cumsum(begins)])
+        free = np.flatnonzero(seen[reach:] == seen[:-reach])  # never across texts, whose first words begin sentences
+        units = begins.copy()
+        units[free + np.lib.stride_tricks.sliding_window_view(hashes, reach)[free].argmin(1)] = True
+        known = np.zeros(len(flat), np.int64)
+        known[a] = b
+        more = spans(units)
+        new = known[more[0]] != more[1]
+        a, b, of = (np.concatenate([x, y[new]]) for x, y in zip((a, b, of), more, strict=True))
     return of, a - first[of], b - first[of], prefix.spans(hashes, a, b)
 
 
@@ -76,7 +109,7 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(id_col).isNull().alias("no_id"), F.xxhash64(id_col, text).alias("key"), text.alias("t"))
 
 
-def span_rows(keyed: DataFrame, sentences: int, words: int, bitmap=None, bits: int = BITS) -> DataFrame:
+def span_rows(keyed: DataFrame, sentences: int, words: int, bitmap=None, bits: int = BITS, reach: int = 0) -> DataFrame:
     """Spans as rows: id, key, h, a, b and again (not the hash's first place in its text).
     Without a bitmap only id, h and again, once for each hash of a batch and id."""
     import pyarrow as pa
@@ -86,7 +119,7 @@ def span_rows(keyed: DataFrame, sentences: int, words: int, bitmap=None, bits: i
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                of, a, b, h = sentence_spans(part.column("t").to_pylist(), memo, prefix, sentences, words)
+                of, a, b, h = sentence_spans(part.column("t").to_pylist(), memo, prefix, sentences, words, reach)
                 order = np.lexsort((a, h, of))
                 of, a, b, h = of[order], a[order], b[order], h[order]
                 again = np.zeros(len(h), bool)
@@ -107,7 +140,7 @@ def span_rows(keyed: DataFrame, sentences: int, words: int, bitmap=None, bits: i
 
 
 def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                    sentences: int = LEAST_SENTENCES, words: int = LEAST_WORDS, bits: int = BITS) -> DataFrame:
+                    sentences: int = LEAST_SENTENCES, words: int = LEAST_WORDS, bits: int = BITS, reach: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed (bytes), n_spans (runs of removed words) and kept_text
     of every row of ``docs``.
 
@@ -115,17 +148,17 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     span.  Rows that share an id are parts of one document: a span in two of them
     stays in both.  A null id comes after all others.  Repeated rows are rows of
     their own with the same result.  Other columns are not read; an empty table
-    gives no rows.
+    gives no rows.  Without a ``reach`` only whole sentences are removed.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     keyed = keyed_texts(docs, id_col, text_col)
-    counted = span_rows(keyed, sentences, words).groupBy("h").agg(
+    counted = span_rows(keyed, sentences, words, reach=reach).groupBy("h").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), F.max("again").alias("twice"))
     repeated = kept_table(counted.where((F.col("first") < F.col("last")) | F.col("twice")).select("h", "first"), "spans")
     bitmap = spark.sparkContext.broadcast(hash_bitmap(repeated, "h", bits))
-    places = span_rows(keyed, sentences, words, bitmap, bits).join(repeated, "h")
+    places = span_rows(keyed, sentences, words, bitmap, bits, reach).join(repeated, "h")
     covered = (places.where((F.col("id") > F.col("first")) | F.col("again")).groupBy("id", "key")
                .agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     joined = keyed.join(covered, ["id", "key"], "left").select("id", "no_id", "t", "spans.a", "spans.b")
@@ -140,7 +173,7 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 if not a:
                     out.append((doc, size, 0, 0, text))
                     continue
-                pieces = WORD.findall(text)
+                pieces = words_of(text)
                 steps = np.zeros(len(pieces) + 1, np.int64)
                 np.add.at(steps, a, 1)
                 np.add.at(steps, b, -1)
@@ -156,4 +189,4 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def spans_digest(docs: DataFrame) -> DataFrame:
     """The result for every document with the SHA-256 of the kept text in its place."""
-    return dedup_sentences(docs).withColumn("kept_sha256", F.sha2(F.encode("kept_text", "UTF-8"), 256)).drop("kept_text")
+    return dedup_sentences(docs, reach=REACH).withColumn("kept_sha256", F.sha2(F.encode("kept_text", "UTF-8"), 256)).drop("kept_text")

@@ -196,3 +196,36 @@ def test_ordinal_model_learns_ordered_grades():
     weight = float(model.weights[list(model.slots).index(7)])
     likely = [np.sum(weight * (1 + np.log(3**g)) > model.thresholds) if g else 0 for g in range(4)]
     assert likely == [0, 1, 2, 3]
+
+
+def test_repeated_passages_without_whole_sentences_are_removed(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, shared = [], []
+    for n in range(40):
+        passage = words(51) if n % 2 else f"{words(25)}. {words(26)}"  # no sentence inside, or an end and a beginning
+        shared.append(passage.split())
+        rows += [(2 * n, f"{words(rng.randrange(30))} {passage} {words(rng.randrange(30))}"),
+                 (2 * n + 1, f"{words(rng.randrange(30))} {passage} {words(rng.randrange(30))}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in sentence_spans.dedup_sentences(docs, reach=sentence_spans.REACH).collect()}
+    assert {r.doc_id: r.n_removed for r in sentence_spans.spans_digest(docs).collect()} == {d: r.n_removed for d, r in got.items()}
+    for n, passage in enumerate(shared):
+        assert got[2 * n].n_removed == 0
+        later = got[2 * n + 1]
+        assert later.n_removed > 0 and " ".join(passage) not in " ".join(later.kept_text.split())
+        gone = set(dict(rows)[2 * n + 1].split()) - set(later.kept_text.split())
+        assert gone <= set(passage)
+
+
+def test_other_scripts_have_sentences(spark):
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    hindi = lambda n: " ".join("".join(chr(rng.randrange(0x0915, 0x0939)) for _ in range(4)) for _ in range(n))
+    a, b = f"{han(30)}。{han(25)}！{han(20)}。", f"{hindi(9)}। {hindi(8)}। {hindi(9)}।"
+    docs = [(1, han(9) + "。" + a + han(7)), (2, han(12) + "。" + a + han(5)), (3, hindi(5) + "। " + b), (4, hindi(6) + "। " + b)]
+    got = {r.doc_id: r for r in sentence_spans.dedup_sentences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == got[3].n_removed == 0
+    assert a not in got[2].kept_text and got[2].n_removed > len(a.encode()) // 2
+    assert got[4].n_removed >= len(b.encode()) - 1
