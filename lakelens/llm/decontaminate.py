@@ -4,8 +4,11 @@ Words become templates: numbers, names and units turn into typed placeholders,
 all others into their lower-cased letters.  Windows of ``WINDOW`` template words
 are hash-joined with the benchmark's windows, so a question asked again with
 other numbers or names still matches.  Placeholders alone prove little, so the
-slots are checked: within a pair of document and item, each value of the item
-must stand for one value of the document and the other way round.
+slots are checked: within an occurrence of the item, each value of the item
+must stand for one value of the document and the other way round.  Occurrences are
+told apart by where they align (place in the document less place in the item): all
+hits of one alignment, those of alignments in a band (words put in or left out), and
+all hits of the pair.  One that holds enough windows and agrees makes the pair.
 
 A fixed-size bitmap of the benchmark's window hashes goes to the tasks that read
 documents; only windows that hit it become rows, and the join then decides
@@ -31,6 +34,9 @@ LEAST_PLAIN = 3
 #: Least share of an item's windows that a document must hold, and of slot values that must agree.
 COVERAGE, CONSISTENCY = 0.5, 0.8
 
+#: Alignments less than half a band apart share one of the two bands that overlap there.
+BAND = 16
+
 BITS = 24
 
 #: Words read as numbers, and words read as units.
@@ -132,7 +138,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
                  coverage: float = COVERAGE, consistency: float = CONSISTENCY, bits: int = BITS) -> DataFrame:
     """Pairs of documents and benchmark items that they hold: doc_id, text_hash,
     item_id, coverage (share of the item's windows), consistency (share of slot
-    values that agree, 1 without slots), exact (every window found with the item's own values).
+    values that agree, 1 without slots), exact (every window found with the item's own values),
+    all of the occurrence that is exact, or else covers or agrees most.
 
     Null and empty texts have no windows and match nothing; an item of fewer words
     than a window matches only a document that is just as short; an item whose
@@ -148,17 +155,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("text_hash"),
                         F.col(text_col).alias("text"))
     hits = template_rows(keyed, ["doc_id", "text_hash"], "text", window, bitmap, bits)
-    pairs = hits.withColumnRenamed("slots", "here").join(items.select("item_id", "h", "slots"), "h")
+    aligned = F.col("place") - F.col("item_place")
+    occurrences = F.array(*(F.struct(F.lit(kind).alias("kind"), F.floor(at).cast("long").alias("at")) for kind, at in (
+        (0, F.lit(0)), (1, aligned), (2, aligned / BAND), (3, (aligned + BAND // 2) / BAND))))
+    pairs = hits.withColumnRenamed("slots", "here").join(items.select("item_id", "h", "slots", F.col("place").alias("item_place")), "h")
     values = F.expr("transform(arrays_zip(slots, here), x -> struct(x.slots as theirs, x.here as ours))")
-    found = pairs.groupBy("doc_id", "text_hash", "item_id").agg(
+    found = pairs.withColumn("occurrence", F.explode(occurrences)).groupBy("doc_id", "text_hash", "item_id", "occurrence").agg(
         F.count_distinct("h").alias("windows"), F.array_distinct(F.flatten(F.collect_set(values))).alias("bound"))
     share = F.when(F.size("bound") == 0, 1.0).otherwise(
         F.least(F.size(F.expr("array_distinct(bound.theirs)")), F.size(F.expr("array_distinct(bound.ours)"))) / F.size("bound"))
     sizes = sizes.withColumnRenamed("item_id", "sized")
-    return (found.join(sizes, F.col("item_id").eqNullSafe(F.col("sized"))).select(
+    enough = (found.join(sizes, F.col("item_id").eqNullSafe(F.col("sized"))).select(
         "doc_id", "text_hash", "item_id", (F.col("windows") / F.col("of")).alias("coverage"), share.alias("consistency"),
         ((F.col("windows") == F.col("of")) & F.forall("bound", lambda b: b["theirs"].eqNullSafe(b["ours"]))).alias("exact"))
         .where((F.col("coverage") >= coverage) & (F.col("consistency") >= consistency)))
+    best = F.max(F.struct("exact", "coverage", "consistency")).alias("best")
+    return enough.groupBy("doc_id", "text_hash", "item_id").agg(best).select(
+        "doc_id", "text_hash", "item_id", "best.coverage", "best.consistency", "best.exact")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

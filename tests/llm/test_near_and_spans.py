@@ -229,3 +229,17 @@ def test_other_scripts_have_sentences(spark):
     assert got[1].n_removed == got[3].n_removed == 0
     assert a not in got[2].kept_text and got[2].n_removed > len(a.encode()) // 2
     assert got[4].n_removed >= len(b.encode()) - 1
+
+
+def test_a_leak_stays_one_beside_other_occurrences(spark):
+    ask = "So a farmer sells {} baskets of ripe apples and then buys {} boxes of fresh pears at the market."
+    tables = "add {} to the running sum now, add {} to the running sum now, add {} to the running sum now."
+    items = spark.createDataFrame([(1, ask.format(5, 3)), (2, tables.format(4, 9, 6))], "item_id long, text string")
+    other = ask.replace("and then", "and only then")
+    docs = spark.createDataFrame([
+        (1, ask.format(5, 3) + " " + ask.format(7, 4)), (2, tables.format(4, 9, 6)),
+        (3, other.format(5, 3) + " " + other.format(3, 5) + " " + other.format(5, 8)),
+        (4, "a farmer sells 5 baskets of ripe plums")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (3, 1): False}
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, items).collect()] == [4]
