@@ -1,9 +1,13 @@
 """Substring deduplication by distributed prefix doubling (operator 3).
 
 Every byte that is covered by a string of ``LENGTH`` bytes which also starts in a
-document with a smaller id is removed.  Strings are told apart by ranks (64-bit
-names) of ever longer prefixes; after each round Spark sorts the ranks, and what
-is unique (met in one document alone) takes no part in the next round.
+document with a smaller id is removed.  Sorted ranks are replaced by fingerprints:
+what is called a rank here is a 64-bit polynomial hash of 16, 33 or 50 bytes at a
+sampled position.  Nothing is sorted, ranked again or doubled; Spark groups equal
+fingerprints, and what is unique (met in one document alone) takes no part in the
+next round.  Sorting (rank, rank at an offset) pairs of every byte would shuffle the
+text many times over.  Equal fingerprints count as equal strings without a
+comparison of bytes, so results are exact up to collisions of 64-bit hashes.
 
 *Sampled positions.*  Doubling need not start at every byte.  Each window of
 ``LENGTH`` bytes has an anchor, the place of its least 16-byte rank; equal windows
