@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline: token counts, sharding, exact, near
-and substring deduplication, decontamination, toxicity, language-model scoring
-and packing.
+and substring deduplication, decontamination, toxicity, language-model scoring,
+packing, web archives, whitening of embeddings and collocations.
 
 Nothing outside this package imports it.  The code that runs in Python workers
 is pickled by value, so executors need the third-party libraries but not this
