@@ -6,15 +6,16 @@
    proposed: the proposed phrases and their negative border.
 3. A phrase of the border that turns out frequent is a failure: longer phrases around it
    were not counted.  It is added to the proposals and another pass counts what that
-   opens, until a pass brings nothing new.
+   opens, until a pass brings nothing new.  Such a pass takes phrases that no pass has
+   counted as open too, so one of them closes the search; the next would only confirm it.
 
-The result doesn't depend on the sample; a bad one only costs passes (never more than
-the longest phrase has words).  What is proposed goes to the tasks as a bitmap of phrase hashes of bounded
-size.  Chance hits in it let more phrases be counted and can't change a count: whether a
-phrase is counted depends on the phrase alone, and counts are kept by its words.
+The result doesn't depend on the sample; a bad one costs a pass.  What is proposed goes
+to the tasks as a bitmap of phrase hashes of bounded size.  Chance hits in it let more
+phrases be counted and can't change a count: whether a phrase is counted depends on the
+phrase alone, and counts are kept by its words.
 
-A task numbers its words, counts stretches of numbers with numpy and ships a row for each
-distinct phrase, which Spark adds up.
+A task numbers its words, counts stretches of numbers with numpy (grouped by hash, word by
+word compared) and ships a row for each distinct phrase, which Spark adds up.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SAMPLE = 8
 #: Size of the bitmap of proposed phrases: at most 2^27 bits (16 MB), 16 a phrase below that.
 MOST_BITS = 27
 
-#: Words that a task counts together, and bytes of a long text read at once (up to the end of a piece).
-TOKENS, SLICE = 2_000_000, 4 << 20
+#: Bytes of text that a task counts together; a long text is read in slices of as much (up to the end of a piece).
+COUNTED = 8 << 20
 
 SIGNS = b".,;:!?\x0a\x0b\x0c\x0d"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + SIGNS, b"abcdefghijklmnopqrstuvwxyz " + b"\xff" * len(SIGNS))
@@ -54,108 +55,147 @@ def slices(text: bytes, size: int):
     yield text[at:] if at else text
 
 
-class Numbers(dict):
-    """word -> number, the boundary's being 0."""
-
-    def __init__(self):
-        super().__init__({BOUNDARY: 0})
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def numbered(parts: list[bytes]):
+    """Words of folded texts as numbers (-1: a boundary), and the distinct words."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    blob = BOUNDARY.join(parts).replace(BOUNDARY, b" \xff ")
+    words = pc.split_pattern(pa.array([blob], pa.large_binary()), pattern=b" ").flatten().dictionary_encode()
+    numbers, known = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+    place = {w: i for i, w in enumerate(known) if w in (b"", BOUNDARY)}
+    if b"" in place:
+        numbers = numbers[numbers != place[b""]]
+    if BOUNDARY in place:
+        numbers[numbers == place[BOUNDARY]] = -1
+    return numbers, known
+
+
+def joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from those of all its words but the last, and of the last."""
+    return mixed(h * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def grouped(w: np.ndarray, place: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """One place and the count of each distinct stretch of ``k`` numbers at ``place``, by hash; if
+    hashes of different stretches meet, by their words."""
+    order = np.argsort(h)
+    p = place[order]
+    new = np.ones(len(p), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    for j in range(k):
+        if not ((w[p[1:] + j] == w[p[:-1] + j]) | new[1:]).all():
+            p = place[np.lexsort([w[place + i] for i in range(k)])]
+            new[1:] = np.any([w[p[1:] + i] != w[p[:-1] + i] for i in range(k)], axis=0)
+            break
+    start = np.flatnonzero(new)
+    return p[start], np.diff(start, append=len(p))
 
 
 def phrase_levels(w: np.ndarray, hashes: np.ndarray, longest: int, bits: int, before, now):
-    """k, first places, counts and hashes of the distinct phrases to count, level by level.
-
-    ``w`` holds word numbers; ``now`` is the bitmap of proposals (None: all), ``before``
-    the one of the pass before (None: there was none), whose phrases are left out."""
-    found = lambda bitmap, h: in_bitmap(bitmap, h, bits)
-    counts = np.bincount(w, minlength=len(hashes))
-    first = np.empty(len(hashes), np.int64)
-    first[w[::-1]] = np.arange(len(w) - 1, -1, -1)
-    at = np.where(w > 0, w, -1)
-    h, known = hashes, np.full(len(hashes), before is not None)
-    new = ~known
-    new[0] = False
-    yield 1, first[new], counts[new], h[new]
-    for k in range(2, longest + 1):
-        opens = np.ones(len(h), bool) if now is None else found(now, h)
-        opened = known & found(before, h) if before is not None else known
-        fits = at >= 0
-        fits[fits] = opens[at[fits]]
-        place = np.flatnonzero(fits[:-1] & fits[1:])
-        if not len(place):
-            return
-        keys = (at[place] << 32) | w[place + k - 1]
-        keys, start, back, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        start = place[start]
-        h = mixed(h[at[start]] * np.uint64(0x9E3779B97F4A7C15) + hashes[w[start + k - 1]])
-        known = opened[at[start]] & opened[at[start + 1]]
-        at = np.full(len(at) - 1, -1)
-        at[place] = back
-        yield k, start[~known], counts[~known], h[~known]
-
-
-def counted(docs: DataFrame, longest: int, bits: int, before, now, *, hashes_only: bool = False, tokens: int = TOKENS,
-            slice_bytes: int = SLICE) -> DataFrame:
-    """Rows (h, n) or (lang, k, phrase, h, n) of the phrases to count, several a phrase.  The
-    first pass adds a row with k = 0 for the words of each language."""
+    """k, places and hashes of the phrases to count, level by level.
+
+    ``w`` holds word numbers (-1: a boundary), ``now`` the bitmap of proposals (None:
+    all), ``before`` the one of the pass before (None: there was none).  What that pass
+    counted is left out, and what it didn't count is open."""
+    ok = w >= 0
+    word = np.where(ok, hashes[w], 0).astype(np.uint64)
+    h, counted = word, ok if before is not None else np.zeros(len(w), bool)
+    for k in range(1, longest + 1):
+        if k > 1:
+            place = np.flatnonzero(ok)
+            opens, opened = np.ones(len(place), bool), counted[place]
+            if now is not None:
+                opens = in_bitmap(now, h[place], bits) | (~opened if before is not None else False)
+            if before is not None:
+                opened = opened & in_bitmap(before, h[place], bits)
+            for flags, found in ((ok, opens), (counted, opened)):
+                flags[:] = False
+                flags[place] = found
+            ok, counted = ok[:-1] & ok[1:], counted[:-1] & counted[1:]
+            if not ok.any():
+                return
+            h = joined(h[:-1], word[k - 1 :])
+        else:
+            counted = counted.copy()
+        place = np.flatnonzero(ok & ~counted)
+        yield k, place, h[place]
+
+
+def counted(docs: DataFrame, longest: int, bits: int, before, now, *, hashes_only: bool = False, counted_bytes: int = COUNTED) -> DataFrame:
+    """Rows (h, n) or (phrase, n) of the phrases to count, several a phrase.  A phrase carries its
+    language after a tab, which no word holds; the first pass adds an empty
+    phrase with the words of each language."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((before, now))  # at most 2^MOST_BITS / 8 bytes each
-    shape = "h long, n long" if hashes_only else "lang string, k int, phrase string, h long, n long"
 
-    def rows_of(lang: str, parts: list[np.ndarray], numbers: Numbers):
+    def rows_of(lang: str, parts: list[bytes]):
         import pyarrow as pa
         import pyarrow.compute as pc
         import xxhash
 
         before, now = shared.value
-        w = np.concatenate(parts)
-        used = np.unique(w)
-        words = list(numbers)
+        w, known = numbered(parts)
         seed = xxhash.xxh3_64_intdigest(lang.encode())
-        hashes = np.zeros(len(words), np.uint64)
-        hashes[used] = np.fromiter((xxhash.xxh3_64_intdigest(words[i], seed) for i in used.tolist()), np.uint64, len(used))
-        texts = None if hashes_only else pa.array(words[1:], pa.binary()).cast(pa.string())
-        if not hashes_only and before is None:
-            yield pa.record_batch([pa.array(x) for x in ([lang], pa.array([0], pa.int32()), [""], [0], [int((w > 0).sum())])],
-                                  ["lang", "k", "phrase", "h", "n"])
-        for k, first, counts, h in phrase_levels(w, hashes, longest, bits, before, now):
-            some = np.flatnonzero(counts)
-            for i in range(0, len(some), 1 << 17):
-                take = some[i : i + (1 << 17)]
-                columns = [pa.array(h[take].view(np.int64)), pa.array(counts[take].astype(np.int64))]
-                if hashes_only:
-                    yield pa.record_batch(columns, ["h", "n"])
-                    continue
-                each = [texts.take(pa.array(w[first[take] + j] - 1)) for j in range(k)]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in known), np.uint64, len(known))
+        if not hashes_only:
+            tail = pa.scalar("\t" + lang, pa.string())
+            texts = pa.array([b"" if x == BOUNDARY else x for x in known], pa.binary()).cast(pa.string())
+            if before is None:
+                yield pa.record_batch([pa.array(["\t" + lang]), pa.array([int((w >= 0).sum())])], ["phrase", "n"])
+        for k, place, h in phrase_levels(w, hashes, longest, bits, before, now):
+            if hashes_only:
+                h, counts = np.unique(h, return_counts=True)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(counts)], ["h", "n"])
+                continue
+            place, counts = grouped(w, place, h, k)
+            for i in range(0, len(place), 1 << 17):
+                some = place[i : i + (1 << 17)]
+                each = [texts.take(pa.array(w[some + j])) for j in range(k)]
                 phrase = pc.binary_join_element_wise(*each, " ") if k > 1 else each[0]
-                yield pa.record_batch([pa.array([lang] * len(take)), pa.array(np.full(len(take), k, np.int32)), phrase, *columns],
-                                      ["lang", "k", "phrase", "h", "n"])
+                phrase = pc.binary_join_element_wise(phrase, tail, "")
+                yield pa.record_batch([phrase, pa.array(counts[i : i + (1 << 17)])], ["phrase", "n"])
 
     def count(batches):
-        held, numbers, size = {}, Numbers(), 0
+        held, size = {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 raw = text.as_buffer()
-                for part in slices(raw.to_pybytes() if raw is not None else b"", slice_bytes):
-                    words = part.replace(BOUNDARY, b" \xff ").split()
-                    words.append(BOUNDARY)
-                    held.setdefault(lang.as_py(), []).append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-                    size += len(words)
-                    if size >= tokens:
-                        for key, parts in held.items():
-                            yield from rows_of(key, parts, numbers)
-                        held, numbers, size = {}, Numbers(), 0
-        for key, parts in held.items():
-            yield from rows_of(key, parts, numbers)
+                for part in slices(raw.to_pybytes() if raw is not None else b"", counted_bytes):
+                    held.setdefault(lang.as_py(), []).append(part)
+                    size += len(part) + 1
+                    if size >= counted_bytes:
+                        for key in list(held):
+                            yield from rows_of(key, held.pop(key))
+                        size = 0
+        for key in list(held):
+            yield from rows_of(key, held.pop(key))
+
+    return docs.mapInArrow(count, "h long, n long" if hashes_only else "phrase string, n long")
+
+
+def with_hashes(phrases: DataFrame) -> DataFrame:
+    """The column h of (lang, phrase) rows: the hash that ``counted`` knows a phrase by."""
+    def hashed(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            out = np.zeros(b.num_rows, np.uint64)
+            for i, (lang, phrase) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                seed = xxhash.xxh3_64_intdigest(lang.encode())
+                h = np.array([xxhash.xxh3_64_intdigest(x.encode(), seed) for x in phrase.split(" ")], np.uint64)
+                one = h[:1]
+                for j in range(1, len(h)):
+                    one = joined(one, h[j : j + 1])
+                out[i] = one[0]
+            yield pa.record_batch([pa.array(out.view(np.int64))], ["h"])
 
-    return docs.mapInArrow(count, shape)
+    return phrases.select("lang", "phrase").mapInArrow(hashed, "h long")
 
 
 def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, sample: int = SAMPLE, most_bits: int = MOST_BITS,
-                  id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **sizes) -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", counted_bytes: int = COUNTED) -> DataFrame:
     """lang, k, phrase and n (occurrences, exact) of every phrase of 1 to ``longest`` words with at
     least ``least``, and a row with k = 0 for the words of each language.  Tables in the shared folder."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
@@ -163,25 +203,29 @@ def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, sample:
     chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("toivonen")), F.lit(sample)) == 0)
     lowered = max(2, least * 6 // (10 * sample)) if sample > 1 else least
     proposals = kept_table(
-        counted(chosen.select("lang", "text"), longest - 1, 0, None, None, hashes_only=True, **sizes)
+        counted(chosen.select("lang", "text"), longest - 1, 0, None, None, hashes_only=True, counted_bytes=counted_bytes)
         .groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= lowered).select("h"), "phrase-proposals")
     bits = min(most_bits, max(16, (16 * proposals.count()).bit_length()))
     before, now, tables = None, hash_bitmap(proposals, "h", bits), []
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
+        # a task has added up its own rows: they are dealt out as they are
         table = kept_table(
-            counted(rows.select("lang", "text"), longest, bits, before, now, **sizes)
-            .groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.max("h").alias("h"))
-            .where((F.col("n") >= least) | (F.col("k") == 0)), "phrase-counts")
+            counted(rows.select("lang", "text"), longest, bits, before, now, counted_bytes=counted_bytes)
+            .repartition(parts, "phrase").groupBy("phrase").agg(F.sum("n").alias("n"))
+            .where((F.col("n") >= least) | F.col("phrase").startswith("\t"))
+            .select(F.expr("substring(phrase, instr(phrase, '\t') + 1)").alias("lang"), F.substring_index("phrase", "\t", 1).alias("phrase"), "n")
+            .select("lang", F.expr("IF(phrase = '', 0, size(split(phrase, ' ')))").alias("k"), "phrase", "n"), "phrase-counts")
         tables.append(table)
-        grown = now | hash_bitmap(table.where((F.col("k") > 0) & (F.col("k") < longest)), "h", bits)
-        if (grown == now).all():  # no phrase of the border failed
+        grown = now | hash_bitmap(with_hashes(table.where((F.col("k") > 0) & (F.col("k") < longest))), "h", bits)
+        if before is not None or (grown == now).all():  # no phrase of the border failed, or all that they opened is counted
             break
         before, now = now, grown
     discard(proposals)
     out = tables[0]
-    for t in tables[1:]:  # at most ``longest`` tables
+    for t in tables[1:]:
         out = out.unionByName(t.where("k > 0"))
-    return out.select("lang", "k", "phrase", "n")
+    return out
 
 
 def top_of(rows: DataFrame, order: list, limit: int, lots: int) -> DataFrame:

@@ -37,7 +37,7 @@ def brute(rows, least, longest=4, limit=2000):
             for lang, v in by.items() for i, (s, a, p, left, right) in enumerate(sorted(v)[:limit])]
 
 
-@pytest.mark.parametrize("options", [{}, {"sample": 64, "most_bits": 16}, {"sample": 1, "tokens": 500, "slice_bytes": 100}])
+@pytest.mark.parametrize("options", [{}, {"sample": 64, "most_bits": 16}, {"sample": 1, "counted_bytes": 3000}])
 def test_collocations_equal_brute_force(spark, sf001, options):
     rows = sf001.collect()
     for least in (3, 12) if options else (3, 30):
@@ -51,7 +51,7 @@ def test_odd_documents(spark, odd, empty):
          for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars").union(more).selectExpr("*", "1 as k", "'x' as phrase", "2 as n", "3 as h")
     for least in (2, 30):
-        assert sorted(map(tuple, c.collocations(docs, least=least, slice_bytes=50).collect())) == sorted(brute(docs.collect(), least))
+        assert sorted(map(tuple, c.collocations(docs, least=least, counted_bytes=50).collect())) == sorted(brute(docs.collect(), least))
     assert sorted(map(tuple, c.collocations(docs, limit=3).collect())) == sorted(brute(docs.collect(), 30, limit=3))
     assert c.collocations(empty).count() == 0
 
@@ -68,7 +68,7 @@ def test_failures_of_the_border_open_further_passes(spark, monkeypatch):
 
     monkeypatch.setattr(c, "counted", counted)
     got = {r.phrase: r.n for r in c.phrase_counts(docs).collect()}
-    assert got["alpha beta gamma delta"] == got["beta gamma"] == 200 and passes == [True] + [False] * 4
+    assert got["alpha beta gamma delta"] == got["beta gamma"] == 200 and passes == [True, False, False]
 
 
 def test_scores_pass_64_bits(spark, monkeypatch):
@@ -78,3 +78,13 @@ def test_scores_pass_64_bits(spark, monkeypatch):
     monkeypatch.setattr(c, "phrase_counts", lambda docs, **k: table)
     (r,) = c.collocations(table).collect()
     assert (r.a, r.l, r.r, r.score) == (big - 7, big, big - 1, 2000000 * (big - 7) // (2 * big - 1))
+
+
+def test_meeting_hashes_are_told_apart():
+    import numpy as np
+
+    w = np.array([0, 1, 2, 0, 1, 3, -1, 0, 1])
+    place = np.array([0, 1, 3, 4, 7])
+    p, n = c.grouped(w, place, np.array([5, 5, 5, 5, 5], np.uint64), 2)
+    assert {(w[i], w[i + 1]): m for i, m in zip(p.tolist(), n.tolist())} == {(0, 1): 3, (1, 2): 1, (1, 3): 1}
+    assert sorted(c.grouped(w, place, np.array([5, 6, 5, 7, 5], np.uint64), 2)[1].tolist()) == [1, 1, 3]
