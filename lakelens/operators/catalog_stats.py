@@ -3,13 +3,11 @@ then a scan; NULL (not 0) when nothing is known."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STATS = re.compile(r"(\d+) bytes(?:, (\d+) rows)?")
+from lakelens.sources.files import live_files, only_files
 
 
 def analyze(spark: SparkSession, table_id: str, columns: bool = True) -> None:
@@ -48,8 +46,9 @@ def catalog_column_stats(spark: SparkSession, table_id: str, column: str) -> Dat
 
 def row_count_ladder(spark: SparkSession, table_id: str | None = None, path: str | None = None) -> DataFrame:
     """(row_count, source) from the first rung that knows: the catalog's
-    ``numRows``, else Parquet footers of ``path`` (or the table's location),
-    else a COUNT(*) scan."""
+    ``numRows``, else Parquet footers of ``path`` (or the table's location;
+    of a Delta table the files of its newest snapshot), else a COUNT(*) scan.
+    A path that doesn't exist is an error."""
     if table_id is not None:
         row = catalog_table_stats(spark, table_id).first()
         if row is not None and row.row_count is not None:
@@ -71,19 +70,19 @@ def row_count_ladder(spark: SparkSession, table_id: str | None = None, path: str
             pass
     if table_id is None and path is None:
         raise ValueError("row_count_ladder needs a table id or a path")
-    rows = spark.table(table_id) if table_id is not None else spark.read.parquet(path)
+    if table_id is not None:
+        rows = spark.table(table_id)
+    else:
+        rows = only_files(spark.read.option("recursiveFileLookup", "true").parquet(path), live_files(spark, path))
     return rows.agg(F.count(F.lit(1)).cast("long").alias("row_count")).select("row_count", F.lit("scan").alias("source"))
 
 
 def catalog_stats_like(spark: SparkSession, database: str, pattern: str) -> DataFrame:
     """(table_name, size_bytes, row_count) for catalog tables whose name
-    matches a SQL LIKE pattern; tables without statistics give NULLs and an
-    empty match gives no rows (not a fake 0)."""
-    names = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(database)
-                                   if not t.isTemporary], "table_name string")
-    hits = [r.table_name for r in names.where(F.col("table_name").like(pattern)).collect()]
-    out = spark.createDataFrame([], "table_name string, size_bytes long, row_count long")
-    for t in hits:
-        out = out.unionByName(catalog_table_stats(spark, f"{database}.{t}")
-                              .select(F.lit(t).alias("table_name"), "size_bytes", "row_count"))
-    return out
+    matches a SQL LIKE pattern, from one statement; tables without statistics
+    give NULLs, views have none, and an empty match gives no rows (not a fake 0)."""
+    shown = spark.sql(f"SHOW TABLE EXTENDED IN {database} LIKE '*'")
+    stats = F.regexp_extract("information", r"(?m)^Statistics: (.*)$", 1)
+    number = lambda unit: F.nullif(F.regexp_extract(stats, rf"(\d+) {unit}", 1), F.lit("")).cast("long")
+    return shown.where(~F.col("isTemporary") & F.col("tableName").like(pattern)).select(
+        F.col("tableName").alias("table_name"), number("bytes").alias("size_bytes"), number("rows").alias("row_count"))

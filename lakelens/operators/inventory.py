@@ -8,16 +8,18 @@ listing loops, so millions of files cost one distributed aggregate.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.functions.literals import literal_rows
 from lakelens.functions.paths import dir_segments, unescape_partition_value
-from lakelens.session import path_exists
+from lakelens.sources.files import live_files
 from lakelens.sources.footers import file_rows
-from lakelens.sources.listing import list_delta_logs, list_files, qualify, relative_path
+from lakelens.sources.listing import list_files, qualify, relative_path
 
 # --- catalog discovery (B1, B2) ---------------------------------------------
 
@@ -42,13 +44,11 @@ def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
 def lake_files(spark: SparkSession, base: str, include_delta_logs: bool = True) -> DataFrame:
     """Listing of a lake root with (database, table, rel_path) columns.
 
-    Layout: ``base/<database>/<table>/...``.  Delta logs (hidden from
-    recursive listings) are added from the ``*/*/_delta_log`` glob.
+    Layout: ``base/<database>/<table>/...``.  Delta logs, hidden from other
+    listings, are part of the same walk.
     """
     root = qualify(spark, base)
-    files = list_files(spark, base)
-    if include_delta_logs:
-        files = files.unionByName(list_delta_logs(spark, f"{base.rstrip('/')}/*/*/_delta_log"))
+    files = list_files(spark, base, shown=("_delta_log",) if include_delta_logs else ())
     rel = relative_path("path", root)
     seg = F.split(rel, "/")
     return files.select(
@@ -104,11 +104,7 @@ def table_formats(spark: SparkSession, base: str) -> DataFrame:
 def table_size(spark: SparkSession, table_path: str) -> DataFrame:
     """G6 and G7 for one table directory: bytes, files, last modification; of a
     Delta table only the files that its newest snapshot holds."""
-    if path_exists(spark, f"{table_path.rstrip('/')}/_delta_log"):
-        files = _delta_files(spark, table_path)
-    else:
-        files = list_files(spark, table_path)
-    return files.agg(
+    return live_files(spark, table_path).agg(
         F.count(F.lit(1)).cast("long").alias("file_count"),
         F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_size_bytes"),
         F.max("modificationTime").alias("last_modified"))
@@ -133,31 +129,12 @@ def _partition_levels(files: DataFrame, root: str, more: Sequence[str] = ()) ->
     )
 
 
-def _live_files(spark: SparkSession, table_path: str) -> DataFrame:
-    """(path, length) of a table's files: those of the newest snapshot if it has a
-    Delta log, else all that are listed."""
-    if not path_exists(spark, f"{table_path.rstrip('/')}/_delta_log"):
-        return list_files(spark, table_path).select("path", "length")
-    return _delta_files(spark, table_path).select("path", "length")
-
-
-def _delta_files(spark: SparkSession, table_path: str) -> DataFrame:
-    """(path, length, modificationTime) of the files that a Delta table holds now."""
-    from lakelens.sources.deltalog import snapshot_files
-
-    root = qualify(spark, table_path)
-    full = F.when(F.col("path").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("path")).otherwise(F.concat(F.lit(f"{root}/"), F.col("path")))
-    return snapshot_files(spark, table_path).select(
-        full.alias("path"), F.col("size").alias("length"),
-        F.timestamp_millis("modificationTime").alias("modificationTime"))
-
-
 def partition_inventory(spark: SparkSession, table_path: str) -> DataFrame:
     """(column_name, value, depth, location, file_count, size_bytes), one
     row per directory level of a Hive-style layout; values URL-decoded,
     the Hive NULL marker read as NULL."""
     root = qualify(spark, table_path)
-    lv = _partition_levels(_live_files(spark, table_path), root)
+    lv = _partition_levels(live_files(spark, table_path).select("path", "length"), root)
     return lv.groupBy("column_name", "value", "depth", "location").agg(
         F.count(F.lit(1)).cast("long").alias("file_count"),
         F.sum("length").cast("long").alias("size_bytes"))
@@ -167,7 +144,7 @@ def partition_row_counts(spark: SparkSession, table_path: str) -> DataFrame:
     """Rows per partition directory from footers only (no data read, one
     listing): each file's row count goes to its partition levels."""
     root = qualify(spark, table_path)
-    lv = _partition_levels(file_rows(spark, _live_files(spark, table_path)), root, ["num_rows"])
+    lv = _partition_levels(file_rows(spark, live_files(spark, table_path).select("path", "length")), root, ["num_rows"])
     return lv.groupBy("column_name", "value", "depth", "location").agg(
         F.count(F.lit(1)).cast("long").alias("file_count"),
         F.sum("length").cast("long").alias("size_bytes"),
@@ -197,12 +174,15 @@ def catalog_partitions(spark: SparkSession, table_id: str) -> DataFrame:
     ).distinct()
 
 
+def _skipped(database: str, error: Exception) -> None:
+    warnings.warn(f"database {database} was skipped: {str(error).splitlines()[0]}", stacklevel=3)
+
 
 def list_all_tables(spark: SparkSession, databases: list[str] | None = None,
                     catalog: str | None = None) -> DataFrame:
     """Names only, flattened to ``database.table`` over the given (or
     all) databases of the session catalog, or of ``catalog`` when given;
-    databases that fail to list are skipped."""
+    databases that fail to list are skipped with a warning that names them."""
     if catalog is not None:
         if databases is None:
             databases = [r[0] for r in spark.sql(f"SHOW NAMESPACES IN {catalog}").collect()]
@@ -210,7 +190,8 @@ def list_all_tables(spark: SparkSession, databases: list[str] | None = None,
         for db in databases:
             try:
                 t = spark.sql(f"SHOW TABLES IN {catalog}.{db}").where(~F.col("isTemporary"))
-            except Exception:  # noqa: BLE001 - the reference skips schemas that error
+            except PySparkException as e:
+                _skipped(f"{catalog}.{db}", e)
                 continue
             out = out.unionByName(t.select(F.concat_ws(".", F.lit(db), F.col("tableName")).alias("name"),
                                            F.lit("unknown").alias("type")))
@@ -222,8 +203,8 @@ def list_all_tables(spark: SparkSession, databases: list[str] | None = None,
         try:
             rows.extend((f"{db}.{t.name}", "unknown") for t in spark.catalog.listTables(db)
                         if not t.isTemporary)
-        except Exception:  # noqa: BLE001 - the reference skips schemas that error
-            continue
+        except PySparkException as e:
+            _skipped(db, e)
     return spark.createDataFrame(rows, "name string, type string").orderBy("name")
 
 

@@ -3,8 +3,9 @@
 ``limit``     - first n rows, no order (M1).
 ``bernoulli`` - each row with probability percent/100 (M2), Spark's
                 ``sample``; reproducible only for a fixed file layout.
-``system``    - block sampling (M3): whole blocks of rows kept by a hash of
-                (file, block number); Spark has no SYSTEM clause.
+``system``    - block sampling (M3); Spark has no SYSTEM clause.  By default files
+                are chosen by a hash of their path while the scan is planned,
+                so the others are never opened, then blocks of rows in them.
 ``hash``      - reproducible row sample (M5): hash of (seed, key columns),
                 independent of layout and engine.
 A limit after a percent sample is M4.  All samplers are narrow: no shuffle.
@@ -22,10 +23,12 @@ from lakelens.functions.hashing import keep_fraction
 # Sampling methods, default row counts and error text.
 METHODS = ("limit", "bernoulli", "system", "hash")
 DEFAULT_LIMIT = 100
-DEFAULT_SHELL_LIMIT = 10
 PERCENT_REQUIRED = "Percent must be specified for BERNOULLI or SYSTEM sampling"
 DEFAULT_BLOCK_ROWS = 2048
 
+#: Files that a block sample means to choose at least; with no more than that, blocks are chosen in all of them.
+LEAST_FILES = 64
+
 
 def limit_sample(df: DataFrame, n: int = DEFAULT_LIMIT) -> DataFrame:
     return df.limit(n)
@@ -47,14 +50,36 @@ def block_key(block_rows: int = DEFAULT_BLOCK_ROWS) -> list[Column]:
     return [F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / F.lit(block_rows))]
 
 
+def file_share(df: DataFrame, percent: float, least_files: int = LEAST_FILES) -> float:
+    """Percent of the files to choose so that about ``least_files`` or more are."""
+    files = len(df._jdf.inputFiles())  # the scan's own index holds them
+    return max(float(percent), min(100.0, 100.0 * least_files / max(1, files)))
+
+
 def system_sample(df: DataFrame, percent: float, seed: int = 42,
                   block: Sequence[Column] | None = None,
-                  block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Keep whole blocks.  ``block`` overrides the file/row-index block id."""
+                  block_rows: int = DEFAULT_BLOCK_ROWS, least_files: int = LEAST_FILES) -> DataFrame:
+    """Keep whole blocks of rows.
+
+    ``block`` gives the block id.  Made of partition columns, it prunes the scan to
+    the chosen partitions and is independent of the files' layout.
+
+    Without it, files are chosen by a hash of their path (about ``least_files`` of them
+    or more; Spark drops the others while it plans the scan), and blocks of ``block_rows``
+    rows in those by a second hash, so that each block is kept with ``percent`` in all.
+    """
     if percent is None:
         raise ValueError(PERCENT_REQUIRED)
-    keys = list(block) if block is not None else block_key(block_rows)
-    return df.where(keep_fraction(seed, percent, *keys))
+    if block is not None:
+        return df.where(keep_fraction(seed, percent, *block))
+    share = file_share(df, percent, least_files)
+    if share == 0:
+        return df.where(F.lit(False))
+    if share < 100:
+        df = df.where(keep_fraction(seed + 1, share, F.col("_metadata.file_path")))
+    if share == percent:
+        return df
+    return df.where(keep_fraction(seed, 100.0 * percent / share, *block_key(block_rows)))
 
 
 def sample(df: DataFrame, method: str = "limit", limit: int | None = None,

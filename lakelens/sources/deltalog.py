@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakelens.session import glob_names, path_exists, qualified
+from lakelens.sources.files import full_path, only_files
 
 ADD = T.StructType([
     T.StructField("path", T.StringType()),
@@ -57,6 +58,9 @@ INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 NESTED = (T.StructType, T.ArrayType, T.MapType)
 
+#: Writers shorten bounds of strings to this many characters by default: one that long may not be a value.
+PREFIX = 32
+
 
 def _log_dir(table_path: str) -> str:
     return f"{table_path.rstrip('/')}/_delta_log"
@@ -203,11 +207,15 @@ def delta_table_stats(spark: SparkSession, table_path: str, version: int | None
 
 
 def _is_covered(f: T.StructField, partitioned: bool) -> Column:
-    """A file's statistics tell all about a column: its nulls, and bounds unless all are null."""
+    """A file's statistics tell all about a column: its nulls, and bounds (values, not
+    shortened ones) unless all are null."""
     if partitioned:
         return F.lit(True)
     nulls = F.col("s.nullCount").getField(f.name)
-    bounds = F.col("s.minValues").getField(f.name).isNotNull() & F.col("s.maxValues").getField(f.name).isNotNull()
+    lo, hi = F.col("s.minValues").getField(f.name), F.col("s.maxValues").getField(f.name)
+    bounds = lo.isNotNull() & hi.isNotNull()
+    if isinstance(f.dataType, T.StringType):
+        bounds = bounds & (F.char_length(lo) < PREFIX) & (F.char_length(hi) < PREFIX)
     return nulls.isNotNull() & (bounds | (nulls == F.col("s.numRecords")))
 
 
@@ -235,8 +243,8 @@ def delta_column_stats(spark: SparkSession, table_path: str, version: int | None
     profile's typed lanes.
 
     Files whose statistics cover every bounded column answer from the log; all
-    others are scanned, in one aggregate.  Log bounds of long strings may be
-    shortened by the writer, as the Delta protocol allows.
+    others are scanned, in one aggregate.  A log bound of a string as long as
+    writers shorten them to covers nothing: bounds are always values of the table.
     """
     acts = log_actions(spark, table_path, version)
     schema, part_cols = table_metadata(spark, table_path, acts)
@@ -302,28 +310,22 @@ def _data_of(spark: SparkSession, table_path: str, files: DataFrame, schema: T.S
     """Rows of snapshot files in the log's schema: columns a file lacks are NULL and
     partition columns come from the log, not from directory names.
 
-    The paths are planned on the driver (Spark's own file index holds them too);
-    partition values reach the rows by a join on the file's path.
+    The table's directory is read once, pruned to the files (see ``files.only_files``);
+    partition values reach the rows by the same join.  Files outside the
+    table's directory are refused.
     """
     root = qualified(spark, table_path)
-    full = F.when(F.col("path").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("path")).otherwise(F.concat(F.lit(f"{root}/"), F.col("path")))
-    paths = [r.full for r in files.select(full.alias("full")).collect()]
-    if not paths:
-        return spark.createDataFrame([], schema)
+    files = files.withColumn("path", full_path(root))
+    if not files.where(~F.col("path").startswith(f"{root}/")).isEmpty():
+        raise NotImplementedError(f"{table_path}: files outside the table's directory need a Delta runtime")
     stored = T.StructType([f for f in schema.fields if f.name not in part_cols])
-    rows = spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(*[_glob_escaped(p) for p in paths])
-    if part_cols:
-        values = files.select(full.alias("__path"), *[
-            _partition_value("partitionValues", schema[c]).alias(f"__part{i}") for i, c in enumerate(part_cols)])
-        rows = rows.withColumn("__path", _decoded(F.col("_metadata.file_path"))).join(values, "__path", "left")
+    values = files.select("path", *[_partition_value("partitionValues", schema[c]).alias(f"__part{i}") for i, c in enumerate(part_cols)])
+    rows = spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(root)
+    rows = only_files(rows, values, [f"__part{i}" for i in range(len(part_cols))])
     part = {c: f"__part{i}" for i, c in enumerate(part_cols)}
     return rows.select(*[F.col(part[f.name] if f.name in part else f"`{f.name}`").alias(f.name) for f in schema.fields])
 
 
-def _glob_escaped(path: str) -> str:
-    return re.sub(r"([\\*?\[\]{},])", r"\\\1", path)
-
-
 def read_delta(spark: SparkSession, table_path: str, version: int | None = None) -> DataFrame:
     """The table's data at ``version`` (latest if None) without a Delta runtime, in
     that version's schema.  Deletion vectors and column mapping are refused."""

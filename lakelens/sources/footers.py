@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lakelens.sources.listing import list_files
+from lakelens.sources.listing import file_system, s3_options
 
 # The footer readers run in Python workers on the executors.  Pickling this
 # module's functions by value ships their code with the task, so executors
@@ -71,40 +71,18 @@ FILE_ROWS_SCHEMA = T.StructType([
     T.StructField("num_rows", T.LongType()),
 ])
 
-# Hadoop's S3 settings and what pyarrow calls them.
-S3_SETTINGS = {
-    "fs.s3a.access.key": "access_key",
-    "fs.s3a.secret.key": "secret_key",
-    "fs.s3a.session.token": "session_token",
-    "fs.s3a.endpoint": "endpoint_override",
-    "fs.s3a.endpoint.region": "region",
-}
-
-
-def s3_options(spark: SparkSession) -> dict[str, str]:
-    """pyarrow's S3 options from the session's Hadoop settings (empty: defaults)."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = {to: conf.get(key) for key, to in S3_SETTINGS.items() if conf.get(key)}
-    endpoint = found.get("endpoint_override", "")
-    if "://" in endpoint:
-        found["scheme"], found["endpoint_override"] = endpoint.split("://", 1)
-    elif endpoint and conf.get("fs.s3a.connection.ssl.enabled") == "false":
-        found["scheme"] = "http"
-    return found
+TYPE_SCHEMA = T.StructType([
+    T.StructField("file_path", T.StringType()),
+    T.StructField("num_rows", T.LongType()),
+    T.StructField("ordinal", T.IntegerType()),
+    T.StructField("column_name", T.StringType()),
+    T.StructField("spark_type", T.StringType()),
+])
 
 
 def _open(path: str, s3: dict[str, str]):
     """Open a listed path with pyarrow's file system for its scheme."""
-    import pyarrow.fs as pafs
-
-    if path.startswith("file:"):
-        local = path[5:]
-        while local.startswith("//"):
-            local = local[1:]
-        return pafs.LocalFileSystem().open_input_file(local)
-    if path.startswith(("s3a://", "s3n://", "s3://")):
-        return pafs.S3FileSystem(**s3).open_input_file(path.split("://", 1)[1])
-    fs, inner = pafs.FileSystem.from_uri(path)
+    fs, inner = file_system(path, s3)
     return fs.open_input_file(inner)
 
 
@@ -176,9 +154,9 @@ def _schema_rows(path: str, file) -> Iterator[dict]:
                "column_name": fld.name, "arrow_type": str(fld.type), "nullable": bool(fld.nullable)}
 
 
-def _read(spark: SparkSession, files: DataFrame, schema: T.StructType, rows_of) -> DataFrame:
+def _read(spark: SparkSession, files: DataFrame, schema: T.StructType, rows_of, tasks: int = 0) -> DataFrame:
     """``rows_of(path, length, file)`` of every listed file, one batch a file.  The listing
-    is spread over the session's cores by one exchange of (path, length) rows."""
+    is spread over the session's cores (or ``tasks``) by one exchange of (path, length) rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     s3, arrow = s3_options(spark), to_arrow_schema(schema)
@@ -189,12 +167,14 @@ def _read(spark: SparkSession, files: DataFrame, schema: T.StructType, rows_of)
 
         for batch in batches:
             for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                if length == 0:  # Spark passes over empty files too
+                    continue
                 with _open(path, s3) as f:
                     rows = list(rows_of(path, length, pq.ParquetFile(f)))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    spread = files.select("path", "length").repartition(_tasks(spark))
+    spread = files.select("path", "length").repartition(tasks or _tasks(spark))
     return spread.mapInArrow(read, schema)
 
 
@@ -202,24 +182,102 @@ def _tasks(spark: SparkSession) -> int:
     return 4 * spark.sparkContext.defaultParallelism
 
 
-def _files(spark: SparkSession, path_or_files) -> DataFrame:
-    return path_or_files if isinstance(path_or_files, DataFrame) else list_files(spark, path_or_files)
+def _files(spark: SparkSession, path_or_files) -> tuple[DataFrame, int]:
+    """The files of a table (those of a Delta table's newest snapshot) or of a listing, and the
+    tasks to deal them to: no more than there are files, where they are listed here."""
+    if isinstance(path_or_files, DataFrame):
+        return path_or_files, _tasks(spark)
+    from lakelens.sources.files import live_files
+
+    files = live_files(spark, path_or_files)
+    return files, max(1, min(_tasks(spark), files.count()))
 
 
 def footer_chunks(spark: SparkSession, path_or_files) -> DataFrame:
-    """column-chunk statistics of every data file below a path, whatever its
-    name ends in (or of a listing DataFrame)."""
+    """column-chunk statistics of every data file of a table, whatever its
+    name ends in (or of a listing DataFrame).  A missing path is an error."""
     zone = spark.conf.get("spark.sql.session.timeZone")
-    return _read(spark, _files(spark, path_or_files), CHUNK_SCHEMA,
-                 lambda path, _, file: _chunk_rows(path, file.metadata, zone))
+    files, tasks = _files(spark, path_or_files)
+    return _read(spark, files, CHUNK_SCHEMA, lambda path, _, file: _chunk_rows(path, file.metadata, zone), tasks)
 
 
 def file_schemas(spark: SparkSession, path_or_files) -> DataFrame:
     """Per-file Arrow schema and row count, read from footers."""
-    return _read(spark, _files(spark, path_or_files), FILE_SCHEMA_SCHEMA, lambda path, _, file: _schema_rows(path, file))
+    files, tasks = _files(spark, path_or_files)
+    return _read(spark, files, FILE_SCHEMA_SCHEMA, lambda path, _, file: _schema_rows(path, file), tasks)
 
 
 def file_rows(spark: SparkSession, path_or_files) -> DataFrame:
     """(path, length, num_rows) of every file, from its footer alone."""
-    return _read(spark, _files(spark, path_or_files), FILE_ROWS_SCHEMA, lambda path, length, file: [
-        {"path": path, "length": length, "num_rows": file.metadata.num_rows}])
+    files, tasks = _files(spark, path_or_files)
+    return _read(spark, files, FILE_ROWS_SCHEMA, lambda path, length, file: [
+        {"path": path, "length": length, "num_rows": file.metadata.num_rows}], tasks)
+
+
+# What Spark reads unsigned integers as.
+UNSIGNED = {"uint8": T.ShortType(), "uint16": T.IntegerType(), "uint32": T.LongType(), "uint64": T.DecimalType(20, 0)}
+
+
+def _spark_types(file) -> dict[str, T.DataType]:
+    """Top-level columns of a file with the types that Spark reads them as."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    plain = {file.schema.column(i).path: file.schema.column(i).physical_type for i in range(len(file.schema))}
+    out = {}
+    for field in file.schema_arrow:
+        kind = field.type.value_type if pa.types.is_dictionary(field.type) else field.type
+        if plain.get(field.name) == "INT96":
+            out[field.name] = T.TimestampType()
+        elif str(kind) in UNSIGNED:
+            out[field.name] = UNSIGNED[str(kind)]
+        elif pa.types.is_fixed_size_binary(kind):
+            out[field.name] = T.BinaryType()
+        else:
+            out[field.name] = from_arrow_type(kind, prefer_timestamp_ntz=True)
+    return out
+
+
+def file_types(spark: SparkSession, path_or_files) -> DataFrame:
+    """Per-file columns with the Spark types (as JSON) that their footers stand for."""
+    files, tasks = _files(spark, path_or_files)
+    return _read(spark, files, TYPE_SCHEMA, lambda path, _, file: [
+        {"file_path": path, "num_rows": file.metadata.num_rows, "ordinal": i, "column_name": name, "spark_type": kind.json()}
+        for i, (name, kind) in enumerate(_spark_types(file).items(), start=1)], tasks)
+
+
+def read_row_groups(spark: SparkSession, files: DataFrame, lanes: list[tuple[str, str]], schema: T.StructType) -> DataFrame:
+    """Rows of Parquet files, read a row group at a time by tasks.  A lane is a column (its name in
+    lower case) with a Spark type (JSON): it holds the values of the files whose column
+    has that type, and NULL elsewhere.  ``schema`` has the lanes' types in their order."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    s3, arrow = s3_options(spark), to_arrow_schema(schema)
+    groups = _read(spark, files, T.StructType([T.StructField("path", T.StringType()), T.StructField("at", T.IntegerType())]),
+                   lambda path, _, file: [{"path": path, "at": i} for i in range(file.metadata.num_row_groups)])
+
+    def read(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for path, at in zip(batch.column("path").to_pylist(), batch.column("at").to_pylist()):
+                with _open(path, s3) as f:
+                    file = pq.ParquetFile(f)
+                    kinds = {name.lower(): (name, kind.json()) for name, kind in _spark_types(file).items()}
+                    for part in file.iter_batches(batch_size=10_000, row_groups=[at]):
+                        columns = []
+                        for (name, kind), field in zip(lanes, arrow):
+                            have, of = kinds.get(name, (None, None))
+                            if of != kind:
+                                columns.append(pa.nulls(part.num_rows, field.type))
+                                continue
+                            values = part.column(have)
+                            if pa.types.is_dictionary(values.type):
+                                values = values.dictionary_decode()
+                            if pa.types.is_timestamp(values.type) and values.type.tz is None and pa.types.is_timestamp(field.type) and field.type.tz:
+                                values = values.cast(pa.timestamp("us")).cast(field.type)  # INT96 is an instant in UTC
+                            columns.append(values.cast(field.type, safe=False) if values.type != field.type else values)
+                        yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return groups.repartition(_tasks(spark)).mapInArrow(read, schema)

@@ -1,3 +1,4 @@
+import os
 import datetime as dt
 import json
 
@@ -59,6 +60,7 @@ def test_databases_and_three_part_ids(spark, scratch):
     assert "llthree" in [r.name for r in list_databases(spark).collect()]
     assert read_catalog_table(spark, "spark_catalog.llthree.region").count() == 5
     assert read_catalog_table(spark, "llthree.region").count() == 5
-    empty = table_size(spark, f"{scratch}/cat/does_not_exist").collect()[0]
+    os.makedirs(f"{scratch}/cat/nothing_here")
+    empty = table_size(spark, f"{scratch}/cat/nothing_here").collect()[0]
     assert (empty.file_count, empty.total_size_bytes, empty.last_modified) == (0, 0, None)
     spark.sql("DROP DATABASE llthree CASCADE")

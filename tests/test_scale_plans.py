@@ -69,7 +69,7 @@ def test_default_profile_is_one_job_one_scan(spark):
 def test_footer_listing_reads_no_content(spark):
     from lakelens.sources.footers import footer_chunks
     plan = _plan(footer_chunks(spark, SF001))
-    assert "ReadSchema: struct<path:string,length:bigint>" in plan and "content" not in plan
+    assert "ReadSchema: struct<path:string,length:bigint,pending:boolean>" in plan and "content" not in plan
 
 
 def test_exact_profile_scans(spark):
