@@ -56,6 +56,31 @@ def drift_orders(spark: SparkSession, sf_dir: str) -> str:
     return _cached(spark, sf_dir, "drift_orders", build)
 
 
+def mixed_orders(spark: SparkSession, sf_dir: str) -> str:
+    """One directory, three writes that no reader widens: status F with o_custkey as text,
+    status O with it as bigint and o_totalprice as decimal, status P without o_orderpriority."""
+    def build():
+        out = scratch_dir(spark, "mixed")
+        o = read_table(spark, sf_dir, "orders")
+        (o.where("o_orderstatus = 'F'").withColumn("o_custkey", F.col("o_custkey").cast("string"))
+           .write.mode("append").parquet(out))
+        (o.where("o_orderstatus = 'O'").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(20,2)"))
+           .write.mode("append").parquet(out))
+        o.where("o_orderstatus = 'P'").drop("o_orderpriority").write.mode("append").parquet(out)
+        return out
+    return _cached(spark, sf_dir, "mixed_orders", build)
+
+
+def blocked_events(spark: SparkSession, sf_dir: str, blocks: int = 64) -> str:
+    """events in directories by block, event_id modulo ``blocks``."""
+    def build():
+        out = scratch_dir(spark, "blocked")
+        e = read_table(spark, sf_dir, "events")
+        e.withColumn("block", (F.col("event_id") % blocks).cast("int")).write.partitionBy("block").parquet(out)
+        return out
+    return _cached(spark, sf_dir, f"blocked_events{blocks}", build)
+
+
 def hive_orders(spark: SparkSession, sf_dir: str) -> str:
     """orders partitioned by (o_orderstatus, o_orderpriority) with '5-LOW'
     turned into NULL (the Hive NULL directory) and a value with a space."""
@@ -105,8 +130,8 @@ def _add_action(with_stats: bool) -> F.Column:
     return F.to_json(F.struct(F.struct(*fields).alias("add"))).alias("value")
 
 
-def delta_orders(spark: SparkSession, sf_dir: str, table_dir: str | None = None) -> str:
-    """A Delta table of orders, partitioned by status, with three commits:
+def delta_orders(spark: SparkSession, sf_dir: str, table_dir: str | None = None, commits: int = 3) -> str:
+    """A Delta table of orders, partitioned by status, with up to three commits:
     0 metaData + add F and O files; 1 remove F files; 2 add F files again
     and add P files without statistics."""
     def build():
@@ -131,10 +156,10 @@ def delta_orders(spark: SparkSession, sf_dir: str, table_dir: str | None = None)
             F.lit(True).alias("dataChange")).alias("remove"))).alias("value"))
         c2 = files.where("status = 'F'").select(_add_action(True)).unionByName(
             files.where("status = 'P'").select(_add_action(False)))
-        for v, c in enumerate((c0, c1, c2)):
+        for v, c in enumerate((c0, c1, c2)[:commits]):
             write_single_text_file(spark, c, f"{log}/{v:020d}.json")
         return out
-    key = "delta_orders" if table_dir is None else f"delta_orders:{table_dir}"
+    key = f"delta_orders{commits}" if table_dir is None else f"delta_orders:{table_dir}"
     return _cached(spark, sf_dir, key, build)
 
 

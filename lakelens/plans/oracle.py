@@ -110,12 +110,3 @@ def hash_pred_sql(seed: int, percent: float, *keys: str) -> str:
     """SQL form of lakelens.functions.hashing.keep_fraction."""
     text = " || '|' || ".join([lit(str(seed))] + [f"coalesce('v' || CAST({k} AS VARCHAR), 'n')" for k in keys])
     return f"('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < {float(percent) / 100.0!r}::DOUBLE"
-
-
-def rule_case_sql(raw: str, rules) -> str:
-    """SQL CASE chain of one dialect's ordered substring rules."""
-    whens = []
-    for needles, cls in rules:
-        cond = " OR ".join(f"lower({raw}) LIKE '%{n}%'" for n in needles)
-        whens.append(f"WHEN {cond} THEN '{cls}'")
-    return "CASE " + " ".join(whens) + " ELSE 'unknown' END"

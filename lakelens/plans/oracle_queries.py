@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from lakelens.functions.types import DIALECT_RULES
 from lakelens.plans.oracle import (STAR_TABLES, TABLE_SCHEMAS, hash_pred_sql, lit, profile_select,
-                                   rule_case_sql, table_profile_sql, zero_norm)
+                                   table_profile_sql, zero_norm)
 
 _NULLS_CTE = """(SELECT o_orderkey,
         nullif(o_orderpriority, '5-LOW') AS o_orderpriority,
@@ -21,7 +20,7 @@ _NULLS_COLS = [("o_orderkey", "bigint"), ("o_orderpriority", "string"),
 def _row_counts() -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS row_count FROM {t}"
-        for t in STAR_TABLES)
+        for t in TABLE_SCHEMAS)
 
 
 def _string_lengths() -> str:
@@ -42,7 +41,7 @@ ORACLE = {
         CAST(count(*) - count(c_acctbal) AS BIGINT) AS null_count,
         CAST(count(DISTINCT c_acctbal) AS BIGINT) AS distinct_count,
         """ + zero_norm("min(c_acctbal)") + """ AS min_num, """ + zero_norm("max(c_acctbal)") + """ AS max_num FROM customer""",
-    "profile_all_tables": "\nUNION ALL\n".join(table_profile_sql(t) for t in STAR_TABLES),
+    "profile_all_tables": "\nUNION ALL\n".join(table_profile_sql(t) for t in TABLE_SCHEMAS),
     "approx_distinct_check": """SELECT 'o_custkey' AS column_name,
         CAST(count(DISTINCT o_custkey) AS BIGINT) AS exact_distinct,
         TRUE AS within_5pct, TRUE AS sketch_within_5pct FROM orders""",
@@ -91,9 +90,26 @@ SELECT table_name, ordinal, column_name, {_case(_CLASS_OF)} AS data_type,
        {_case(_SPARK_OF)} AS original_type, TRUE AS nullable, ordinal AS file_ordinal, row_count
 FROM cols JOIN ({_ROWS_CTE}) USING (table_name)"""
 
-_DIALECT_CASE = "CASE " + " ".join(
-    f"WHEN dialect = {lit(d)} THEN {rule_case_sql('raw_type', rules)}" for d, rules in DIALECT_RULES.items()
-) + " ELSE 'unknown' END"
+# The class of every spelling that the driver's tables have, dialect by dialect in the
+# order below, worked out by hand from each source's substring rules.
+_DIALECTS = ["generic_sql", "embedded", "warehouse", "lakehouse_sql", "lakehouse_catalog", "arrow_parquet", "arrow_delta"]
+_CLASSES = {
+    "bigint": "integer integer integer integer integer integer integer",
+    "int": "integer integer integer integer integer integer integer",
+    "integer": "integer integer integer integer integer integer integer",
+    "int32": "integer integer integer integer integer integer integer",
+    "int64": "integer integer integer integer integer integer integer",
+    "string": "unknown string string string string string string",
+    "varchar": "string string string unknown unknown unknown unknown",
+    "double": "unknown float float float float unknown unknown",
+    "timestamp": "timestamp timestamp timestamp timestamp timestamp unknown unknown",
+    "timestamp_ntz": "timestamp timestamp timestamp timestamp timestamp unknown unknown",
+    "timestamp[us]": "timestamp timestamp timestamp timestamp timestamp unknown unknown",
+    "array<float>": "float float float float float float float",
+    "float[]": "float float float float float float float",
+    "list<element: float>": "float float float float float float float",
+}
+_EXPECTED = ", ".join(f"({lit(raw)}, {lit(d)}, {lit(c)})" for raw, of in _CLASSES.items() for d, c in zip(_DIALECTS, of.split(), strict=True))
 
 ORACLE["normalize_types_all_dialects"] = f"""WITH cols AS ({_COLS_CTE}),
 spelt AS (
@@ -101,9 +117,9 @@ spelt AS (
   UNION ALL SELECT table_name, column_name, 'embedded',
                    regexp_replace(column_type, '^TIMESTAMP_(NS|US|MS)$', 'TIMESTAMP') FROM cols
   UNION ALL SELECT table_name, column_name, 'arrow', {_case(_ARROW_OF)} FROM cols),
-dialects AS (SELECT unnest([{', '.join(lit(d) for d in DIALECT_RULES)}]) AS dialect)
-SELECT table_name, column_name, spelling, raw_type, dialect, {_DIALECT_CASE} AS normalized
-FROM spelt, dialects"""
+expected(raw, dialect, normalized) AS (VALUES {_EXPECTED})
+SELECT table_name, column_name, spelling, raw_type, dialect, normalized
+FROM spelt JOIN expected ON raw = lower(raw_type)"""
 
 
 def _key_sql(t: str, cols: list[str]) -> str:
@@ -272,8 +288,8 @@ ORACLE["export_register_roundtrip"] = "\nUNION ALL\n".join(
                  ("lineitem", "l_orderkey")))
 ORACLE["stream_profile"] = profile_select("events", "events", TABLE_SCHEMAS["events"], with_distinct_cols=False)
 ORACLE["row_count_ladder_footers"] = "SELECT CAST(count(*) AS BIGINT) AS row_count, 'footer' AS source FROM orders"
-ORACLE["lake_databases"] = ("SELECT * FROM (VALUES ('raw'), ('tpch')) AS t(name) "
-                            "WHERE (SELECT count(*) FROM events) > 0")
+ORACLE["lake_databases"] = """SELECT 'raw' AS name, CAST(count(*) AS BIGINT) AS row_count, CAST(1 AS BIGINT) AS table_count FROM events
+UNION ALL SELECT 'tpch', CAST((SELECT 2 * count(*) FROM orders) + (SELECT count(*) FROM lineitem) AS BIGINT), 3"""
 
 
 # --- the driver's own files and text tables ---------------------------------------
@@ -327,10 +343,11 @@ ORACLE["decimal_partials"] = """SELECT 'price' AS column_name, CAST(count(*) AS
        CAST(min(CAST(o_totalprice AS DECIMAL(20,2))) AS VARCHAR) AS min_value,
        CAST(max(CAST(o_totalprice AS DECIMAL(20,2))) AS VARCHAR) AS max_value FROM orders"""
 ORACLE["sample_hash_rare"] = f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {hash_pred_sql(42, 0.05, 'l_orderkey', 'l_linenumber')}"
-ORACLE["lake_directories"] = """SELECT * FROM (VALUES ('raw'), ('raw/events_json'), ('tpch'), ('tpch/lineitem'),
-                      ('tpch/orders'), ('tpch/orders_delta')) AS t(name)
-UNION ALL
-SELECT DISTINCT 'tpch/orders_delta/o_orderstatus=' || o_orderstatus FROM orders"""
+ORACLE["lake_directories"] = """WITH o AS (SELECT CAST(count(*) AS BIGINT) AS n FROM orders), l AS (SELECT CAST(count(*) AS BIGINT) AS n FROM lineitem)
+SELECT 'raw' AS name, CAST(NULL AS BIGINT) AS parquet_rows UNION ALL SELECT 'raw/events_json', NULL
+UNION ALL SELECT 'tpch', 2 * o.n + l.n FROM o, l UNION ALL SELECT 'tpch/lineitem', n FROM l
+UNION ALL SELECT 'tpch/orders', n FROM o UNION ALL SELECT 'tpch/orders_delta', n FROM o
+UNION ALL SELECT 'tpch/orders_delta/o_orderstatus=' || o_orderstatus, CAST(count(*) AS BIGINT) FROM orders GROUP BY o_orderstatus"""
 
 
 def _per_group_sql() -> str:
@@ -353,3 +370,20 @@ ORACLE["delta_profile_v1"] = profile_select(
 
 ORACLE["discover_tables"] = "\nUNION ALL\n".join(
     f"SELECT 'dt_{t}' AS name, 'view' AS type, CAST(count(*) AS BIGINT) AS row_count FROM {t}" for t in TABLE_SCHEMAS)
+
+_ORDERS = TABLE_SCHEMAS["orders"]
+ORACLE["profile_refreshed"] = profile_select(
+    "orders", """(SELECT * REPLACE (CASE WHEN o_orderkey % 6 = 3 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice),
+                  CAST(o_orderkey % 6 AS INTEGER) AS bucket FROM orders) AS o""", [*_ORDERS, ("bucket", "int")], with_distinct_cols=False)
+ORACLE["drifted_profile"] = profile_select(
+    "orders_drift", "(SELECT *, CASE WHEN o_orderstatus = 'P' THEN o_totalprice / 2 END AS o_extra FROM orders) AS o",
+    [*_ORDERS, ("o_extra", "double")])
+ORACLE["mixed_profile"] = profile_select(
+    "orders_mixed", """(SELECT * REPLACE (CAST(o_custkey AS VARCHAR) AS o_custkey,
+                  CASE WHEN o_orderstatus = 'O' THEN CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS DOUBLE) ELSE o_totalprice END AS o_totalprice,
+                  CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS o_orderpriority) FROM orders) AS o""",
+    [(c, "string" if c == "o_custkey" else t) for c, t in _ORDERS])
+ORACLE["sample_system_partitions"] = ("SELECT *, CAST(event_id % 64 AS INTEGER) AS block FROM events WHERE "
+                                      + hash_pred_sql(7, 20, "CAST(event_id % 64 AS INTEGER)"))
+ORACLE["row_count_ladder_delta"] = """SELECT CAST(count(*) AS BIGINT) AS row_count, 'footer' AS source, CAST(min(o_orderkey) AS BIGINT) AS min_int,
+       CAST(max(o_orderkey) AS BIGINT) AS max_int, CAST(0 AS BIGINT) AS null_count FROM orders WHERE o_orderstatus = 'O'"""

@@ -18,21 +18,23 @@ from lakelens.operators import history as H
 from lakelens.operators import inventory as INV
 from lakelens.operators import metadata as MD
 from lakelens.operators import profile as P
+from lakelens.operators import refresh as R
 from lakelens.operators import sampling as S
 from lakelens.sources import footers as FSRC
 from lakelens.operators import schema as SC
 from lakelens.operators.catalog_stats import row_count_ladder
 from lakelens.operators.metadata import describe_report as _describe
 from lakelens.plans import fixtures as FX
-from lakelens.plans.oracle import STAR_TABLES, TABLE_SCHEMAS
+from lakelens.plans.oracle import TABLE_SCHEMAS
 from lakelens.session import scratch_dir
 from lakelens.sources import deltalog as DL
+from lakelens.sources import unified as U
 from lakelens.sources.readers import export_tables, read_table, read_tables, register_directory
 from lakelens.streaming.incremental import incremental_profile
 
 
 def table_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.row_counts(read_tables(spark, sf_dir, STAR_TABLES))
+    return P.row_counts(read_tables(spark, sf_dir, TABLE_SCHEMAS))
 
 
 def column_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ def column_stats_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile_tables(read_tables(spark, sf_dir, STAR_TABLES), distinct="exact")
+    return P.profile_tables(read_tables(spark, sf_dir, TABLE_SCHEMAS), distinct="exact")
 
 
 def approx_distinct_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +239,10 @@ def table_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B5 for every table of the lake, with the rows that a reader of that format
     finds: footers, the Delta log, or a scan."""
     base = FX.lake(spark, sf_dir)
+    return INV.table_formats(spark, base).join(_lake_rows(spark, base), ["database", "table_name"], "left")
+
+
+def _lake_rows(spark: SparkSession, base: str) -> DataFrame:
     rows = None
     for db, table, counted in (
             ("tpch", "orders", FS.footer_row_count(spark, f"{base}/tpch/orders")),
@@ -245,7 +251,7 @@ def table_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("raw", "events_json", spark.read.text(f"{base}/raw/events_json").agg(F.count(F.lit(1)).alias("row_count")))):
         one = counted.select(F.lit(db).alias("database"), F.lit(table).alias("table_name"), "row_count")
         rows = one if rows is None else rows.unionByName(one)
-    return INV.table_formats(spark, base).join(rows, ["database", "table_name"], "left")
+    return rows
 
 
 def partition_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,8 +414,11 @@ def row_count_ladder_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lake_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1 for a lake root: top-level directories holding files."""
-    return INV.list_lake_databases(spark, FX.lake(spark, sf_dir))
+    """B1 for a lake root: top-level directories holding files, with the rows of their tables."""
+    base = FX.lake(spark, sf_dir)
+    rows = _lake_rows(spark, base).groupBy(F.col("database").alias("name")).agg(
+        F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("table_count"))
+    return INV.list_lake_databases(spark, base).join(rows, "name", "left")
 
 
 QUERIES.update({
@@ -501,8 +510,15 @@ def sample_hash_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lake_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every directory holding files below the lake root."""
-    return INV.list_directories(spark, FX.lake(spark, sf_dir), recursive=True)
+    """Every directory holding files below the lake root, with the rows of the Parquet
+    files at or below it (from their footers, removed Delta files included)."""
+    base = FX.lake(spark, sf_dir)
+    rows = FSRC.file_rows(spark, INV.list_files(spark, base, "*.parquet"))
+    segs = F.split(INV.relative_path("path", INV.qualify(spark, base)), "/")
+    levels = rows.select("num_rows", segs.alias("s")).select(
+        "num_rows", F.explode(F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda n: F.array_join(F.slice("s", 1, n), "/"))).alias("name"))
+    return INV.list_directories(spark, base, recursive=True).join(
+        levels.groupBy("name").agg(F.sum("num_rows").alias("parquet_rows")), "name", "left")
 
 
 QUERIES.update({
@@ -545,3 +561,49 @@ def discover_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["discover_tables"] = discover_tables
+
+
+def profile_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in files by key modulo six are profiled, the files of one sixth are
+    written anew, and the refresh reads those only (distinct is a sketch, left out)."""
+    table, state = scratch_dir(spark, "sixths"), scratch_dir(spark, "refresh-state")
+    o = read_table(spark, sf_dir, "orders").withColumn("bucket", (F.col("o_orderkey") % 6).cast("int"))
+    o.write.partitionBy("bucket").parquet(table)
+    R.refresh_profile(spark, table, state, "orders")
+    doubled = o.where("bucket = 3").withColumn("o_totalprice", F.col("o_totalprice") * 2).drop("bucket")
+    doubled.write.mode("overwrite").parquet(f"{table}/bucket=3")
+    return R.refresh_profile(spark, table, state, "orders").select(*_NO_DISTINCT)
+
+
+def drifted_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory whose files hold int and bigint keys, some with one column more, read in
+    its least schema by one scan."""
+    return P.profile(U.read_unified(spark, FX.drift_orders(spark, sf_dir)), "orders_drift", distinct="exact")
+
+
+def mixed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text among numbers, decimals among doubles and a column that some files
+    lack, read by row groups."""
+    return P.profile(U.read_unified(spark, FX.mixed_orders(spark, sf_dir)), "orders_mixed", distinct="exact")
+
+
+def sample_system_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 by a block that is a directory: only the chosen directories' files are opened."""
+    e = spark.read.parquet(FX.blocked_events(spark, sf_dir))
+    return S.sample(e, "system", percent=20, seed=7, block=[F.col("block")])
+
+
+def row_count_ladder_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8 and F2 for a Delta directory with removed files: footers of the live ones answer."""
+    path = FX.delta_orders(spark, sf_dir, commits=2)
+    keys = FS.footer_column_stats(spark, path, "o_orderkey").select("row_count", "min_int", "max_int", "null_count")
+    return row_count_ladder(spark, path=path).join(keys, "row_count", "left")
+
+
+QUERIES.update({
+    "profile_refreshed": profile_refreshed,
+    "drifted_profile": drifted_profile,
+    "mixed_profile": mixed_profile,
+    "sample_system_partitions": sample_system_partitions,
+    "row_count_ladder_delta": row_count_ladder_delta,
+})

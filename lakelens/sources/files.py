@@ -48,7 +48,8 @@ def only_files(rows: DataFrame, files: DataFrame, more: Sequence[str] = ()) -> D
     their file as ``__path`` and the columns ``more`` of ``files``."""
     lots = [r.lot for r in files.select(lot_of(F.col("path")).alias("lot")).distinct().collect()]  # at most LOTS
     kept = rows.where(lot_of(read_path()).isin(lots) if lots else F.lit(False)).select("*", read_path().alias("__path"))
-    return kept.join(files.select(F.col("path").alias("__path"), *more), "__path")
+    chosen = files.select(F.col("path").alias("__path"), *more)
+    return kept.join(chosen, "__path").select(*[F.col(f"`{c}`") for c in rows.columns], "__path", *more)
 
 
 def files_scanned(df: DataFrame) -> int:
