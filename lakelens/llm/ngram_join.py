@@ -13,21 +13,28 @@ candidates.
 *Short lists* (an n-gram in the prefixes of at most ``SHORT`` sets) give pairs,
 counted, filtered by size, position and number of matches, and verified.
 
-*Long lists* never give all their pairs.  Each has a pivot p (the member with the
-fewest n-grams of its own), and every member x is compared with it: S(x), the n-grams
-that x and p don't share, decides the rest exactly.  With d = (100 - percent) /
-(100 + percent), x and y link when |S(x) ^ S(y)| <= d (|x| + |y|).  If S(x) and S(y)
-are disjoint, both sets are then linked with p already.  Otherwise they share
-an n-gram of S(x) and S(y), and again a prefix of each will do.  Two members that are
-both linked with p needn't be found, so at least one has |S| > d (|x| + |p|), which
-halves the prefix of all pairs but those of a far member with a near one; near
-copies' prefixes then hold little but n-grams that they share with nobody.
-These prefixes are postings under (p, n-gram), and the lists of the next level;
-after ``LEVELS`` such levels all pairs of what is left in a list are compared.
+*Long lists* never give all their pairs.  Each has a centre c, the n-grams that more than half
+of (some of) its members hold; it need not be a document.  S(x), the n-grams that x and c
+don't share, decides the rest exactly.  With d = (100 - percent) / (100 + percent), x and y link when
+|S(x) ^ S(y)| <= d (|x| + |y|).  Let f(x) = |S(x)| - d |x|, and let o be the member with
+the least f.
+
+* If f(x) + f(o) <= 0 then |x ^ o| <= |S(x)| + |S(o)| <= d (|x| + |o|): x and o link, and no
+  comparison is needed.  Such members are near.  If S(x) and S(y) are disjoint and
+  x and y link, f(x) + f(y) <= 0, so both are near.
+* Otherwise they share an n-gram of S(x) and S(y), at least (f(x) + f(y)) / 2 of them, and again a
+  prefix of each will do.  Two near members needn't be found.
+
+S(x) is ordered by how many members differ from c in the same way: an n-gram that c lacks by its
+count, one that c has by the members less its count.  The prefixes are postings under (c, n-gram)
+and the lists of the next level, where size, place and shared differences filter pairs again.
+Fewer than half of the members (as far as the ones looked at tell) differ from c at an
+n-gram, so lists halve from level to level; the levels end when no long list is left.
 
 Components come from alternating large and small stars.  All state lives in
 tables in the shared folder; what reaches the driver is the table of counts and
-bitmaps of fixed size.
+bitmaps of fixed size.  Keys with many rows (long lists, centres, hubs) are joined by a
+broadcast of at most 1,000 of them or dealt out by a salt.
 """
 
 from __future__ import annotations
@@ -36,12 +43,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.words import WordHashes, discard, hash_bitmap, in_bitmap, kept_table, mixed, remembered, runs_of
+from lakelens.llm.words import WordHashes, discard, hash_bitmap, in_bitmap, join_facts, kept_table, mixed, remembered, runs_of
 
 WORDS, PERCENT = 3, 90
-SHORT, LEVELS, MOST_MATCHES = 32, 1, 4
+SHORT, MOST_MATCHES = 32, 4
 
-#: Sides of a list: members that meet all others, and members near the pivot or far from it that only meet the other side.
+#: Parts that the members compared with one centre are dealt to, and members that a centre is made from.
+SALTS, VOTERS = 16, 33
+
+#: Sides of a list: members that meet all others, and members near the centre or far from it that only meet the other side.
 ALL, NEAR, FAR = 0, 1, 2
 
 #: Counters of the n-gram counts (2^20), in blocks of 2^14, and bits of the prefilters.
@@ -67,8 +77,12 @@ def node_of(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def rare_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return s[np.lexsort((s, counts[slots(s)]))]
+def differences(a: np.ndarray, centre: np.ndarray, counts: np.ndarray, members: int) -> np.ndarray:
+    """N-grams that a set and its centre don't share, by the members that differ from the centre there."""
+    rest = np.setxor1d(a, centre, assume_unique=True)
+    many = counts[slots(rest)]
+    many = np.where(np.isin(rest, centre, assume_unique=True), np.maximum(1, members - many), many)
+    return rest[np.lexsort((rest, many))]
 
 
 def prefix_of(s: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
@@ -230,131 +244,195 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, table: DataFram
     return kept_table(found.groupBy("node").agg(F.first("s").alias("s")), "set-members")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
-    """For pairs x, y (and star: y is the pivot of x), table of the links (u, v) and of the
-    next level's postings (key, node, n, rank, side)."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Table of the pairs x, y that link, as u, v."""
     import pyarrow as pa
 
-    given = pairs.sparkSession.sparkContext.broadcast(counts)
-    part = (100 - percent) / (100 + percent)
-
     def scan(batches):
-        names = ["u", "v", "key", "node", "n", "rank", "side"]
-        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
         for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
-            out = []
-            for x, y, star, sx, sy in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "star", "sx", "sy")), strict=True):
+            linked = []
+            for sx, sy in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True):
                 a, b = np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)
                 shared = len(np.intersect1d(a, b, assume_unique=True))
-                near = 100 * shared >= percent * (len(a) + len(b) - shared)
-                if near:
-                    out.append((x, y, None, None, None, None, None))
-                if star:
-                    rest = rare_first(np.setxor1d(a, b, assume_unique=True), given.value)
-                    # a partner that isn't linked with p has |S(y)| > part (|y| + |p|), and a pair
-                    # |S(x) ^ S(y)| <= part (|x| + |y|); any partner of x, whatever its size, differs by
-                    # at most this part of x
-                    far = (len(rest) + part * (len(b) - len(a))) / 2
-                    any_one = len(rest) - len(a) * (100 - percent) / percent
-                    for least, side in ((far, NEAR),) if near else ((far, ALL), (any_one, FAR)):
-                        least = max(1, int(np.ceil(least - 1e-9)))
-                        head = rest[: max(0, len(rest) - least + 1)]
-                        salt = np.frombuffer(y[:8], np.uint64)[0] ^ np.uint64(0 if side == ALL else 0x51ED270B153A4D2F)
-                        for key in mixed(head ^ salt).view(np.int64).tolist():
-                            out.append((None, None, key, x, len(a), len(rest), side))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                linked.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep)], names=["u", "v"])
 
     left = sets.select(F.col("node").alias("x"), F.col("s").alias("sx"))
     right = sets.select(F.col("node").alias("y"), F.col("s").alias("sy"))
-    rows = pairs.join(left, "x").join(right, "y").select("x", "y", "star", "sx", "sy")
-    return kept_table(rows.mapInArrow(scan, "u binary, v binary, key long, node binary, n long, rank int, side int"), "compared")
-
+    rows = pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy")
+    return kept_table(rows.mapInArrow(scan, "u binary, v binary"), "links")
 
-def pairs_of(postings: DataFrame, percent: int, short: int | None) -> DataFrame:
-    """Table of the pairs to compare: x, y, star.  ``short`` None: every list counts as short.
 
-    The pivot of a long list is its member with the fewest n-grams of its own (rank less
-    the listed ones), the most central one: near copies of one text then agree
-    on one pivot, and share most with it."""
-    own = postings.groupBy("node").agg((F.first("rank") - F.count("*")).alias("own")) if short is not None else None
-    sizes = kept_table(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "lists")
-    listed = postings.join(sizes, "key")
-    little = listed if short is None else listed.where(F.col("size") <= short)
+def pairs_of(postings: DataFrame, sizes: DataFrame, percent: int, short: int, longs: DataFrame | None) -> DataFrame:
+    """Table of the pairs x, y of short lists that size, place and matches leave.  ``longs``: the long lists' number
+    for each node, for postings of whole sets; None for those of differences, which have ``rank`` n-grams."""
+    little = postings.join(sizes.where(F.col("size") <= short), "key")
     a, b = little.alias("a"), little.alias("b")
     smaller, larger = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    of = "n" if longs is not None else "rank"
     # most n-grams that the pair can share: those up to this one, and those behind it
-    most = F.least("a.place", "b.place") + 1 + F.least(F.col("a.n") - 1 - F.col("a.place"), F.col("b.n") - 1 - F.col("b.place"))
+    most = F.least("a.place", "b.place") + 1 + F.least(F.col(f"a.{of}") - 1 - F.col("a.place"), F.col(f"b.{of}") - 1 - F.col("b.place"))
     fits = (F.col("a.node") < F.col("b.node")) & (smaller * 100 >= larger * percent) & (F.col("a.side") + F.col("b.side")).isin(ALL, NEAR + FAR)
-    enough = most * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
+    both = F.col("a.n") + F.col("b.n")
+    if longs is not None:
+        enough = most * (100 + percent) >= both * percent
+    else:
+        enough = (F.col("a.rank") + F.col("b.rank") - 2 * most) * (100 + percent) <= both * (100 - percent)
     met = (a.join(b, (F.col("a.key") == F.col("b.key")) & fits & enough)
            .groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
            .agg(F.count("*").alias("shared"), F.first(F.least("a.matches", "b.matches")).alias("matches")))
-    if short is None:
-        pairs = kept_table(met.select("x", "y", F.lit(False).alias("star")), "pairs")
-        discard(sizes)
-        return pairs
-    big = kept_table(listed.where(F.col("size") > short).select("key", "node"), "long-lists")
-    longs = big.groupBy("node").agg(F.count("*").alias("longs"))
-    met = (met.join(longs.select(F.col("node").alias("x"), F.col("longs").alias("lx")), "x", "left")
-           .join(longs.select(F.col("node").alias("y"), F.col("longs").alias("ly")), "y", "left")
-           .where(F.col("shared") >= F.col("matches") - F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0))))
-           .select("x", "y", F.lit(False).alias("star")))
-    central = big.join(own, "node").groupBy("key").agg(F.min(F.struct("own", "node")).alias("top"))
-    stars = (big.join(central, "key").select(F.col("node").alias("x"), F.col("top.node").alias("y"))
-             .where("x <> y").distinct().withColumn("star", F.lit(True)))
-    pairs = kept_table(met.unionByName(stars), "pairs")
-    discard(sizes, big)
-    return pairs
+    if longs is not None:  # a pair may share n-grams whose lists are long; differences are found by one
+        met = (met.join(longs.select(F.col("node").alias("x"), F.col("longs").alias("lx")), "x", "left")
+               .join(longs.select(F.col("node").alias("y"), F.col("longs").alias("ly")), "y", "left")
+               .where(F.col("shared") >= F.col("matches") - F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0)))))
+    return kept_table(met.select("x", "y"), "pairs")
+
+
+def centred(big: DataFrame, sizes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables of the long lists' centres (c, p: its n-grams, members, many) and of their members (node, c).
+    Lists with equal centres are one."""
+    import pyarrow as pa
+
+    def majority(batches):
+        for batch in batches:
+            found = []
+            for voters in batch.column("voters").to_pylist():
+                grams, votes = np.unique(np.concatenate([np.frombuffer(v, np.uint64) for v in voters]), return_counts=True)
+                found.append(grams[2 * votes > len(voters)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array([node_of(c) for c in found], pa.binary()), pa.array([c.tobytes() for c in found], pa.binary())],
+                names=["key", "c", "p"])
+
+    picked = big.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(VOTERS)).alias("seat")).agg(F.min("node").alias("node"))
+    voters = picked.join(sets, "node").groupBy("key").agg(F.collect_list("s").alias("voters"))  # at most VOTERS sets
+    centres = kept_table(voters.mapInArrow(majority, "key long, c binary, p binary"), "centres")
+    lists = centres.select("key", "c").join(sizes, "key")
+    total = lists.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    members = kept_table(join_facts(big, lists, "key", "size", total).select("node", "c").distinct(), "members")
+    one = (centres.groupBy("c").agg(F.first("p").alias("p"))
+           .join(lists.groupBy("c").agg(F.max("size").alias("members")), "c")
+           .join(members.groupBy("c").agg(F.count("*").alias("many")), "c"))
+    out = kept_table(one, "centre-sets")
+    discard(centres)
+    return out, members
+
+
+def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Of the long lists: table of the links (u, v) of near members, and table of the postings of differences."""
+    import pyarrow as pa
+
+    given = big.sparkSession.sparkContext.broadcast(counts)
+    centres, members = centred(big, sizes, sets)
+
+    def differ(batches):
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            n, rank, rest = [], [], []
+            for s, p, many in zip(*(batch.column(c).to_pylist() for c in ("s", "p", "members")), strict=True):
+                a = np.frombuffer(s, np.uint64)
+                r = differences(a, np.frombuffer(p, np.uint64), given.value, many)
+                n.append(len(a))
+                rank.append(len(r))
+                rest.append(r.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("node"), pa.array(n, pa.int64()), pa.array(rank, pa.int64()),
+                                              pa.array(rest, pa.binary())], names=["c", "node", "n", "rank", "rest"])
+
+    # a centre's set goes to its members in parts
+    dealt = members.join(sets, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    parts = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = dealt.join(parts.select("c", "salt", "p", "members").hint("merge"), ["c", "salt"]).select("c", "node", "s", "p", "members")
+    apart = kept_table(rows.mapInArrow(differ, "c binary, node binary, n long, rank long, rest binary"), "differences")
+    # f, times 100 + percent to stay whole
+    f = F.col("rank") * (100 + percent) - F.col("n") * (100 - percent)
+    least = apart.groupBy("c").agg(F.min(F.struct(f.alias("f"), F.col("node"))).alias("o"), F.count("*").alias("many"))
+    least = kept_table(least.select("c", F.col("o.f").alias("fo"), F.col("o.node").alias("o"), "many"), "least")
+    total = least.agg(F.coalesce(F.sum("many"), F.lit(0)).alias("n")).first().n
+    known = join_facts(apart.withColumn("f", f), least, "c", "many", total)
+    near = known.where((F.col("f") + F.col("fo") <= 0) & (F.col("node") != F.col("o")))
+    links = kept_table(near.select(F.col("node").alias("u"), F.col("o").alias("v")), "links")
+
+    def prefixes(batches):
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            keys, of, places, sides = [], [], [], []
+            for i, (c, n, rank, f, fo, raw) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("c", "n", "rank", "f", "fo", "rest")), strict=True)):
+                rest = np.frombuffer(raw, np.uint64)
+                any_one = -(-(rank * percent - n * (100 - percent)) // percent)  # whatever the partner's size
+                half = lambda x: -(-x // (2 * (100 + percent)))
+                for least, side in ((half(f - fo), NEAR),) if f + fo <= 0 else ((half(f + abs(fo)), ALL), (half(f + min(fo, 0)), FAR)):
+                    head = rest[: max(0, rank - max(1, any_one, least) + 1)]
+                    if side == FAR and fo > 0:  # nobody is near
+                        continue
+                    salt = np.frombuffer(c[:8], np.uint64)[0] ^ np.uint64(0 if side == ALL else 0x51ED270B153A4D2F)
+                    keys.append(mixed(head ^ salt))
+                    of.append(np.full(len(head), i))
+                    places.append(np.arange(len(head), dtype=np.int32))
+                    sides.append(np.full(len(head), side, np.int32))
+            if keys:
+                at = np.concatenate(of)
+                which = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), batch.column("node").take(which), batch.column("n").take(which),
+                     pa.array(np.ones(len(at), np.int32)), pa.array(np.concatenate(places)), batch.column("rank").take(which).cast(pa.int32()),
+                     pa.array(np.concatenate(sides))], names=["key", "node", "n", "matches", "place", "rank", "side"])
+
+    rows = known.select("c", "node", "n", "rank", "f", "fo", "rest").mapInArrow(
+        prefixes, "key long, node binary, n long, matches int, place int, rank int, side int")
+    postings = kept_table(rows.dropDuplicates(["key", "node"]), "postings")
+    discard(centres, members, apart, least)
+    return links, postings
 
 
 def links(docs: DataFrame, table: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT,
-          counts: np.ndarray, short: int = SHORT, levels: int = LEVELS, bits: int = BITS) -> DataFrame:
+          counts: np.ndarray, short: int = SHORT, bits: int = BITS) -> DataFrame:
     """Links (u, v) between nodes, enough to connect every component."""
     postings = prefix_postings(docs, text_col, k, percent, counts, bits)
-    found, sets = None, None
-    for level in range(levels + 1):
-        pairs = pairs_of(postings, percent, short if level < levels else None)
-        discard(postings)
+    found, sets = [], None
+    while postings is not None:
+        sizes = kept_table(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "lists")
+        total, most = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+        big = kept_table(join_facts(postings.select("key", "node"), sizes.where(F.col("size") > short), "key", "size", total).select("key", "node"), "long-lists")
+        longs = big.groupBy("node").agg(F.count("*").alias("longs")) if sets is None else None
+        pairs = pairs_of(postings, sizes, percent, short, longs)
         if sets is None:
-            nodes = pairs.select(F.explode(F.array("x", "y")).alias("node"))
+            nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(big.select("node"))
             sets = sets_of(docs, id_col, text_col, k, table, nodes, bits)
-        made = compared(pairs, sets, percent, counts)
-        discard(pairs)
-        here = made.where("u is not null").select("u", "v")
-        found = here if found is None else found.unionByName(here)
-        # no place and no number of matches on these levels: neither filter then bites
-        postings = made.where("key is not null").select(
-            "key", "node", "n", F.lit(1).alias("matches"), F.lit(0).alias("place"), "rank", "side")
-        if postings.isEmpty():
-            break
-        postings = kept_table(postings.dropDuplicates(["key", "node"]), "postings")
+        found.append(verified(pairs, sets, percent))
+        discard(postings, pairs)
+        postings = None
+        if most > short:
+            near, postings = next_level(big, sizes, sets, percent, counts)
+            found.append(near)
+        discard(sizes, big)
     discard(sets)
-    return found
+    out = found[0]
+    for more in found[1:]:  # two a level
+        out = out.unionByName(more)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every linked node but the roots."""
     edges = kept_table(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    before, total = None, 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("many"))
+        large = join_facts(both, least, "u", "many", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))
+        small = join_facts(large, down, "u", "many", total)
         old = edges
         edges = kept_table(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                            .unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         discard(old)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        total = 2 * now[0]
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT,
-                short: int = SHORT, levels: int = LEVELS, bits: int = BITS) -> DataFrame:
+                short: int = SHORT, bits: int = BITS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component), n_linked
     (rows of the component) and text_hash (of id and text) of every row of ``docs``.
 
@@ -365,7 +443,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     table gives no rows.
     """
     table, counts = described(docs, id_col, text_col, k)
-    joined = components(links(docs, table, id_col=id_col, text_col=text_col, k=k, percent=percent, counts=counts, short=short, levels=levels, bits=bits))
+    joined = components(links(docs, table, id_col=id_col, text_col=text_col, k=k, percent=percent, counts=counts, short=short, bits=bits))
     nodes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     rooted = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("n_linked"))

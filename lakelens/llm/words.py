@@ -128,6 +128,18 @@ def discard(*tables: DataFrame) -> None:
     tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, many: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key and in ``many`` the rows that the key has
+    of ``total``.  Keys with over a thousandth of all rows, at most 1,000 of them, are joined
+    by broadcast; no task gets all rows of such a key."""
+    limit = max(1000, total // 1000)
+    names = [c for c in facts.columns if c != key]
+    hot = F.broadcast(facts.where(F.col(many) > limit).select(key, F.struct(*names).alias("at_once")))
+    rows = rows.join(hot, key, "left")
+    cold = rows.where("at_once is null").drop("at_once").join(facts.where(F.col(many) <= limit).hint("merge"), key)
+    return cold.unionByName(rows.where("at_once is not null").select("*", "at_once.*").drop("at_once"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

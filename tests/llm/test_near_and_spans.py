@@ -68,6 +68,32 @@ def test_near_groups_equal_brute_force(spark, odd, sf001, k, percent, short):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, k, percent)
 
 
+def test_one_large_family_without_squares(spark, monkeypatch):
+    """600 near copies, far ones among them, in two versions: every link, and pairs in proportion to the members."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    other = base[:25] + [f"v{i}" for i in range(14)] + base[39:]
+    rows = []
+    for i in range(600):
+        copy = list(other if i % 3 == 0 else base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            copy[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, whole = [], ngram_join.pairs_of
+
+    def pairs_of(*a):
+        out = whole(*a)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "pairs_of", pairs_of)
+    k, percent = 5, 80
+    got = ngram_join.near_groups(docs, k=k, percent=percent, bits=20).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, k, percent)
+    assert sum(made) < 60 * len(rows) and len(made) < 9, made
+
+
 def test_near_groups_of_nothing(empty):
     assert ngram_join.near_groups(empty, bits=16).count() == 0
 
