@@ -385,5 +385,6 @@ ORACLE["mixed_profile"] = profile_select(
     [(c, "string" if c == "o_custkey" else t) for c, t in _ORDERS])
 ORACLE["sample_system_partitions"] = ("SELECT *, CAST(event_id % 64 AS INTEGER) AS block FROM events WHERE "
                                       + hash_pred_sql(7, 20, "CAST(event_id % 64 AS INTEGER)"))
-ORACLE["row_count_ladder_delta"] = """SELECT CAST(count(*) AS BIGINT) AS row_count, 'footer' AS source, CAST(min(o_orderkey) AS BIGINT) AS min_int,
-       CAST(max(o_orderkey) AS BIGINT) AS max_int, CAST(0 AS BIGINT) AS null_count FROM orders WHERE o_orderstatus = 'O'"""
+ORACLE["row_count_ladder_delta"] = "SELECT CAST(count(*) AS BIGINT) AS row_count, 'footer' AS source FROM orders WHERE o_orderstatus = 'O'"
+ORACLE["footer_stats_delta"] = "\nUNION ALL\n".join(
+    part for part in _bounds_sql("orders", "WHERE o_orderstatus = 'O'").split("\nUNION ALL\n") if "'o_orderstatus' AS column_name" not in part)

@@ -594,10 +594,13 @@ def sample_system_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_count_ladder_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G8 and F2 for a Delta directory with removed files: footers of the live ones answer."""
-    path = FX.delta_orders(spark, sf_dir, commits=2)
-    keys = FS.footer_column_stats(spark, path, "o_orderkey").select("row_count", "min_int", "max_int", "null_count")
-    return row_count_ladder(spark, path=path).join(keys, "row_count", "left")
+    """G8 for a Delta directory with removed files: the footers of the live ones answer."""
+    return row_count_ladder(spark, path=FX.delta_orders(spark, sf_dir, commits=2))
+
+
+def footer_stats_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 for a Delta directory with removed files: the footers of the live ones only."""
+    return FS.footer_table_stats(spark, FX.delta_orders(spark, sf_dir, commits=2)).select(*_FOOTER_COLS)
 
 
 QUERIES.update({
@@ -606,4 +609,5 @@ QUERIES.update({
     "mixed_profile": mixed_profile,
     "sample_system_partitions": sample_system_partitions,
     "row_count_ladder_delta": row_count_ladder_delta,
+    "footer_stats_delta": footer_stats_delta,
 })
