@@ -23,6 +23,8 @@ from lakelens.session import scratch_dir
 
 #: Parts into which a group of copies is dealt before it is counted.
 SALTS = 256
+
+#: Least buckets of a new index; there are as many as the session has shuffle partitions if that is more.
 BUCKETS = 32
 
 
@@ -34,9 +36,11 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """Digests seen so far: digest, keep_id (the id that stays), batch (when it came)."""
 
-    def __init__(self, spark: SparkSession, path: str, *, id_type: str = "bigint", buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, *, id_type: str = "bigint", buckets: int | None = None):
         """Opens the index at ``path``, made if it isn't there; an index keeps the
-        number of buckets it was made with."""
+        number of buckets it was made with, which another session must give."""
+        if buckets is None:
+            buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = f"digest_index_{uuid.uuid4().hex[:12]}"
         spark.sql(
@@ -55,7 +59,8 @@ class DigestIndex:
         holds the text already (``seen``), no row stays and keep_id is the
         index's.  group_size counts the rows of ``docs``.  A null id is smaller than any
         other; among rows that share text and id, repeated rows included, one is kept.
-        Columns not named are not read; an empty table appends nothing.
+        Columns not named are not read; very long texts are digested whole where they
+        are and not shuffled; an empty table appends nothing.
         """
         rows = kept_table(
             docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"),

@@ -24,8 +24,9 @@ from lakelens.llm.words import kept_table
 
 SHARDS, SEED = 16, "interleave-1"
 
-#: Slots of digests and of fractional ranks: tasks that the two ranks can be spread over.
-SLOTS = 2048
+#: Slots of digests and of fractional ranks, tasks that the two ranks can be spread over: at least so many, and
+#: one for so many rows.
+SLOTS, SLOT_ROWS = 2048, 100_000
 
 
 def unit_of(hexes: Column) -> Column:
@@ -34,7 +35,7 @@ def unit_of(hexes: Column) -> Column:
 
 
 def interleave(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", text_col: str = "text",
-               source_col: str = "source", seed: str = SEED, slots: int = SLOTS) -> DataFrame:
+               source_col: str = "source", seed: str = SEED, slots: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, source, shard and slot (its place in the shard, from 0)
     of every row of ``docs``.
 
@@ -42,7 +43,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id",
     a source form a source of their own.  Ties: rows that agree in id and text can
     change places without a change of the result, all others are ordered by their
     digests, then by id.  Repeated rows each get a place; columns not named are not
-    read; an empty table gives no rows.
+    read; very long texts are digested where they are; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -50,7 +51,10 @@ def interleave(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id",
         F.crc32(text).alias("text_crc32"), F.col(source_col).cast("string").alias("source"),
     ).withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32"))
-    rows = kept_table(rows.withColumn("digest", digest).withColumn("s1", (unit_of(F.col("digest")) * slots).cast("int")), "shard-rows")
+    rows = kept_table(rows.withColumn("digest", digest), "shard-rows")
+    if slots is None:
+        slots = max(SLOTS, -(-rows.count() // SLOT_ROWS))
+    rows = rows.withColumn("s1", (unit_of(F.col("digest")) * slots).cast("int"))
 
     # place within the source
     counts = rows.groupBy("src", "s1").agg(F.count("*").alias("n"))
