@@ -595,6 +595,20 @@ def _merged_bound(b: str, lane: str) -> str:
     return f"CASE WHEN startswith(original_type, 'decimal') THEN {decimal} ELSE {plain} END"
 
 
+def combine_partials(partials: DataFrame) -> DataFrame:
+    """Partials added up to one row a column that can be merged again (``merge_partials`` of it
+    is that of the partials)."""
+    key = ["table_name", "column_name", "ordinal", "data_type", "original_type"]
+    columns = [*key, "row_count", "non_null", *LANE_COLUMNS, "sum_len", "max_len", "sketch"]
+    return partials.groupBy(*key).agg(*[F.expr(e) for e in (
+        "CAST(sum(row_count) AS BIGINT) AS row_count",
+        "CAST(sum(non_null) AS BIGINT) AS non_null",
+        *[f"{_merged_bound(b, ln)} AS {b}_{ln}" for b in ("min", "max") for ln in LANE_SQL],
+        "CAST(sum(sum_len) AS BIGINT) AS sum_len",
+        "CAST(max(max_len) AS BIGINT) AS max_len",
+        "hll_union_agg(sketch, true) AS sketch")]).select(*columns)
+
+
 def merge_partials(partials: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """Final merge of ``profile_partials`` rows into the profile schema; the
     distinct count is the union sketch's estimate (approximate).  ``by``

@@ -82,34 +82,36 @@ def candidate_keys(df: DataFrame, column_sets: Sequence[Sequence[str]], table_na
     """S3 re-aimed: for each column set, is it a key of the data?
 
     (table_name, key_columns, row_count, distinct_count, null_rows, is_key).
-    Each set is one grouping (one scan) whose partial aggregation collapses
-    duplicate keys map-side, so a hot key costs one row per task.  A set given
-    twice is answered twice.  ``single_column_keys`` reads all single-column
+    All sets are grouping sets of one aggregate: one scan and one shuffle, whose partial
+    aggregation collapses duplicate keys map-side, so a hot key costs one row per
+    task and set.  A set given twice is answered twice; an empty table has no
+    rows to contradict a key.  ``single_column_keys`` reads all single-column
     keys off one exact profile.
     """
     sets = [list(c) for c in column_sets]
     if not sets:
         raise ValueError("no column sets given")
-    out = None
-    for cols in sets:
-        any_null = F.lit(False)
-        for c in cols:
-            any_null = any_null | F.col(f"`{c}`").isNull()
-        g = (df.select(*[F.col(f"`{c}`") for c in cols], any_null.alias("__null"))
-               .groupBy(*cols, "__null").agg(F.count(F.lit(1)).alias("__n")))
-        r = g.agg(
-            F.sum("__n").cast("long").alias("row_count"),
-            F.count(F.when(~F.col("__null"), F.lit(1))).cast("long").alias("distinct_count"),
-            F.coalesce(F.sum(F.when(F.col("__null"), F.col("__n"))), F.lit(0)).cast("long").alias("null_rows"),
-        ).select(
-            F.lit(table_name).alias("table_name"),
-            F.lit(",".join(cols)).alias("key_columns"),
-            F.coalesce(F.col("row_count"), F.lit(0).cast("long")).alias("row_count"),
-            "distinct_count", "null_rows",
-            ((F.col("null_rows") == 0) & (F.col("distinct_count") == F.coalesce(F.col("row_count"), F.lit(0)))).alias("is_key"),
-        )
-        out = r if out is None else out.unionByName(r)
-    return out
+    names = list(dict.fromkeys(c for cols in sets for c in cols))
+    if len(names) > 60 and len(sets) > 1:  # a grouping id has 63 bits
+        half = len(sets) // 2
+        return candidate_keys(df, sets[:half], table_name).unionByName(candidate_keys(df, sets[half:], table_name))
+    place = {c: i for i, c in enumerate(names)}
+    members = [sorted({place[c] for c in cols}) for cols in sets]
+    gid = [sum(1 << (len(names) - 1 - i) for i in range(len(names)) if i not in m) for m in members]
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for c, i in place.items()])
+    distinct = list({g: m for g, m in zip(gid, members)}.values())
+    groups = rows.groupingSets([[F.col(f"_k{i}") for i in m] for m in distinct], *[F.col(f"_k{i}") for i in range(len(names))]).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    of = {g: " OR ".join(f"_k{i} IS NULL" for i in m) for g, m in zip(gid, members)}
+    groups = groups.select("gid", "n", F.expr("CASE gid " + " ".join(f"WHEN {g} THEN {e}" for g, e in of.items()) + " END").alias("has_null"))
+    counted = groups.groupBy("gid").agg(
+        F.sum("n").cast("long").alias("row_count"), F.count_if(~F.col("has_null")).cast("long").alias("distinct_count"),
+        F.coalesce(F.sum(F.when(F.col("has_null"), F.col("n"))), F.lit(0)).cast("long").alias("null_rows"))
+    asked = literal_rows(df.sparkSession, [(",".join(cols), g) for cols, g in zip(sets, gid)], [("key_columns", "STRING"), ("gid", "BIGINT")])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    answers = asked.join(counted, "gid", "left").select("key_columns", zero("row_count"), zero("distinct_count"), zero("null_rows"))
+    return answers.select(F.lit(table_name).alias("table_name"), "*",
+                          ((F.col("null_rows") == 0) & (F.col("distinct_count") == F.col("row_count"))).alias("is_key"))
 
 
 def single_column_keys(profile_df: DataFrame) -> DataFrame:

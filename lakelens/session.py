@@ -68,6 +68,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def delete_within(spark: SparkSession, path: str, root: str) -> None:
+    """Delete a directory right below ``root``, a folder of state that the caller owns."""
+    if path.rsplit("/", 1)[0] != root.rstrip("/"):
+        raise ValueError(f"{path} is not right below {root}")
+    fs, jpath = _hadoop_fs(spark, path)
+    fs.delete(jpath, True)
+
+
 def write_single_text_file(spark: SparkSession, lines_df, target: str) -> None:
     """Write a one-column string DataFrame as exactly one file at ``target``.
 
