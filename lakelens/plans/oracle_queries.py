@@ -388,3 +388,5 @@ ORACLE["sample_system_partitions"] = ("SELECT *, CAST(event_id % 64 AS INTEGER)
 ORACLE["row_count_ladder_delta"] = "SELECT CAST(count(*) AS BIGINT) AS row_count, 'footer' AS source FROM orders WHERE o_orderstatus = 'O'"
 ORACLE["footer_stats_delta"] = "\nUNION ALL\n".join(
     part for part in _bounds_sql("orders", "WHERE o_orderstatus = 'O'").split("\nUNION ALL\n") if "'o_orderstatus' AS column_name" not in part)
+ORACLE["discovery_paged"] = "SELECT c_name AS name, c_mktsegment AS type FROM customer"
+ORACLE["partition_pages"] = ORACLE["partition_inventory"]

@@ -17,6 +17,7 @@ from lakelens.operators import footer_stats as FS
 from lakelens.operators import history as H
 from lakelens.operators import inventory as INV
 from lakelens.operators import metadata as MD
+from lakelens.operators import pages as PG
 from lakelens.operators import profile as P
 from lakelens.operators import refresh as R
 from lakelens.operators import sampling as S
@@ -611,3 +612,23 @@ QUERIES.update({
     "row_count_ladder_delta": row_count_ladder_delta,
     "footer_stats_delta": footer_stats_delta,
 })
+
+
+def discovery_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 in pages: every customer as an object of a discovery, saved to a history page by page and read back."""
+    path = scratch_dir(spark, "paged")
+    listing = read_table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"))
+    H.append_history(PG.paged_rows(listing, ["name"], "lake", "customers", page_rows=100, last_updated=HISTORY_AS_OF), path)
+    return PG.paged_items(spark, H.read_history(spark, path), "lake", "customers", listing.schema)
+
+
+def partition_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 in pages: the partitions of the Hive-style copy with their rows, as JSON pages and back."""
+    parts = INV.partition_row_counts(spark, FX.hive_orders(spark, sf_dir)).select("column_name", "value", "depth", "location", "row_count")
+    rows = PG.paged_rows(parts, ["location"], "lake", "orders", kind="metadata", page_rows=4, last_updated=HISTORY_AS_OF)
+    path = scratch_dir(spark, "paged-partitions")
+    H.append_history(rows, path)
+    return PG.paged_items(spark, H.read_history(spark, path), "lake", "orders", parts.schema, kind="metadata").drop("location")
+
+
+QUERIES.update({"discovery_paged": discovery_paged, "partition_pages": partition_pages})
