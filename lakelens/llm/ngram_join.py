@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.words import WordHashes, discard, hash_bitmap, in_bitmap, join_facts, kept_table, mixed, remembered, runs_of
+from lakelens.llm.words import WordHashes, discard, hash_bitmap, in_bitmap, join_facts, kept_table, mixed, remembered, runs_of, small_batches
 
 WORDS, PERCENT = 3, 90
 SHORT, MOST_MATCHES = 32, 4
@@ -261,7 +261,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("x"), F.col("s").alias("sx"))
     right = sets.select(F.col("node").alias("y"), F.col("s").alias("sy"))
     rows = pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy")
-    return kept_table(rows.mapInArrow(scan, "u binary, v binary"), "links")
+    with small_batches(pairs.sparkSession):
+        return kept_table(rows.mapInArrow(scan, "u binary, v binary"), "links")
 
 
 def pairs_of(postings: DataFrame, sizes: DataFrame, percent: int, short: int, longs: DataFrame | None) -> DataFrame:
@@ -295,18 +296,36 @@ def centred(big: DataFrame, sizes: DataFrame, sets: DataFrame) -> tuple[DataFram
     import pyarrow as pa
 
     def majority(batches):
+        key, voters, found = None, [], []
+
+        def voted():
+            grams, votes = np.unique(np.concatenate([np.frombuffer(v, np.uint64) for v in voters]), return_counts=True)
+            grams = grams[2 * votes > len(voters)]
+            return key, node_of(grams), grams.tobytes()
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                                              names=["key", "c", "p"])
+
         for batch in batches:
-            found = []
-            for voters in batch.column("voters").to_pylist():
-                grams, votes = np.unique(np.concatenate([np.frombuffer(v, np.uint64) for v in voters]), return_counts=True)
-                found.append(grams[2 * votes > len(voters)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([node_of(c) for c in found], pa.binary()), pa.array([c.tobytes() for c in found], pa.binary())],
-                names=["key", "c", "p"])
+            for k, s in zip(batch.column("key").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                if voters and k != key:
+                    found.append(voted())
+                    voters = []
+                    if len(found) >= 100:
+                        yield batch_of()
+                        found = []
+                key = k
+                voters.append(s)
+        if voters:
+            found.append(voted())
+        if found:
+            yield batch_of()
 
     picked = big.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(VOTERS)).alias("seat")).agg(F.min("node").alias("node"))
-    voters = picked.join(sets, "node").groupBy("key").agg(F.collect_list("s").alias("voters"))  # at most VOTERS sets
-    centres = kept_table(voters.mapInArrow(majority, "key long, c binary, p binary"), "centres")
+    voters = picked.join(sets, "node").select("key", "s").repartition("key").sortWithinPartitions("key")  # at most VOTERS sets a key
+    with small_batches(big.sparkSession):
+        centres = kept_table(voters.mapInArrow(majority, "key long, c binary, p binary"), "centres")
     lists = centres.select("key", "c").join(sizes, "key")
     total = lists.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     members = kept_table(join_facts(big, lists, "key", "size", total).select("node", "c").distinct(), "members")
@@ -341,7 +360,8 @@ def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
     dealt = members.join(sets, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     parts = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = dealt.join(parts.select("c", "salt", "p", "members").hint("merge"), ["c", "salt"]).select("c", "node", "s", "p", "members")
-    apart = kept_table(rows.mapInArrow(differ, "c binary, node binary, n long, rank long, rest binary"), "differences")
+    with small_batches(big.sparkSession):
+        apart = kept_table(rows.mapInArrow(differ, "c binary, node binary, n long, rank long, rest binary"), "differences")
     # f, times 100 + percent to stay whole
     f = F.col("rank") * (100 + percent) - F.col("n") * (100 - percent)
     least = apart.groupBy("c").agg(F.min(F.struct(f.alias("f"), F.col("node"))).alias("o"), F.count("*").alias("many"))
@@ -377,7 +397,8 @@ def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
 
     rows = known.select("c", "node", "n", "rank", "f", "fo", "rest").mapInArrow(
         prefixes, "key long, node binary, n long, matches int, place int, rank int, side int")
-    postings = kept_table(rows.dropDuplicates(["key", "node"]), "postings")
+    with small_batches(big.sparkSession):
+        postings = kept_table(rows.dropDuplicates(["key", "node"]), "postings")
     discard(centres, members, apart, least)
     return links, postings
 
@@ -439,8 +460,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Null texts and texts without words have no n-grams and link with nothing; a
     text with fewer than ``k`` words is one n-gram.  Repeated rows and equal texts
     are in one component.  A null id never is the smallest; a component of null
-    ids only has a null component_id.  Columns not named are not read; an empty
-    table gives no rows.
+    ids only has a null component_id.  Very long texts are cut into n-grams whole, in
+    one task each.  Columns not named are not read; an empty table gives no rows.
     """
     table, counts = described(docs, id_col, text_col, k)
     joined = components(links(docs, table, id_col=id_col, text_col=text_col, k=k, percent=percent, counts=counts, short=short, bits=bits))

@@ -200,7 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
     Each row of ``docs`` is a document of its own, repeated rows included; a
     null or empty text is the end id alone; a null id stays null; other columns
-    are not read.  An empty table gives no rows.  ``capacity`` and ``shortest``
+    are not read.  Very long texts are encoded whole, in one task each.  An empty table gives no rows.  ``capacity`` and ``shortest``
     are powers of two.
     """
     import pyarrow as pa

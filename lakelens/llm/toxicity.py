@@ -106,7 +106,8 @@ class OrdinalModel:
     def graded(self, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         """``docs`` and p_toxic, expected_severity, grade (the likeliest) and toxic,
         which take the place of columns of these names.  Every row stays, repeated rows
-        and null ids or texts included; an empty table stays empty."""
+        and null ids or texts included; equal texts get equal grades, very long ones are
+        read whole; an empty table stays empty."""
         score = "__score"
         while score in docs.columns:
             score += "_"

@@ -3,6 +3,8 @@ tables cut from their lineage in the shared folder."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +130,19 @@ def discard(*tables: DataFrame) -> None:
     tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """While tables are written within, Python workers get so many rows at once: for rows
+    that carry whole sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, usual)
+
+
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, many: str, total: int) -> DataFrame:
     """``rows`` joined with ``facts``, which has one row a key and in ``many`` the rows that the key has
     of ``total``.  Keys with over a thousandth of all rows, at most 1,000 of them, are joined
