@@ -14,6 +14,8 @@ current state is derived:
 * fresh    - current rows with ``as_of - last_updated <= ttl`` (a row exactly
              ``ttl`` old is still fresh; one microsecond older is stale).
 * stale    - catalog entries with no fresh row (left anti join).
+* by key   - the same history as a table bucketed by (source, id): what is asked
+             of it by key needs no shuffle of the history.
 * drift    - ``lag`` over profile runs per (table, column).
 """
 
@@ -102,6 +104,35 @@ def read_history(spark: SparkSession, path: str, since: dt.date | None = None,
     return rows.select(*HISTORY_COLUMNS)
 
 
+def append_by_key(rows: DataFrame, table: str, path: str | None = None, buckets: int | None = None) -> None:
+    """C1/C3 save to a catalog table bucketed and sorted by (source, id), made by the first append
+    with ``buckets`` (default: the session's shuffle partitions), at ``path`` if given.
+
+    An append is reduced to its latest row per key, tombstones included, so that a
+    key has at most one row for each append, however often it was saved in one.
+    """
+    spark = rows.sparkSession
+    if spark.catalog.tableExists(table):
+        told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where(
+            "col_name IN ('Num Buckets', 'Bucket Columns')").collect()}
+        if told.get("Bucket Columns") != "[`source`, `id`]":
+            raise ValueError(f"{table} is not a history by key")
+        buckets = int(told["Num Buckets"])
+    elif buckets is None:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    latest = current(rows, include_deleted=True).select(*HISTORY_COLUMNS)
+    writer = (latest.repartition(buckets, "source", "id").write.mode("append").format("parquet")
+              .bucketBy(buckets, "source", "id").sortBy("source", "id", "kind"))
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
+def read_by_key(spark: SparkSession, table: str) -> DataFrame:
+    """The history of ``append_by_key``; ``current``, ``fresh`` and ``stale`` of it shuffle nothing of it."""
+    return spark.table(table).select(*HISTORY_COLUMNS)
+
+
 def current(history: DataFrame, include_deleted: bool = False, as_of: dt.datetime | None = None) -> DataFrame:
     """The latest row per (source, kind, id), at ``as_of`` if given (later
     rows don't count).  Ties on last_updated go to a tombstone, then to the

@@ -83,12 +83,9 @@ def _format_expr() -> F.Column:
              .otherwise(F.lit("unknown")))
 
 
-def lake_inventory(spark: SparkSession, base: str) -> DataFrame:
-    """B6 (with B5, G6, G7): one row per (database, table): format,
-    data file count, size in bytes and last modification."""
-    f = lake_files(spark, base).where(F.col("table_name").isNotNull())
+def _listed_tables(files: DataFrame) -> DataFrame:
     data = ~F.col("rel_path").contains("/_delta_log/")
-    return f.groupBy("database", "table_name").agg(
+    return files.groupBy("database", "table_name").agg(
         _format_expr().alias("format"),
         F.count(F.when(data, F.lit(1))).cast("long").alias("file_count"),
         F.coalesce(F.sum(F.when(data, F.col("length"))), F.lit(0)).cast("long").alias("size_bytes"),
@@ -96,9 +93,39 @@ def lake_inventory(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def lake_inventory(spark: SparkSession, base: str, live: bool = True) -> DataFrame:
+    """B6 (with B5, G6, G7): one row per (database, table): format,
+    data file count, size in bytes and last modification.  Of Delta tables the
+    files of their newest snapshot count, as in ``table_size``, whose names (bounded by the
+    number of tables) come to the driver; with ``live`` off, all files that are there.  A
+    log that can't be replayed is warned about, and its table's files are counted as listed."""
+    files = lake_files(spark, base).where(F.col("table_name").isNotNull())
+    listed = _listed_tables(files)
+    if not live:
+        return listed
+    root = qualify(spark, base)
+    logs = files.where(F.col("rel_path").contains("/_delta_log/")).select("database", "table_name").distinct()
+    sizes = None
+    for r in logs.orderBy("database", "table_name").collect():
+        try:
+            held = live_files(spark, f"{root}/{r.database}/{r.table_name}")
+        except (ValueError, PySparkException) as e:
+            warnings.warn(f"{r.database}.{r.table_name}: {e}", stacklevel=2)
+            continue
+        one = held.agg(F.count(F.lit(1)).cast("long").alias("live_count"),
+                       F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("live_bytes")).select(
+            F.lit(r.database).alias("database"), F.lit(r.table_name).alias("table_name"), "live_count", "live_bytes")
+        sizes = one if sizes is None else sizes.unionByName(one)
+    if sizes is None:
+        return listed
+    return listed.join(sizes, ["database", "table_name"], "left").select(
+        "database", "table_name", "format", F.coalesce("live_count", "file_count").alias("file_count"),
+        F.coalesce("live_bytes", "size_bytes").alias("size_bytes"), "last_modified")
+
+
 def table_formats(spark: SparkSession, base: str) -> DataFrame:
     """(database, table_name, format)."""
-    return lake_inventory(spark, base).select("database", "table_name", "format")
+    return lake_inventory(spark, base, live=False).select("database", "table_name", "format")
 
 
 def table_size(spark: SparkSession, table_path: str) -> DataFrame:

@@ -390,3 +390,11 @@ ORACLE["footer_stats_delta"] = "\nUNION ALL\n".join(
     part for part in _bounds_sql("orders", "WHERE o_orderstatus = 'O'").split("\nUNION ALL\n") if "'o_orderstatus' AS column_name" not in part)
 ORACLE["discovery_paged"] = "SELECT c_name AS name, c_mktsegment AS type FROM customer"
 ORACLE["partition_pages"] = ORACLE["partition_inventory"]
+ORACLE["history_by_key_latest"] = ORACLE["history_latest"]
+ORACLE["history_by_key_stale"] = ORACLE["history_stale"]
+ORACLE["profile_merge_exact"] = "\nUNION ALL\n".join(
+    f"SELECT {lit(t)} AS table_name, {lit(c)} AS column_name, CAST(count(*) AS BIGINT) AS row_count, "
+    f"CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
+    + (f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count, FALSE" if typ in ("int", "bigint")
+       else "CAST(NULL AS BIGINT) AS distinct_count, TRUE") + f" AS distinct_is_approx FROM {t}"
+    for t in ("orders", "lineitem", "events") for c, typ in TABLE_SCHEMAS[t])

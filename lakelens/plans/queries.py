@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lakelens.functions import types as TY
 from lakelens.functions.literals import literal_rows
+from lakelens.operators import distinct as DI
 from lakelens.operators import footer_stats as FS
 from lakelens.operators import history as H
 from lakelens.operators import inventory as INV
@@ -27,7 +28,7 @@ from lakelens.operators.catalog_stats import row_count_ladder
 from lakelens.operators.metadata import describe_report as _describe
 from lakelens.plans import fixtures as FX
 from lakelens.plans.oracle import TABLE_SCHEMAS
-from lakelens.session import scratch_dir
+from lakelens.session import scratch_dir, unique_suffix
 from lakelens.sources import deltalog as DL
 from lakelens.sources import unified as U
 from lakelens.sources.readers import export_tables, read_table, read_tables, register_directory
@@ -632,3 +633,50 @@ def partition_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update({"discovery_paged": discovery_paged, "partition_pages": partition_pages})
+
+
+# --- history by key, exact distinct counts from parts (C1, C7, F5) ------------------
+
+
+def _history_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events history saved by key in two appends, the later days last."""
+    table, path = f"lakelens_history_{unique_suffix()}", scratch_dir(spark, "by-key")
+    rows, half = events_history(spark, sf_dir), F.lit("2024-01-20").cast("timestamp_ntz")
+    H.append_by_key(rows.where(F.col("last_updated") < half), table, path)
+    H.append_by_key(rows.where(F.col("last_updated").isNull() | (F.col("last_updated") >= half)), table)
+    return H.read_by_key(spark, table)
+
+
+def history_by_key_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 from a history stored by key: no shuffle of the history."""
+    return H.current(_history_by_key(spark, sf_dir)).select("source", "kind", "id", "content", "last_updated")
+
+
+def history_by_key_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 from a history stored by key; catalog = every (event_type, user) pair seen in events."""
+    catalog = events_history(spark, sf_dir).select("source", "id")
+    return H.stale(catalog, H.current(_history_by_key(spark, sf_dir)), HISTORY_AS_OF, kind="metadata")
+
+
+def profile_merge_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """profiles merged from parts by a group, with the distinct integers counted exactly
+    from words that were written and read back; estimates of other columns are left out."""
+    out = None
+    for table, group in (("orders", "o_orderstatus"), ("lineitem", "l_returnflag"), ("events", "event_type")):
+        rows = read_table(spark, sf_dir, table)
+        grouped = rows.withColumn("__grp", F.col(group))
+        path = scratch_dir(spark, "words")
+        DI.distinct_words(grouped, ["__grp"], table, rows.columns).write.parquet(path)
+        merged = P.merge_partials(P.profile_partials(grouped, ["__grp"], table, columns=rows.columns))
+        whole = DI.with_exact_distinct(merged, spark.read.parquet(path)).select(
+            "table_name", "column_name", "row_count", "null_count",
+            F.when(~F.col("distinct_is_approx"), F.col("distinct_count")).alias("distinct_count"), "distinct_is_approx")
+        out = whole if out is None else out.unionByName(whole)
+    return out
+
+
+QUERIES.update({
+    "history_by_key_latest": history_by_key_latest,
+    "history_by_key_stale": history_by_key_stale,
+    "profile_merge_exact": profile_merge_exact,
+})

@@ -2,8 +2,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from lakelens.operators.history import (HISTORY_SCHEMA, append_history, cached_ids, current, fresh,
-                                        history_rows, read_history, stale, tombstones)
+from lakelens.operators.history import (HISTORY_SCHEMA, append_by_key, append_history, cached_ids, current, fresh,
+                                        history_rows, read_by_key, read_history, stale, tombstones)
 
 AS_OF = dt.datetime(2024, 1, 2, 0, 0, 0)
 DAY = dt.timedelta(seconds=86400)
@@ -104,3 +104,35 @@ def test_compaction_keeps_current_state(spark, scratch):
     out = compact_history(spark, src, f"{scratch}/history/compact_dst")
     assert out.count() == len(before)
     assert sorted(tuple(r) for r in current(out).collect()) == before
+
+
+def test_history_by_key_shuffles_nothing_of_it(spark, scratch):
+    h = _hist(spark)
+    append_by_key(h.where("source = 's1'"), "h_by_key", f"{scratch}/by-key", buckets=8)
+    append_by_key(h.where("source = 's2'").unionByName(h.where("id = 't1'")), "h_by_key")
+    stored = read_by_key(spark, "h_by_key")
+    assert sorted(map(str, current(stored).collect())) == sorted(map(str, current(h).collect()))
+    cat = spark.createDataFrame([("s1", "t1"), ("s1", "t2"), ("s1", "new"), ("s2", "t1")], "source string, id string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df, exchanges in ((current(stored), 0), (stale(cat, current(stored), AS_OF), 1)):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert plan.count("Exchange hashpartitioning") == exchanges, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = {(r.source, r.id) for r in stale(cat, current(stored), AS_OF).collect()}
+    assert got == {("s1", "t2"), ("s1", "new")}
+    # an append holds one row a key, however often it was saved
+    hot = h.where("id = 't1'").crossJoin(spark.range(50)).drop("id").withColumn("id", F.lit("hot")).select(*HISTORY_SCHEMA.names)
+    append_by_key(hot, "h_by_key")
+    assert read_by_key(spark, "h_by_key").where("id = 'hot'").count() == 2
+
+
+def test_history_by_key_refuses_other_tables(spark, scratch):
+    import pytest
+
+    _hist(spark).write.option("path", f"{scratch}/plain").saveAsTable("h_plain")
+    with pytest.raises(ValueError):
+        append_by_key(_hist(spark), "h_plain")

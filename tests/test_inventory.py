@@ -45,3 +45,17 @@ def test_list_tables(spark):
     names = [(r.name, r.type) for r in list_tables(spark).collect()]
     assert ("aa_nation", "view") in names and ("zz_region", "view") in names
     assert [n for n, _ in names] == sorted(n for n, _ in names)
+
+
+def test_lake_counts_live_files_of_delta_tables(spark, scratch):
+    from lakelens.plans import fixtures as FX
+
+    base = f"{scratch}/inv/delta-lake"
+    spark.read.parquet(f"{SF001}/region.parquet").write.parquet(f"{base}/db/region")
+    FX.delta_orders(spark, SF001, table_dir=f"{base}/db/orders", commits=2)
+    inv = {r.table_name: r for r in lake_inventory(spark, base).collect()}
+    held = table_size(spark, f"{base}/db/orders").first()
+    there = {r.table_name: r for r in lake_inventory(spark, base, live=False).collect()}
+    assert (inv["orders"].file_count, inv["orders"].size_bytes) == (held.file_count, held.total_size_bytes)
+    assert inv["orders"].file_count < there["orders"].file_count
+    assert inv["region"] == there["region"]
