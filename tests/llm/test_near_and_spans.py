@@ -269,3 +269,76 @@ def test_a_leak_stays_one_beside_other_occurrences(spark):
     got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(1, 1): True, (2, 2): True, (3, 1): False}
     assert [r.doc_id for r in decontaminate.decontaminated(docs, items).collect()] == [4]
+
+
+def brute_leaks(docs, items, coverage=0.5, consistency=0.8):
+    """Every document against every item: the leaked pairs, and those that are exact."""
+    memo, pairs, exact = decontaminate.word_table(), set(), set()
+    windows = lambda t: [w[1:] for w in decontaminate.windows([t], memo, decontaminate.WINDOW)]
+    read = [(d, windows(t)) for d, t in docs]
+    for i, t in items:
+        asked = windows(t)
+        hashes = {h for _, h, _ in asked}
+        for d, told in read:
+            groups = defaultdict(list)
+            for p, h, ours in told:
+                for q, g, theirs in asked if h in hashes else ():
+                    if g == h:
+                        for key in ((0, 0), (1, p - q), (2, (p - q) // 16), (3, (p - q + 8) // 16)):
+                            groups[key].append((q, h, theirs, ours))
+            for (kind, _), rows in groups.items():
+                bound = {b for _, _, theirs, ours in rows for b in zip(theirs, ours, strict=True)}
+                share = min(len({a for a, _ in bound}), len({b for _, b in bound})) / len(bound) if bound else 1.0
+                if len({h for _, h, _, _ in rows}) >= coverage * len(hashes) and share >= consistency:
+                    pairs.add((d, i))
+                    if kind == 1 and len(rows) == len(asked) and all(theirs == ours for _, _, theirs, ours in rows):
+                        exact.add((d, i))
+    return pairs, exact
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(21)
+    plain = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "me", "so") for b in ("la", "nk", "rt", "ss", "tten")]
+    value = lambda: rng.choice([str(rng.randrange(6)), rng.choice(["Anna", "Boston", "Carl"]), "km", "hours"])
+    frames = [[rng.choice([*plain, *plain, *plain, None]) for _ in range(rng.randrange(8, 30))] for _ in range(8)]
+    frames[1] = frames[0][:12] + frames[1]
+    said = lambda f: [w or value() for w in f]
+    items = [(i, " ".join(said(frames[i % 8]))) for i in range(60)]
+    docs = []
+    for d in range(120):
+        words = [rng.choice(plain) for _ in range(rng.randrange(12))]
+        for _ in range(rng.randrange(3)):
+            held = rng.choice(items)[1].split() if rng.random() < 0.5 else said(rng.choice(frames))
+            if rng.random() < 0.3:
+                held.insert(rng.randrange(len(held)), rng.choice(plain))
+            words += held[rng.choice([0, 0, 3]) :] + [rng.choice(plain) for _ in range(rng.randrange(6))]
+        docs.append((d, " ".join(words)))
+    texts, asked = (spark.createDataFrame(r, f"{c} long, text string") for r, c in ((docs, "doc_id"), (items, "item_id")))
+    pairs, exact = brute_leaks(docs, items)
+    rows = decontaminate.contaminated(texts, asked).collect()
+    members = defaultdict(set)
+    for r in decontaminate.item_classes(asked).collect():
+        members[r.item_class].add(r.item_id)
+    assert {(r.doc_id, i) for r in rows for i in members[r.item_class]} == pairs and len(pairs) > 200
+    assert {(r.doc_id, r.item_id) for r in rows if r.exact} <= exact and {d for d, _ in exact} == {r.doc_id for r in rows if r.exact}
+    assert all(r.class_items == len(members[r.item_class]) and r.item_id in members[r.item_class] for r in rows)
+    assert len({(r.doc_id, r.item_id) for r in rows}) == len(rows) < len(pairs)
+
+
+def test_one_question_in_many_versions_is_one_class(spark):
+    ask = "a farmer sells {} baskets of ripe apples and walks home along the river before the sun goes down"
+    items = spark.createDataFrame([(i, ask.format(i)) for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, f"we say {ask.format(200 + d)} again") for d in range(200)], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.exact, r.class_items) for r in got) == [
+        (d, 200 + d if d < 100 else 0, d < 100, 300) for d in range(200)]
+
+
+def test_short_and_placeholder_items_are_found_word_by_word(spark):
+    items = spark.createDataFrame([(1, "purple Cows sing softly"), (2, "12 13 17 19 23 29 31"), (3, "so it is"), (4, "3 4 5 6")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "they say: Purple cows sing softly, at night in the meadow"), (2, "primes 12 13 17 19 23 29 31 end here"),
+                                  (3, "and so it is with all of us here today"), (4, "so it is"), (5, "14 15 18 20 24 30 32 and more of it"),
+                                  (6, "3 4 5 6"), (7, "7 3 4 5 6 7 for all of us")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (4, 3): True, (6, 4): True, (7, 4): True}
