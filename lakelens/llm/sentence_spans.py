@@ -2,11 +2,7 @@
 
 A text is cut into sentences: behind a sentence sign of any script or a line break,
 and before a capitalised word, so that a passage pasted into the middle of a sentence
-begins one of its own.  With a ``reach`` (the registered query's is ``REACH``) there are
-also spans of shorter units: where ``reach`` words have no such boundary, the word with the
-smallest hash begins a unit.  That depends on no other words, so a passage
-of over 50 words that is repeated word by word holds a whole span in all its places
-wherever its sentences begin and end.  A character of a script without spaces is a
+begins one of its own.  A character of a script without spaces is a
 word.  From every sentence a span runs over several consecutive
 sentences: at least ``LEAST_SENTENCES`` and at least ``LEAST_WORDS`` words.  Spans
 are joined over all documents by hash; a span stays where it occurs first
@@ -14,6 +10,13 @@ are joined over all documents by hash; a span stays where it occurs first
 covers are removed.  Spans compare words with A-Z lower-cased; the amount of
 white space between words doesn't count.
 
+A long passage need not hold whole sentences: one of 60 words, or parts of two.  With a
+``reach`` (the registered query's is ``REACH``) there are also spans of exactly ``RUN``
+words that begin at the word with the smallest hash of ``reach`` words.  That depends on
+no other words, so a passage of reach + RUN - 1 words that is repeated word by word holds one in
+all its places, wherever its sentences begin and end, and less than ``reach`` words at each
+of its ends can stay.  Shorter stretches in the middle of a sentence are left alone.
+
 The first pass finds the repeated spans (counted by hash, combined before the
 shuffle); the second sends only places whose hash hits a bitmap of those, and the
 join decides exactly.  A span that a third of all documents share is one row a
@@ -35,9 +38,8 @@ LEAST_SENTENCES, LEAST_WORDS = 2, 12
 BITS = 26
 LAST_ID = (1 << 63) - 1
 
-#: A repeated passage of 4 * REACH + LEAST_WORDS - 3 words holds a span: boundaries less than REACH words
-#: from its ends may differ from copy to copy, and those between are at most REACH apart.
-REACH = 10
+#: Their sum less one is 51: every repeated passage of over 50 words holds a whole run.
+REACH, RUN = 16, 36
 
 WORD = re.compile(r"\s*\S+\s*|\s+")
 #: Thai, Lao, Burmese, Khmer, kana, Han and full-width characters.
@@ -65,7 +67,7 @@ def word_table() -> WordTable:
     return WordTable(described, (np.uint64, bool, bool))
 
 
-def sentence_spans(texts: list[str], memo: WordTable, prefix: PrefixHashes, sentences: int, words: int, reach: int = 0):
+def sentence_spans(texts: list[str], memo: WordTable, prefix: PrefixHashes, sentences: int, words: int, reach: int = 0, run: int = RUN):
     """For each span: text number, first word, word behind the last, hash."""
     split = [words_of(t) for t in texts]
     flat = list(chain.from_iterable(split))
@@ -79,29 +81,36 @@ def sentence_spans(texts: list[str], memo: WordTable, prefix: PrefixHashes, sent
     begins[1:] |= ends[:-1]
     begins[first[:-1][size > 0]] = True
 
-    def spans(begins):
-        edges = np.append(np.flatnonzero(begins), len(flat))  # first words of sentences
-        starts = edges[:-1]
-        of = np.searchsorted(first, starts, side="right") - 1
-        to = np.maximum(np.arange(len(starts)) + sentences, np.searchsorted(edges, starts + words))
-        ok = to < len(edges)
-        ok[ok] = edges[to[ok]] <= first[of[ok] + 1]
-        return starts[ok], edges[to[ok]], of[ok]
-
-    a, b, of = spans(begins)
-    if 0 < reach <= len(flat):
-        seen = np.concatenate([[0], np.cumsum(begins)])
-        free = np.flatnonzero(seen[reach:] == seen[:-reach])  # never across texts, whose first words begin sentences
-        units = begins.copy()
-        units[free + np.lib.stride_tricks.sliding_window_view(hashes, reach)[free].argmin(1)] = True
+    edges = np.append(np.flatnonzero(begins), len(flat))  # first words of sentences
+    a = edges[:-1]
+    of = np.searchsorted(first, a, side="right") - 1
+    to = np.maximum(np.arange(len(a)) + sentences, np.searchsorted(edges, a + words))
+    ok = to < len(edges)
+    ok[ok] = edges[to[ok]] <= first[of[ok] + 1]
+    a, b, of = a[ok], edges[to[ok]], of[ok]
+    if reach and len(flat) >= run:
         known = np.zeros(len(flat), np.int64)
         known[a] = b
-        more = spans(units)
-        new = known[more[0]] != more[1]
-        a, b, of = (np.concatenate([x, y[new]]) for x, y in zip((a, b, of), more, strict=True))
+        more = least_places(hashes, first, reach)
+        its = np.searchsorted(first, more, side="right") - 1
+        new = (more + run <= first[its + 1]) & (known[more] != more + run)
+        a, b, of = (np.concatenate([x, y[new]]) for x, y in ((a, more), (b, more + run), (of, its)))
     return of, a - first[of], b - first[of], prefix.spans(hashes, a, b)
 
 
+def least_places(hashes: np.ndarray, first: np.ndarray, reach: int) -> np.ndarray:
+    """Places with the smallest hash of ``reach`` words in a row (the first of equal ones) within a text."""
+    if len(hashes) < reach:
+        return np.empty(0, np.int64)
+    starts = np.arange(len(hashes) - reach + 1)
+    starts = starts[starts + reach <= first[np.searchsorted(first, starts, side="right")]]
+    chosen = np.zeros(len(hashes), bool)
+    for at in range(0, len(starts), 1 << 16):
+        some = starts[at : at + (1 << 16)]
+        chosen[some + np.lib.stride_tricks.sliding_window_view(hashes, reach)[some].argmin(1)] = True
+    return np.flatnonzero(chosen)
+
+
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key (a hash that, with the id, tells rows of different texts apart) and t."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -109,7 +118,8 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(id_col).isNull().alias("no_id"), F.xxhash64(id_col, text).alias("key"), text.alias("t"))
 
 
-def span_rows(keyed: DataFrame, sentences: int, words: int, bitmap=None, bits: int = BITS, reach: int = 0) -> DataFrame:
+def span_rows(keyed: DataFrame, sentences: int, words: int, bitmap=None, bits: int = BITS, reach: int = 0,
+              run: int = RUN) -> DataFrame:
     """Spans as rows: id, key, h, a, b and again (not the hash's first place in its text).
     Without a bitmap only id, h and again, once for each hash of a batch and id."""
     import pyarrow as pa
@@ -119,7 +129,7 @@ def span_rows(keyed: DataFrame, sentences: int, words: int, bitmap=None, bits: i
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                of, a, b, h = sentence_spans(part.column("t").to_pylist(), memo, prefix, sentences, words, reach)
+                of, a, b, h = sentence_spans(part.column("t").to_pylist(), memo, prefix, sentences, words, reach, run)
                 order = np.lexsort((a, h, of))
                 of, a, b, h = of[order], a[order], b[order], h[order]
                 again = np.zeros(len(h), bool)
@@ -140,7 +150,8 @@ def span_rows(keyed: DataFrame, sentences: int, words: int, bitmap=None, bits: i
 
 
 def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                    sentences: int = LEAST_SENTENCES, words: int = LEAST_WORDS, bits: int = BITS, reach: int = 0) -> DataFrame:
+                    sentences: int = LEAST_SENTENCES, words: int = LEAST_WORDS, bits: int = BITS, reach: int = 0,
+                    run: int = RUN) -> DataFrame:
     """doc_id, n_bytes, n_removed (bytes), n_spans (runs of removed words) and kept_text
     of every row of ``docs``.
 
@@ -148,17 +159,18 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     span.  Rows that share an id are parts of one document: a span in two of them
     stays in both.  A null id comes after all others.  Repeated rows are rows of
     their own with the same result.  Other columns are not read; an empty table
-    gives no rows.  Without a ``reach`` only whole sentences are removed.
+    gives no rows.  Whole texts are read however long.  Without a ``reach`` only whole
+    sentences are removed.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     keyed = keyed_texts(docs, id_col, text_col)
-    counted = span_rows(keyed, sentences, words, reach=reach).groupBy("h").agg(
+    counted = span_rows(keyed, sentences, words, reach=reach, run=run).groupBy("h").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), F.max("again").alias("twice"))
     repeated = kept_table(counted.where((F.col("first") < F.col("last")) | F.col("twice")).select("h", "first"), "spans")
     bitmap = spark.sparkContext.broadcast(hash_bitmap(repeated, "h", bits))
-    places = span_rows(keyed, sentences, words, bitmap, bits, reach).join(repeated, "h")
+    places = span_rows(keyed, sentences, words, bitmap, bits, reach, run).join(repeated, "h")
     covered = (places.where((F.col("id") > F.col("first")) | F.col("again")).groupBy("id", "key")
                .agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     joined = keyed.join(covered, ["id", "key"], "left").select("id", "no_id", "t", "spans.a", "spans.b")

@@ -107,7 +107,16 @@ def test_one_row_of_each_near_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in groups})
 
 
-def brute_spans(rows, sentences=2, least=12):
+def brute_runs(pieces, reach, run):
+    """Runs of so many words that begin at the word with the smallest hash of ``reach`` words."""
+    if not reach:
+        return []
+    hashes = [(sentence_spans.described(p)[0], i) for i, p in enumerate(pieces)]
+    starts = {min(hashes[i : i + reach])[1] for i in range(len(pieces) - reach + 1)}
+    return [(a, a + run) for a in sorted(starts) if a + run <= len(pieces)]
+
+
+def brute_spans(rows, sentences=2, least=12, reach=0, run=36):
     """Removed word places of each row, by the definition."""
     cut = {}
     for key, (doc, text) in enumerate(rows):
@@ -121,6 +130,11 @@ def brute_spans(rows, sentences=2, least=12):
             if to is not None:
                 words = tuple(p.strip().encode().lower() for p in pieces[edges[i] : edges[to]])
                 spans.append((words, edges[i], edges[to]))
+        known = {(x, y) for _, x, y in spans}
+        for a, b in brute_runs(pieces, reach, run):
+            if (a, b) not in known:
+                spans.append((tuple(p.strip().encode().lower() for p in pieces[a:b]), a, b))
+        spans.sort(key=lambda s: s[1])
         cut[key] = (doc, pieces, spans)
     first = {}
     big = 1 << 63
@@ -150,6 +164,13 @@ def test_sentence_spans_equal_brute_force(spark, odd, sf001, empty):
         rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
         got = Counter(tuple(r) for r in sentence_spans.dedup_sentences(docs, bits=18).collect())
         assert got == brute_spans(rows)
+        if docs is odd:  # one text of 27,000 words
+            continue
+        got = Counter(tuple(r) for r in sentence_spans.dedup_sentences(docs, bits=18, reach=sentence_spans.REACH).collect())
+        assert got == brute_spans(rows, reach=sentence_spans.REACH, run=sentence_spans.RUN)
+        if docs is planted:
+            got = Counter(tuple(r) for r in sentence_spans.dedup_sentences(docs, bits=18, reach=3, run=9).collect())
+            assert got == brute_spans(rows, reach=3, run=9)
     got = {r.doc_id: r for r in sentence_spans.dedup_sentences(planted, bits=18).where("doc_id <> 3").collect()}
     assert got[1].n_removed == got[5].n_removed == 0 and got[2].kept_text.strip() == "we go on and on." and got[4].kept_text == ""
     assert sentence_spans.dedup_sentences(empty, bits=16).count() == 0
@@ -242,7 +263,15 @@ def test_repeated_passages_without_whole_sentences_are_removed(spark):
         later = got[2 * n + 1]
         assert later.n_removed > 0 and " ".join(passage) not in " ".join(later.kept_text.split())
         gone = set(dict(rows)[2 * n + 1].split()) - set(later.kept_text.split())
-        assert gone <= set(passage)
+        assert gone <= set(passage) and len(gone) >= sentence_spans.RUN
+
+
+def test_a_stretch_within_a_long_sentence_stays(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    shared = words(31)
+    docs = spark.createDataFrame([(i, f"{words(40)} {shared} {words(40)}") for i in range(3)], "doc_id long, text string")
+    assert {r.n_removed for r in sentence_spans.spans_digest(docs).collect()} == {0}
 
 
 def test_other_scripts_have_sentences(spark):
