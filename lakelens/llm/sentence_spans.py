@@ -99,15 +99,20 @@ def sentence_spans(texts: list[str], memo: WordTable, prefix: PrefixHashes, sent
 
 
 def least_places(hashes: np.ndarray, first: np.ndarray, reach: int) -> np.ndarray:
-    """Places with the smallest hash of ``reach`` words in a row (the first of equal ones) within a text."""
-    if len(hashes) < reach:
+    """Places with the smallest hash (its upper half) of ``reach`` words in a row, the first of equal ones, within a text."""
+    n = len(hashes) - reach + 1
+    if n <= 0:
         return np.empty(0, np.int64)
-    starts = np.arange(len(hashes) - reach + 1)
-    starts = starts[starts + reach <= first[np.searchsorted(first, starts, side="right")]]
+    place = np.uint64(0xFFFFFFFF)
+    least, width = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), 1
+    while width < reach:  # the least of width words from each place, then of more
+        step = min(width, reach - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    within = np.ones(n, bool)
+    for end in first[1:-1].tolist():
+        within[max(0, end - reach + 1) : end] = False
     chosen = np.zeros(len(hashes), bool)
-    for at in range(0, len(starts), 1 << 16):
-        some = starts[at : at + (1 << 16)]
-        chosen[some + np.lib.stride_tricks.sliding_window_view(hashes, reach)[some].argmin(1)] = True
+    chosen[(least[within] & place).astype(np.int64)] = True
     return np.flatnonzero(chosen)
 
 

@@ -108,10 +108,10 @@ def test_one_row_of_each_near_group_stays(spark):
 
 
 def brute_runs(pieces, reach, run):
-    """Runs of so many words that begin at the word with the smallest hash of ``reach`` words."""
+    """Runs of so many words that begin at the word with the smallest hash (upper half) of ``reach`` words."""
     if not reach:
         return []
-    hashes = [(sentence_spans.described(p)[0], i) for i, p in enumerate(pieces)]
+    hashes = [(sentence_spans.described(p)[0] >> 32, i) for i, p in enumerate(pieces)]
     starts = {min(hashes[i : i + reach])[1] for i in range(len(pieces) - reach + 1)}
     return [(a, a + run) for a in sorted(starts) if a + run <= len(pieces)]
 
