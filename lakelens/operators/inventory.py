@@ -118,9 +118,11 @@ def lake_inventory(spark: SparkSession, base: str, live: bool = True) -> DataFra
         sizes = one if sizes is None else sizes.unionByName(one)
     if sizes is None:
         return listed
-    return listed.join(sizes, ["database", "table_name"], "left").select(
-        "database", "table_name", "format", F.coalesce("live_count", "file_count").alias("file_count"),
-        F.coalesce("live_bytes", "size_bytes").alias("size_bytes"), "last_modified")
+    # stacked, not joined: names that are literals would leave a join without keys
+    both = listed.unionByName(sizes, allowMissingColumns=True)
+    return both.groupBy("database", "table_name").agg(
+        F.max("format").alias("format"), F.coalesce(F.max("live_count"), F.max("file_count")).alias("file_count"),
+        F.coalesce(F.max("live_bytes"), F.max("size_bytes")).alias("size_bytes"), F.max("last_modified").alias("last_modified"))
 
 
 def table_formats(spark: SparkSession, base: str) -> DataFrame:
