@@ -26,7 +26,9 @@ group survives if two documents hold its name.
 *Round 3, the threshold.*  A surviving group is sent with its bytes.  Equal
 groups are one class with the smallest id that holds them; only where one 33-byte
 name has several classes are their windows named one by one, and each window
-goes to the smallest id that any class has for it.
+goes to the smallest id that any class has for it.  Equal windows have equal names of
+33 bytes, so the classes of one name are compared where they meet, in one task, and no row
+is made of a window; the windows of a name with over ``TOGETHER`` classes are dealt out as rows.
 
 Rows that a round doesn't need are held back by bitmaps of fixed size of the
 surviving ranks; a hit by chance costs a row and changes nothing.
@@ -35,7 +37,7 @@ surviving ranks; a hit by chance costs a row and changes nothing.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.llm.words import discard, hash_bitmap, in_bitmap, kept_table, mixed
@@ -47,6 +49,9 @@ GROUP = 18
 BITS = 27
 LAST_ID = (1 << 63) - 1
 
+#: Classes of one name that a task compares window by window.
+TOGETHER = 1000
+
 #: A text longer than this is read in segments that overlap by a window.
 SEGMENT = 1 << 22
 
@@ -194,8 +199,8 @@ def with_id(names: np.ndarray, doc) -> np.ndarray:
     return mixed(names ^ mixed(np.asarray(doc, np.int64).astype(np.uint64)))
 
 
-def repeats(keyed: DataFrame, length: int, rank: int, bits: int) -> DataFrame:
-    """id, key, a and b of stretches to remove (overlapping ones included)."""
+def repeats(keyed: DataFrame, length: int, rank: int, bits: int, together: int = TOGETHER) -> DataFrame:
+    """Table of id, key and spans: a and b of the stretches to remove (overlapping ones included)."""
     import pyarrow as pa
 
     sc = keyed.sparkSession.sparkContext
@@ -251,7 +256,59 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int) -> DataFrame:
     whole = found.where("bytes is null").select("id", "key", "a", F.expr(f"b + {length - 1}").alias("b"))
     groups = found.where("bytes is not null")
     classes = kept_table(groups.groupBy("r", "kind").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("bytes").alias("bytes")), "classes")
-    several = classes.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r")
+    crowded = kept_table(classes.groupBy("r").agg(F.count("*").alias("n")).where(F.col("n") > together).select("r"), "crowded-names")
+
+    def decide(batches):
+        """Of rows in the order of r: runs (j to k) of each class's windows whose smallest id m is below the class's largest."""
+        ranks, rows, size = Ranks(), [], 0
+
+        def decided_rows(r, kind, n, lo, hi, raw):
+            lengths = np.array([len(x) for x in raw])
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            many = lengths - length + 1
+            of = np.repeat(np.arange(len(raw)), many)
+            j = np.arange(len(of)) - (np.cumsum(many) - many)[of]
+            at = (np.cumsum(lengths) - lengths)[of] + j
+            _, name = np.unique(ranks.of(ranks.read(data), at, at + length), return_inverse=True)
+            m = np.full(int(name.max()) + 1, LAST_ID)
+            np.minimum.at(m, name, lo[of])
+            m = m[name]
+            use = np.flatnonzero((m < hi[of]) & (n > 1)[of])
+            # runs of windows with one smallest id
+            first = np.flatnonzero((np.diff(use, prepend=-2) != 1) | (j[use] == 0) | (np.diff(m[use], prepend=0) != 0))
+            last = np.append(first[1:], len(use))[: len(first)] - 1
+            first, last = use[first], use[last]
+            sizes = np.bincount(of[first], minlength=len(raw))
+            keep = np.flatnonzero((sizes > 0) | ((n == 1) & (lo < hi)))
+            ends = np.append(0, np.cumsum(sizes[keep])).astype(np.int32)
+            runs = pa.StructArray.from_arrays([pa.array(j[first]), pa.array(j[last]), pa.array(m[first])], names=["j", "k", "m"])
+            each = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(n[keep] == 1, False)), runs)
+            return pa.RecordBatch.from_arrays([pa.array(r[keep]), pa.array(kind[keep]), pa.array(lo[keep]), each], names=["r", "kind", "lo", "each"])
+
+        def joined(ended):
+            """What is decided of the rows whose names have no more rows to come, and the other rows."""
+            columns = [np.concatenate(c) for c in zip(*(x[:5] for x in rows), strict=True)]
+            raw = [x for part in rows for x in part[5]]
+            cut = len(raw) if ended else int(np.argmax(columns[0] == columns[0][-1]))
+            rest = [] if cut == len(raw) else [(*(c[cut:] for c in columns), raw[cut:])]
+            return (decided_rows(*(c[:cut] for c in columns), raw[:cut]) if cut else None), rest
+
+        for whole in batches:
+            for batch in (whole.slice(at, 5000) for at in range(0, whole.num_rows, 5000)):
+                rows.append((*(batch.column(c).to_numpy() for c in ("r", "kind", "n", "lo", "hi")), batch.column("bytes").to_pylist()))
+                size += batch.num_rows
+                if size >= 5000:
+                    out, rows = joined(ended=False)
+                    size = sum(len(x[5]) for x in rows)
+                    if out is not None:
+                        yield out
+        if rows:
+            yield joined(ended=True)[0]
+
+    uncrowded = (classes.join(crowded, "r", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("r")))
+                 .where("n > 1 or lo < hi").select("r", "kind", "n", "lo", "hi", "bytes").sortWithinPartitions("r"))
+    each_type = "array<struct<j: long, k: long, m: long>>"
+    decided = kept_table(uncrowded.mapInArrow(decide, f"r long, kind long, lo long, each {each_type}"), "decided")
 
     def name_windows(batches):
         ranks = Ranks()
@@ -265,22 +322,27 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["r", "kind", "j", "w", "lo"])
 
-    windows = kept_table(classes.join(several, "r").select("r", "kind", "lo", "bytes").mapInArrow(
+    crowd = classes.join(crowded, "r")
+    windows = kept_table(crowd.select("r", "kind", "lo", "bytes").mapInArrow(
         name_windows, "r long, kind long, j long, w long, lo long"), "windows")
     first = windows.groupBy("w").agg(F.min("lo").alias("m"))
-    per_class = windows.join(first, "w").groupBy("r", "kind").agg(F.collect_list(F.struct("j", "m")).alias("each"))
-    decided = kept_table(classes.select("r", "kind", "lo", "hi").join(per_class, ["r", "kind"], "left")
-                         .where("lo < hi or exists(each, x -> x.m < hi)").select("r", "kind", "lo", "each"), "decided")
-    discard(classes, windows)
-    placed = groups.select("r", "kind", "id", "key", "a", "b").join(decided, ["r", "kind"])
+    per_class = windows.join(first, "w").groupBy("r", "kind").agg(F.collect_list(F.struct("j", F.col("j").alias("k"), "m")).alias("each"))
+    dealt = kept_table(crowd.select("r", "kind", "lo", "hi").join(per_class, ["r", "kind"]).where("exists(each, x -> x.m < hi)")
+                       .select("r", "kind", "lo", "each"), "dealt-windows")
+    discard(classes, windows, crowded)
+    decided_all = decided.unionByName(dealt)
+    placed = groups.select("r", "kind", "id", "key", "a", "b").join(decided_all, ["r", "kind"])
     same = placed.where("each is null and lo < id").select("id", "key", "a", F.expr(f"b + {length - 1}").alias("b"))
     single = (placed.where("each is not null").select("id", "key", "a", F.explode(F.expr("filter(each, x -> x.m < id)")).alias("x"))
-              .select("id", "key", F.expr("a + x.j").alias("a"), F.expr(f"a + x.j + {length}").alias("b")))
-    return whole.unionByName(same).unionByName(single)
+              .select("id", "key", F.expr("a + x.j").alias("a"), F.expr(f"a + x.k + {length}").alias("b")))
+    spans = whole.unionByName(same).unionByName(single).groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    out = kept_table(spans, "spans")
+    discard(found, decided, dealt)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                     rank: int = RANK, bits: int = BITS) -> DataFrame:
+                     rank: int = RANK, bits: int = BITS, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that
     stay) of every row of ``docs``.
 
@@ -295,7 +357,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not 0 < rank <= length - GROUP:
         raise ValueError(f"rank must be at most length - {GROUP}")
     keyed = keyed_texts(docs, id_col, text_col)
-    spans = repeats(keyed, length, rank, bits).groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = repeats(keyed, length, rank, bits, together)
     joined = keyed.join(spans, ["id", "key"], "left").select("id", "no_id", "t", "spans.a", "spans.b")
 
     def cut(batches):

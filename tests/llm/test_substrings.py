@@ -76,3 +76,29 @@ def test_sample_of_the_documents(spark, sf001, empty):
     assert suffix_dedup.dedup_substrings(empty, bits=16).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.dedup_substrings(empty, length=20)
+
+
+def written_rows(monkeypatch, module):
+    """Rows of each kind of table that a module writes from now on."""
+    made, kept = Counter(), module.kept_table
+
+    def counting(df, name):
+        table = kept(df, name)
+        made[name] += table.count()
+        return table
+
+    monkeypatch.setattr(module, "kept_table", counting)
+    return made
+
+
+@pytest.mark.parametrize("together", [2, 1000])
+def test_classes_of_one_name_are_compared_in_place(spark, monkeypatch, together):
+    """Windows become rows only for names with more classes than a task compares."""
+    made = written_rows(monkeypatch, suffix_dedup)
+    rows = edited_family(seed=11)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in suffix_dedup.dedup_substrings(df, bits=16, together=together).collect())
+    got = Counter({(*k[:4], bytes(k[4])): n for k, n in got.items()})
+    assert got == brute(rows)
+    assert made["decided"] > 0
+    assert (made["windows"] > 0) == (together == 2)
