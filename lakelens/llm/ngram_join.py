@@ -221,9 +221,10 @@ def prefix_postings(docs: DataFrame, text_col: str, k: int, percent: int, counts
     return found
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, table: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
-    """Table of node and s (its n-grams) of the given nodes.  ``table`` (of ``described``)
-    says which rows have them; other texts aren't cut into n-grams again."""
+def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, table: DataFrame, nodes: DataFrame, listed: DataFrame, bits: int) -> DataFrame:
+    """Table of node, s (its n-grams) and in_long of the given nodes; in_long: they are among ``listed``,
+    those of long lists.  ``table`` (of ``described``) says which rows have them; other texts aren't cut
+    into n-grams again."""
     import pyarrow as pa
 
     rows = table.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("h"))
@@ -241,7 +242,8 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, table: DataFram
                                                  names=["node", "s"])
 
     found = texts.mapInArrow(scan, "node binary, s binary")
-    return kept_table(found.groupBy("node").agg(F.first("s").alias("s")), "set-members")
+    marked = listed.distinct().withColumn("in_long", F.lit(True))
+    return kept_table(found.groupBy("node").agg(F.first("s").alias("s")).join(marked, "node", "left"), "set-members")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -305,10 +307,10 @@ def centred(big: DataFrame, sizes: DataFrame, sets: DataFrame) -> tuple[DataFram
 
         def batch_of():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                                              names=["key", "c", "p"])
+                                              names=["jury", "c", "p"])
 
         for batch in batches:
-            for k, s in zip(batch.column("key").to_pylist(), batch.column("s").to_pylist(), strict=True):
+            for k, s in zip(batch.column("jury").to_pylist(), batch.column("s").to_pylist(), strict=True):
                 if voters and k != key:
                     found.append(voted())
                     voters = []
@@ -322,22 +324,27 @@ def centred(big: DataFrame, sizes: DataFrame, sets: DataFrame) -> tuple[DataFram
         if found:
             yield batch_of()
 
+    # lists with the same voters have one centre, and the voters' sets are read for it once
     picked = big.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(VOTERS)).alias("seat")).agg(F.min("node").alias("node"))
-    voters = picked.join(sets, "node").select("key", "s").repartition("key").sortWithinPartitions("key")  # at most VOTERS sets a key
+    juries = picked.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # at most VOTERS nodes a key
+    juries = kept_table(juries.withColumn("jury", F.xxhash64("nodes")), "juries")
+    voters = juries.groupBy("jury").agg(F.first("nodes").alias("nodes")).select("jury", F.explode("nodes").alias("node"))
+    voters = voters.join(sets, "node").select("jury", "s").repartition("jury").sortWithinPartitions("jury")
     with small_batches(big.sparkSession):
-        centres = kept_table(voters.mapInArrow(majority, "key long, c binary, p binary"), "centres")
-    lists = centres.select("key", "c").join(sizes, "key")
+        centres = kept_table(voters.mapInArrow(majority, "jury long, c binary, p binary"), "centres")
+    lists = kept_table(juries.select("key", "jury").join(centres.select("jury", "c"), "jury").join(sizes, "key").select("key", "c", "size"), "centred-lists")
+    discard(juries)
     total = lists.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     members = kept_table(join_facts(big, lists, "key", "size", total).select("node", "c").distinct(), "members")
     one = (centres.groupBy("c").agg(F.first("p").alias("p"))
            .join(lists.groupBy("c").agg(F.max("size").alias("members")), "c")
            .join(members.groupBy("c").agg(F.count("*").alias("many")), "c"))
     out = kept_table(one, "centre-sets")
-    discard(centres)
+    discard(centres, lists)
     return out, members
 
 
-def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, counts: np.ndarray, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Of the long lists: table of the links (u, v) of near members, and table of the postings of differences."""
     import pyarrow as pa
 
@@ -371,7 +378,7 @@ def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
     near = known.where((F.col("f") + F.col("fo") <= 0) & (F.col("node") != F.col("o")))
     links = kept_table(near.select(F.col("node").alias("u"), F.col("o").alias("v")), "links")
 
-    def prefixes(batches):
+    def prefixes(batches, met=None):
         for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             keys, of, places, sides = [], [], [], []
             for i, (c, n, rank, f, fo, raw) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("c", "n", "rank", "f", "fo", "rest")), strict=True)):
@@ -383,10 +390,14 @@ def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
                     if side == FAR and fo > 0:  # nobody is near
                         continue
                     salt = np.frombuffer(c[:8], np.uint64)[0] ^ np.uint64(0 if side == ALL else 0x51ED270B153A4D2F)
-                    keys.append(mixed(head ^ salt))
-                    of.append(np.full(len(head), i))
-                    places.append(np.arange(len(head), dtype=np.int32))
-                    sides.append(np.full(len(head), side, np.int32))
+                    key, place = mixed(head ^ salt), np.arange(len(head), dtype=np.int32)
+                    if met is not None:
+                        hit = in_bitmap(met.value, key, bits)
+                        key, place = key[hit], place[hit]
+                    keys.append(key)
+                    of.append(np.full(len(key), i))
+                    places.append(place)
+                    sides.append(np.full(len(key), side, np.int32))
             if keys:
                 at = np.concatenate(of)
                 which = pa.array(at)
@@ -395,10 +406,19 @@ def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
                      pa.array(np.ones(len(at), np.int32)), pa.array(np.concatenate(places)), batch.column("rank").take(which).cast(pa.int32()),
                      pa.array(np.concatenate(sides))], names=["key", "node", "n", "matches", "place", "rank", "side"])
 
-    rows = known.select("c", "node", "n", "rank", "f", "fo", "rest").mapInArrow(
-        prefixes, "key long, node binary, n long, matches int, place int, rank int, side int")
+    # near members only meet far ones: they have postings under the far ones' keys alone
+    schema = "key long, node binary, n long, matches int, place int, rank int, side int"
+    rows = known.select("c", "node", "n", "rank", "f", "fo", "rest")
+    is_near = F.col("f") + F.col("fo") <= 0
     with small_batches(big.sparkSession):
-        postings = kept_table(rows.dropDuplicates(["key", "node"]), "postings")
+        postings = kept_table(rows.where(~is_near).mapInArrow(prefixes, schema), "postings")
+    asked = hash_bitmap(postings.where(F.col("side") == FAR), "key", bits)
+    if asked.any():
+        met = big.sparkSession.sparkContext.broadcast(asked)
+        with small_batches(big.sparkSession):
+            both = postings.unionByName(rows.where(is_near).mapInArrow(lambda batches: prefixes(batches, met), schema))
+            far, postings = postings, kept_table(both, "postings")
+        discard(far)
     discard(centres, members, apart, least)
     return links, postings
 
@@ -416,12 +436,13 @@ def links(docs: DataFrame, table: DataFrame, *, id_col: str = "doc_id", text_col
         pairs = pairs_of(postings, sizes, percent, short, longs)
         if sets is None:
             nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(big.select("node"))
-            sets = sets_of(docs, id_col, text_col, k, table, nodes, bits)
+            sets = sets_of(docs, id_col, text_col, k, table, nodes, big.select("node"), bits)
         found.append(verified(pairs, sets, percent))
         discard(postings, pairs)
         postings = None
         if most > short:
-            near, postings = next_level(big, sizes, sets, percent, counts)
+            # members of later long lists are among those of the first
+            near, postings = next_level(big, sizes, sets.where("in_long").select("node", "s"), percent, counts, bits)
             found.append(near)
         discard(sizes, big)
     discard(sets)

@@ -371,3 +371,46 @@ def test_short_and_placeholder_items_are_found_word_by_word(spark):
                                   (6, "3 4 5 6"), (7, "7 3 4 5 6 7 for all of us")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(1, 1): True, (2, 2): True, (4, 3): True, (6, 4): True, (7, 4): True}
+
+
+def copies_of_one(n, words=400):
+    """Texts that differ from one text in a word of their own each."""
+    base = [f"w{i}" for i in range(words)]
+    return [(i, " ".join([*base[:7 * i % words], f"own{i}", *base[7 * i % words + 1:]])) for i in range(n)]
+
+
+def test_members_that_are_all_near_have_no_postings(spark, monkeypatch):
+    """Near members only meet far ones; without far ones they take no part in another level."""
+    from lakelens.llm import ngram_join
+
+    levels, level = [], ngram_join.next_level
+
+    def counted(*args, **named):
+        out = level(*args, **named)
+        levels.append(out[1].count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "next_level", counted)
+    rows = copies_of_one(60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_groups(df)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, 0) for i, _ in rows}
+    assert levels == [0]
+
+
+def test_lists_with_the_same_voters_read_their_sets_once(spark, monkeypatch):
+    """Sixty copies share many n-grams of their prefixes: many lists with the same members, and one vote."""
+    from lakelens.llm import ngram_join
+
+    made, kept = {}, ngram_join.kept_table
+
+    def counting(df, name):
+        table = kept(df, name)
+        made.setdefault(name, table.count())
+        return table
+
+    monkeypatch.setattr(ngram_join, "kept_table", counting)
+    rows = [(i, t + f" end{i}") for i, t in enumerate([" ".join(f"w{j}" for j in range(100))] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.near_groups(df).collect()} == {0}
+    assert made["centred-lists"] > 5 and made["centres"] == 1
