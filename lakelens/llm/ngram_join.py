@@ -143,7 +143,8 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[Data
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
                                              names=["block", "counts"])
 
-    table = kept_table(rows.mapInArrow(scan, f"doc_id {id_type}, text_hash long, n long, node binary, block int, counts binary"), "sets")
+    with small_batches(docs.sparkSession, 1000):
+        table = kept_table(rows.mapInArrow(scan, f"doc_id {id_type}, text_hash long, n long, node binary, block int, counts binary"), "sets")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     parts = table.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add_up, "block int, counts binary")
     for r in parts.collect():  # 2^20 numbers in all
@@ -192,7 +193,8 @@ def prefix_postings(docs: DataFrame, text_col: str, k: int, percent: int, counts
         return {"node": pa.array([node], pa.binary()), "n": pa.array([len(s)], pa.int64()),
                 "matches": pa.array([matches], pa.int32()), "head": pa.array([head.tobytes()], pa.binary())}
 
-    table = kept_table(from_sets(texts_of(docs, text_col), k, "node binary, n long, matches int, head binary", prefix), "prefixes")
+    with small_batches(docs.sparkSession, 1000):
+        table = kept_table(from_sets(texts_of(docs, text_col), k, "node binary, n long, matches int, head binary", prefix), "prefixes")
 
     def keys(batches):
         for batch in batches:
@@ -243,7 +245,8 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, table: DataFram
 
     found = texts.mapInArrow(scan, "node binary, s binary")
     marked = listed.distinct().withColumn("in_long", F.lit(True))
-    return kept_table(found.groupBy("node").agg(F.first("s").alias("s")).join(marked, "node", "left"), "set-members")
+    with small_batches(docs.sparkSession, 1000):
+        return kept_table(found.groupBy("node").agg(F.first("s").alias("s")).join(marked, "node", "left"), "set-members")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

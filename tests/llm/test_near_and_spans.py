@@ -414,3 +414,20 @@ def test_lists_with_the_same_voters_read_their_sets_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.component_id for r in ngram_join.near_groups(df).collect()} == {0}
     assert made["centred-lists"] > 5 and made["centres"] == 1
+
+
+def test_texts_go_to_workers_in_small_batches(spark, monkeypatch):
+    """Tables made from whole texts get at most 1,000 texts at once, also in the pipeline's stage."""
+    from lakelens.llm import ngram_join
+
+    most, kept = {}, ngram_join.kept_table
+
+    def noting(df, name):
+        most[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return kept(df, name)
+
+    monkeypatch.setattr(ngram_join, "kept_table", noting)
+    df = spark.createDataFrame(copies_of_one(3), "doc_id long, text string")
+    assert ngram_join.without_near_copies(df, k=5, percent=80).count() == 1
+    assert max(most[name] for name in ("sets", "prefixes", "set-members")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000
