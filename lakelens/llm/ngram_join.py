@@ -25,9 +25,10 @@ the least f.
 * Otherwise they share an n-gram of S(x) and S(y), at least (f(x) + f(y)) / 2 of them, and again a
   prefix of each will do.  Two near members needn't be found.
 
-S(x) is ordered by how many members differ from c in the same way: an n-gram that c lacks by its
-count, one that c has by the members less its count.  The prefixes are postings under (c, n-gram)
-and the lists of the next level, where size, place and shared differences filter pairs again.
+S(x) is ordered by how many members differ from c in the same way, counted where more than a 64th
+of them do.  The prefixes are postings under (c, n-gram)
+and the lists of the next level, where size, place and shared differences filter pairs again;
+lists without a far member, or of far ones that only look for near ones, have no pairs and go.
 Fewer than half of the members (as far as the ones looked at tell) differ from c at an
 n-gram, so lists halve from level to level; the levels end when no long list is left.
 
@@ -77,12 +78,22 @@ def node_of(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def differences(a: np.ndarray, centre: np.ndarray, counts: np.ndarray, members: int) -> np.ndarray:
-    """N-grams that a set and its centre don't share, by the members that differ from the centre there."""
-    rest = np.setxor1d(a, centre, assume_unique=True)
-    many = counts[slots(rest)]
-    many = np.where(np.isin(rest, centre, assume_unique=True), np.maximum(1, members - many), many)
-    return rest[np.lexsort((rest, many))]
+def rare_first(rest: np.ndarray, usual: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """N-grams in the order of the members that have them; ``usual``: sorted, those that more than a few have."""
+    if not len(usual) or not len(rest):
+        return rest
+    at = np.minimum(np.searchsorted(usual, rest), len(usual) - 1)
+    return rest[np.lexsort((rest, np.where(usual[at] == rest, members[at], 0)))]
+
+
+def list_sizes(postings: DataFrame, short: int) -> DataFrame:
+    """Table of key, size and long of the lists that have pairs to compare.  A list is long if it is
+    larger than ``short`` and its pairs are more than those of lists of that size with as many members."""
+    near, far = F.count_if(F.col("side") == NEAR), F.count_if(F.col("side") == FAR)
+    every = F.count_if(F.col("side") == ALL)
+    pairs = F.expr("every * (every - 1) / 2 + near * far")
+    return (postings.groupBy("key").agg(F.count("*").alias("size"), every.alias("every"), near.alias("near"), far.alias("far"))
+            .where(pairs > 0).select("key", "size", ((F.col("size") > short) & (2 * pairs > short * F.col("size"))).alias("long")))
 
 
 def prefix_of(s: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
@@ -270,10 +281,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return kept_table(rows.mapInArrow(scan, "u binary, v binary"), "links")
 
 
-def pairs_of(postings: DataFrame, sizes: DataFrame, percent: int, short: int, longs: DataFrame | None) -> DataFrame:
+def pairs_of(postings: DataFrame, sizes: DataFrame, percent: int, longs: DataFrame | None) -> DataFrame:
     """Table of the pairs x, y of short lists that size, place and matches leave.  ``longs``: the long lists' number
     for each node, for postings of whole sets; None for those of differences, which have ``rank`` n-grams."""
-    little = postings.join(sizes.where(F.col("size") <= short), "key")
+    little = postings.join(sizes.where(~F.col("long")), "key")
     a, b = little.alias("a"), little.alias("b")
     smaller, larger = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     of = "n" if longs is not None else "rank"
@@ -347,19 +358,18 @@ def centred(big: DataFrame, sizes: DataFrame, sets: DataFrame) -> tuple[DataFram
     return out, members
 
 
-def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, counts: np.ndarray, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Of the long lists: table of the links (u, v) of near members, and table of the postings of differences."""
     import pyarrow as pa
 
-    given = big.sparkSession.sparkContext.broadcast(counts)
     centres, members = centred(big, sizes, sets)
 
     def differ(batches):
         for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             n, rank, rest = [], [], []
-            for s, p, many in zip(*(batch.column(c).to_pylist() for c in ("s", "p", "members")), strict=True):
+            for s, p in zip(*(batch.column(c).to_pylist() for c in ("s", "p")), strict=True):
                 a = np.frombuffer(s, np.uint64)
-                r = differences(a, np.frombuffer(p, np.uint64), given.value, many)
+                r = np.setxor1d(a, np.frombuffer(p, np.uint64), assume_unique=True)
                 n.append(len(a))
                 rank.append(len(r))
                 rest.append(r.tobytes())
@@ -369,9 +379,24 @@ def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
     # a centre's set goes to its members in parts
     dealt = members.join(sets, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     parts = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = dealt.join(parts.select("c", "salt", "p", "members").hint("merge"), ["c", "salt"]).select("c", "node", "s", "p", "members")
+    rows = dealt.join(parts.select("c", "salt", "p").hint("merge"), ["c", "salt"]).select("c", "node", "s", "p")
     with small_batches(big.sparkSession):
         apart = kept_table(rows.mapInArrow(differ, "c binary, node binary, n long, rank long, rest binary"), "differences")
+
+    def counted(batches):
+        for batch in batches:
+            by: dict[bytes, list] = {}
+            for c, rest in zip(*(batch.column(x).to_pylist() for x in ("c", "rest")), strict=True):
+                by.setdefault(c, []).append(np.frombuffer(rest, np.int64))
+            for c, parts in by.items():
+                grams, many = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(grams), pa.binary()), pa.array(grams), pa.array(many)], names=["c", "gram", "many"])
+
+    # what over a 64th of a centre's members have: at most 64 times the mean of their differences
+    with small_batches(big.sparkSession, 5000):
+        held = apart.select("c", "rest").mapInArrow(counted, "c binary, gram long, many long").groupBy("c", "gram").agg(F.sum("many").alias("many"))
+        held = held.join(centres.select("c", F.greatest(F.lit(4), F.col("many") / 64).alias("few")), "c").where(F.col("many") > F.col("few"))
+        usual = kept_table(held.groupBy("c").agg(F.collect_list("gram").alias("grams"), F.collect_list("many").alias("holders")), "usual-differences")
     # f, times 100 + percent to stay whole
     f = F.col("rank") * (100 + percent) - F.col("n") * (100 - percent)
     least = apart.groupBy("c").agg(F.min(F.struct(f.alias("f"), F.col("node"))).alias("o"), F.count("*").alias("many"))
@@ -384,8 +409,15 @@ def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
     def prefixes(batches, met=None):
         for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             keys, of, places, sides = [], [], [], []
+            grams, holders = (batch.column(x) for x in ("grams", "holders"))
+            begin, flat, held_by = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64), holders.values.to_numpy()
+            sorted_of: dict[bytes, tuple] = {}
             for i, (c, n, rank, f, fo, raw) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("c", "n", "rank", "f", "fo", "rest")), strict=True)):
-                rest = np.frombuffer(raw, np.uint64)
+                if c not in sorted_of:
+                    g, m = flat[begin[i] : begin[i + 1]], held_by[begin[i] : begin[i + 1]]
+                    order = np.argsort(g)
+                    sorted_of[c] = g[order], m[order]
+                rest = rare_first(np.frombuffer(raw, np.uint64), *sorted_of[c])
                 any_one = -(-(rank * percent - n * (100 - percent)) // percent)  # whatever the partner's size
                 half = lambda x: -(-x // (2 * (100 + percent)))
                 for least, side in ((half(f - fo), NEAR),) if f + fo <= 0 else ((half(f + abs(fo)), ALL), (half(f + min(fo, 0)), FAR)):
@@ -411,7 +443,9 @@ def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
 
     # near members only meet far ones: they have postings under the far ones' keys alone
     schema = "key long, node binary, n long, matches int, place int, rank int, side int"
-    rows = known.select("c", "node", "n", "rank", "f", "fo", "rest")
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    usual_parts = usual.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = salted.join(usual_parts.hint("merge"), ["c", "salt"], "left").select("c", "node", "n", "rank", "f", "fo", "rest", "grams", "holders")
     is_near = F.col("f") + F.col("fo") <= 0
     with small_batches(big.sparkSession):
         postings = kept_table(rows.where(~is_near).mapInArrow(prefixes, schema), "postings")
@@ -422,7 +456,7 @@ def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
             both = postings.unionByName(rows.where(is_near).mapInArrow(lambda batches: prefixes(batches, met), schema))
             far, postings = postings, kept_table(both, "postings")
         discard(far)
-    discard(centres, members, apart, least)
+    discard(centres, members, apart, least, usual)
     return links, postings
 
 
@@ -430,22 +464,23 @@ def links(docs: DataFrame, table: DataFrame, *, id_col: str = "doc_id", text_col
           counts: np.ndarray, short: int = SHORT, bits: int = BITS) -> DataFrame:
     """Links (u, v) between nodes, enough to connect every component."""
     postings = prefix_postings(docs, text_col, k, percent, counts, bits)
-    found, sets = [], None
+    found, sets, members = [], None, None
     while postings is not None:
-        sizes = kept_table(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "lists")
-        total, most = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
-        big = kept_table(join_facts(postings.select("key", "node"), sizes.where(F.col("size") > short), "key", "size", total).select("key", "node"), "long-lists")
+        sizes = kept_table(list_sizes(postings, short), "lists")
+        total, any_long = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.bool_or("long"), F.lit(False))).first()
+        big = kept_table(join_facts(postings.select("key", "node"), sizes.where("long"), "key", "size", total).select("key", "node"), "long-lists")
         longs = big.groupBy("node").agg(F.count("*").alias("longs")) if sets is None else None
-        pairs = pairs_of(postings, sizes, percent, short, longs)
+        pairs = pairs_of(postings, sizes, percent, longs)
         if sets is None:
             nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(big.select("node"))
-            sets = sets_of(docs, id_col, text_col, k, table, nodes, big.select("node"), bits)
-        found.append(verified(pairs, sets, percent))
+            sets = members = sets_of(docs, id_col, text_col, k, table, nodes, big.select("node"), bits)
+        found.append(verified(pairs, members, percent))
         discard(postings, pairs)
         postings = None
-        if most > short:
-            # members of later long lists are among those of the first
-            near, postings = next_level(big, sizes, sets.where("in_long").select("node", "s"), percent, counts, bits)
+        if any_long:
+            # members of later lists are among those of the first long ones
+            members = sets.where("in_long").select("node", "s")
+            near, postings = next_level(big, sizes, members, percent, bits)
             found.append(near)
         discard(sizes, big)
     discard(sets)

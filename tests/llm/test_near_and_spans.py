@@ -431,3 +431,36 @@ def test_texts_go_to_workers_in_small_batches(spark, monkeypatch):
     assert ngram_join.without_near_copies(df, k=5, percent=80).count() == 1
     assert max(most[name] for name in ("sets", "prefixes", "set-members")) <= 1000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000
+
+
+def test_lists_without_pairs_go_and_few_far_members_make_no_long_list(spark):
+    """Far members that only look for near ones have no pairs among themselves, nor have near ones."""
+    rows = [(1, s) for s in [2] * 50] + [(2, s) for s in [1] * 50] + [(3, s) for s in [1] * 50 + [2] * 3]
+    rows += [(4, s) for s in [1] * 50 + [2] * 50] + [(5, 0)] + [(6, s) for s in [0] * 40] + [(7, s) for s in [0] * 5]
+    lists = ngram_join.list_sizes(spark.createDataFrame(rows, "key long, side int"), 32).collect()
+    assert {(r.key, r.size, r.long) for r in lists} == {(3, 53, False), (4, 100, True), (6, 40, True), (7, 5, False)}
+
+
+def test_far_members_of_one_family_have_few_postings(spark, monkeypatch):
+    """Near copies with words from a short list, many of them far from the centre: what a centre's members have is
+    counted for that centre, so that its rare n-grams come first on every level."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6, 6])):
+            copy[rng.randrange(150)] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    levels, level = [], ngram_join.next_level
+
+    def counted(*args, **named):
+        out = level(*args, **named)
+        levels.append(out[1].count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "next_level", counted)
+    got = ngram_join.near_groups(docs, k=5, percent=80, bits=20).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 5, 80)
+    assert sum(levels) < 40 * len(rows), levels
