@@ -55,6 +55,9 @@ TOGETHER = 1000
 #: A text longer than this is read in segments that overlap by a window.
 SEGMENT = 1 << 22
 
+#: Bytes of texts that are read at once.
+AT_ONCE = 1 << 16
+
 
 class Ranks:
     """Names of stretches of bytes: polynomial hashes modulo 2^64 over random byte values, mixed."""
@@ -81,9 +84,10 @@ class Ranks:
         return mixed((sums[b] - sums[a]) * self.inverses[a] + (b - a).astype(np.uint64))
 
 
-def window_runs(data: np.ndarray, ranks: Ranks, length: int, rank: int):
-    """Runs of windows with one anchor: first window, window behind the last, anchor,
-    the anchor's rank; and the sums for further ranks."""
+def window_runs(data: np.ndarray, sizes: np.ndarray, ranks: Ranks, length: int, rank: int):
+    """Runs of windows with one anchor, of texts of these sizes one behind the other: first window, window
+    behind the last, anchor, the anchor's rank, the text; and the sums for further ranks.
+    Windows don't cross texts."""
     n, width = len(data) - rank + 1, length - rank + 1
     sums = ranks.read(data)
     at = np.arange(n)
@@ -97,22 +101,28 @@ def window_runs(data: np.ndarray, ranks: Ranks, length: int, rank: int):
     if rest:
         best = np.minimum(best[: len(best) - rest], best[rest:])
     anchors = (best & low).astype(np.int64)
-    first = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
+    begin = np.cumsum(sizes) - sizes
+    behind = begin + sizes - length + 1  # the window behind a text's last
+    new = np.append(True, anchors[1:] != anchors[:-1])
+    new[begin] = new[behind[:-1]] = True
+    first = np.flatnonzero(new)
+    end, of = np.append(first[1:], len(best)), np.searchsorted(begin, first, "right") - 1
+    within = first < behind[of]
+    first, end, of = first[within], end[within], of[within]
     anchors = anchors[first]
-    return first, np.append(first[1:], len(best)), anchors, h[anchors], sums
+    return first, end, anchors, h[anchors], of, sums
 
 
-def chunk_runs(first: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places (among the runs) of the first run of each chunk."""
+def chunk_runs(of: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places (among the runs) of the first run of each chunk; ``of``: the text of each run."""
     cut = (mixed(h) & np.uint64((1 << CUT_BITS) - 1)) == 0
-    cut[0] = True
-    return np.flatnonzero(cut)
+    return np.flatnonzero(cut | (np.diff(of, prepend=-1) != 0))
 
 
 def segments(text: bytes, length: int):
     """(offset, bytes) whose windows are together all windows of the text."""
     for at in range(0, len(text) - length + 1, SEGMENT):
-        yield at, np.frombuffer(text[at : at + SEGMENT + length - 1], np.uint8)
+        yield at, text[at : at + SEGMENT + length - 1]
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -126,15 +136,19 @@ def name_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * np.uint64(3) + mixed(b))
 
 
-class Segment:
-    """Runs, chunks and groups of a stretch of bytes."""
+class Segments:
+    """Runs, chunks and groups of stretches of bytes, given as id, key, offset and bytes (a window at least)."""
 
-    def __init__(self, data: np.ndarray, ranks: Ranks, length: int, rank: int):
-        self.data, self.ranks, self.length, self.rank = data, ranks, length, rank
-        self.first, self.end, self.anchor, self.name, self.sums = window_runs(data, ranks, length, rank)
-        self.chunk = chunk_runs(self.first, self.name)  # first run of each chunk
-        self.chunk_first = self.first[self.chunk]
-        self.chunk_end = np.append(self.chunk_first[1:], self.end[-1])
+    def __init__(self, stretches: list[tuple], ranks: Ranks, length: int, rank: int):
+        ids, keys, offsets, parts = zip(*stretches, strict=True)
+        self.raw, sizes = b"".join(parts), np.array([len(x) for x in parts], np.int64)
+        self.ranks, self.length, self.rank = ranks, length, rank
+        self.first, self.end, self.anchor, self.name, self.of, self.sums = window_runs(np.frombuffer(self.raw, np.uint8), sizes, ranks, length, rank)
+        self.ids, self.keys = np.array(ids, np.int64), np.array(keys, np.int64)
+        self.shift = np.array(offsets, np.int64) - (np.cumsum(sizes) - sizes)  # from places here to places in the text
+        self.chunk = chunk_runs(self.of, self.name)  # first run of each chunk
+        self.chunk_first, self.chunk_of = self.first[self.chunk], self.of[self.chunk]
+        self.chunk_end = self.end[np.append(self.chunk[1:], len(self.first)) - 1]
 
     def chunk_names(self) -> np.ndarray:
         """Odd names; those of anchors are even."""
@@ -145,19 +159,19 @@ class Segment:
 
     def groups(self, use: np.ndarray):
         """Of the runs ``use``: name of a group's common bytes, first window, the window
-        behind the last, and the anchor."""
-        first, end, at, name = self.first[use], self.end[use], self.anchor[use], self.name[use]
+        behind the last, the anchor, and the stretch."""
+        first, end, at, name, of = self.first[use], self.end[use], self.anchor[use], self.name[use], self.of[use]
         for near in range(0, self.length - self.rank + 1, GROUP):
             far = min(near + GROUP, self.length - self.rank + 1) - 1
             a, b = np.maximum(first, at - far), np.minimum(end, at - near + 1)
             ok = a < b
             o = at[ok]
             around = self.ranks.of(self.sums, o - near, o - far + self.length)
-            yield name_pair(name[ok] + np.uint64(near), around), a[ok], b[ok], o
+            yield name_pair(name[ok] + np.uint64(near), around), a[ok], b[ok], o, of[ok]
 
 
 def scanned(keyed: DataFrame, schema: str, length: int, rank: int, rows_of) -> DataFrame:
-    """Columns that ``rows_of(id, key, offset, segment)`` gives, joined over many segments."""
+    """Columns that ``rows_of(segments)`` gives, joined over many texts."""
     import pyarrow as pa
 
     names = [part.split()[0] for part in schema.split(", ")]
@@ -171,16 +185,27 @@ def scanned(keyed: DataFrame, schema: str, length: int, rank: int, rows_of) -> D
                 columns.append(pa.array(np.concatenate(column)))
         return pa.RecordBatch.from_arrays(columns, names=names)
 
+    def read_at_once(batch):
+        stretches, size = [], 0
+        for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "t")), strict=True):
+            for at, part in segments(text, length):
+                stretches.append((doc, key, at, part))
+                size += len(part)
+                if size >= AT_ONCE:
+                    yield stretches
+                    stretches, size = [], 0
+        if stretches:
+            yield stretches
+
     def scan(batches):
         ranks = Ranks()
         for batch in batches:
             found, size = [], 0
-            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "t")), strict=True):
-                for at, data in segments(text, length):
-                    columns = rows_of(doc, key, at, Segment(data, ranks, length, rank))
-                    if columns is not None and len(columns[0]):
-                        found.append(columns)
-                        size += len(columns[0])
+            for stretches in read_at_once(batch):
+                columns = rows_of(Segments(stretches, ranks, length, rank))
+                if len(columns[0]):
+                    found.append(columns)
+                    size += len(columns[0])
                 if size > 200_000:
                     yield joined(found)
                     found, size = [], 0
@@ -195,8 +220,8 @@ def holders(rows: DataFrame) -> DataFrame:
     return rows.groupBy("r").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
 
 
-def with_id(names: np.ndarray, doc) -> np.ndarray:
-    return mixed(names ^ mixed(np.asarray(doc, np.int64).astype(np.uint64)))
+def with_id(names: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mixed(names ^ mixed(doc.astype(np.uint64)))
 
 
 def repeats(keyed: DataFrame, length: int, rank: int, bits: int, together: int = TOGETHER) -> DataFrame:
@@ -205,9 +230,9 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int, together: int =
 
     sc = keyed.sparkSession.sparkContext
 
-    def first_round(doc, key, at, s):
-        names = np.concatenate([s.chunk_names(), np.unique(s.anchor_names())])
-        return names.view(np.int64), np.full(len(names), doc, np.int64)
+    def first_round(s):
+        names = np.concatenate([s.chunk_names(), s.anchor_names()])
+        return names.view(np.int64), s.ids[np.concatenate([s.chunk_of, s.of])]
 
     held = holders(scanned(keyed, "r long, id long", length, rank, first_round))
     held = kept_table(held.where((F.col("r") % 2 != 0) | (F.col("lo") < F.col("hi"))), "round-1")
@@ -221,36 +246,36 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int, together: int =
     owners = sc.broadcast(hash_bitmap(held.where("r % 2 <> 0").mapInArrow(owned, "h long"), "h", bits))
     discard(held)
 
-    def open_runs(doc, s):
-        """Runs that two documents may hold, in chunks whose first holder this may be; those chunks."""
-        mine = in_bitmap(owners.value, with_id(s.chunk_names(), doc), bits)
+    def open_runs(s):
+        """Runs that two documents may hold, in chunks whose first holder theirs may be; those chunks."""
+        mine = in_bitmap(owners.value, with_id(s.chunk_names(), s.ids[s.chunk_of]), bits)
         in_mine = np.repeat(mine, np.diff(np.append(s.chunk, len(s.first))))
         return np.flatnonzero(in_mine & in_bitmap(anchors.value, s.anchor_names(), bits)), mine
 
-    def second_round(doc, key, at, s):
-        names = np.unique(np.concatenate([pair for pair, *_ in s.groups(open_runs(doc, s)[0])]))
-        return names.view(np.int64), np.full(len(names), doc, np.int64)
+    def second_round(s):
+        pairs, _, _, _, of = zip(*s.groups(open_runs(s)[0]), strict=True)
+        return np.concatenate(pairs).view(np.int64), s.ids[np.concatenate(of)]
 
     alive = kept_table(holders(scanned(keyed, "r long, id long", length, rank, second_round)).where("lo < hi").select("r"), "round-2")
     pairs = sc.broadcast(hash_bitmap(alive, "r", bits))
     discard(alive)
 
-    def third_round(doc, key, at, s):
-        runs, mine = open_runs(doc, s)
-        # chunks that an earlier document holds: neighbours are joined
-        gone = np.flatnonzero(np.diff(np.concatenate([[False], ~mine, [False]]).astype(np.int8)))
-        a, b = s.chunk_first[gone[::2]], s.chunk_end[gone[1::2] - 1]
-        parts = [(np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), a, b, [None] * len(a))]
-        for pair, a, b, anchor in s.groups(runs):
+    def third_round(s):
+        runs, mine = open_runs(s)
+        # chunks that an earlier document holds: neighbours of one text are joined
+        gone = np.flatnonzero(~mine)
+        first = np.flatnonzero((np.diff(gone, prepend=-2) != 1) | (np.diff(s.chunk_of[gone], prepend=-1) != 0))
+        last = np.append(first[1:], len(gone))[: len(first)] - 1
+        a, b = s.chunk_first[gone[first]], s.chunk_end[gone[last]]
+        parts = [(np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), a, b, s.chunk_of[gone[first]], [None] * len(a))]
+        for pair, a, b, anchor, of in s.groups(runs):
             hit = in_bitmap(pairs.value, pair, bits)
             pair, a, b, anchor = pair[hit], a[hit], b[hit], anchor[hit]
             kind = name_pair(s.ranks.of(s.sums, a, b + s.length - 1), (anchor - a).astype(np.uint64))
-            raw = s.data.tobytes() if len(a) else b""
-            parts.append((pair.view(np.int64), kind.view(np.int64), a, b,
-                          [raw[i:j] for i, j in zip(a.tolist(), (b + s.length - 1).tolist(), strict=True)]))
-        r, kind, a, b = (np.concatenate(c) for c in list(zip(*parts, strict=True))[:4])
-        return (r, kind, np.full(len(r), doc, np.int64), np.full(len(r), key, np.int64), a + at, b + at,
-                [x for part in parts for x in part[4]])
+            parts.append((pair.view(np.int64), kind.view(np.int64), a, b, of[hit],
+                          [s.raw[i:j] for i, j in zip(a.tolist(), (b + s.length - 1).tolist(), strict=True)]))
+        r, kind, a, b, of = (np.concatenate(c) for c in list(zip(*parts, strict=True))[:5])
+        return (r, kind, s.ids[of], s.keys[of], a + s.shift[of], b + s.shift[of], [x for part in parts for x in part[5]])
 
     found = kept_table(scanned(keyed, "r long, kind long, id long, key long, a long, b long, bytes binary", length, rank, third_round), "round-3")
     whole = found.where("bytes is null").select("id", "key", "a", F.expr(f"b + {length - 1}").alias("b"))

@@ -102,3 +102,28 @@ def test_classes_of_one_name_are_compared_in_place(spark, monkeypatch, together)
     assert got == brute(rows)
     assert made["decided"] > 0
     assert (made["windows"] > 0) == (together == 2)
+
+
+def test_texts_read_together_are_read_as_each_alone():
+    """Runs, chunks and groups of many short texts at once: those of every text, and none across texts."""
+    import numpy as np
+
+    ranks, texts = suffix_dedup.Ranks(), [t.encode() for _, t in edited_family(seed=4)] + [b"a" * 50, b"a" * 51, b"ab" * 40]
+    texts = [t for t in texts if len(t) >= 50]
+    stretches = [(i, 100 + i, 7 * i, t) for i, t in enumerate(texts)]
+
+    def described(s):
+        out = list(zip(s.of.tolist(), (s.first + s.shift[s.of]).tolist(), (s.end + s.shift[s.of]).tolist(), s.name.tolist(), strict=True))
+        chunks = list(zip(s.chunk_of.tolist(), (s.chunk_first + s.shift[s.chunk_of]).tolist(), (s.chunk_end + s.shift[s.chunk_of]).tolist(), s.chunk_names().tolist(), strict=True))
+        groups = [g for pair, a, b, _, of in s.groups(np.arange(len(s.first)))
+                  for g in zip(of.tolist(), (a + s.shift[of]).tolist(), (b + s.shift[of]).tolist(), pair.tolist(), strict=True)]
+        return [[(s.ids[i], s.keys[i], *rest) for i, *rest in rows] for rows in (out, chunks, groups)]
+
+    together = described(suffix_dedup.Segments(stretches, ranks, 50, 16))
+    alone = [described(suffix_dedup.Segments([x], ranks, 50, 16)) for x in stretches]
+    for n, rows in enumerate(together):
+        assert sorted(rows) == sorted(r for one in alone for r in one[n])
+    runs = Counter()
+    for i, _, a, b, _ in together[0]:
+        runs[i] += b - a
+    assert runs == Counter({i: len(t) - 49 for i, t in enumerate(texts)})
