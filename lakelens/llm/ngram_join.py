@@ -55,8 +55,8 @@ SALTS, VOTERS = 16, 33
 #: Sides of a list: members that meet all others, and members near the centre or far from it that only meet the other side.
 ALL, NEAR, FAR = 0, 1, 2
 
-#: Counters of the n-gram counts (2^20), in blocks of 2^14, and bits of the prefilters.
-COUNT_BITS, BLOCK_BITS, BITS = 20, 14, 26
+#: Counters of the n-gram counts (2^22), in blocks of 2^14, and bits of the prefilters.
+COUNT_BITS, BLOCK_BITS, BITS = 22, 14, 26
 
 
 def shingles(text: bytes | None, k: int, memo: WordHashes) -> np.ndarray:
@@ -69,7 +69,40 @@ def shingles(text: bytes | None, k: int, memo: WordHashes) -> np.ndarray:
 
 
 def slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+    """Counters of n-grams: low bits.  Prefixes hold n-grams of low counters, and the prefilters,
+    by high bits, must not have them close together."""
+    return (h & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+def packed(block: np.ndarray) -> bytes:
+    import zlib
+
+    return zlib.compress(narrow(block).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    import zlib
+
+    flat = zlib.decompress(raw)
+    return np.frombuffer(flat, f"u{len(flat) >> BLOCK_BITS}").astype(np.int64)
+
+
+def only(rows: DataFrame, column: str, bitmap: np.ndarray, bits: int) -> DataFrame:
+    """The rows whose 64-bit hash in ``column`` the bitmap has."""
+    import pyarrow as pa
+
+    given = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def scan(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(given.value, batch.column(column).to_numpy().view(np.uint64), bits)))
+
+    return rows.mapInArrow(scan, rows.schema)
 
 
 def node_of(s: np.ndarray) -> bytes:
@@ -134,12 +167,12 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[Data
             kind = whole.schema.field("doc_id").type
             for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
                 sets = [shingles(t, k, memo) for t in batch.column("t").to_pylist()]
-                counts += np.bincount(slots(np.concatenate(sets)), minlength=len(counts)).astype(np.int32)
+                np.add.at(counts, slots(np.concatenate(sets)), np.int32(1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(map(node_of, sets), pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if kind is not None:
-            parts = [(i, counts[i * block : (i + 1) * block].tobytes()) for i in range(len(counts) // block)]
+            parts = [(i, packed(counts[i * block : (i + 1) * block])) for i in range(len(counts) // block)]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(parts), kind), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()),
                  pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=names)
@@ -148,21 +181,21 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[Data
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(raw, np.int32).astype(np.int64)
+                part = unpacked(raw)
                 total[i] = total[i] + part if i in total else part
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(map(packed, total.values()), pa.binary())],
                                              names=["block", "counts"])
 
     with small_batches(docs.sparkSession, 1000):
         table = kept_table(rows.mapInArrow(scan, f"doc_id {id_type}, text_hash long, n long, node binary, block int, counts binary"), "sets")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     parts = table.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add_up, "block int, counts binary")
-    for r in parts.collect():  # 2^20 numbers in all
-        counts[r.block * block : (r.block + 1) * block] = np.frombuffer(bytes(r.counts), np.int64)
+    for r in parts.collect():  # 2^COUNT_BITS numbers in all
+        counts[r.block * block : (r.block + 1) * block] = unpacked(bytes(r.counts))
     sets = kept_table(table.where("block is null").select("doc_id", "text_hash", "n", "node"), "nodes")
     discard(table)
-    return sets, counts
+    return sets, narrow(counts)
 
 
 def from_sets(texts: DataFrame, k: int, schema: str, rows_of) -> DataFrame:
@@ -191,36 +224,45 @@ def from_sets(texts: DataFrame, k: int, schema: str, rows_of) -> DataFrame:
     return texts.mapInArrow(scan, schema)
 
 
-def prefix_postings(docs: DataFrame, text_col: str, k: int, percent: int, counts: np.ndarray, bits: int) -> DataFrame:
+def prefix_postings(docs: DataFrame, table: DataFrame, text_col: str, k: int, percent: int, counts: np.ndarray, bits: int) -> DataFrame:
     """Table of key (n-gram), node, n, matches and place of the prefixes, n-grams that
-    are in the prefix of one row alone left out; ``rank`` is the length of the prefix."""
+    are in the prefix of one node alone left out; ``rank`` is the length of the prefix.
+    ``table`` (of ``described``) says which nodes several rows have; only their prefixes are
+    looked through for equal nodes."""
     import pyarrow as pa
 
     sc = docs.sparkSession.sparkContext
     given, usual = sc.broadcast(counts), float(counts.mean())
+    copied = table.where("n > 0").groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")
+    several = sc.broadcast(hash_bitmap(copied.select(F.xxhash64("node").alias("h")), "h", bits))
 
     def prefix(node, s):
+        import xxhash
+
         head, matches = prefix_of(s, given.value, usual, percent)
-        return {"node": pa.array([node], pa.binary()), "n": pa.array([len(s)], pa.int64()),
-                "matches": pa.array([matches], pa.int32()), "head": pa.array([head.tobytes()], pa.binary())}
+        h = np.array([xxhash.xxh64_intdigest(node, seed=42)], np.uint64)  # Spark's xxhash64
+        return {"node": pa.array([node], pa.binary()), "n": pa.array([len(s)], pa.int64()), "matches": pa.array([matches], pa.int32()),
+                "head": pa.array([head.tobytes()], pa.binary()), "several": pa.array(in_bitmap(several.value, h, bits))}
 
     with small_batches(docs.sparkSession, 1000):
-        table = kept_table(from_sets(texts_of(docs, text_col), k, "node binary, n long, matches int, head binary", prefix), "prefixes")
+        every = kept_table(from_sets(texts_of(docs, text_col), k, "node binary, n long, matches int, head binary, several boolean", prefix), "prefixes")
+    once = kept_table(every.where("several").dropDuplicates(["node"]), "copied-prefixes")
+    heads = every.where("not several").unionByName(once).drop("several")
 
     def keys(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["key"])
 
-    met = table.select("head").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = heads.select("head").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     bitmap = sc.broadcast(hash_bitmap(met, "key", bits))
 
     def postings(batches):
         for batch in batches:
-            heads = [np.frombuffer(h, np.uint64) for h in batch.column("head").to_pylist()]
-            sizes = np.array([len(h) for h in heads], np.int64)
-            flat = np.concatenate(heads)
+            parts = [np.frombuffer(h, np.uint64) for h in batch.column("head").to_pylist()]
+            sizes = np.array([len(h) for h in parts], np.int64)
+            flat = np.concatenate([np.empty(0, np.uint64), *parts])
             at = np.flatnonzero(in_bitmap(bitmap.value, flat, bits))
-            of = np.repeat(np.arange(len(heads)), sizes)[at]
+            of = np.repeat(np.arange(len(parts)), sizes)[at]
             which = pa.array(of)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(flat[at].view(np.int64)), batch.column("node").take(which), batch.column("n").take(which),
@@ -228,9 +270,8 @@ def prefix_postings(docs: DataFrame, text_col: str, k: int, percent: int, counts
                  pa.array(sizes[of].astype(np.int32)), pa.array(np.full(len(at), ALL, np.int32))],
                 names=["key", "node", "n", "matches", "place", "rank", "side"])
 
-    rows = table.mapInArrow(postings, "key long, node binary, n long, matches int, place int, rank int, side int")
-    found = kept_table(rows.dropDuplicates(["key", "node"]), "postings")
-    discard(table)
+    found = kept_table(heads.mapInArrow(postings, "key long, node binary, n long, matches int, place int, rank int, side int"), "postings")
+    discard(every, once)
     return found
 
 
@@ -463,12 +504,13 @@ def next_level(big: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
 def links(docs: DataFrame, table: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT,
           counts: np.ndarray, short: int = SHORT, bits: int = BITS) -> DataFrame:
     """Links (u, v) between nodes, enough to connect every component."""
-    postings = prefix_postings(docs, text_col, k, percent, counts, bits)
+    postings = prefix_postings(docs, table, text_col, k, percent, counts, bits)
     found, sets, members = [], None, None
     while postings is not None:
         sizes = kept_table(list_sizes(postings, short), "lists")
         total, any_long = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.bool_or("long"), F.lit(False))).first()
-        big = kept_table(join_facts(postings.select("key", "node"), sizes.where("long"), "key", "size", total).select("key", "node"), "long-lists")
+        in_long = only(postings.select("key", "node"), "key", hash_bitmap(sizes.where("long"), "key", bits), bits)
+        big = kept_table(join_facts(in_long, sizes.where("long"), "key", "size", total).select("key", "node"), "long-lists")
         longs = big.groupBy("node").agg(F.count("*").alias("longs")) if sets is None else None
         pairs = pairs_of(postings, sizes, percent, longs)
         if sets is None:

@@ -464,3 +464,41 @@ def test_far_members_of_one_family_have_few_postings(spark, monkeypatch):
     got = ngram_join.near_groups(docs, k=5, percent=80, bits=20).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 5, 80)
     assert sum(levels) < 40 * len(rows), levels
+
+
+def test_only_ngrams_that_different_sets_have_are_postings(spark):
+    """Copies have one node: their n-grams are nobody else's, and each posting of a node is there once."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(200)) for _ in range(300)]
+    texts += texts[:150] + [t + " end" for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    table, counts = ngram_join.described(docs, "doc_id", "text", 3)
+    assert counts.sum() == 455 * 198 + 5
+    postings = ngram_join.prefix_postings(docs, table, "text", 3, 90, counts, 26).collect()
+    keys = Counter(r.key for r in postings)
+    assert len({(r.key, r.node) for r in postings}) == len(postings)
+    assert sum(n > 1 for n in keys.values()) > 50 and sum(n == 1 for n in keys.values()) < 50
+
+
+def test_counters_do_not_put_prefixes_close_together():
+    """Of many sets in the order of counters that all n-grams fill, the prefixes spread over the prefilter's slots."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1)) for _ in range(100)]
+    sets = [ngram_join.mixed(s) for s in sets]
+    counts = np.zeros(1 << ngram_join.COUNT_BITS, np.int64)
+    counts[: len(counts) * 7 // 8] = 50  # an eighth of the counters is low
+    low = [ngram_join.prefix_of(s, counts, 43.75, 90)[0] for s in sets]
+    top = np.concatenate(low) >> np.uint64(61)
+    assert np.bincount(top.astype(int), minlength=8).max() < len(top) / 4
+
+
+def test_counts_are_packed_in_the_type_they_need():
+    import numpy as np
+
+    for most in (7, 255, 256, 70_000, 1 << 33):
+        block = np.arange(1 << ngram_join.BLOCK_BITS) % 7
+        block[5] = most
+        assert (ngram_join.unpacked(ngram_join.packed(block)) == block).all()
+        assert ngram_join.narrow(block).max() == most
