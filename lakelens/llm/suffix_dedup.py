@@ -18,7 +18,8 @@ position in 18 is an anchor.  The windows of one anchor are decided together.
 windows (some 150 bytes).  A chunk that a document with a smaller id holds in
 full is removed in full; only its first holder's takes part in rounds 2 and 3.
 
-*Round 1, 16 bytes.*  Ranks of chunks and of anchors with the documents that hold them.
+*Round 1, 16 bytes.*  Names of chunks with the first document that holds them; ranks of anchors that two
+documents hold.
 *Round 2, 33 bytes.*  An anchor's windows are dealt by their offset to it into groups of
 eighteen; the windows of a group have 33 bytes in common, those around the anchor.
 The anchor's rank extended by the ranks at the group's offsets names them, and a
@@ -30,8 +31,9 @@ goes to the smallest id that any class has for it.  Equal windows have equal nam
 33 bytes, so the classes of one name are compared where they meet, in one task, and no row
 is made of a window; the windows of a name with over ``TOGETHER`` classes are dealt out as rows.
 
-Rows that a round doesn't need are held back by bitmaps of fixed size of the
-surviving ranks; a hit by chance costs a row and changes nothing.
+Names of rounds 1 and 2 are not rows: a task sorts them and sends four bytes of each, those of one
+bucket (the first bits) in one row.  What a round doesn't need is held back by filters of the surviving names,
+with bits in proportion to these names, up to ``MOST_BITS``; a hit by chance costs a row and changes nothing.
 """
 
 from __future__ import annotations
@@ -40,13 +42,22 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakelens.llm.words import discard, hash_bitmap, in_bitmap, kept_table, mixed
+from lakelens.llm.words import discard, kept_table, mixed, shuffles_dropped, small_batches
 
 LENGTH, RANK, CUT_BITS = 50, 16, 3
 
 #: Offsets of a group of windows.
 GROUP = 18
-BITS = 27
+
+#: Filters have 2^BITS bits at least, then as many as it takes for SLOTS bits a name, up to 2^MOST_BITS; round 1's two
+#: up to half of that, as round 2 mends what they let through and a worker holds all three.
+BITS, MOST_BITS, SLOTS = 27, 29, 8
+
+#: Names are dealt by their first bits; of the others 32 are sent.
+BUCKET_BITS = 12
+
+#: Names that a task sorts and sends at once.
+SENT_AT_ONCE = 1 << 20
 LAST_ID = (1 << 63) - 1
 
 #: Classes of one name that a task compares window by window.
@@ -151,11 +162,11 @@ class Segments:
         self.chunk_end = self.end[np.append(self.chunk[1:], len(self.first)) - 1]
 
     def chunk_names(self) -> np.ndarray:
-        """Odd names; those of anchors are even."""
-        return self.ranks.of(self.sums, self.chunk_first, self.chunk_end + self.length - 1) | np.uint64(1)
+        return self.ranks.of(self.sums, self.chunk_first, self.chunk_end + self.length - 1)
 
     def anchor_names(self) -> np.ndarray:
-        return self.name & ~np.uint64(1)
+        """Ranks of anchors are small, as the least of their windows; their names are spread evenly."""
+        return mixed(self.name + np.uint64(1))
 
     def groups(self, use: np.ndarray):
         """Of the runs ``use``: name of a group's common bytes, first window, the window
@@ -170,6 +181,26 @@ class Segments:
             yield name_pair(name[ok] + np.uint64(near), around), a[ok], b[ok], o, of[ok]
 
 
+def read_segments(batches, length: int, rank: int):
+    """For each batch of texts, what reads its ``Segments`` one after the other."""
+    ranks = Ranks()
+
+    def read_at_once(batch):
+        stretches, size = [], 0
+        for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "t")), strict=True):
+            for at, part in segments(text, length):
+                stretches.append((doc, key, at, part))
+                size += len(part)
+                if size >= AT_ONCE:
+                    yield Segments(stretches, ranks, length, rank)
+                    stretches, size = [], 0
+        if stretches:
+            yield Segments(stretches, ranks, length, rank)
+
+    for batch in batches:
+        yield read_at_once(batch)
+
+
 def scanned(keyed: DataFrame, schema: str, length: int, rank: int, rows_of) -> DataFrame:
     """Columns that ``rows_of(segments)`` gives, joined over many texts."""
     import pyarrow as pa
@@ -185,39 +216,173 @@ def scanned(keyed: DataFrame, schema: str, length: int, rank: int, rows_of) -> D
                 columns.append(pa.array(np.concatenate(column)))
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    def read_at_once(batch):
-        stretches, size = [], 0
-        for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "t")), strict=True):
-            for at, part in segments(text, length):
-                stretches.append((doc, key, at, part))
-                size += len(part)
-                if size >= AT_ONCE:
-                    yield stretches
-                    stretches, size = [], 0
-        if stretches:
-            yield stretches
-
     def scan(batches):
-        ranks = Ranks()
-        for batch in batches:
-            found, size = [], 0
-            for stretches in read_at_once(batch):
-                columns = rows_of(Segments(stretches, ranks, length, rank))
+        found, size = [], 0
+        for read in read_segments(batches, length, rank):
+            for s in read:
+                columns = rows_of(s)
                 if len(columns[0]):
                     found.append(columns)
                     size += len(columns[0])
-                if size > 200_000:
+                if size > 50_000:
                     yield joined(found)
                     found, size = [], 0
-            if found:
-                yield joined(found)
+        if found:
+            yield joined(found)
 
     return keyed.select("id", "key", "t").mapInArrow(scan, schema)
 
 
-def holders(rows: DataFrame) -> DataFrame:
-    """Smallest and largest id that holds each name."""
-    return rows.groupBy("r").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+NAMES, CHUNKS = 0, 1
+
+
+def bucket_rows(kind: int, values: np.ndarray, names: np.ndarray):
+    """A row for each bucket of sorted ``names``, with the bytes of its ``values``."""
+    import pyarrow as pa
+
+    bounds = np.append(np.searchsorted(names, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)), len(names))
+    some = np.flatnonzero(np.diff(bounds))
+    offsets = (np.append(bounds[some], len(names)) * values.strides[0]).astype(np.int32)
+    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), blobs], names=["kind", "bucket", "blob"])
+
+
+def once_a_text(names: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The names, each once for a text."""
+    order = np.argsort(names, kind="stable")  # a text's equal names are neighbours then
+    names, of = names[order], of[order]
+    return names[np.append(True, (names[1:] != names[:-1]) | (of[1:] != of[:-1]))] if len(names) else names
+
+
+def sent(names: list, chunks: list):
+    """Rows of names, twice if they come oftener, and of chunks, each with the smallest id here."""
+    if names:
+        h = np.sort(np.concatenate(names))
+        h = h[np.append(np.ones(min(2, len(h)), bool), h[2:] != h[:-2])]
+        yield bucket_rows(NAMES, (h >> np.uint64(32 - BUCKET_BITS)).astype(np.uint32), h)
+    if chunks:
+        r, ids = (np.concatenate(c) for c in zip(*chunks, strict=True))
+        order = np.lexsort((ids, r))
+        order = order[np.append(True, r[order[1:]] != r[order[:-1]])]
+        yield bucket_rows(CHUNKS, np.stack([r[order], ids[order].view(np.uint64)], axis=1), r[order])
+
+
+def bucket_survivors(batches):
+    """Of rows in the order of kind and bucket: 32 bits of the names that come twice, and of each chunk's with its smallest id."""
+    import pyarrow as pa
+
+    def surviving(kind, bucket, blobs):
+        raw = b"".join(blobs)
+        if kind == NAMES:
+            h = np.sort(np.frombuffer(raw, np.uint32))
+            low = np.unique(h[1:][h[1:] == h[:-1]])
+        else:
+            r, ids = np.frombuffer(raw, np.uint64).reshape(-1, 2).T
+            order = np.lexsort((ids.view(np.int64), r))
+            order = order[np.append(True, r[order[1:]] != r[order[:-1]])]
+            low = (owner_keys(r[order], ids[order].view(np.int64)) & LOW).astype(np.uint32)
+        return kind, bucket, len(low), low.tobytes()
+
+    def joined(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+                                          names=["kind", "bucket", "n", "blob"])
+
+    at, blobs, rows, size = None, [], [], 0
+    for batch in batches:
+        for kind, bucket, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
+            if (kind, bucket) != at:
+                if blobs:
+                    rows.append(surviving(*at, blobs))
+                    size += rows[-1][2]
+                if size > SENT_AT_ONCE:
+                    yield joined(rows)
+                    rows, size = [], 0
+                at, blobs = (kind, bucket), []
+            blobs.append(blob)
+    if blobs:
+        rows.append(surviving(*at, blobs))
+    if rows:
+        yield joined(rows)
+
+
+def surviving_names(keyed: DataFrame, length: int, rank: int, names_of, chunks_of=None) -> DataFrame:
+    """Names that two documents hold, of ``names_of(segments)`` (names and their texts), and chunks with the smallest id that
+    holds them, of ``chunks_of(segments)`` (names and ids): 32 bits of their keys by kind and bucket.
+    Names that only texts of one id hold may be among them."""
+
+    def scan(batches):
+        names, chunks, size = [], [], 0
+        for read in read_segments(batches, length, rank):
+            for s in read:
+                names.append(once_a_text(*names_of(s)))
+                size += len(names[-1])
+                if chunks_of:
+                    chunks.append(chunks_of(s))
+                if size > SENT_AT_ONCE:
+                    yield from sent(names, chunks)
+                    names, chunks, size = [], [], 0
+        yield from sent(names, chunks)
+
+    rows = keyed.select("id", "key", "t").mapInArrow(scan, "kind int, bucket int, blob binary")
+    return rows.repartition("bucket").sortWithinPartitions("kind", "bucket").mapInArrow(bucket_survivors, "kind int, bucket int, n long, blob binary")
+
+
+LOW = np.uint64((1 << 32) - 1)
+
+
+def name_keys(names: np.ndarray) -> np.ndarray:
+    """Bucket and 32 further bits."""
+    return names >> np.uint64(32 - BUCKET_BITS)
+
+
+def owner_keys(names: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Bucket of the name and 32 bits of the name with an id."""
+    return (names >> np.uint64(64 - BUCKET_BITS) << np.uint64(32)) | (with_id(names, ids) >> np.uint64(32))
+
+
+def slots(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """The places of keys in a filter, in the piece of their bucket."""
+    inside = bits - BUCKET_BITS
+    return (keys >> np.uint64(32) << np.uint64(inside)) | (mixed(keys * np.uint64(5) + np.uint64(probe)) >> np.uint64(64 - inside))
+
+
+def filter_of(survivors: DataFrame, kind: int, bits: int, most: int = MOST_BITS) -> tuple[np.ndarray, int, int]:
+    """Filter of the keys of one kind (bitmap, bits and slots of a key), made by Spark bucket by bucket:
+    at most 2^most / 8 bytes reach the driver, whatever the number of names."""
+    import pyarrow as pa
+
+    rows = survivors.where(F.col("kind") == kind)
+    n = rows.agg(F.sum("n")).first()[0] or 0
+    bits = max(bits, BUCKET_BITS + 3, min(most, (SLOTS * n).bit_length()))
+    probes = max(1, min(3, (7 << bits) // (10 * max(n, 1))))
+    each = 1 << (bits - BUCKET_BITS - 3)
+
+    def pieces(batches):
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            out = []
+            for bucket, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "blob")), strict=True):
+                keys = np.frombuffer(blob, np.uint32).astype(np.uint64) | (np.uint64(bucket) << np.uint64(32))
+                piece = np.zeros(8 * each, np.uint8)
+                for probe in range(probes):
+                    piece[slots(keys, probe, bits) & np.uint64(8 * each - 1)] = 1
+                out.append((bucket, np.packbits(piece, bitorder="little").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["bucket", "piece"])
+
+    bitmap = np.zeros((1 << bits) // 8, np.uint8)
+    for row in rows.select("bucket", "blob").mapInArrow(pieces, "bucket int, piece binary").collect():
+        bitmap[row.bucket * each : (row.bucket + 1) * each] |= np.frombuffer(row.piece, np.uint8)
+    return bitmap, bits, probes
+
+
+def in_filter(which: tuple[np.ndarray, int, int], keys: np.ndarray) -> np.ndarray:
+    bitmap, bits, probes = which
+    at = np.arange(len(keys))
+    for probe in range(probes):
+        slot = slots(keys[at], probe, bits)
+        at = at[(bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+    out = np.zeros(len(keys), bool)
+    out[at] = True
+    return out
 
 
 def with_id(names: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -231,33 +396,27 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int, together: int =
     sc = keyed.sparkSession.sparkContext
 
     def first_round(s):
-        names = np.concatenate([s.chunk_names(), s.anchor_names()])
-        return names.view(np.int64), s.ids[np.concatenate([s.chunk_of, s.of])]
-
-    held = holders(scanned(keyed, "r long, id long", length, rank, first_round))
-    held = kept_table(held.where((F.col("r") % 2 != 0) | (F.col("lo") < F.col("hi"))), "round-1")
-    anchors = sc.broadcast(hash_bitmap(held.where("r % 2 = 0"), "r", bits))
+        return s.anchor_names(), s.of
 
-    def owned(batches):
-        for batch in batches:
-            r, lo = (batch.column(c).to_numpy() for c in ("r", "lo"))
-            yield pa.RecordBatch.from_arrays([pa.array(with_id(r.view(np.uint64), lo).view(np.int64))], names=["h"])
+    def chunks(s):
+        return s.chunk_names(), s.ids[s.chunk_of]
 
-    owners = sc.broadcast(hash_bitmap(held.where("r % 2 <> 0").mapInArrow(owned, "h long"), "h", bits))
+    held = kept_table(surviving_names(keyed, length, rank, first_round, chunks), "round-1")
+    anchors, owners = (sc.broadcast(filter_of(held, kind, bits, MOST_BITS - 1)) for kind in (NAMES, CHUNKS))
     discard(held)
 
     def open_runs(s):
         """Runs that two documents may hold, in chunks whose first holder theirs may be; those chunks."""
-        mine = in_bitmap(owners.value, with_id(s.chunk_names(), s.ids[s.chunk_of]), bits)
-        in_mine = np.repeat(mine, np.diff(np.append(s.chunk, len(s.first))))
-        return np.flatnonzero(in_mine & in_bitmap(anchors.value, s.anchor_names(), bits)), mine
+        mine = in_filter(owners.value, owner_keys(*chunks(s)))
+        runs = np.flatnonzero(np.repeat(mine, np.diff(np.append(s.chunk, len(s.first)))))
+        return runs[in_filter(anchors.value, name_keys(s.anchor_names()[runs]))], mine
 
     def second_round(s):
         pairs, _, _, _, of = zip(*s.groups(open_runs(s)[0]), strict=True)
-        return np.concatenate(pairs).view(np.int64), s.ids[np.concatenate(of)]
+        return np.concatenate(pairs), np.concatenate(of)
 
-    alive = kept_table(holders(scanned(keyed, "r long, id long", length, rank, second_round)).where("lo < hi").select("r"), "round-2")
-    pairs = sc.broadcast(hash_bitmap(alive, "r", bits))
+    alive = kept_table(surviving_names(keyed, length, rank, second_round), "round-2")
+    pairs = sc.broadcast(filter_of(alive, NAMES, bits))
     discard(alive)
 
     def third_round(s):
@@ -269,7 +428,7 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int, together: int =
         a, b = s.chunk_first[gone[first]], s.chunk_end[gone[last]]
         parts = [(np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), a, b, s.chunk_of[gone[first]], [None] * len(a))]
         for pair, a, b, anchor, of in s.groups(runs):
-            hit = in_bitmap(pairs.value, pair, bits)
+            hit = in_filter(pairs.value, name_keys(pair))
             pair, a, b, anchor = pair[hit], a[hit], b[hit], anchor[hit]
             kind = name_pair(s.ranks.of(s.sums, a, b + s.length - 1), (anchor - a).astype(np.uint64))
             parts.append((pair.view(np.int64), kind.view(np.int64), a, b, of[hit],
@@ -278,6 +437,8 @@ def repeats(keyed: DataFrame, length: int, rank: int, bits: int, together: int =
         return (r, kind, s.ids[of], s.keys[of], a + s.shift[of], b + s.shift[of], [x for part in parts for x in part[5]])
 
     found = kept_table(scanned(keyed, "r long, kind long, id long, key long, a long, b long, bytes binary", length, rank, third_round), "round-3")
+    for filtered in (anchors, owners, pairs):
+        filtered.destroy()
     whole = found.where("bytes is null").select("id", "key", "a", F.expr(f"b + {length - 1}").alias("b"))
     groups = found.where("bytes is not null")
     classes = kept_table(groups.groupBy("r", "kind").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("bytes").alias("bytes")), "classes")
@@ -382,7 +543,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not 0 < rank <= length - GROUP:
         raise ValueError(f"rank must be at most length - {GROUP}")
     keyed = keyed_texts(docs, id_col, text_col)
-    spans = repeats(keyed, length, rank, bits, together)
+    with shuffles_dropped(docs.sparkSession), small_batches(docs.sparkSession, 1000):
+        spans = repeats(keyed, length, rank, bits, together)
     joined = keyed.join(spans, ["id", "key"], "left").select("id", "no_id", "t", "spans.a", "spans.b")
 
     def cut(batches):

@@ -127,3 +127,74 @@ def test_texts_read_together_are_read_as_each_alone():
     for i, _, a, b, _ in together[0]:
         runs[i] += b - a
     assert runs == Counter({i: len(t) - 49 for i, t in enumerate(texts)})
+
+
+def test_last_round_gets_no_more_rows_when_names_are_many(spark, monkeypatch):
+    """Filters grow with the names that they hold: texts of one document don't pass by chance."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    common = [text(8000) for _ in range(30)]
+    changed = lambda t: "".join(t[at : at + 100] + rng.choice("XYZ") for at in range(0, len(t), 100))
+    rows = [(i, text(8000) + changed(common[i % 30])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = []
+    for bits in (16, 24):
+        with monkeypatch.context() as patch:
+            made = written_rows(patch, suffix_dedup)
+            got = suffix_dedup.dedup_substrings(df, bits=bits).collect()
+            sent.append(made["round-3"])
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute(rows)
+    assert 0 < sent[0] < 1.1 * sent[1]
+
+
+def test_filters_hold_all_their_names(spark):
+    """Names of a filter are found in it; of others few, however many it holds."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    names, others = (rng.integers(0, 1 << 63, 40_000, np.uint64) * np.uint64(2) for _ in range(2))
+    blobs = [(suffix_dedup.NAMES, int(b), int(n), low.astype(np.uint32).tobytes()) for b in np.unique(names >> np.uint64(52))
+             for low in [(suffix_dedup.name_keys(names[names >> np.uint64(52) == b]) & suffix_dedup.LOW)] for n in [len(low)]]
+    table = spark.createDataFrame(blobs, "kind int, bucket int, n long, blob binary")
+    made = suffix_dedup.filter_of(table, suffix_dedup.NAMES, 18)
+    assert suffix_dedup.in_filter(made, suffix_dedup.name_keys(names)).all()
+    assert suffix_dedup.in_filter(made, suffix_dedup.name_keys(others)).mean() < 0.05
+    empty = suffix_dedup.filter_of(table, suffix_dedup.CHUNKS, 15)
+    assert not suffix_dedup.in_filter(empty, suffix_dedup.name_keys(others)).any()
+
+
+def test_names_are_sent_once_or_twice_and_chunks_with_their_first_document():
+    import numpy as np
+    import pyarrow as pa
+
+    big = np.uint64(0xFFF0000000000000)
+    names = [np.array([5, big, 5, 5, big + np.uint64(1 << 20)], np.uint64), np.array([7, big], np.uint64)]
+    assert sorted(suffix_dedup.once_a_text(np.array([9, 9, 4, 9], np.uint64), np.array([0, 0, 0, 1])).tolist()) == [4, 9, 9]
+    chunks = [(np.array([big, 3, big], np.uint64), np.array([8, -2, 6]))]
+    rows = [r for part in [*suffix_dedup.sent(names, chunks), *suffix_dedup.sent([], [(np.array([3], np.uint64), np.array([-5]))])] for r in part.to_pylist()]
+    assert [(r["kind"], r["bucket"], len(r["blob"])) for r in rows] == [(0, 0, 12), (0, 4095, 12), (1, 0, 16), (1, 4095, 16), (1, 0, 16)]
+    rows.sort(key=lambda r: (r["kind"], r["bucket"]))
+    [out] = suffix_dedup.bucket_survivors([pa.RecordBatch.from_pylist(rows)])
+    low = {(r["kind"], r["bucket"]): np.frombuffer(r["blob"], np.uint32).tolist() for r in out.to_pylist()}
+    owner = lambda name, doc: int(suffix_dedup.owner_keys(np.array([name], np.uint64), np.array([doc]))[0]) & 0xFFFFFFFF
+    assert low == {(0, 0): [0], (0, 4095): [0], (1, 0): [owner(3, -5)], (1, 4095): [owner(big, 6)]}
+    assert list(suffix_dedup.bucket_survivors([])) == []
+
+
+def test_shuffle_files_go_with_the_queries_that_made_them(spark, monkeypatch):
+    import time
+
+    def shuffles():
+        blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {name for name in (blocks.apply(i).name() for i in range(blocks.size())) if name.startswith("shuffle_")}
+
+    monkeypatch.setattr(suffix_dedup, "discard", lambda *tables: None)
+    before = shuffles()
+    df = spark.createDataFrame(edited_family(seed=2), "doc_id long, text string")
+    suffix_dedup.dedup_substrings(df, bits=16)
+    for _ in range(40):
+        if not shuffles() - before:
+            break
+        time.sleep(0.25)
+    assert not shuffles() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
